@@ -69,7 +69,7 @@ def split_tree(tokens: DataFrame, depth: int = DEPTH, seed: int = SEED) -> DataF
     return nodes
 
 
-def mix_sources(
+def _block_table(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -79,15 +79,10 @@ def mix_sources(
     blocks: int = BLOCKS,
     depth: int = DEPTH,
     seed: int = SEED,
-) -> DataFrame:
-    """One row per row of ``docs``: its id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (size times copies) and ``shards``, the output shard of each copy."""
-    order = F.xxhash64(F.col("id"), F.lit(seed))
-    thin = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        n_words(F.col(text_col)).alias("size"),
-    ).withColumns({"key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "order": order})
-    thin = cut(thin.withColumn("block", F.pmod("order", F.lit(blocks)).cast("int")))
+) -> tuple[DataFrame, DataFrame]:
+    """What each block of each source gives to the mix, and the documents' (id, source, size, key, order, block)."""
+    thin = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    thin = cut(_placed(thin, "id", blocks, seed))
 
     block = cut(thin.groupBy("key", "block").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
     source = source_targets(block.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).drop("key"), weights, max_copies)
@@ -115,15 +110,23 @@ def mix_sources(
     copies = laid.where("most > 0").select("key", "block", "place", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("copy"))
     copies = copies.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("copy", "place")))
     dealt = copies.join(run_of, ["key", "rank"]).groupBy("key", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("dealt"))
-    table = cut(laid.join(dealt, ["key", "block"], "left").select("key", "block", "source_size", "target", "passes", "room", "words", "rest", "bound", "dealt"))
-
-    out = thin.join(small(table, table.count(), 200_000), ["key", "block"])
+    table = laid.join(dealt, ["key", "block"], "left")
     whole = (F.col("room") >= F.col("words")) & (F.col("rest") > 0)
-    one = F.when(whole | F.coalesce(F.col("order") <= F.col("bound"), F.lit(False)), 1).otherwise(0)
+    return cut(table.select("key", "block", "source_size", "target", "passes", whole.alias("whole"), "bound", "dealt")), thin
+
+
+def _placed(docs: DataFrame, id_col: str, blocks: int, seed: int) -> DataFrame:
+    placed = docs.withColumns({"key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "order": F.xxhash64(F.col(id_col), F.lit(seed))})
+    return placed.withColumn("block", F.pmod("order", F.lit(blocks)).cast("int"))
+
+
+def _dealt(placed: DataFrame, table: DataFrame, kept: list, max_copies: int) -> DataFrame:
+    """The columns ``kept`` of placed documents with what their block gives them."""
+    out = placed.join(small(table, table.count(), 200_000), ["key", "block"])
+    one = F.when(F.col("whole") | F.coalesce(F.col("order") <= F.col("bound"), F.lit(False)), 1).otherwise(0)
     n = F.least(F.lit(max_copies), F.col("passes") + one)
     return out.select(
-        F.col("id").alias(id_col),
-        "source",
+        *kept,
         "size",
         "source_size",
         "target",
@@ -133,6 +136,21 @@ def mix_sources(
     )
 
 
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", max_copies: int = MAX_COPIES, **settings) -> DataFrame:
+    """One row per row of ``docs``: its id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (size times copies) and ``shards``, the output shard of each copy."""
+    table, thin = _block_table(docs, id_col=id_col, max_copies=max_copies, **settings)
+    return _dealt(thin, table, [F.col("id").alias(id_col), "source"], max_copies)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = MAX_COPIES, blocks: int = BLOCKS, seed: int = SEED, **settings) -> DataFrame:
+    """The rows of ``docs``, all their columns, with the columns of ``mix_sources``; texts are read once more, and never shuffled while the block table is small."""
+    table, _ = _block_table(docs, id_col, text_col, source_col, max_copies=max_copies, blocks=blocks, seed=seed, **settings)
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    made = _dealt(_placed(row, "id", blocks, seed), table, ["row"], max_copies)
+    added = [c for c in made.columns if c != "row"]
+    return made.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
+
+
 def shuffled_shards(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The mixture itself: each document once per copy, with ``shard`` and ``copy``, rows of a shard in shuffled order.
 

@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelstack.llm.decontaminate import decontaminate
 from reelstack.llm.mixing import mix_sources
 from reelstack.llm.near_dup import near_duplicates
 from reelstack.llm.quality_rules import quality_rules
+from reelstack.llm.toxicity import toxicity, train
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(column, n: int):
+    return F.crc32(column.cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = train(docs, _read(spark, sf_dir, "labels"), keep=lambda i: _remainder(i, 3) != 1)
+    return toxicity(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_words", "difference")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"
@@ -30,8 +42,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op7_mix_sources": op7_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
 }
