@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelstack.llm import langid
 from reelstack.llm.decontaminate import decontaminate
 from reelstack.llm.mixing import mix_sources
 from reelstack.llm.near_dup import near_duplicates
@@ -46,9 +47,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs, keep=lambda i: _remainder(i, 4) != 2)
+    return langid.detect_language(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op9_language": op9_language,
     "op8_decontaminate": op8_decontaminate,
     "op7_mix_sources": op7_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
