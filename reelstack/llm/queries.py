@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelstack.llm import langid
 from reelstack.llm.decontaminate import decontaminate
+from reelstack.llm.html_extract import extract_text
 from reelstack.llm.mixing import mix_sources
 from reelstack.llm.near_dup import near_duplicates
 from reelstack.llm.quality_rules import quality_rules
@@ -53,11 +54,16 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect_language(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op9_language": op9_language,
     "op8_decontaminate": op8_decontaminate,
+    "op6_html_text": op6_html_text,
     "op7_mix_sources": op7_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
 }
