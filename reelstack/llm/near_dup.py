@@ -8,12 +8,13 @@ rounds at most and the share of agreeing coordinates is concentrated around the
 Jaccard similarity as for independent permutations.
 
 Shape of the job: equal sets collapse to one representative first. Band keys of
-representatives are aggregated to a hub (least id) per bucket, members are
-verified against their hub on whole shingle sets, verified links are joined to
-components, and only members of one bucket that are still in different
-components are compared with one another. A group of copies therefore costs
-links in proportion to its size, while no candidate pair between different
-components stays untested. With 40 bands of 5 coordinates a pair at similarity
+representatives are aggregated to buckets; in each, the member that shares buckets
+with most others is the hub, members are verified against it on whole shingle sets,
+and verified links are joined to components. Of the members of one bucket that are then
+still in different components, those that have too few shingles in common with
+all of these texts together are done; only the others are compared
+with one another. A group of copies therefore costs links in proportion to its
+size, while no pair that may be linked stays untested. With 40 bands of 5 coordinates a pair at similarity
 0.8 shares no bucket with probability 1.3e-7.
 """
 
@@ -146,6 +147,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _unshared(texts: DataFrame, width: int) -> DataFrame:
+    """(id, own): how many shingles of each text no other of these texts has; texts without such are absent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n, buf, off in slices(batch.column(1)):
+                row, elem = shingle_sets(buf, off, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(row)), pa.array(elem.view(np.int64))], names=["id", "shingle"])
+
+    each = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -168,43 +183,50 @@ def near_duplicates(
     classes = cut(
         marked.where("k1 is not null and id is not null")
         .groupBy("k1", "k2")
-        .agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
+        .agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     )
-    buckets = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    shared = cut(buckets.join(hubs, "band"))
-    asked = cut(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
+    crowded = buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    shared = cut(buckets.join(crowded, "band"))
+
+    # a member that shares buckets with most others is the hub of its buckets: the text that others were copied from
+    weight = shared.groupBy("rep").agg(F.sum("m").alias("w"))
+    weighed = cut(shared.join(weight, "rep"))
+    hubs = weighed.groupBy("band").agg(F.max(F.struct("w", (-F.col("rep")).alias("rep"))).alias("hub")).select("band", (-F.col("hub.rep")).alias("hub"))
+    starred = weighed.join(hubs, "band").where("rep <> hub")
+    asked = cut(starred.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
     wanted = cut(shared.select(F.col("rep").alias("id")).distinct())
     texts = slim.join(small(wanted, wanted.count()), "id", "left_semi")
     links = cut(_verified(asked, texts, width, percent))
     label = components(spark, links)
-    rounds = 0
+
+    # what is left: members of one bucket in different components, of which most cannot be similar to any text there
+    at = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    left = cut(at.join(mixed.select("band"), "band", "left_semi"))
+    open_ids = cut(left.select(F.col("rep").alias("id")).distinct())
+    open_texts = slim.join(small(open_ids, open_ids.count()), "id", "left_semi")
+    own = cut(_unshared(open_texts, width))
+    left = left.join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("reach", F.col("n") - F.coalesce("own", F.lit(0)))
+    # |A and B| >= p / (1 + p) * (|A| + |B|), and |B| >= p * |A|
+    need = lambda n, m: F.lit(percent) * (n + m) <= (100 + percent) * F.col("reach")
+    left = left.where(need(F.col("n"), F.col("n") * (percent / 100)))
     while True:
-        at = shared.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-        per = at.groupBy("band", "component").agg(F.count("*").alias("m"))
-        mixed = per.groupBy("band").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("n")).where("n > 1")
-        mixed = cut(mixed)
-        total = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("p"), F.sum("s").alias("s")).first()
-        if not total["p"]:
-            break
-        left = cut(at.join(mixed.select("band"), "band", "left_semi"))
-        last = total["p"] <= 8 * total["s"] or rounds == 4
-        if last:
-            other = left.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(other, "band").where("component < cb")
-        else:
-            rounds += 1
-            star = left.groupBy("band").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(rounds))).alias("hub"))
-            pairs = left.join(star, "band").where("component <> hub.component").withColumn("b", F.col("hub.rep"))
-        pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        fresh = cut(pairs.join(asked, ["a", "b"], "left_anti"))
-        found = cut(_verified(fresh, texts, width, percent))
-        if found.count():
-            links = cut(links.union(found))
-            label = components(spark, links)
-        if last:
+        per = left.groupBy("band").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        fit = left.join(per.select("band", "least"), "band").where(need(F.col("n"), F.greatest("least", F.col("n") * (percent / 100))))
+        fit = cut(fit.select("band", "rep", "n", "component", "reach"))
+        before, left = left, fit
+        if fit.count() == before.count():
             break
-        asked = cut(asked.union(fresh))
+    other = left.select("band", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "reach")])
+    both = (F.lit(percent) * (F.col("n") + F.col("n2")) <= (100 + percent) * F.least("reach", "reach2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    pairs = left.join(other, "band").where((F.col("component") < F.col("component2")) & both)
+    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    fresh = pairs.join(asked, ["a", "b"], "left_anti")
+    found = cut(_verified(fresh, open_texts, width, percent))
+    if found.count():
+        links = cut(links.union(found))
+        label = components(spark, links)
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.select("k1", "k2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Rows of one long id each that a broadcast may hold (16 MB); above it a shuffle join is used.
 BROADCAST_IDS = 2_000_000
 
+#: Links that one task of a components step takes.
+LINKS_A_TASK = 500_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``, so that a lost executor costs no recomputation.
@@ -37,15 +40,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     edge to another node are absent. Empty input gives no rows.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    n = links.count()
+    while n:
+        # few links take few tasks: a step's shuffles then write few files
+        tasks = n // LINKS_A_TASK + 4
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(least, "a")
-        after = cut(star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        same = after.join(links, ["a", "b"], "left_semi").count() if after.count() == links.count() else -1
-        done, links = same == after.count(), after
+        after = star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        after = cut(after.coalesce(tasks))
+        size = after.count()
+        done = size == n and after.join(links, ["a", "b"], "left_semi").count() == n
+        links, n = after, size
         if done:
             break
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
