@@ -12,6 +12,7 @@ from reelstack.llm.decontaminate import decontaminate
 from reelstack.llm.html_extract import extract_text
 from reelstack.llm.mixing import mix_sources
 from reelstack.llm.near_dup import near_duplicates
+from reelstack.llm.preference import digest, format_preferences, swapped_reply_pairs
 from reelstack.llm.quality_rules import quality_rules
 from reelstack.llm.toxicity import toxicity, train
 
@@ -58,9 +59,14 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(format_preferences(swapped_reply_pairs(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op10_preferences": op10_preferences,
     "op9_language": op9_language,
     "op8_decontaminate": op8_decontaminate,
     "op6_html_text": op6_html_text,
@@ -68,4 +74,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_preferences": """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, i, text, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM t WHERE role = 'assistant'),
+p AS (
+  SELECT l.conv_id, l.i AS last, l.text AS reply, coalesce(o.text, b.text) AS worse
+  FROM a l LEFT JOIN a o ON o.conv_id = xor(l.conv_id, 1) AND o.back = 1 LEFT JOIN a b ON b.conv_id = l.conv_id AND b.back = 2
+  WHERE l.back = 1 AND coalesce(o.text, b.text) IS NOT NULL),
+h AS (
+  SELECT p.conv_id, coalesce(string_agg('<|' || replace(t.role, '<|', '<\\|') || '|>' || chr(10) || replace(t.text, '<|', '<\\|') || '<|end|>' || chr(10), '' ORDER BY t.i), '') AS head
+  FROM p LEFT JOIN t ON t.conv_id = p.conv_id AND t.i < p.last GROUP BY 1),
+r AS (
+  SELECT p.*, head, '<|assistant|>' || chr(10) AS top,
+         replace(reply, '<|', '<\\|') || '<|end|>' || chr(10) AS good, replace(worse, '<|', '<\\|') || '<|end|>' || chr(10) AS bad, reply = worse AS same
+  FROM p JOIN h USING (conv_id))
+SELECT conv_id AS pair_id, CAST(CASE WHEN same THEN last ELSE last - 1 END AS INTEGER) AS n_common,
+       CASE WHEN same THEN head || top || good ELSE head END AS prompt,
+       CASE WHEN same THEN '' ELSE top || good END AS chosen_text,
+       CASE WHEN same THEN '' ELSE length(top) || '-' || length(top || good) END AS chosen_loss,
+       CASE WHEN same THEN '' ELSE top || bad END AS rejected_text,
+       CASE WHEN same THEN '' ELSE length(top) || '-' || length(top || bad) END AS rejected_loss,
+       NOT same AS usable
+FROM r
+""",
+}
