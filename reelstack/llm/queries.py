@@ -13,6 +13,7 @@ from reelstack.llm.html_extract import extract_text
 from reelstack.llm.mixing import mix_sources
 from reelstack.llm.near_dup import near_duplicates
 from reelstack.llm.preference import digest, format_preferences, swapped_reply_pairs
+from reelstack.llm.quality_bayes import classify_quality
 from reelstack.llm.quality_rules import quality_rules
 from reelstack.llm.toxicity import toxicity, train
 
@@ -37,6 +38,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = classify_quality(docs, _read(spark, sf_dir, "labels"), keep=lambda i: _remainder(i, 3) != 1)
+    return out.withColumn("held_out", _remainder(F.col("doc_id"), 3) == 1)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_preferences": op10_preferences,
     "op9_language": op9_language,
     "op8_decontaminate": op8_decontaminate,
+    "op4_quality": op4_quality,
     "op6_html_text": op6_html_text,
     "op7_mix_sources": op7_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
