@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelstack.llm import langid
 from reelstack.llm.decontaminate import decontaminate
 from reelstack.llm.html_extract import extract_text
+from reelstack.llm.lm_score import score_texts
 from reelstack.llm.mixing import mix_sources
 from reelstack.llm.near_dup import near_duplicates
 from reelstack.llm.preference import digest, format_preferences, swapped_reply_pairs
@@ -32,6 +33,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_words", "difference")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_read(spark, sf_dir, "documents"), keep=lambda i: _remainder(i, 10) != 0)
+    return scored.withColumn("held_out", _remainder(F.col("doc_id"), 10) == 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"
@@ -72,6 +78,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_score": op2_lm_score,
     "op3_quality_rules": op3_quality_rules,
     "op10_preferences": op10_preferences,
     "op9_language": op9_language,
