@@ -10,10 +10,10 @@ Jaccard similarity as for independent permutations.
 Shape of the job: equal sets collapse to one representative first. Band keys of
 representatives are aggregated to buckets; in each, the member that shares buckets
 with most others is the hub, members are verified against it on whole shingle sets,
-and verified links are joined to components. Of the members of one bucket that are then
-still in different components, those that have too few shingles in common with
-all of these texts together are done; only the others are compared
-with one another. A group of copies therefore costs links in proportion to its
+and verified links are joined to components. Members of one hub that are then
+still in different components can only be similar if they share enough shingles that the
+hub lacks; they are paired by those, which are rare, and counted before a pair is
+verified. A group of copies therefore costs links in proportion to its
 size, while no pair that may be linked stays untested. With 40 bands of 5 coordinates a pair at similarity
 0.8 shares no bucket with probability 1.3e-7.
 """
@@ -147,18 +147,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _unshared(texts: DataFrame, width: int) -> DataFrame:
-    """(id, own): how many shingles of each text no other of these texts has; texts without such are absent."""
+def _outside(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (hub, rep, n, component) with ``inside``, how many shingles the member has in common with its hub, and ``outside``, its other shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, buf, off in slices(batch.column(1)):
+            left, right = batch.column(4), batch.column(5)
+            for at, n, buf, off in slices(left):
                 row, elem = shingle_sets(buf, off, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(row)), pa.array(elem.view(np.int64))], names=["id", "shingle"])
-
-    each = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
-    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    return alone.groupBy("id").agg(F.count("*").alias("own"))
+                for at2, n2, buf2, off2 in slices(right.slice(at, n)):
+                    hub_row, hub_elem = shingle_sets(buf2, off2, width)
+                    mine = (row >= at2) & (row < at2 + n2)
+                    r = np.concatenate([row[mine] - at2, hub_row])
+                    e = np.concatenate([elem[mine], hub_elem])
+                    own = np.arange(len(r)) < mine.sum()
+                    order = np.lexsort((~own, e, r))
+                    r, e, own = r[order], e[order], own[order]
+                    twin = np.zeros(len(r), bool)
+                    twin[:-1] = (r[1:] == r[:-1]) & (e[1:] == e[:-1])
+                    out = own & ~twin
+                    inside = np.bincount(r[own & twin], minlength=n2)
+                    bounds = np.concatenate([[0], np.cumsum(np.bincount(r[out], minlength=n2))]).astype(np.int32)
+                    keys = [batch.column(k).slice(at + at2, n2) for k in range(4)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(inside), pa.ListArray.from_arrays(bounds, pa.array(e[out].view(np.int64)))], names=["hub", "rep", "n", "component", "inside", "outside"])
+
+    rows = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("t")), "rep").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("th")), "hub")
+    return rows.select("hub", "rep", "n", "component", "t", "th").mapInArrow(run, "hub long, rep long, n long, component long, inside long, outside array<long>")
+
+
+def _across(duo: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub in different components that can reach the similarity.
+
+    |A and B| >= p / (1 + p) * (|A| + |B|), of which at most min(inside) lie inside the hub: the pair shares as many shingles
+    outside of it as are lacking, and is found by them; pairs that lack none are compared as they are.
+    """
+    need = lambda have, n, m: (100 + percent) * have >= percent * (n + m)
+    each = duo.select("hub", "rep", "n", "component", "inside", F.explode("outside").alias("shingle"))
+    met = each.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "shingle")
+    each = each.join(met, ["hub", "shingle"])
+    reach = each.groupBy("hub", "rep").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("inside").alias("inside"))
+    able = reach.where(need(F.col("inside") + F.col("k"), F.col("n"), F.col("n") * (percent / 100))).select("hub", "rep")
+    each = cut(each.join(able, ["hub", "rep"], "left_semi"))
+    same_size = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    twin = each.select("hub", "shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "inside")])
+    found = each.join(twin, ["hub", "shingle"]).where((F.col("component") < F.col("component2")) & same_size)
+    found = found.groupBy("hub", "rep", "rep2").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.least(F.first("inside"), F.first("inside2")).alias("inside"))
+    found = found.where(need(F.col("inside") + F.col("k"), F.col("n"), F.col("n2"))).select("rep", "rep2")
+    whole = duo.where(need(F.col("inside"), F.col("n"), F.col("n") * (percent / 100))).select("hub", "rep", "n", "component", "inside")
+    twin = whole.select("hub", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "inside")])
+    direct = whole.join(twin, "hub").where((F.col("component") < F.col("component2")) & same_size & need(F.least("inside", "inside2"), F.col("n"), F.col("n2"))).select("rep", "rep2")
+    return found.union(direct).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -200,28 +238,15 @@ def near_duplicates(
     links = cut(_verified(asked, texts, width, percent))
     label = components(spark, links)
 
-    # what is left: members of one bucket in different components, of which most cannot be similar to any text there
-    at = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # what is left: members of one bucket in different components
+    named = label.withColumnRenamed("node", "rep")
+    at = weighed.select("band", "rep", "n").join(hubs, "band").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = cut(at.join(mixed.select("band"), "band", "left_semi"))
-    open_ids = cut(left.select(F.col("rep").alias("id")).distinct())
+    left = at.join(mixed.select("band"), "band", "left_semi")
+    duo = cut(left.where("rep <> hub").select("hub", "rep", "n", "component").distinct())
+    open_ids = cut(duo.select(F.col("rep").alias("id")).union(duo.select("hub")).distinct())
     open_texts = slim.join(small(open_ids, open_ids.count()), "id", "left_semi")
-    own = cut(_unshared(open_texts, width))
-    left = left.join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("reach", F.col("n") - F.coalesce("own", F.lit(0)))
-    # |A and B| >= p / (1 + p) * (|A| + |B|), and |B| >= p * |A|
-    need = lambda n, m: F.lit(percent) * (n + m) <= (100 + percent) * F.col("reach")
-    left = left.where(need(F.col("n"), F.col("n") * (percent / 100)))
-    while True:
-        per = left.groupBy("band").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        fit = left.join(per.select("band", "least"), "band").where(need(F.col("n"), F.greatest("least", F.col("n") * (percent / 100))))
-        fit = cut(fit.select("band", "rep", "n", "component", "reach"))
-        before, left = left, fit
-        if fit.count() == before.count():
-            break
-    other = left.select("band", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "reach")])
-    both = (F.lit(percent) * (F.col("n") + F.col("n2")) <= (100 + percent) * F.least("reach", "reach2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    pairs = left.join(other, "band").where((F.col("component") < F.col("component2")) & both)
-    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    pairs = _across(cut(_outside(duo, open_texts, width)), percent)
     fresh = pairs.join(asked, ["a", "b"], "left_anti")
     found = cut(_verified(fresh, open_texts, width, percent))
     if found.count():
