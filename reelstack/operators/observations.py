@@ -1,0 +1,81 @@
+"""Screen-text observations: build, merge across frames, match against labels, score."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from reelstack.functions.text import comparison_text, text_key, tokens
+
+RATIO_FLOOR = 0.34
+
+
+def built(raw: DataFrame, floor: float = 0.5) -> DataFrame:
+    """Observations with tokens, rounded confidence, ``unverified`` below ``floor`` and a text key; blank texts are dropped."""
+    clean = raw.where(F.trim("raw_text") != "").withColumn("tokens", tokens("raw_text"))
+    return clean.withColumns({"confidence": F.round("confidence", 4), "unverified": F.col("confidence") < floor, "text_key": text_key(F.col("tokens"), F.col("raw_text"))})
+
+
+def merged(observed: DataFrame, scene: str = "scene_id", frame: str = "frame", ident: str = "obs_id") -> DataFrame:
+    """Groups of equal texts across the frames of a scene: (scene, group text, size, representative, first and last frame).
+
+    A text that a frame holds twice is ambiguous: those observations stay apart, each a group of its own.
+    The representative is the most confident observation, the earliest on a tie.
+    """
+    keyed = observed.withColumn("same", comparison_text("raw_text"))
+    per_frame = keyed.groupBy(scene, "same", frame).agg(F.count("*").alias("n")).groupBy(scene, "same").agg((F.max("n") > 1).alias("ambiguous"))
+    marked = keyed.join(per_frame, [scene, "same"]).withColumn("part", F.when(F.col("ambiguous"), F.col(ident)))
+    best = F.max_by(F.col(ident), F.struct(F.col("confidence"), -F.col(frame), F.col(ident)))
+    return marked.groupBy(scene, "same", "part").agg(F.count("*").alias("size"), best.alias("representative"), F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"), F.max("confidence").alias("confidence")).drop("part")
+
+
+@F.pandas_udf("double")
+def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Matching-block ratio, the lesser of both directions."""
+    one = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return pd.Series([0.0 if a is None or b is None else min(one(a, b), one(b, a)) for a, b in zip(left, right, strict=True)], dtype=float)
+
+
+def matched_labels(scored: DataFrame, group: list[str], floor: float = RATIO_FLOOR) -> DataFrame:
+    """Greedy one-to-one matches of labels and observations within a frame (``group``): best score first, then least ids.
+
+    ``scored``: group columns, label_id long, obs_id long, score. A frame's pairs are one group, bounded by its texts.
+    """
+    names = [*group, "label_id", "obs_id", "score"]
+
+    def pick(pairs: pd.DataFrame) -> pd.DataFrame:
+        taken, used, rows = set(), set(), []
+        for row in pairs[pairs.score >= floor].sort_values(["score", "label_id", "obs_id"], ascending=[False, True, True]).itertuples(index=False):
+            if row.label_id not in taken and row.obs_id not in used:
+                taken.add(row.label_id)
+                used.add(row.obs_id)
+                rows.append(row)
+        return pd.DataFrame(rows, columns=names)
+
+    return scored.select(*names).groupBy(*group).applyInPandas(pick, scored.select(*names).schema)
+
+
+def outcome(label: Column, seen: Column) -> Column:
+    """``exact``, ``misread`` or ``miss`` of a label's matched text."""
+    return F.when(seen.isNull(), "miss").when(comparison_text(label) == comparison_text(seen), "exact").otherwise("misread")
+
+
+def pair_confusion(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Confusion counts of pair labels (left_id, right_id, same) against group membership (obs_id, group_id)."""
+    side = lambda name: groups.select(F.col("obs_id").alias(f"{name}_id"), F.col("group_id").alias(f"{name}_group"))
+    joined = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("together", F.col("left_group") == F.col("right_group"))
+    cases = {"tp": ("same", "together"), "fp": ("not same", "together"), "fn": ("same", "not together"), "tn": ("not same", "not together")}
+    out = joined.agg(*[F.count_if(F.expr(f"({a}) and ({b})")).alias(k) for k, (a, b) in cases.items()])
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0)), 6)
+    return out.withColumns({"false_merge_rate": share("fp", "tn"), "miss_rate": share("fn", "tp")})
+
+
+def partition_faults(members: DataFrame) -> DataFrame:
+    """(fault, n) of group membership (obs_id, group_id, frame, representative, confidence)."""
+    twice = members.groupBy("obs_id").agg(F.countDistinct("group_id").alias("g")).where("g > 1").agg(F.count("*").alias("n")).select(F.lit("in_many_groups").alias("fault"), "n")
+    frames = members.groupBy("group_id", "frame").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("frame_twice").alias("fault"), "n")
+    best = members.groupBy("group_id").agg(F.max("confidence").alias("top"), F.max(F.when(F.col("obs_id") == F.col("representative"), F.col("confidence"))).alias("own")).where("own is null or own < top")
+    return twice.unionByName(frames).unionByName(best.agg(F.count("*").alias("n")).select(F.lit("weak_representative").alias("fault"), "n"))
