@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelstack.functions.text import comparison_text, text_key, tokens
 
@@ -32,7 +33,7 @@ def merged(observed: DataFrame, scene: str = "scene_id", frame: str = "frame", i
     return marked.groupBy(scene, "same", "part").agg(F.count("*").alias("size"), best.alias("representative"), F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"), F.max("confidence").alias("confidence")).drop("part")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio, the lesser of both directions."""
     one = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()

@@ -23,9 +23,11 @@ TIERS = ["uploaded", "embedded", "asr"]
 
 
 def scalar_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.table(spark, sf_dir, "documents")
+    # (a lambda evaluates what it refers to for each element: the words are a column first)
+    d = views.table(spark, sf_dir, "documents").withColumn("words", tx.tokens("text")).withColumn("opening", F.slice("words", 1, 4))
     day = F.concat_ws("-", F.lit("2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"))
-    words = tx.tokens("text")
+    words = F.col("words")
+    plain = lambda at: F.regexp_replace(F.substring("text", at, 30), "[^A-Za-z ]", "")
     return d.select(
         "doc_id",
         F.size(words).alias("n_tokens"),
@@ -37,9 +39,9 @@ def scalar_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.last_day_text(tx.period_end(day)).alias("last_day"),
         tx.confidence_band(F.col("doc_id") % 100 / 100).alias("band"),
         tx.utf16_length("text").alias("utf16_length"),
-        F.array_join(F.slice(tx.ngram_join(words, 2), 1, 3), " ").alias("bigrams"),
+        F.array_join(tx.ngram_join(F.col("opening"), 2), " ").alias("bigrams"),
         tx.damaged("text").alias("damaged"),
-        F.round(tx.error_rate(F.substring("text", 1, 30), F.substring("text", 4, 30)), 6).alias("error_rate"),
+        F.round(tx.error_rate(plain(1), plain(4)), 6).alias("error_rate"),
         tx.blank_to_null(F.substring("text", 5, 1)).alias("fifth"),
         tx.without_fence(F.concat(F.lit("```json\n{}"), F.lit("\n```"))).alias("unfenced"),
         F.floor(F.log2(F.length("text") + 1)).cast("long").alias("size_bucket"),
@@ -302,9 +304,9 @@ SELECT doc_id, len(w) AS n_tokens, w[1] AS form, substr(sha256(CASE WHEN len(w)
        CAST(p AS VARCHAR) AS period_start, CAST(CAST(p + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS period_end, CAST(CAST(p + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS last_day,
        CASE WHEN doc_id % 100 < 50 THEN 'low' WHEN doc_id % 100 < 80 THEN 'mid' ELSE 'high' END AS band, length(text) AS utf16_length,
        array_to_string(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || w[i + 1])[1:3], ' ') AS bigrams, contains(text, chr(65533)) AS damaged,
-       round(CASE WHEN length(substr(text, 1, 30)) > 0 THEN CAST(levenshtein_cp AS DOUBLE) / length(substr(text, 1, 30)) END, 6) AS error_rate,
+       round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a) WHEN length(b) = 0 THEN 0.0 END, 6) AS error_rate,
        nullif(trim(substr(text, 5, 1), ' '), '') AS fifth, '{{}}' AS unfenced, CAST(floor(log2(length(text) + 1)) AS BIGINT) AS size_bucket
-FROM (SELECT *, levenshtein(substr(text, 1, 30), substr(text, 4, 30)) AS levenshtein_cp FROM d)""",
+FROM (SELECT *, regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g') AS a, regexp_replace(substr(text, 4, 30), '[^A-Za-z ]', '', 'g') AS b FROM d)""",
     "transcript_selection": f"WITH {_SEG} SELECT clip_id, segment_id, source, conflicts = '' AS selected, conflicts FROM sel",
     "uncovered_ranges": f"""WITH {_SEG},
 c AS (SELECT clip_id, s, e, max(e) OVER (PARTITION BY clip_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sel WHERE conflicts = ''),
@@ -315,14 +317,14 @@ SELECT * FROM g WHERE "end" - "start" >= 2""",
     "scene_mapping": f"WITH {_SEG} SELECT clip_id, scene_no, segment_id, overlap_ms FROM map",
     "scene_text": f"""WITH {_SEG}, t AS (SELECT clip_id || '-' || scene_no AS scene_id, string_agg(text, ' ' ORDER BY seg_start, segment_id) AS x FROM map GROUP BY 1)
 SELECT scene_id, length(x) AS n_chars, md5('scene ' || scene_id || coalesce(chr(10) || nullif(trim(x, ' '), ''), '')) AS digest FROM t""",
-    "scene_spans": """WITH s AS (SELECT DISTINCT user_id AS clip_id, epoch_ms(ts) AS start FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)
+    "scene_spans": """WITH s AS (SELECT DISTINCT user_id AS clip_id, epoch_us(ts) // 1000 AS start FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)
 SELECT clip_id, row_number() OVER w - 1 AS scene_no, start, coalesce(lead(start) OVER w, max(start) OVER (PARTITION BY clip_id) + 1000) AS "end" FROM s WINDOW w AS (PARTITION BY clip_id ORDER BY start)""",
     "keyframe_plan": f"""WITH {sql.SCENE}, c AS (SELECT scene_id, start_ms, end_ms, i AS slot, start_ms + (end_ms - start_ms) * (2 * i + 1) // 6 AS centre FROM scene, range(3) r(i))
 SELECT scene_id, slot, centre, CAST(round_even(centre * 29.97 / 1000, 0) AS BIGINT) AS frame,
        array_to_string(list_transform([0, 400, -400, 800, -800], lambda o: least(greatest(centre + o, start_ms), end_ms - 1)), ',') AS candidates,
        CAST(ceil(start_ms * 29.97 / 1000) AS BIGINT) AS first_frame, CAST(ceil(end_ms * 29.97 / 1000) AS BIGINT) - 1 AS last_frame FROM c""",
     "keyframe_pick": """SELECT user_id AS scene_id, event_type AS slot_name, event_id AS frame_no, event_id % 9 = 0 AS blank FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 9 = 0, coalesce(value, 0) DESC, epoch_ms(ts), event_id) = 1""",
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 9 = 0, coalesce(value, 0) DESC, epoch_us(ts) // 1000, event_id) = 1""",
     "ocr_merge": f"""WITH {_OCR},
 a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL)
 SELECT scene_id, same AS group_text, count(*) AS size, arg_max(obs_id, (confidence, -frame, obs_id)) AS representative, min(frame) AS first_frame, max(frame) AS last_frame, max(confidence) AS confidence
@@ -344,7 +346,7 @@ SELECT source, count(*) FILTER (coalesce(y, true)) AS n_absent, count(*) FILTER
 r AS (SELECT scene_id, CASE WHEN n > 60 THEN 'too_many' WHEN u THEN 'unknown_type' WHEN len(list_filter(ev, lambda x: NOT list_contains(la, x))) > 0 THEN 'missing_evidence' END AS reason FROM g)
 SELECT scene_id, reason IS NULL AS accepted, reason FROM r""",
     "speech_cleanup": """WITH a AS (
-  SELECT conv_id, turn, CAST(round_even(turn * 1.2345 * 1000, 0) AS BIGINT) AS "start", CAST(round_even((turn * 1.2345 + conv_id % 3) * 1000, 0) AS BIGINT) AS "end", round(least(1, exp(-(turn % 7) / 3.0)), 6) AS confidence,
+  SELECT conv_id, turn, CAST(round_even(turn * 1.2345e0 * 1000, 0) AS BIGINT) AS "start", CAST(round_even((turn * 1.2345e0 + conv_id % 3) * 1000, 0) AS BIGINT) AS "end", round(least(1, exp(-(turn % 7) / 3.0)), 6) AS confidence,
          trim(CASE WHEN turn % 5 = 4 THEN '  ' ELSE substr(text, 1, 12) END, ' ') AS text FROM conversations)
 SELECT * FROM a WHERE text <> '' AND "start" < "end\"""",
     "subtitle_cues": """SELECT conv_id AS clip_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_no, turn * 3000 AS "start", turn * 3000 + 3500 AS "end", trim(substr(replace(text, chr(10), ' '), 1, 30), ' ') AS text FROM conversations""",

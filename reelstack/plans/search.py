@@ -55,9 +55,9 @@ def bm25_fields_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = views.search_queries(spark, sf_dir)
+    queries = views.search_queries(spark, sf_dir).withColumn("words", tokens("text"))
     kept = rt.drop_generic(F.col("terms"), GENERIC)
-    words = tokens("text")
+    words = F.col("words")
     # neighbouring word pairs of the passage are its phrases; a phrase of query terms only adds nothing
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.slice(words, i, 2))
     phrases = F.filter(rt.clean_phrases(pairs), lambda p: (F.size(F.array_except(p, kept)) > 0) & ~F.forall(p, lambda t: t.isin(GENERIC)))
