@@ -64,7 +64,8 @@ def first_texts(observed: DataFrame, scene: str, text: str, *order: str) -> Data
 
 def keyset_page(rows: DataFrame, after: tuple, order: list[str], size: int) -> DataFrame:
     """The next rows after a position, by several columns."""
-    return rows.where(F.struct(*order) > F.struct(*map(F.lit, after))).orderBy(*order).limit(size)
+    place = F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)])
+    return rows.where(F.struct(*order) > place).orderBy(*order).limit(size)
 
 
 # ---- checks
