@@ -51,7 +51,8 @@ def bm25_terms(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[st
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     post, stats = postings(docs, id_col, fields)
     post = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # (tf takes part so that the postings' shuffle is the same for both uses, and is made once)
+    df = post.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     known = df.join(stats, "field")
     if max_df is not None:
         known = known.where(F.col("df") <= max_df * F.col("n_docs"))
