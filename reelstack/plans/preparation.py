@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelstack.functions import text as tx
@@ -140,7 +140,7 @@ def keyframe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as observations; two lines make a frame."""
+    """Lines of documents as observations, two lines to a frame: the ASCII excerpt that the SQL twins of ``ocr_merge`` and ``merge_sweep`` can follow (``line_input`` has all lines whole)."""
     raw = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw_text"))
     ascii_only = raw.where(F.octet_length("raw_text") == F.length("raw_text"))
     return ascii_only.select(
@@ -153,13 +153,33 @@ def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("scene_id", F.col("same").alias("group_text"), "size", "representative", "first_frame", "last_frame", "confidence")
 
 
+def line_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, whole, as an observation; two lines make a frame, five documents a scene."""
+    raw = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw_text"))
+    return raw.select(
+        F.floor(F.col("doc_id") / 5).alias("scene_id"), (F.col("doc_id") % 5 * 1000000 + F.floor(F.col("line_no") / 2)).alias("frame"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("obs_id"), "raw_text", ((F.col("doc_id") * 7 + F.col("line_no")) % 100 / 100).alias("confidence")
+    )
+
+
+def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal whole lines merged across the frames of a scene (NFKC, so rows only)."""
+    groups = ob.merged(ob.built(line_input(spark, sf_dir)))
+    return groups.select("scene_id", F.col("same").alias("group_text"), "size", "representative", "first_frame", "last_frame", "confidence")
+
+
 def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels (lines cut short) matched greedily with the lines of their frame (matching-block ratio, rows only)."""
-    seen = ocr_input(spark, sf_dir).where("obs_id % 3 < 2").select("scene_id", "frame", "obs_id", "raw_text")
-    labels = ocr_input(spark, sf_dir).where("scene_id % 4 = 0").select("scene_id", "frame", F.col("obs_id").alias("label_id"), F.substring("raw_text", 1, 25).alias("label"))
-    scored = labels.join(seen, ["scene_id", "frame"]).withColumn("score", ob.similarity("label", "raw_text"))
-    hits = ob.matched_labels(scored, ["scene_id", "frame"]).select("label_id", "obs_id", F.round("score", 6).alias("score"))
-    return labels.join(hits, "label_id", "left").join(seen.select("obs_id", "raw_text"), "obs_id", "left").select("label_id", "obs_id", "score", ob.outcome(F.col("label"), F.col("raw_text")).alias("outcome"), F.round(tx.error_rate(F.col("label"), F.coalesce("raw_text", F.lit(""))), 6).alias("error_rate"))
+    """Whole lines as labels, matched greedily with what was read in their frame (matching-block ratio, rows only).
+
+    Reading is imitated: each third line was missed, each ninth read with a stray border at its end.
+    """
+    read = F.when(F.col("obs_id") % 9 == 4, F.concat("raw_text", F.lit(" |"))).otherwise(F.col("raw_text"))
+    lines = line_input(spark, sf_dir).withColumns({"label_id": F.col("obs_id"), "label": F.col("raw_text"), "seen": read})
+    lines = lines.withColumn("obs_id", F.when(F.col("obs_id") % 3 < 2, F.col("obs_id"))).select("scene_id", "frame", "label_id", "label", "obs_id", F.col("seen").alias("raw_text"))
+    found = ob.matched_lines(lines, ["scene_id", "frame"])
+    # the edit distance of a text that lies in the other is the difference of their lengths
+    apart = F.abs(F.length("raw_text") - F.length("label")) / F.nullif(F.length("label"), F.lit(0))
+    wrong = F.when((F.contains(F.col("raw_text"), F.col("label")) | F.contains(F.col("label"), F.col("raw_text"))) & (F.length("label") > 0), apart).otherwise(tx.error_rate(F.col("label"), F.coalesce("raw_text", F.lit(""))))
+    return found.select("label_id", "obs_id", F.round("score", 6).alias("score"), ob.outcome(F.col("label"), F.col("raw_text")).alias("outcome"), F.round(wrong, 6).alias("error_rate"))
 
 
 def merge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +194,19 @@ def merge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def merge_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion of merge groups at similarity thresholds 1.0 to 0.8 over all scenes (rows only).
+
+    Labelled pairs are each line and the next of its scene that begins with the same three words; they are the same if all words agree.
+    """
+    obs = ob.built(line_input(spark, sf_dir))
+    opening = Window.partitionBy("scene_id", F.slice("tokens", 1, 3)).orderBy("obs_id")
+    words = F.xxhash64("tokens")
+    pairs = obs.where(F.size("tokens") >= 3).select("obs_id", F.lag("obs_id").over(opening).alias("left_id"), (F.lag(words).over(opening) == words).alias("same"))
+    pairs = pairs.where("left_id is not null").select("left_id", F.col("obs_id").alias("right_id"), "same")
+    return ob.threshold_confusion(pairs, ob.merged_at(obs))
+
+
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words of captions as entity candidates, folded by scene group and match key."""
     s = views.scenes(spark, sf_dir).select("scene_id", F.posexplode(F.split("caption", " ")).alias("position", "value"))
@@ -270,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scalar_suite, normalised_values, transcript_selection, uncovered_ranges, scene_mapping, scene_text, scene_bounds, scene_spans, keyframe_plan, keyframe_pick, keyframe_greedy,
-        ocr_merge, ocr_score, merge_sweep, entity_candidates, grounding, absent_values, output_validation, speech_cleanup, subtitle_cues, fingerprint_filters, rekey_rules, apply_rules, anchor_check, retokenize_patch,
+        ocr_merge, ocr_merge_lines, ocr_score, merge_sweep, merge_thresholds, entity_candidates, grounding, absent_values, output_validation, speech_cleanup, subtitle_cues, fingerprint_filters, rekey_rules, apply_rules, anchor_check, retokenize_patch,
     )
 }
 
