@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelstack.llm.decontaminate import drop_contaminated
-from reelstack.llm.mixing import mixed_documents
+from reelstack.llm.mixing import dealt_copies, mixed_documents
 from reelstack.llm.near_dup import drop_near_duplicates
 from reelstack.llm.quality_rules import keep_quality
 from reelstack.llm.shared import cut
@@ -32,6 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The decisions for every document; ``run`` deals the copies."""
     return mixed_documents(docs)
 
 
@@ -48,10 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each stage's rows being materialised for the next, which reads them several times."""
+    """All stages in order over ``documents``, each stage's rows being materialised for those that read them several times.
+
+    The result is the mixture: a row for each copy that mixing takes, dealt to shards and shuffled there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return dealt_copies(docs)

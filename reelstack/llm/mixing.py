@@ -158,3 +158,12 @@ def shuffled_shards(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", see
     """
     copies = mix.select(id_col, F.posexplode("shards").alias("copy", "shard")).withColumn("at", F.xxhash64(id_col, "copy", F.lit(seed)))
     return docs.join(copies, id_col).repartitionByRange("shard", "at").sortWithinPartitions("shard", "at").drop("at")
+
+
+def dealt_copies(mixed: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """The mixture from ``mixed_documents``: one row per copy taken, with ``copy`` and ``shard``, none where ``copies`` is 0.
+
+    Nothing is joined: rows with a null or repeated id are dealt by what they hold themselves. Order as in ``shuffled_shards``.
+    """
+    rows = mixed.drop("copy", "shard", "at").select("*", F.posexplode("shards").alias("copy", "shard"))
+    return rows.withColumn("at", F.xxhash64(id_col, "copy", F.lit(seed))).repartitionByRange("shard", "at").sortWithinPartitions("shard", "at").drop("at")
