@@ -1,29 +1,36 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is a path of elements (tag
-and first class or id) from the root. For each node two normalised entropies are aggregated
-over the host's pages: of presentation (which children it has) and of content
-(which text it holds). A node that looks and reads alike everywhere has an importance near 0, an
-article near 1. Branches of low importance are removed from each page, as are branches
-whose element says what they are (menus, forms, adverts, comments, ...). Where a page
-marks its article, the text is taken from there.
+The pages of a host are merged into one tree (Yi, Liu and Li 2003): a node is a path of elements (tag
+and first class or id) from the root. Over the pages that have a node, two normalised entropies are aggregated:
+
+* presentation: in how many ways its children are laid out (a node that always looks alike is of no importance);
+* content: how widely each of its features is shared. Features are the texts right inside the node and, for an inner node, the
+  whole text of its branch, so that what lies below decides on it too. A text that all pages have is of importance 0,
+  one that a single page has is of importance 1; a node has the mean over its features as they occur.
+
+Where a host has few pages, a node's importance is drawn, by ``STRENGTH`` pages, towards that of the same path elsewhere: the lesser of
+its mean over all hosts and of its importance in one tree of all hosts' pages. The log-odds of the importance, plus what a page itself says of an element (that it is a menu, a form, comments;
+that it is the article), tell whether a branch stays: a branch of negative sum is removed, inside an article too.
+Where what is left in elements marked as article is at least a quarter of what is left in all, the text is taken from there.
 
 The statistics are counted per task before they are shuffled and hold one row per
-(host, path, value), so a host of any size is no single task's work; the table of
-removable paths is joined by host, broadcast only if it is small.
+(host, node, value), so a host of any size is no single task's work. Nodes are hashes of their paths, so a page of any depth
+costs its length only. The table of unimportant nodes is broadcast while it is small; beyond, it is joined by the nodes that a page has.
 
 Defined results: null and empty pages give an empty text; a null or odd url makes the
 page part of a nameless host; unclosed and crossing tags are closed as browsers
-do; an unfinished tag at the end is dropped.
+do; an unfinished tag at the end is dropped. Repeated rows each get their row, and count as pages of their own; a null id is kept. A page
+that is alone on its host, with paths that no other host has, is judged by what it says of itself only. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +38,22 @@ from pyspark.sql import functions as F
 
 from reelstack.llm.shared import cut
 
-#: Nodes less important than this are removed, if at least MIN_PAGES pages of the host have them.
-MIN_IMPORTANCE = 0.25
-MIN_PAGES = 8
+#: A node less important than this is removed, if nothing else speaks for or against it.
+MIN_IMPORTANCE = 0.75
+#: Number of pages by which a host's node is drawn towards the same node of all hosts.
+STRENGTH = 32.0
+#: Importance of a node of which nothing is known.
+UNKNOWN = 0.9
 #: Weight of presentation against content.
-PRESENTATION = 0.2
-#: Removable paths (rows of host, path) up to which they are broadcast.
-BROADCAST_PATHS = 200_000
+PRESENTATION = 0.1
+#: Importances are taken to lie between this and one less this.
+CLIP = 0.01
+#: What an element's own words weigh, in log-odds: it says that it is no content, that it is the article; it lies inside the article.
+SAYS_NOISE, SAYS_ARTICLE, INSIDE_ARTICLE = -5.0, 5.0, 2.5
+#: The article's text is taken alone if it has this share of the text that is left.
+ARTICLE_SHARE = 0.25
+#: Unimportant nodes (rows of host, node, log-odds) up to which they are broadcast.
+BROADCAST_NODES = 200_000
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,11 +75,25 @@ _SPLIT = re.compile(r"[\s_-]+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+_MASK = (1 << 64) - 1
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class _Open:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    """An open element; ``node`` hashes the path of its block elements, ``digest`` all text below it, ``style`` its children in order."""
+
+    __slots__ = ("tag", "block", "node", "main", "low", "near_p", "digest", "style", "below", "texts", "index")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, node: int, main: bool, low: bool, near_p: int, index: int):
+        self.tag, self.node, self.main, self.low, self.near_p, self.index = tag, node, main, low, near_p, index
+        self.block, self.digest, self.style, self.below, self.texts = self, 0, 0, False, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -84,25 +114,54 @@ def _is_noise(tag: str, attr: dict[str, str], inside_main: bool) -> bool:
     return tag not in ("html", "body", "article", "main") and any(w in NOISE_WORDS for w in _SPLIT.split(named))
 
 
-def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
-    """(blocks, styles): each block's (path, in noise, in the marked article, text) in page order, and counts of (path, children)."""
-    out: list[tuple[str, bool, bool, str]] = []
-    styles: Counter = Counter()
-    stack = [_Open("", "", False, False)]
+@lru_cache(maxsize=1 << 14)
+def _says(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, int]:
+    """What an element's tag and attributes say: whether it is marked as article, whether it is named as noise, and its label's hash."""
+    attr = _attributes(attributes) if attributes else {}
+    marked = tag in ("article", "main") or attr.get("role") == "main" or attr.get("itemprop") == "articleBody"
+    noise = _is_noise(tag, attr, (inside_main or marked) and tag != "article")
+    name = (attr.get("class", "").split() or attr.get("id", "").split() or [""])[0]
+    return marked, noise, _hash(f"{tag}.{name}" if name else tag) | 1
+
+
+def parse(page: str, odds: dict[int, float] | None = None) -> tuple[list[tuple[int, bool, bool, str]], list[tuple[int, int, set[int]]]]:
+    """(blocks, nodes) of a page: each block's (node, removed, in the marked article, text) in page order, and each element's (node, style, features).
+
+    ``odds``: log-odds of the nodes of little importance; others count as important. Every step costs the same at any depth.
+    """
+    odds = odds or {}
+    out: list[tuple[int, bool, bool, str]] = []
+    nodes: list[tuple[int, int, set[int]]] = []
+    stack = [_Open("", 0, False, False, -1, 0)]
+    places: dict[str, list[int]] = {}  # where elements of a tag are open
     pieces: list[str] = []
 
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            block = next((o for o in reversed(stack) if o.tag not in INLINE), stack[0])
-            out.append((block.path, any(o.noise for o in stack), stack[-1].main, text))
+            top = stack[-1]
+            block = top.block
+            h = _hash(text)
+            block.texts.append(h)
+            block.digest = (block.digest * 31 + h) & _MASK
+            out.append((block.node, top.low, top.main, text))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             done = stack.pop()
-            if done.tag not in INLINE:
-                styles[done.path, zlib.crc32(" ".join(dict.fromkeys(done.children)).encode())] += 1
+            places[done.tag].pop()
+            if done.block is done:
+                if done.digest:
+                    above = stack[-1].block
+                    above.digest, above.below = (above.digest * 31 + done.digest) & _MASK, True
+                    features = set(done.texts)
+                    if done.below:
+                        features.add(done.digest)
+                    nodes.append((done.node, done.style, features))
 
     at, n = 0, len(page)
     while at < n:
@@ -129,18 +188,16 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
         if m[1]:
             if tag == "br":
                 pieces.append(" ")
-            if tag not in VOID:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if depth:
-                    if any(o.tag not in INLINE for o in stack[depth:]):
-                        flush()
-                    close(depth)
+            if tag not in VOID and (depth := last(tag)):
+                # a block element is closed with it if the innermost block lies at or behind it
+                if stack[-1].block.index >= depth:
+                    flush()
+                close(depth)
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             if not m[3].endswith("/"):
                 at = end.end() if end else n
-            stack[-1].children.append(tag)
             continue
         if tag == "br" or tag == "wbr":
             pieces.append(" " if tag == "br" else "")
@@ -148,50 +205,48 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
         if tag not in INLINE:
             flush()
             if tag in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-                if depth and all(o.tag in INLINE or o.tag == "p" for o in stack[depth:]):
-                    close(depth)
+                if stack[-1].near_p > 0:
+                    close(stack[-1].near_p)
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in same or stack[i].tag in ("ul", "ol", "dl", "table", "tr")), 0)
+                depth = last(*same, "ul", "ol", "dl", "table", "tr")
                 if depth and stack[depth].tag in same:
                     close(depth)
         if tag in VOID:
             continue
-        attr = _attributes(m[3]) if m[3] else {}
-        parent = stack[-1]
-        if tag == "body" and parent.tag == "head":
+        if tag == "body" and stack[-1].tag == "head":
             close(len(stack) - 1)
-            parent = stack[-1]
-        name = (attr.get("class", "").split() or attr.get("id", "").split() or [""])[0]
-        label = f"{tag}.{name}" if name else tag
-        parent.children.append(label)
-        main = parent.main or tag in ("article", "main") or attr.get("role") == "main" or attr.get("itemprop") == "articleBody"
-        path = parent.path if tag in INLINE else f"{parent.path}/{label}"
-        stack.append(_Open(tag, path, _is_noise(tag, attr, main and tag != "article"), main))
+        parent, index = stack[-1], len(stack)
+        marked, noise, h = _says(tag, m[3], parent.main)
+        main = parent.main or marked
+        score = (SAYS_ARTICLE if marked else INSIDE_ARTICLE if main else 0.0) + (SAYS_NOISE if noise else 0.0)
+        if tag in INLINE:
+            new = _Open(tag, parent.node, main, parent.low or score < 0, parent.near_p, index)
+            new.block = parent.block
+        else:
+            node = (parent.block.node * 0x9E3779B97F4A7C15 + h) & _MASK
+            parent.block.style = (parent.block.style * 31 + h) & _MASK
+            new = _Open(tag, node, main, parent.low or score + odds.get(node, 0.0) < 0, index if tag == "p" else -1, index)
+        places.setdefault(tag, []).append(index)
+        stack.append(new)
     flush()
     close(1)
-    return out, styles
+    return out, nodes
 
 
-def main_text(page: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """Main text of one page; ``removed`` are paths whose branches are of low importance on its host."""
+def main_text(page: str | None, odds: dict[int, float] | None = None) -> str:
+    """Main text of one page; ``odds`` are the log-odds of its host's nodes of little importance."""
     if not page:
         return ""
-    found, _ = blocks(page)
-    clean = [b for b in found if not b[1]]
-    marked = [b for b in clean if b[2]]
-    if marked:
-        return "\n\n".join(b[3] for b in marked)
-
-    def low(path: str) -> bool:
-        return any(path == r or path.startswith(r + "/") for r in removed)
-
-    return "\n\n".join(b[3] for b in clean if not low(b[0]))
+    left = [b for b in parse(page, odds)[0] if not b[1]]
+    marked = [b for b in left if b[2]]
+    if marked and sum(len(b[3]) for b in marked) >= ARTICLE_SHARE * sum(len(b[3]) for b in left):
+        left = marked
+    return "\n\n".join(b[3] for b in left)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of a table (host, html): the merged trees' nodes."""
+def style_tree(pages: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """(host, node, pages, presentation, content, importance) of a table (host, html): the merged trees' nodes that hold text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,45 +254,73 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not page:
                     continue
-                texts, styles = blocks(page)
-                held: dict[str, int] = {}
-                for path, _, _, text in texts:
-                    held[path] = zlib.crc32(text.encode(), held.get(path, 0))
-                for path, value in held.items():
-                    seen[host, path, False, value] += 1
-                for path, value in dict.fromkeys(styles):
-                    seen[host, path, True, value] += 1
+                # each value of a node counts once a page
+                here: set = set()
+                for node, style, features in parse(page)[1]:
+                    here.add((node, 0, 0))
+                    here.add((node, 1, style))
+                    here.update((node, 2, f) for f in features)
+                for key in here:
+                    seen[host, *key] += 1
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([k[2] for k in keys], pa.bool_()),
-                    pa.array([k[3] for k in keys], pa.int64()),
+                    pa.array([_signed(k[1]) for k in keys], pa.int64()),
+                    pa.array([k[2] for k in keys], pa.int32()),
+                    pa.array([_signed(k[3]) for k in keys], pa.int64()),
                     pa.array([seen[k] for k in keys], pa.int64()),
                 ],
-                names=["host", "path", "style", "value", "n"],
+                names=["host", "node", "kind", "value", "n"],
             )
 
-    values = pages.mapInArrow(run, "host string, path string, style boolean, value long, n long")
-    values = values.groupBy("host", "path", "style", "value").agg(F.sum("n").alias("n"))
-    node = values.groupBy("host", "path").agg(
-        *[
-            f(F.when(F.col("style") == which, expr)).alias(name)
-            for which, kind in ((True, "presentation"), (False, "content"))
-            for f, expr, name in ((F.sum, F.col("n"), f"n_{kind}"), (F.sum, F.col("n") * F.log("n"), f"s_{kind}"))
-        ]
+    values = pages.mapInArrow(run, "host string, node long, kind int, value long, n long")
+    values = cut(values.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")))
+    node = cut(_importance(values, "host", "node"))
+    weight = F.col("pages") - 1
+    mean = node.groupBy("node").agg((F.sum(F.col("own") * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("mean"))
+    pooled = _importance(values.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")), "node").select("node", F.col("own").alias("pooled"))
+    joined = node.join(mean.join(pooled, "node"), "node")
+    # (least passes over nulls)
+    elsewhere = F.coalesce(F.least("mean", "pooled"), F.lit(UNKNOWN))
+    shrunk = (F.coalesce(F.col("own"), F.lit(0.0)) * weight + strength * elsewhere) / (weight + strength)
+    return joined.select("host", "node", "pages", "presentation", "content", shrunk.alias("importance"))
+
+
+def _importance(values: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pages, presentation, content, own) of a tree's nodes from counts of values (keys, kind, value, n); null where one page tells nothing."""
+    of = lambda kind, expr: F.when(F.col("kind") == kind, expr)
+    node = values.groupBy(*keys).agg(
+        F.max(of(0, F.col("n"))).alias("pages"),
+        F.sum(of(1, F.col("n"))).alias("styles"),
+        F.sum(of(1, F.col("n") * F.log("n"))).alias("style_logs"),
+        F.bool_or(of(1, F.col("value") != 0)).alias("inner"),
+        F.sum(of(2, F.col("n"))).alias("features"),
+        F.sum(of(2, F.col("n") * F.log("n"))).alias("feature_logs"),
     )
-    entropy = lambda k: F.when(F.col(f"n_{k}") > 1, 1 - F.col(f"s_{k}") / (F.col(f"n_{k}") * F.log(f"n_{k}"))).otherwise(1.0)
-    node = node.select(
-        "host",
-        "path",
-        F.coalesce("n_content", "n_presentation").alias("pages"),
-        entropy("presentation").alias("presentation"),
-        F.when(F.col("n_content").isNotNull(), entropy("content")).alias("content"),
-    )
-    weighted = PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * F.col("content")
-    return node.withColumn("importance", F.when(F.col("content").isNotNull(), weighted))
+    many = F.col("pages") > 1
+    # entropies in units of the logarithm of the number of pages; a leaf has no presentation
+    between = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    shown = F.when(many & F.col("inner"), between((F.log("styles") - F.col("style_logs") / F.col("styles")) / F.log("pages")))
+    held = F.when(many, between(1 - F.col("feature_logs") / (F.col("features") * F.log("pages"))))
+    node = node.select(*keys, "pages", shown.alias("presentation"), held.alias("content"))
+    return node.withColumn("own", F.coalesce(PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * F.col("content"), F.col("content")))
+
+
+def log_odds(importance: str, least: float):
+    p = F.least(F.greatest(F.col(importance), F.lit(CLIP)), F.lit(1 - CLIP))
+    return F.log(p / (1 - p)) - F.log(F.lit(least / (1 - least)))
+
+
+def _nodes_of(pages: DataFrame) -> DataFrame:
+    """(host, digest, node) of each distinct page (host, html, digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, d, _signed(n)) for h, page, d in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if page for n in {x[0] for x in parse(page)[1]}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "digest", "node"])
+
+    return pages.mapInArrow(run, "host string, digest string, node long").distinct()
 
 
 def extract_text(
@@ -246,25 +329,44 @@ def extract_text(
     url_col: str = "url",
     html_col: str = "html",
     min_importance: float = MIN_IMPORTANCE,
-    min_pages: int = MIN_PAGES,
+    strength: float = STRENGTH,
+    broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """One row per row of ``pages``: id, url, ``text`` (blocks joined by an empty line) and ``n_chars``, its code points."""
+    spark = pages.sparkSession
     slim = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).alias("url"),
         F.col(html_col).cast("string").alias("html"),
         F.coalesce(F.lower(F.regexp_extract(F.col(url_col), _HOST, 1)), F.lit("")).alias("host"),
     )
-    tree = style_tree(slim.select("host", "html"))
-    low = cut(tree.where((F.col("importance") < min_importance) & (F.col("pages") >= min_pages)).select("host", "path"))
-    rows = low.count()
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
-    joined = slim.join(F.broadcast(by_host) if rows <= BROADCAST_PATHS else by_host, "host", "left")
+    tree = style_tree(slim.select("host", "html"), strength).withColumn("odds", log_odds("importance", min_importance))
+    low = cut(tree.where("odds < 0").select("host", "node", "odds"))
+    kind = slim.schema["id"].dataType.simpleString()
+    named = f"id {kind}, url string, text string, n_chars long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(batch: pa.RecordBatch, odds) -> pa.RecordBatch:
+        texts = [main_text(page, o) for page, o in zip(batch.column(2).to_pylist(), odds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    if low.count() <= broadcast_nodes:
+        by_host: dict[str, dict[int, float]] = {}
+        for r in low.toLocalIterator():
+            by_host.setdefault(r["host"], {})[r["node"] & _MASK] = r["odds"]
+        shared = spark.sparkContext.broadcast(by_host)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch_of(batch, [shared.value.get(h) for h in batch.column(3).to_pylist()])
+
+        return slim.mapInArrow(run, named).withColumnRenamed("id", id_col)
+
+    # a page's own nodes only: no page waits for all nodes of its host
+    keyed = slim.withColumn("digest", F.md5(F.col("html").cast("binary")))
+    gone = _nodes_of(keyed.select("host", "html", "digest")).join(low, ["host", "node"]).groupBy("host", "digest").agg(F.collect_list(F.struct("node", "odds")).alias("low"))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(gone or ())) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+            yield batch_of(batch, [{x["node"] & _MASK: x["odds"] for x in low or ()} for low in batch.column(3).to_pylist()])
 
-    kind = slim.schema["id"].dataType.simpleString()
-    return joined.select("id", "url", "html", "removed").mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return keyed.join(gone, ["host", "digest"], "left").select("id", "url", "html", "low").mapInArrow(run_joined, named).withColumnRenamed("id", id_col)
