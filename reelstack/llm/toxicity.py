@@ -1,21 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two byte-level models of words, one of toxic and one of ordinary text, give the
-log-likelihood of each word's bytes from up to six bytes before them. Both
-discount their own counts and back off to one shared interpolated Kneser-Ney model of
-both classes, so that an expression that is rare in either weighs little. As most
-words of a toxic text are ordinary ones, its likelihood is that of a mixture: each
-word comes from the toxic model with the small probability ``MIX``, else from the
-ordinary one. A text's score is a logistic function of its length-normalised
-log-likelihood difference, fitted on documents that the counts have not seen.
+Two byte-level models of words, one of toxic and one of ordinary text, give a text's two log-likelihoods from each word's
+bytes and up to six bytes before them. Both discount their own counts and back off to one shared interpolated
+Kneser-Ney model of both classes, so that an expression that is rare in either weighs little; a backoff that both share cancels in
+the difference, so only ratios are kept. As most words of a toxic text are ordinary ones, the toxic text's model
+takes each word from the toxic counts with the small probability ``MIX``, else from the ordinary ones. The score is a logistic function of
+the difference of the two log-likelihoods, normalised by length, fitted on documents that the counts have not seen.
+
+Contexts end at a word's start. Letting them reach into the word before, and class-conditional counts of word pairs, were tried and
+found fewer toxic documents (README).
 
 The counts come from a bounded sample of labelled documents (``max_toxic`` and
-``max_ordinary`` rows, least hash first) and at most ``max_grams`` byte sequences, so the
-broadcast model is at most ``max_grams * 24`` bytes; scoring covers every text whole, and needs no shuffle.
+``max_ordinary`` rows, least hash first), of which every byte sequence is kept: the sample bounds the broadcast model. Scoring
+covers every text whole, and needs no shuffle.
 
 Defined results: null and empty texts score as a text of no words (the fitted prior);
 several labels of one document count as toxic if one of them is; without labels of
-both classes every score is 0.
+both classes every score is 0. Rows that repeat an id are scored each; a null id is kept and teaches nothing; ties of the
+sample's hash are broken by the id. Empty tables give no rows. Other columns are not read. A text is scored in one piece.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ STRENGTH = 10.0
 MIX = 0.005
 MAX_TOXIC = 4000
 MAX_ORDINARY = 8000
-MAX_GRAMS = 1 << 19
 THRESHOLD = 0.7
 #: Texts are scored in passes of this size: a word's likelihood is worked out once a pass.
 SCORE_BYTES = 1 << 21
@@ -177,7 +178,6 @@ def train(
     keep=lambda i: F.lit(True),
     max_toxic: int = MAX_TOXIC,
     max_ordinary: int = MAX_ORDINARY,
-    max_grams: int = MAX_GRAMS,
 ) -> KneserNeyPair:
     """Fit the pair of models and the score's logistic function."""
     known = cut(learnable(labels, docs, id_col, label_col, keep))
@@ -204,7 +204,7 @@ def train(
 
     grams = texts.where("not tune").mapInArrow(count, "gram long, toxic long, ordinary long")
     grams = grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    table = grams.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(max_grams).toArrow()
+    table = grams.toArrow()
     gram = table.column("gram").to_numpy().view(np.uint64)
     by = np.argsort(gram)
     if not sizes.get(0) or not sizes.get(1) or not len(gram):
