@@ -7,10 +7,13 @@ of neighbouring suffixes gives, for each position, the longest substring that
 starts there and occurs again in the same text; the union of those spans is the
 union of all maximal repeats.
 
-Rows are independent: no shuffle, and a text of any length is taken whole.
+Rows are independent: no shuffle, and a text of any length is taken whole. A text that is longer than a pass is one of
+its own, in memory of some 8 bytes a word for each doubling that its longest repeat takes (20 doublings for a million
+words), and 40 times its bytes for its words.
 
 Defined results: a null text is an empty one (zero words, fails the base rule);
-repeated rows each get their own row; other columns are never read.
+repeated rows each get their own row, null ids are kept; an empty table gives no rows; other columns are never read. Ties do not
+occur: of equal repeats all are counted.
 """
 
 from __future__ import annotations
@@ -142,7 +145,7 @@ def measure(buf: np.ndarray, off: np.ndarray, span_words: int = SPAN_WORDS) -> d
     at = np.flatnonzero(longest >= span_words)
     span = covered(at, longest[at], n)
     top = np.zeros(len(off) - 1, np.int64)
-    np.maximum.at(top, w.row[at], longest[at])
+    np.maximum.at(top, w.row, longest)
     edge = span.copy()
     edge[1:] &= ~span[:-1] | (w.row[1:] != w.row[:-1])
     close = span.copy()
@@ -166,10 +169,10 @@ def measure(buf: np.ndarray, off: np.ndarray, span_words: int = SPAN_WORDS) -> d
     }
 
 
-def verdicts(m: dict[str, np.ndarray], min_words: int, max_repeat_percent: int, max_covered: float, max_longest: float) -> tuple[np.ndarray, np.ndarray]:
-    """(base_failed, kept) of measured texts."""
+def verdicts(m: dict[str, np.ndarray], min_words: int, max_repeat_percent: int, max_covered: float, max_longest: float, span_words: int = SPAN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(base_failed, kept) of measured texts; a longest repeat of less than ``span_words`` words speaks against none."""
     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
-    fine = (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_longest * m["n_words"])
+    fine = (m["covered_words"] <= max_covered * m["n_words"]) & ((m["longest_repeat"] < span_words) | (m["longest_repeat"] <= max_longest * m["n_words"]))
     return failed, fine & ~failed
 
 
@@ -195,7 +198,7 @@ def quality_rules(
             ids = batch.column(0)
             for at, rows, buf, off in slices(batch.column(1)):
                 m = measure(buf, off, span_words)
-                failed, kept = verdicts(m, min_words, max_repeat_percent, max_covered, max_longest)
+                failed, kept = verdicts(m, min_words, max_repeat_percent, max_covered, max_longest, span_words)
                 bounds = np.concatenate([[0], np.cumsum(m["spans_of"])]).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(m["span_first"], pa.int64()), pa.array(m["span_last"], pa.int64())], ["first", "last"])
                 cols = [pa.array(m[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")]
@@ -213,7 +216,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [verdicts(measure(buf, off, span_words), **limit)[1] for _, _, buf, off in slices(batch.column(text_col))]
+            keep = [verdicts(measure(buf, off, span_words), **limit, span_words=span_words)[1] for _, _, buf, off in slices(batch.column(text_col))]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 

@@ -17,12 +17,16 @@ LINKS_A_TASK = 500_000
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``, so that a lost executor costs no recomputation.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is set.
+    Where that setting is absent and executors are threads of the driver (local mode), a temporary folder is set; on a
+    cluster, whose executors could not read it, a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelstack-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelstack-"))
     return df.checkpoint()
 
 
