@@ -82,10 +82,10 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max
 def drawn_bounds(items: DataFrame, group: list[str], order: str, amount: str, quota: str) -> DataFrame:
     """(group, ``bound``): the greatest hash ``order`` up to which a group's items, the last one by its half, are within its quota; no row where not even the first is.
 
-    ``items`` has the group's ``quota`` in each row and an ``amount`` of its own. Amounts are summed by the hash's top 16 bits; only the
+    ``items`` has the group's ``quota`` in each row and an ``amount`` of its own. Amounts are summed by the hash's top 12 bits; only the
     bin in which the quota ends is looked at item by item, so a group of any size is no single task's work.
     """
-    binned = items.withColumn("_bin", F.shiftright(order, 48).cast("int"))
+    binned = items.withColumn("_bin", F.shiftright(order, 52).cast("int"))
     bins = binned.groupBy(*group, "_bin").agg(F.sum(amount).alias("_sum"), F.max(order).alias("_last"), F.first(quota).alias("_quota"))
     upto = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     summed = bins.withColumn("_upto", upto)
