@@ -8,16 +8,21 @@ replaced by one and the same value wherever it occurs, be it over all windows or
 at one place of the document. With ``edited`` it also holds the item where that share
 of the item's words is equal, whatever the slots say (a copy with one name changed).
 
+Names are told by their capitals, so each text is canonicalised in three ways: names inside sentences as slots;
+no names at all, so that copies in capitals or small letters match; and capitalised words that open a
+sentence as names too. A document holds an item if it does in any of the three.
+
 Candidates come from each item's rarest windows only: a document that covers
 the needed share of an item's ``n`` windows holds one of its
 ``n - ceil(share * n) + 1`` rarest (windows being ranked by how many items have
 them), so a template phrase that all items share joins nothing. Windows of documents
 are filtered by the benchmark's windows before they are shuffled, and
-candidates are checked on the whole texts.
+candidates are checked on the whole texts. Texts are known by their digest, so equal texts are checked once.
 
-Defined results: null and empty texts hold nothing; items of fewer than five
-template words have no window and are found in no document; rows that repeat an
-id give a row each and share their findings; an empty benchmark clears all.
+Defined results: null and empty texts hold nothing; an item of three or four template words is one window of its
+own length, one of fewer is found in no document; rows that repeat an
+id are each judged by their own text; null ids, and ids that are no numbers, are judged like others; an item of null id is
+found, but listed with none; an empty benchmark clears all, an empty table of documents gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelstack.llm.shared import cut, small
+from reelstack.llm.shared import cut, free_name, small
 from reelstack.llm.tokens import LOWER, mix64, segment_hash, slices, windows
 
 WIDTH = 5
+#: Items of fewer template words are found in no document.
+LEAST_WORDS = 3
 SHARE = 0.6
 #: Distinct benchmark windows that may be broadcast as a filter (8 bytes each); beyond, all windows are joined by shuffle.
 FILTER_WINDOWS = 1_000_000
+#: Digests (32 characters, and what a text holds) that may be broadcast.
+BROADCAST_DIGESTS = 200_000
+#: Templates of items that a task keeps while it checks pairs.
+KEPT_ITEMS = 2_000
 
 # Words that stand for a number, and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
@@ -76,12 +87,12 @@ def _among(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
 
 
-def templates(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, template word, slot value) of every template word; the slot value is 0 outside slots.
+def templates(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, template word, slot value) of every template word, in each of the three ways; the slot value is 0 outside slots.
 
     A word is a run of letters or one number (digits with inner dots and commas). A number is digits or
-    a number word; a unit is a listed word after a number; a name is a capitalised word that does not
-    open a sentence or line. Neighbouring names are one slot.
+    a number word; a unit is a listed word after a number; a name is a capitalised word: one that does not
+    open a sentence or line, none, or any. Neighbouring names are one slot.
     """
     n = len(buf)
     digit, letter = _DIGIT[buf], _LETTER[buf]
@@ -101,7 +112,7 @@ def templates(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.searchsorted(start, off)
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
     if not len(start):
-        return row, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return [(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 3
     h = mix64(segment_hash(_folded(buf), start, solid) + (end - start).astype(np.uint64))
     follows = np.zeros(len(start), bool)
     follows[1:] = row[1:] == row[:-1]
@@ -115,44 +126,68 @@ def templates(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     accented = (buf[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E)
     after = np.where(accented, start + 2, start + 1)
     lower_next = (after < end) & ~_UPPER[buf[np.minimum(after, n - 1)]]
-    is_name = (_UPPER[buf[start]] | accented) & lower_next & ~opens & ~is_num
+    capital = (_UPPER[buf[start]] | accented) & lower_next & ~is_num
+    return [_template(row, h, follows, is_num, is_unit, names) for names in (capital & ~opens, np.zeros(len(start), bool), capital)]
+
+
+def _template(row: np.ndarray, h: np.ndarray, follows: np.ndarray, is_num: np.ndarray, is_unit: np.ndarray, is_name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.where(is_num, NUM, np.where(is_unit, UNIT, np.where(is_name, NAME, h)))
     slot = np.where(is_num | is_unit | is_name, h, np.uint64(0))
-    extra = np.zeros(len(start), bool)
+    extra = np.zeros(len(h), bool)
     extra[1:] = is_name[1:] & is_name[:-1] & follows[1:]
     if extra.any():
-        head = np.maximum.accumulate(np.where(~extra, np.arange(len(start)), 0))
+        head = np.maximum.accumulate(np.where(~extra, np.arange(len(h)), 0))
         joined = slot.copy()
         np.add.at(joined, head[extra], slot[extra] * np.uint64(3))
         row, word, slot = row[~extra], word[~extra], joined[~extra]
     return row, word, slot
 
 
-def _template_windows(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, window hash) of a slice, sorted."""
-    row, word, _ = templates(buf, off)
-    h, at = windows(word, row, width)
-    r = row[at]
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return r[new], h[new]
+def _salted(h: np.ndarray, way: int, width: int) -> np.ndarray:
+    return mix64(h + np.uint64((way * 64 + width) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
-def _windows_of(table: DataFrame, width: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(id, window) of a table (id, text): each row's distinct windows, of those ``wanted`` if given."""
+def _windows_of(table: DataFrame, widths: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """(id, window) of a table (id string, text): each row's distinct windows of the widths, of those ``wanted`` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, buf, off in slices(batch.column(1)):
-                row, h = _template_windows(buf, off, width)
-                if wanted is not None:
-                    found = _among(h, wanted)
-                    row, h = row[found], h[found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(row)), pa.array(h.view(np.int64))], names=["id", "window"])
+                found = []
+                for way, (row, word, _) in enumerate(templates(buf, off)):
+                    for width in widths:
+                        h, first = windows(word, row, width)
+                        h, r = _salted(h, way, width), row[first]
+                        if wanted is not None:
+                            hit = _among(h, wanted)
+                            h, r = h[hit], r[hit]
+                        found.append((r, h))
+                row, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(row[new])), pa.array(h[new].view(np.int64))], names=["id", "window"])
+
+    return table.mapInArrow(run, "id string, window long")
+
+
+def _item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(id, way, width, window) of the items' distinct windows; an item of fewer template words is one window."""
 
-    return table.mapInArrow(run, "id long, window long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, text in enumerate(batch.column(1)):
+                for _, _, buf, off in slices(pa.array([text.as_py()], pa.string())):
+                    for way, (row, word, _) in enumerate(templates(buf, off)):
+                        own = min(width, len(word))
+                        if own >= LEAST_WORDS:
+                            out.extend((i, way, own, x) for x in np.unique(_salted(windows(word, row, own)[0], way, own)).view(np.int64))
+            col = lambda k, t: pa.array([x[k] for x in out], t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(col(0, pa.int64())), col(1, pa.int32()), col(2, pa.int32()), col(3, pa.int64())], names=["id", "way", "width", "window"])
+
+    return items.mapInArrow(run, "id string, way int, width int, window long")
 
 
 def compare(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], width: int) -> tuple[float, bool, bool]:
@@ -238,20 +273,36 @@ def verdict(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarr
     return best
 
 
+def best_verdict(doc: list, item: list, width: int, share: float, edited: bool) -> tuple[float, bool, bool]:
+    """The verdict of the first way by which the document holds the item: names as slots, openers too, none.
+
+    Without names as slots a copy must be whole, unless ``edited``: a changed name is no slot there that could contradict.
+    """
+    got = (0.0, False, False)
+    for way in (0, 2, 1):
+        d, i = doc[way], item[way]
+        if len(i[1]) >= LEAST_WORDS:
+            got = verdict(d[1:], i[1:], min(width, len(i[1])), share if edited or way != 1 else 1.0, edited)
+            if got[1]:
+                return got
+    return got
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, share: float, edited: bool) -> DataFrame:
     """(id, item, share, changed) of the candidate pairs that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
         for batch in batches:
             out: list[tuple[int, float, bool]] = []
-            left, right = batch.column(2), batch.column(3)
+            item, left, right = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            made = lambda column, i: next(templates(buf, off) for _, _, buf, off in slices(column.slice(i, 1)))
             for i in range(batch.num_rows):
-                sides = []
-                for column in (left, right):
-                    for _, _, buf, off in slices(column.slice(i, 1)):
-                        _, word, slot = templates(buf, off)
-                        sides.append((word, slot))
-                got, holds, changed = verdict(*sides, width, share, edited)
+                if item[i] not in known:
+                    if len(known) >= KEPT_ITEMS:
+                        known.clear()
+                    known[item[i]] = made(right, i)
+                got, holds, changed = best_verdict(made(left, i), known[item[i]], width, share, edited)
                 if holds:
                     out.append((i, got, changed))
             rows = pa.array([x[0] for x in out], pa.int64())
@@ -261,59 +312,77 @@ def _checked(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, sh
             )
 
     joined = pairs.join(items.select(F.col("id").alias("item"), F.col("text").alias("it")), "item").join(docs.select("id", F.col("text").alias("dt")), "id")
-    return joined.select("id", "item", "dt", "it").mapInArrow(run, "id long, item long, share double, changed boolean")
+    return joined.select("id", "item", "dt", "it").mapInArrow(run, "id string, item string, share double, changed boolean")
 
 
-def benchmark_hits(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    width: int = WIDTH,
-    share: float = SHARE,
-    edited: bool = False,
-) -> DataFrame:
-    """(id, item, share, changed): each document that holds an item; ``changed`` if slots have other values than the item's.
+def _digested(table: DataFrame, text_col: str) -> DataFrame:
+    """(id, text): the distinct texts that are not empty, the id being their digest."""
+    text = F.col(text_col).cast("string")
+    return table.select(F.md5(text.cast("binary")).alias("id"), text.alias("text")).where("text <> ''")
 
-    ``edited``: a copy of whose words ``share`` equal the item's counts also if its slots contradict each other.
-    """
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    held = _windows_of(items, width).distinct()
-    common = held.groupBy("window").agg(F.count("*").alias("items"))
-    by_item = Window.partitionBy("id")
+
+def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", width: int = WIDTH, share: float = SHARE, edited: bool = False) -> DataFrame:
+    """(id, item, share, changed): digests of documents' texts and of the items' texts that they hold."""
+    items = cut(_digested(benchmark, item_text_col).dropDuplicates(["id"]))
+    slim = _digested(docs, text_col)
+    held = cut(_item_windows(items, width))
+    common = held.groupBy("window").agg(F.countDistinct("id").alias("items"))
+    by_item = Window.partitionBy("id", "way")
     ranked = held.join(common, "window").withColumns(
         {"n": F.count("*").over(by_item), "place": F.row_number().over(by_item.orderBy("items", "window"))}
     )
-    rare = cut(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select(F.col("id").alias("item"), "window"))
+    rare = cut(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select(F.col("id").alias("item"), "width", "window"))
+    # five widths at most
+    widths = sorted(r["width"] for r in rare.select("width").distinct().collect()) or [width]
     probes = rare.select("window").distinct()
     wanted = None
     if probes.count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in probes.collect()], np.int64).view(np.uint64))
-    pairs = cut(_windows_of(slim, width, wanted).join(rare, "window").select("id", "item").distinct())
+    pairs = cut(_windows_of(slim, widths, wanted).join(rare.select("item", "window"), "window").select("id", "item").distinct())
     ids = cut(pairs.select("id").distinct())
-    texts = slim.join(small(ids, ids.count()), "id", "left_semi")
+    texts = slim.join(small(ids, ids.count(), BROADCAST_DIGESTS), "id", "left_semi").dropDuplicates(["id"])
     hits = _checked(pairs, texts, items, width, share, edited)
-    return hits.groupBy("id", "item").agg(F.max("share").alias("share"), F.max("changed").alias("changed")).withColumnsRenamed({"id": id_col, "item": item_col})
+    return hits.groupBy("id", "item").agg(F.max("share").alias("share"), F.max("changed").alias("changed"))
+
+
+def _named_items(hits: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """Hits with the ids of the items that have the text."""
+    names = benchmark.select(F.md5(F.col(item_text_col).cast("string").cast("binary")).alias("item"), F.col(item_col).alias("_item")).distinct()
+    return hits.join(names, "item").select("id", F.col("_item").alias("item"), "share", "changed")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **settings) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **settings
+) -> DataFrame:
+    """(id, item, share, changed): each document that holds an item; ``changed`` if slots have other values than the item's.
+
+    ``edited``: a copy of whose words ``share`` equal the item's counts also if its slots contradict each other.
+    """
+    found = cut(_named_items(text_hits(docs, benchmark, text_col, item_text_col, **settings), benchmark, item_col, item_text_col))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("id"))
+    return rows.join(small(found, found.count(), BROADCAST_DIGESTS), "id").select(F.col("_doc").alias(id_col), F.col("item").alias(item_col), "share", "changed").distinct()
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **settings
+) -> DataFrame:
     """One row per row of ``docs``: id, ``contaminated``, ``items`` (sorted ids of the items it holds), ``max_share``, ``reparameterised``."""
-    hits = benchmark_hits(docs, benchmark, id_col=id_col, item_col=item_col, **settings)
-    per = hits.groupBy(id_col).agg(F.array_sort(F.collect_set(item_col)).alias("items"), F.max("share").alias("max_share"), F.max("changed").alias("reparameterised"))
-    out = docs.select(id_col).join(per, id_col, "left")
+    found = _named_items(text_hits(docs, benchmark, text_col, item_text_col, **settings), benchmark, item_col, item_text_col)
+    per = cut(found.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("max_share"), F.max("changed").alias("reparameterised")))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("id"))
+    out = rows.join(small(per, per.count(), BROADCAST_DIGESTS), "id", "left")
+    none = F.array().cast(per.schema["items"].dataType)
     return out.select(
-        id_col,
-        F.col("items").isNotNull().alias("contaminated"),
-        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.col("_doc").alias(id_col),
+        F.col("max_share").isNotNull().alias("contaminated"),
+        F.coalesce("items", none).alias("items"),
         F.coalesce("max_share", F.lit(0.0)).alias("max_share"),
         F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no benchmark item."""
-    bad = cut(benchmark_hits(docs, benchmark, id_col=id_col, **settings).select(id_col).distinct())
-    return docs.join(small(bad, bad.count()), id_col, "left_anti").select(docs.columns)
+    key = free_name("digest", docs.columns)
+    bad = cut(text_hits(docs, benchmark, text_col, item_text_col, **settings).select(F.col("id").alias(key)).distinct())
+    return docs.withColumn(key, F.md5(F.col(text_col).cast("string").cast("binary"))).join(small(bad, bad.count(), BROADCAST_DIGESTS), key, "left_anti").select(docs.columns)

@@ -35,6 +35,14 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so, however spelt."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (a, b): the least node each one reaches.
 
