@@ -12,20 +12,22 @@ representatives are aggregated to buckets; in each, the member that shares bucke
 with most others is the hub, members are verified against it on whole shingle sets,
 and verified links are joined to components. Members of one hub that are then
 still in different components can only be similar if they share enough shingles that the
-hub lacks; they are paired by those, which are rare, and counted before a pair is
-verified. A group of copies therefore costs links in proportion to its
+hub lacks; they meet by the rarest of those, or by their size if they lack too little. Where many of them meet, sub-hubs
+are drawn and verified first, and only what is left in different components is paired, in blocks. A group of copies therefore costs links in proportion to its
 size, while no pair that may be linked stays untested. With 40 bands of 5 coordinates a pair at similarity
 0.8 shares no bucket with probability 1.3e-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelstack.llm.shared import components, cut, small
 from reelstack.llm.tokens import LOWER, coefficients, mix64, slices, windows, words
@@ -34,6 +36,10 @@ WIDTH = 5
 PERCENT = 80
 BANDS = 40
 ROWS = 5
+#: Members of a key up to which all their pairs are candidates; larger groups take up to TURNS sub-hubs first, then BLOCKS times BLOCKS tasks.
+GROUP = 64
+TURNS = 3
+BLOCKS = 16
 #: Bytes of text sketched at once: rounds have a fixed cost, so larger than other passes.
 SKETCH_BYTES = 1 << 22
 
@@ -148,11 +154,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def _outside(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (hub, rep, n, component) with ``inside``, how many shingles the member has in common with its hub, and ``outside``, its other shingles."""
+    """Pairs (hub, rep, n) with ``inside``, how many shingles the member has in common with its hub, and ``outside``, its other shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(4), batch.column(5)
+            left, right = batch.column(3), batch.column(4)
             for at, n, buf, off in slices(left):
                 row, elem = shingle_sets(buf, off, width)
                 for at2, n2, buf2, off2 in slices(right.slice(at, n)):
@@ -168,35 +174,58 @@ def _outside(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     out = own & ~twin
                     inside = np.bincount(r[own & twin], minlength=n2)
                     bounds = np.concatenate([[0], np.cumsum(np.bincount(r[out], minlength=n2))]).astype(np.int32)
-                    keys = [batch.column(k).slice(at + at2, n2) for k in range(4)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(inside), pa.ListArray.from_arrays(bounds, pa.array(e[out].view(np.int64)))], names=["hub", "rep", "n", "component", "inside", "outside"])
+                    keys = [batch.column(k).slice(at + at2, n2) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(inside), pa.ListArray.from_arrays(bounds, pa.array(e[out].view(np.int64)))], names=["hub", "rep", "n", "inside", "outside"])
 
     rows = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("t")), "rep").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("th")), "hub")
-    return rows.select("hub", "rep", "n", "component", "t", "th").mapInArrow(run, "hub long, rep long, n long, component long, inside long, outside array<long>")
+    return rows.select("hub", "rep", "n", "t", "th").mapInArrow(run, "hub long, rep long, n long, inside long, outside array<long>")
 
 
-def _across(duo: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one hub in different components that can reach the similarity.
+def _meeting_keys(duo: DataFrame, percent: int) -> DataFrame:
+    """(hub, key, rep, n, most): keys of which two members of one hub that reach the similarity share at least one; ``most`` bounds what a member shares.
 
-    |A and B| >= p / (1 + p) * (|A| + |B|), of which at most min(inside) lie inside the hub: the pair shares as many shingles
-    outside of it as are lacking, and is found by them; pairs that lack none are compared as they are.
+    Such a pair has at least p times a member's shingles in common, of which ``inside`` at most lie inside the hub. If that leaves
+    ``t`` > 0 for the outside, the pair shares one of the member's rarest outside shingles, all but the ``t - 1`` most frequent ones. Members with
+    nothing left to share outside have all outside shingles as keys, and two classes of size: sizes that are within p of each other meet in one.
     """
-    need = lambda have, n, m: (100 + percent) * have >= percent * (n + m)
-    each = duo.select("hub", "rep", "n", "component", "inside", F.explode("outside").alias("shingle"))
-    met = each.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "shingle")
-    each = each.join(met, ["hub", "shingle"])
-    reach = each.groupBy("hub", "rep").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("inside").alias("inside"))
-    able = reach.where(need(F.col("inside") + F.col("k"), F.col("n"), F.col("n") * (percent / 100))).select("hub", "rep")
-    each = cut(each.join(able, ["hub", "rep"], "left_semi"))
-    same_size = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    twin = each.select("hub", "shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "inside")])
-    found = each.join(twin, ["hub", "shingle"]).where((F.col("component") < F.col("component2")) & same_size)
-    found = found.groupBy("hub", "rep", "rep2").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.least(F.first("inside"), F.first("inside2")).alias("inside"))
-    found = found.where(need(F.col("inside") + F.col("k"), F.col("n"), F.col("n2"))).select("rep", "rep2")
-    whole = duo.where(need(F.col("inside"), F.col("n"), F.col("n") * (percent / 100))).select("hub", "rep", "n", "component", "inside")
-    twin = whole.select("hub", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "inside")])
-    direct = whole.join(twin, "hub").where((F.col("component") < F.col("component2")) & same_size & need(F.least("inside", "inside2"), F.col("n"), F.col("n2"))).select("rep", "rep2")
-    return found.union(direct).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    left = F.ceil(F.col("n") * percent / 100) - F.col("inside")
+    each = duo.select("hub", "rep", "n", "inside", left.alias("t"), F.size("outside").alias("out"), F.explode("outside").alias("key"))
+    # (what one member alone has joins nothing, but counts as rarest)
+    often = cut(each.withColumn("often", F.count("*").over(Window.partitionBy("hub", "key"))))
+    rarest = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("often", "key"))
+    prefix = often.withColumn("place", rarest).where((F.col("often") > 1) & (F.col("place") <= F.col("out") - F.greatest(F.col("t"), F.lit(1)) + 1))
+    step = F.floor(F.log(F.col("n")) / F.lit(-math.log(percent / 100)))
+    sized = duo.where(left <= 0).select("hub", F.explode(F.array(step, step + 1)).alias("step"), "rep", "n", "inside", F.size("outside").alias("out"))
+    parts = [prefix.select("hub", "key", "rep", "n", "inside", "out"), sized.select("hub", F.xxhash64(F.lit("size"), "step").alias("key"), "rep", "n", "inside", "out")]
+    return parts[0].union(parts[1])
+
+
+def _candidates(keyed: DataFrame, turn: int, last: bool, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), the groups that were too large): members of one key in different components.
+
+    Groups of up to ``GROUP`` members give all their pairs. In a larger one a member is drawn as sub-hub and paired with the others, which leaves
+    what is not like it to the next turn; in the last turn its pairs are dealt to blocks, so that no task has a whole group.
+    """
+    mixed = keyed.groupBy("hub", "key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.struct("rep", "n", "inside", "out", "component").alias("x"))).alias("sub"))
+    mixed = cut(mixed.where("lo < hi").select("hub", "key", "m", F.col("sub.x").alias("sub")))
+    large = F.col("m") > GROUP
+    met = cut(keyed.join(mixed, ["hub", "key"]))
+    second = lambda df, *more: df.select("hub", "key", *more, *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "inside", "out", "component")])
+    few = met.where(~large)
+    found = few.drop("m", "sub").join(second(few), ["hub", "key"])
+    if last:
+        block = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(BLOCKS)).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+        many = met.where(large).drop("m", "sub").withColumn("i", block)
+        more = many.select("*", others.alias("j")).join(second(many.withColumn("j", F.col("i")).drop("i").select("*", others.alias("i")), "i", "j"), ["hub", "key", "i", "j"]).drop("i", "j")
+    else:
+        subs = [F.col(f"sub.{c}").alias(f"{c}2") for c in ("rep", "n", "inside", "out", "component")]
+        more = met.where(large).select("hub", "key", "rep", "n", "inside", "out", "component", *subs)
+    both = found.unionByName(more).where("component <> component2")
+    # what two members can share at most: inside the hub, and outside of it
+    most = F.least("inside", "inside2") + F.least("out", "out2")
+    both = both.where((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))).where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), mixed.where(large)
 
 
 def near_duplicates(
@@ -213,9 +242,13 @@ def near_duplicates(
     Two texts are linked if ``100 * |A and B| >= percent * |A or B|`` on the sets of their distinct
     ``width``-word shingles, A-Z lower-cased. Null texts and texts without words have an empty set and
     are linked with nothing. The id is a key: rows that repeat an id are classified each by its own text.
-    A null id is classified, but represents no class unless nothing else does; its component is null and it is kept.
+    A null id is classified, but represents no class unless nothing else does; its component is null and it is kept. Ids that are
+    no whole numbers are ordered as they sort. Rows of equal id and equal text are kept or dropped alike. An empty table gives
+    no rows; other columns are not read. A text's shingles are worked out in one piece, in memory of some 50 times its bytes.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _by_number(docs, id_col, text_col, width=width, percent=percent, bands=bands, rows=rows)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = cut(_sketched(slim, width, bands, rows))
     classes = cut(
@@ -243,15 +276,22 @@ def near_duplicates(
     at = weighed.select("band", "rep", "n").join(hubs, "band").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     left = at.join(mixed.select("band"), "band", "left_semi")
-    duo = cut(left.where("rep <> hub").select("hub", "rep", "n", "component").distinct())
+    duo = cut(left.where("rep <> hub").select("hub", "rep", "n").distinct())
     open_ids = cut(duo.select(F.col("rep").alias("id")).union(duo.select("hub")).distinct())
     open_texts = slim.join(small(open_ids, open_ids.count()), "id", "left_semi")
-    pairs = _across(cut(_outside(duo, open_texts, width)), percent)
-    fresh = pairs.join(asked, ["a", "b"], "left_anti")
-    found = cut(_verified(fresh, open_texts, width, percent))
-    if found.count():
-        links = cut(links.union(found))
-        label = components(spark, links)
+    keys = cut(_meeting_keys(cut(_outside(duo, open_texts, width)), percent))
+    for turn in range(TURNS + 1):
+        named = label.withColumnRenamed("node", "rep")
+        keyed = keys.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        pairs, large = _candidates(keyed, turn, turn == TURNS, percent)
+        fresh = cut(pairs.join(asked, ["a", "b"], "left_anti"))
+        found = cut(_verified(fresh, open_texts, width, percent))
+        if found.count():
+            links = cut(links.union(found))
+            label = components(spark, links)
+        if not large.count():
+            break
+        asked = cut(asked.union(fresh))
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.select("k1", "k2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
@@ -267,6 +307,15 @@ def near_duplicates(
     )
 
 
+def _by_number(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
+    """``near_duplicates`` of ids that are no whole numbers: they are numbered in their order, so that the least id stays the least."""
+    ids = cut(docs.select(F.col(id_col).alias("name")).where("name is not null").distinct().orderBy("name").withColumn("at", F.monotonically_increasing_id()))
+    named = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(ids, "name", "left").select(F.col("at").alias("id"), "text")
+    out = near_duplicates(named, "id", "text", **settings)
+    out = out.join(ids.select(F.col("at").alias("id"), F.col("name").alias("own")), "id", "left").join(ids.select(F.col("at").alias("component_id"), F.col("name").alias("component")), "component_id", "left")
+    return out.select(F.col("own").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept", "n_links")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs``, unchanged, but one document of each near-duplicate class: the one with the least id."""
     gone = cut(near_duplicates(docs, id_col, **settings).where("not kept").select(id_col).distinct())

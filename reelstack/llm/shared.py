@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Rows of one long id each that a broadcast may hold (16 MB); above it a shuffle join is used.
 BROADCAST_IDS = 2_000_000
 
+#: Parts over which the links of one node are spread where the table of minima is too large for a broadcast.
+SALTS = 16
+
 #: Links that one task of a components step takes.
 LINKS_A_TASK = 500_000
 
@@ -43,12 +46,20 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def _with_least(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) with the minimum ``m`` of their ``a``; there are at most twice as many minima as links."""
+    if 2 * n <= BROADCAST_IDS // 2:
+        return links.join(F.broadcast(least), "a")
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"]).drop("salt")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (a, b): the least node each one reaches.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Minima are
-    pre-aggregated before each shuffle, so a node with very many neighbours is no
-    single task's work, and edges never leave the executors. Nodes without an
+    pre-aggregated before each shuffle and joined back by broadcast, or to ``SALTS`` parts of each node's links, so a node with very many
+    neighbours is no single task's work, and edges never leave the executors. Nodes without an
     edge to another node are absent. Empty input gives no rows.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -58,9 +69,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         tasks = n // LINKS_A_TASK + 4
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks))
+        large = cut(_with_least(both.where("b > a"), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a")
+        star = _with_least(large, least, n)
         after = star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = cut(after.coalesce(tasks))
         size = after.count()
