@@ -1,21 +1,24 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
-Every token belongs to one of ``VOCAB`` frequent words, to the end of the text, or to one of ``RARE`` classes of
-other words (by their last bytes). The log-bilinear model predicts the class from the two tokens before: the context vector
+Every token belongs to one of ``vocab`` frequent words, to the end of the text, or to one of ``rare`` classes of
+other words (by their last bytes); these sizes and the vectors' ``dim`` are parameters (``Shape``). The log-bilinear model predicts the class from the two tokens before: the context vector
 is the sum of two position-dependent word vectors, and the score of a class is its product with the
 class's own vector plus a bias. Given a rare class, a word has its smoothed share of
 the class's tokens, so the model is a normalised distribution over all words with one unseen word a class.
 
 * Word counts cover all training documents: distinct words are pre-aggregated per task and summed by a shuffle.
 * Training is numpy SGD on the noise-contrastive objective: a warm start on a bounded sample (``warm_docs``), then one pass
-  of all training documents in the tasks that read them, whose parameters (a table of fixed size) are averaged by a
+  of all training documents in blocks of some ``BLOCK_TOKENS`` tokens, dealt by a hash of id and text and ordered by it, so that the
+  result does not hang on how files are split. The blocks' parameters (a table of fixed size) are averaged by a
   grouped aggregation, weighted by tokens.
-* Scoring normalises by batched matrix products over the distinct contexts a task meets. The counts of the ``HEAD`` most frequent
-  words (16 bytes each) are broadcast; those of all others are joined by word, which no single word can
-  skew, as words of the head take no part.
+* Scoring normalises by batched matrix products over the distinct contexts a task meets. The counts of the ``head`` most frequent
+  words (16 bytes each) are broadcast; those of all others are counted per text and joined by word. How many are broadcast changes
+  no result.
 
 Defined results: a null text is an empty one, whose only token is its end; rows that repeat an id are
-scored each; without training documents the counts are 0 and all tokens unknown.
+scored each, a null id is kept (and learned from where ``keep`` holds); without training documents the counts are 0 and all tokens
+unknown; an empty table gives no rows. Words of equal counts enter the vocabulary by their hash. Other columns are not read. A text is
+worked on in one piece, in memory of some 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -32,10 +35,7 @@ from pyspark.sql import functions as F
 from reelstack.llm.shared import cut
 from reelstack.llm.tokens import LOWER, mix64, slices, words
 
-VOCAB = 1024
-RARE = 256
 HEAD = 1 << 18
-DIM = 24
 WARM_DOCS = 1500
 NOISE = 64
 #: Weight of all noise samples against one data token.
@@ -43,18 +43,39 @@ NOISE_RATIO = 10.0
 BATCH = 8192
 SMOOTH = 0.1
 PASS = 1 << 21
+#: Tokens of a training block, of which each yields a table of parameters.
+BLOCK_TOKENS = 1 << 21
 END_HASH = np.uint64(0x656E64)
-END, BOS = VOCAB + RARE, VOCAB + RARE + 1
-CLASSES = VOCAB + RARE + 1
 
 
-def rare_class(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of the model: words of their own, classes of other words, and the vectors. A task keeps a normaliser (4 bytes) for each pair of classes."""
+
+    vocab: int = 1024
+    rare: int = 256
+    dim: int = 24
+
+    @property
+    def end(self) -> int:
+        return self.vocab + self.rare
+
+    @property
+    def begin(self) -> int:
+        return self.end + 1
+
+    @property
+    def classes(self) -> int:
+        return self.end + 1
+
+
+def rare_class(buf: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
     """Class of a word outside the vocabulary: a hash of its last three bytes."""
     key = np.zeros(len(start), np.uint64)
     for k in range(1, 4):
         at = end - k
         key = key * np.uint64(257) + np.where(at >= start, buf[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-    return (mix64(key) % np.uint64(RARE)).astype(np.int64)
+    return (mix64(key) % np.uint64(classes)).astype(np.int64)
 
 
 def _find(listed: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -89,6 +110,8 @@ class Lexicon:
     distinct: int
     class_tokens: np.ndarray
     class_words: np.ndarray
+    shape: Shape
+    vocab_count: np.ndarray
 
     def tokens(self, buf: np.ndarray, off: np.ndarray) -> Tokens:
         low = LOWER[buf]
@@ -98,7 +121,7 @@ class Lexicon:
         place = _find(self.head, h)
         count = np.where(place >= 0, self.head_count[place], -1) if len(self.head) else np.full(len(h), -1)
         kind = _find(self.vocab, h)
-        kind = np.where(kind >= 0, kind, VOCAB + rare_class(low, w.start[index], w.end[index]))
+        kind = np.where(kind >= 0, kind, self.shape.vocab + rare_class(low, w.start[index], w.end[index], self.shape.rare))
         n = len(off) - 1
         ends = w.first[1:] + np.arange(n)  # each row's end follows its words
         size = len(w.hash) + n
@@ -106,13 +129,13 @@ class Lexicon:
         is_end[ends] = True
         put = lambda values, last: _spread(values, last, is_end)
         row = np.repeat(np.arange(n), w.count + 1)
-        k = put(kind[inverse], END)
+        k = put(kind[inverse], self.shape.end)
         begin = np.zeros(size, bool)
         begin[w.first[:-1] + np.arange(n)] = True
-        c1 = np.full(size, BOS)
-        c1[1:] = np.where(begin[1:], BOS, k[:-1])
-        c2 = np.full(size, BOS)
-        c2[1:] = np.where(begin[1:], BOS, c1[:-1])
+        c1 = np.full(size, self.shape.begin)
+        c1[1:] = np.where(begin[1:], self.shape.begin, k[:-1])
+        c2 = np.full(size, self.shape.begin)
+        c2[1:] = np.where(begin[1:], self.shape.begin, c1[:-1])
         return Tokens(k, put(w.hash, END_HASH), put(count[inverse], self.end_count), row, c1, c2)
 
 
@@ -130,13 +153,14 @@ class LogBilinear:
     far: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    shape: Shape
     norm: np.ndarray | None = field(default=None, repr=False)
 
     @staticmethod
-    def start(noise: np.ndarray) -> LogBilinear:
+    def start(noise: np.ndarray, shape: Shape) -> LogBilinear:
         rng = np.random.default_rng(17)
-        draw = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
-        return LogBilinear(draw(CLASSES + 1), draw(CLASSES + 1), draw(CLASSES), np.log(noise).astype(np.float32))
+        draw = lambda n: rng.normal(0, 0.1, (n, shape.dim)).astype(np.float32)
+        return LogBilinear(draw(shape.classes + 1), draw(shape.classes + 1), draw(shape.classes), np.log(noise).astype(np.float32), shape)
 
     def train(self, t: Tokens, noise: np.ndarray, state: list[np.ndarray], rng: np.random.Generator, rate: float) -> None:
         """One pass over tokens by minibatches; noise samples are shared within a minibatch."""
@@ -144,7 +168,7 @@ class LogBilinear:
         log_noise = np.log(NOISE_RATIO * noise)
         for lo in range(0, len(t.kind), BATCH):
             w, a, b = t.kind[lo : lo + BATCH], t.c1[lo : lo + BATCH], t.c2[lo : lo + BATCH]
-            m = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
+            m = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), self.shape.classes - 1)
             q = self.near[a] + self.far[b]
             own = 1 - _sigmoid(np.einsum("ij,ij->i", q, self.out[w]) + self.bias[w] - log_noise[w])
             others = _sigmoid(q @ self.out[m].T + self.bias[m] - log_noise[m]) * (NOISE_RATIO / NOISE)
@@ -158,13 +182,14 @@ class LogBilinear:
 
     def log10(self, t: Tokens) -> np.ndarray:
         """Normalised log10 probability of each token's class; normalisers are kept per context."""
+        side = self.shape.classes + 1
         if self.norm is None:
-            self.norm = np.full((CLASSES + 1) * (CLASSES + 1), np.nan, np.float32)
-        key = t.c1 * (CLASSES + 1) + t.c2
+            self.norm = np.full(side * side, np.nan, np.float32)
+        key = t.c1 * side + t.c2
         todo = np.unique(key[np.isnan(self.norm[key])])
         for lo in range(0, len(todo), 2048):
             k = todo[lo : lo + 2048]
-            z = (self.near[k // (CLASSES + 1)] + self.far[k % (CLASSES + 1)]) @ self.out.T + self.bias
+            z = (self.near[k // side] + self.far[k % side]) @ self.out.T + self.bias
             top = z.max(axis=1)
             self.norm[k] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
         out = np.empty(len(key))
@@ -189,11 +214,11 @@ def _step(table: np.ndarray, at: np.ndarray, grad: np.ndarray, state: np.ndarray
     table += (rate * total / np.sqrt(state + 1e-8)).astype(np.float32)
 
 
-def _fresh_state() -> list[np.ndarray]:
-    return [np.full((CLASSES + 1, DIM), 1e-2), np.full((CLASSES + 1, DIM), 1e-2), np.full((CLASSES, DIM), 1e-2), np.full((CLASSES, 1), 1e-2)]
+def _fresh_state(shape: Shape) -> list[np.ndarray]:
+    return [np.full(size, 1e-2) for size in ((shape.classes + 1, shape.dim), (shape.classes + 1, shape.dim), (shape.classes, shape.dim), (shape.classes, 1))]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(word, class, n) of the tokens of a table (text), ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +227,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 low = LOWER[buf]
                 w = words(low, off)
                 h, index, n = np.unique(w.hash, return_index=True, return_counts=True)
-                kind = rare_class(low, w.start[index], w.end[index])
+                kind = rare_class(low, w.start[index], w.end[index], shape.rare)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(h, END_HASH).view(np.int64)), pa.array(np.append(kind, -1).astype(np.int32)), pa.array(np.append(n, rows))], names=["word", "class", "n"]
                 )
@@ -210,8 +235,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
-def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
-    """What tasks need of the counts: at most ``head`` rows, and sums by class.
+def lexicon(counts: DataFrame, head: int = HEAD, shape: Shape = Shape()) -> Lexicon:
+    """What tasks need of the counts: at most ``head`` rows, the vocabulary, and sums by class.
 
     The head is all words from a count on that at most ``head`` words reach, read off a histogram of
     counts in steps of a twentieth: no sort, and no task that gathers candidates of all others.
@@ -224,64 +249,77 @@ def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
         if held > head:
             break
         least = at
-    top = counts.where(step >= least if least is not None else F.lit(False)).toArrow()
+    top = counts.where((step >= least if least is not None else F.lit(False)) & (F.col("class") >= 0)).select("word", "n").toArrow()
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by = np.lexsort((word, -n))
-    word, n, kinds = word[by], n[by], top.column("class").to_numpy()[by]
-    known = word != END_HASH
-    vocab = word[known][:VOCAB]
+    by = np.argsort(word)
+    frequent = counts.where("class >= 0").orderBy(F.desc("n"), "word").limit(shape.vocab).toArrow()
+    vocab, own = frequent.column("word").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     by_class = counts.where("class >= 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     ends = counts.where("class < 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    tokens, distinct = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
+    tokens, distinct = np.zeros(shape.rare, np.int64), np.zeros(shape.rare, np.int64)
     for r in by_class:
         tokens[r["class"]], distinct[r["class"]] = r["n"], r["v"]
     total, all_words = int(tokens.sum() + ends), int(distinct.sum() + (ends > 0))
     # words of the vocabulary are classes of their own
-    kinds = kinds[known][:VOCAB]
-    np.subtract.at(tokens, kinds, n[known][:VOCAB])
+    kinds = frequent.column("class").to_numpy()
+    np.subtract.at(tokens, kinds, own)
     np.subtract.at(distinct, kinds, 1)
-    by = np.argsort(word[known])
-    return Lexicon(word[known][by], n[known][by], np.sort(vocab), int(ends), total, all_words, tokens, distinct)
+    place = np.argsort(vocab)
+    return Lexicon(word[by], n[by], vocab[place], int(ends), total, all_words, tokens, distinct, shape, own[place])
 
 
 def _noise(lex: Lexicon) -> np.ndarray:
     """Class frequencies, smoothed: the noise distribution."""
-    count = np.zeros(CLASSES)
-    if len(lex.vocab):
-        count[: len(lex.vocab)] = lex.head_count[_find(lex.head, lex.vocab)]
-    count[VOCAB : VOCAB + RARE] = lex.class_tokens
-    count[END] = lex.end_count
+    count = np.zeros(lex.shape.classes)
+    count[: len(lex.vocab)] = lex.vocab_count
+    count[lex.shape.vocab : lex.shape.end] = lex.class_tokens
+    count[lex.shape.end] = lex.end_count
     count += 0.5
     return count / count.sum()
 
 
-def train(texts: DataFrame, sample: DataFrame, lex: Lexicon, warm_epochs: int = 4) -> LogBilinear:
-    """Fit on all ``texts`` (one pass, averaged over tasks) from a start on the bounded ``sample``."""
-    noise = _noise(lex)
-    model, state, rng = LogBilinear.start(noise), _fresh_state(), np.random.default_rng(23)
+
+def train(texts: DataFrame, sample: DataFrame, lex: Lexicon, warm_epochs: int = 4, block_tokens: int = BLOCK_TOKENS) -> LogBilinear:
+    """Fit on all ``texts`` (id, text): one pass in blocks, averaged, from a start on the bounded ``sample``."""
+    shape, noise = lex.shape, _noise(lex)
+    model, state, rng = LogBilinear.start(noise, shape), _fresh_state(shape), np.random.default_rng(23)
     column = sample.toArrow().column("text")
     for epoch in range(warm_epochs):
         for _, _, buf, off in slices(column, PASS):
             model.train(lex.tokens(buf, off), noise, state, rng, 0.1)
     shared = texts.sparkSession.sparkContext.broadcast((lex, model, noise, state))
-    width = DIM + 1
-    sizes = [CLASSES + 1, CLASSES + 1, CLASSES]
+    width = shape.dim + 1
+    sizes = [shape.classes + 1, shape.classes + 1, shape.classes]
+    blocks = lex.total // block_tokens + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, start, noise, at = shared.value
-        own = LogBilinear(start.near.copy(), start.far.copy(), start.out.copy(), start.bias.copy())
-        steps, rng, n = [s.copy() for s in at], np.random.default_rng(29), 0
+        pad = np.zeros((shape.classes + 1, 1), np.float32)
+        block, own, n = None, None, 0
+
+        def fitted() -> pa.RecordBatch:
+            table = np.concatenate([np.hstack([own.near, pad]), np.hstack([own.far, pad]), np.hstack([own.out, own.bias[:, None]])])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(np.full(len(table), n)), *[pa.array(table[:, j].astype(float)) for j in range(width)]], names=["r", "n", *[f"v{j}" for j in range(width)]])
+
         for batch in batches:
-            for _, _, buf, off in slices(batch.column(0), PASS):
-                t = lex.tokens(buf, off)
-                own.train(t, noise, steps, rng, 0.05)
-                n += len(t.kind)
+            here = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(here, prepend=-1))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(here)), strict=True):
+                if here[lo] != block:
+                    if n:
+                        yield fitted()
+                    block, n, rng = here[lo], 0, np.random.default_rng(29)
+                    own, steps = LogBilinear(start.near.copy(), start.far.copy(), start.out.copy(), start.bias.copy(), shape), [s.copy() for s in at]
+                for _, _, buf, off in slices(batch.column(0).slice(lo, hi - lo), PASS):
+                    t = lex.tokens(buf, off)
+                    own.train(t, noise, steps, rng, 0.05)
+                    n += len(t.kind)
         if n:
-            pad = np.zeros((CLASSES + 1, 1), np.float32)
-            table = np.concatenate([np.hstack([own.near, pad]), np.hstack([own.far, pad]), np.hstack([own.out, own.bias[:, None]])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(np.full(len(table), n)), *[pa.array(table[:, j].astype(float)) for j in range(width)]], names=["r", "n", *[f"v{j}" for j in range(width)]])
+            yield fitted()
 
-    fitted = texts.mapInArrow(run, "r long, n long, " + ", ".join(f"v{j} double" for j in range(width)))
+    key = F.xxhash64("id", "text")
+    dealt = texts.select("text", F.pmod(key, F.lit(blocks)).alias("block"), key.alias("key")).repartition(blocks, "block").sortWithinPartitions("block", "key")
+    fitted = dealt.select("text", "block").mapInArrow(run, "r long, n long, " + ", ".join(f"v{j} double" for j in range(width)))
     means = fitted.groupBy("r").agg(*[(F.sum(F.col(f"v{j}") * F.col("n")) / F.sum("n")).alias(f"v{j}") for j in range(width)]).toArrow()
     if means.num_rows == 0:
         return model
@@ -289,10 +327,10 @@ def train(texts: DataFrame, sample: DataFrame, lex: Lexicon, warm_epochs: int =
     table = np.stack([means.column(f"v{j}").to_numpy()[by] for j in range(width)], axis=1).astype(np.float32)
     cuts = np.cumsum([0, *sizes])
     near, far, out = (table[cuts[i] : cuts[i + 1]] for i in range(3))
-    return LogBilinear(np.ascontiguousarray(near[:, :DIM]), np.ascontiguousarray(far[:, :DIM]), np.ascontiguousarray(out[:, :DIM]), np.ascontiguousarray(out[:, DIM]))
+    return LogBilinear(*(np.ascontiguousarray(x[:, : shape.dim]) for x in (near, far, out)), np.ascontiguousarray(out[:, shape.dim]), shape)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=lambda i: F.lit(True), head: int = HEAD, warm_docs: int = WARM_DOCS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=lambda i: F.lit(True), head: int = HEAD, warm_docs: int = WARM_DOCS, shape: Shape = Shape()) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Learns from the rows for whose id ``keep`` holds.
@@ -300,11 +338,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     training = slim.where(keep(F.col("id"))).select("id", "text")
-    counts = cut(word_counts(training.select("text")))
-    lex = lexicon(counts, head)
+    counts = cut(word_counts(training.select("text"), shape))
+    lex = lexicon(counts, head, shape)
     ids = cut(training.select("id").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(warm_docs))
     sample = training.join(F.broadcast(ids), "id", "left_semi").select("text")
-    model = train(training.select("text"), sample, lex)
+    model = train(training, sample, lex)
     shared = spark.sparkContext.broadcast((lex, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,13 +353,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at, n, buf, off in slices(batch.column(1), PASS):
                 t = lex.tokens(buf, off)
                 inside = t.count >= 0
-                rare = (t.kind >= VOCAB) & (t.kind < END)
+                rare = (t.kind >= shape.vocab) & (t.kind < shape.end)
                 own = np.where(inside, np.log10(np.maximum(t.count, 0) + SMOOTH), 0.0)
                 base = own - base_norm
-                score = model.log10(t) + np.where(rare, own - rare_norm[np.clip(t.kind - VOCAB, 0, RARE - 1)], 0.0)
+                score = model.log10(t) + np.where(rare, own - rare_norm[np.clip(t.kind - shape.vocab, 0, shape.rare - 1)], 0.0)
                 add = lambda v: np.bincount(t.row, v, minlength=n)
                 tail = np.flatnonzero(~inside)
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(t.row[tail], minlength=n))]).astype(np.int32)
+                # a word that a text repeats is one entry with its number
+                order = tail[np.lexsort((t.hash[tail], t.row[tail]))]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (t.hash[order][1:] != t.hash[order][:-1]) | (t.row[order][1:] != t.row[order][:-1])
+                each = np.flatnonzero(fresh)
+                times = np.diff(np.append(each, len(order)))
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(t.row[order[each]], minlength=n))]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(t.hash[order[each]].view(np.int64)), pa.array(times, pa.int64())], ["word", "times"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, n),
@@ -329,16 +374,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         pa.array(add((inside & (t.count > 0)).astype(float)).astype(np.int64)),
                         pa.array(add(base)),
                         pa.array(add(score)),
-                        pa.ListArray.from_arrays(bounds, pa.array(t.hash[tail].view(np.int64))),
+                        pa.ListArray.from_arrays(bounds, pairs),
                     ],
                     names=["id", "n_tokens", "n_known", "base", "score", "tail"],
                 )
 
     kind = slim.schema["id"].dataType.simpleString()
-    rows = slim.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double, tail array<long>")
+    rows = slim.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<word:long,times:long>>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    tail = rows.select("row", F.explode("tail").alias("word")).join(counts.select("word", "n"), "word", "left")
-    sums = tail.groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs"))
+    tail = rows.select("row", F.explode("tail").alias("x")).select("row", "x.word", "x.times").join(counts.select("word", "n"), "word", "left")
+    sums = tail.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs"))
     out = rows.select("row", "id", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
