@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelstack.llm.decontaminate import drop_contaminated
-from reelstack.llm.mixing import dealt_copies, mixed_documents
+from reelstack.llm.mixing import mixture
 from reelstack.llm.near_dup import drop_near_duplicates
 from reelstack.llm.quality_rules import keep_quality
 from reelstack.llm.shared import cut
@@ -32,8 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The decisions for every document; ``run`` deals the copies."""
-    return mixed_documents(docs)
+    """The mixture: one row per copy taken, dealt to shards and shuffled there."""
+    return mixture(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     The result is the mixture: a row for each copy that mixing takes, dealt to shards and shuffled there.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
-    return dealt_copies(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
