@@ -11,7 +11,7 @@ from reelstack.llm import langid
 from reelstack.llm.decontaminate import decontaminate
 from reelstack.llm.html_extract import extract_text
 from reelstack.llm.lm_score import score_texts
-from reelstack.llm.mixing import dealt_copies, mix_sources, mixed_documents
+from reelstack.llm.mixing import mix_sources, mixture
 from reelstack.llm.near_dup import near_duplicates
 from reelstack.llm.preference import digest, format_preferences, swapped_reply_pairs
 from reelstack.llm.quality_bayes import classify_quality
@@ -60,7 +60,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture itself: whole documents, one row per copy taken."""
-    return dealt_copies(mixed_documents(_read(spark, sf_dir, "documents")))
+    return mixture(_read(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
