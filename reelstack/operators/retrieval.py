@@ -9,9 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelstack.functions.text import tokens
+from reelstack.operators.tables import BROADCAST_ROWS, cut
+
 K1, B = 1.2, 0.75
-#: Bytes of query vectors that a broadcast block may hold; more queries are several blocks.
-BLOCK_QUERIES = 4096
+#: Queries that are multiplied with a batch of vectors at once.
+BLOCK_QUERIES = 1024
+#: Bytes of query vectors that one scan of the vectors may have broadcast; more queries take several scans.
+SCAN_BYTES = 256 << 20
 
 
 def eligible(scene: DataFrame, clip: DataFrame) -> DataFrame:
@@ -31,35 +36,66 @@ def clean_phrases(phrases: Column) -> Column:
     return F.array_distinct(F.filter(phrases, lambda p: (F.size(p) > 0) & ~F.exists(p, lambda t: t.isNull() | (F.trim(t) == ""))))
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """((field, id, term, tf, len), (field, n_docs, avg_len)) of tokenised fields.
+def _counted(rows: DataFrame, keys: list[str], terms: DataFrame | None) -> DataFrame:
+    """(keys, len, term, tf) of rows (keys, tokens): a row of null term for each row with tokens, and the counts of the ``terms`` (all, if none are given).
 
-    Statistics cover the documents that have a token in the field.
+    One pass over the texts: what is not asked for is dropped before anything is shuffled.
     """
+    sized = rows.where("size(tokens) > 0").select(*keys, F.size("tokens").alias("len"), "tokens")
+    each = sized.select(*keys, "len", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    if terms is not None:
+        asked = cut(terms.select("term").distinct())
+        n = asked.count()
+        if n <= BROADCAST_ROWS:
+            each = each.join(F.broadcast(asked.withColumn("_asked", F.lit(True))), "term", "left").where("term is null or _asked").drop("_asked")
+        else:
+            every = sized.select(*keys, "len", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").select(*keys, "len", "term")
+            each = sized.select(*keys, "len", F.lit(None).cast("string").alias("term")).unionByName(every)
+    return cut(each.groupBy(*keys, "len", "term").agg(F.count("*").alias("tf")))
+
+
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], terms: DataFrame | None = None) -> DataFrame:
+    """(field, id, len, term, tf) of tokenised fields, materialised: postings of the terms, and a row of null term for each field that has a token."""
     long = docs.select(F.col(id_col), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), t.alias("tokens")) for f, t in fields.items()])).alias("x"))
-    long = long.select(id_col, "x.field", "x.tokens").where("size(tokens) > 0")
-    stats = long.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    terms = long.select(id_col, "field", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return terms.groupBy("field", id_col, "term", "len").agg(F.count("*").alias("tf")), stats
+    return _counted(long.select(id_col, "x.field", "x.tokens"), ["field", id_col], terms)
 
 
-def bm25_terms(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, Column], max_df: float | None = None) -> DataFrame:
-    """(query_id, id, field, term, score) of each query term found; terms in more than ``max_df`` of a field's documents are left out if given.
+def line_postings(docs: DataFrame, id_col: str, lines: Column, terms: DataFrame) -> DataFrame:
+    """(id, line_no, len, term, tf) of the lines of texts, materialised, from which scores by line and by field of lines are both taken."""
+    each = docs.select(id_col, F.posexplode(lines).alias("line_no", "line")).select(id_col, "line_no", tokens("line").alias("tokens"))
+    return _counted(each, [id_col, "line_no"], terms)
+
+
+def fields_of_lines(post: DataFrame, id_col: str, field: Column) -> DataFrame:
+    """Postings by field, a field being some lines of a text."""
+    named = post.withColumn("field", field)
+    size = named.where("term is null").groupBy("field", id_col).agg(F.sum("len").cast("int").alias("len"))
+    hits = named.where("term is not null").groupBy("field", id_col, "term").agg(F.sum("tf").alias("tf"))
+    found = hits.join(size, ["field", id_col]).select("field", id_col, "len", "term", "tf")
+    return cut(size.select("field", id_col, "len", F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")).unionByName(found))
 
-    Query terms are joined before anything else is aggregated, so only their postings are shuffled.
+
+def bm25_of(post: DataFrame, queries: DataFrame, *keys: str, max_df: float | None = None) -> DataFrame:
+    """(query_id, keys, field, term, score) of each query term found in materialised postings (field, keys, len, term, tf).
+
+    Statistics cover the documents that have a token in the field; terms in more than ``max_df`` of them are left out if given.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    post, stats = postings(docs, id_col, fields)
-    post = post.join(asked.select("term").distinct(), "term", "left_semi")
-    # (tf takes part so that the postings' shuffle is the same for both uses, and is made once)
-    df = post.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    known = df.join(stats, "field")
+    stats = post.where("term is null").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    hits = post.where("term is not null")
+    known = hits.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field")
     if max_df is not None:
         known = known.where(F.col("df") <= max_df * F.col("n_docs"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = post.join(known.withColumn("idf", idf), ["field", "term"])
+    weighed = hits.join(known.withColumn("idf", idf), ["field", "term"])
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return weighed.withColumn("score", score).join(asked, "term").select("query_id", id_col, "field", "term", "score")
+    return weighed.withColumn("score", score).join(asked, "term").select("query_id", *keys, "field", "term", "score")
+
+
+def bm25_terms(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, Column], max_df: float | None = None) -> DataFrame:
+    """(query_id, id, field, term, score) of each query term found, from one pass over the documents."""
+    terms = queries.select(F.explode("terms").alias("term"))
+    return bm25_of(postings(docs, id_col, fields, terms), queries, id_col, max_df=max_df)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, Column], weights: dict[str, float], **options) -> DataFrame:
@@ -136,45 +172,82 @@ def truncated(vector: Column, dimension: int) -> Column:
     return unit(F.slice(vector, 1, dimension))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", max_distance: float | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) places of the ``k`` nearest unit vectors of each query, itself left out; by partial selection, ties at the last place by id."""
+    distance = np.round(1 - q @ v.T, 9)
+    distance[q_ids[:, None] == v_ids[None]] = np.inf
+    last = np.partition(distance, min(k, len(v_ids)) - 1, axis=1)[:, min(k, len(v_ids)) - 1]
+    row, col = np.nonzero((distance <= last[:, None]) & np.isfinite(distance))
+    order = np.lexsort((v_ids[col], distance[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], col[kept], distance[row[kept], col[kept]]
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", max_distance: float | None = None, dimension: int | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of each query by cosine distance; ties by id.
 
-    Queries are collected in blocks of a fixed size and multiplied with each Arrow batch of vectors,
-    which yields at most ``k`` rows a query and batch; blocks of queries are a union, so any number works.
-    Rows with themselves are left out where ids agree. Both tables hold usable vectors of one dimension.
+    The queries are a stated set: their vectors are broadcast in blocks, as many as ``SCAN_BYTES`` hold, and multiplied with
+    each Arrow batch of vectors, which yields at most ``k`` rows a query and batch. Rows with themselves are left out where ids agree.
+    Unusable vectors (null, of another dimension, not finite, zero) match nothing on either side; ``vector_coverage`` tells how many there are.
     """
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").limit(block + 1).collect()]
-    parts = [queries] if len(ids) <= block else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for n in [int(queries.count() // (block // 2)) + 1] for i in range(n)]
-    found = None
-    for part in parts:
-        rows = part.select("query_id", "vector").toPandas()
-        if not len(rows):
-            continue
-        q = np.array(rows["vector"].tolist(), np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        q_ids = rows["query_id"].to_numpy()
-
-        def run(batches: Iterator[pd.DataFrame], q=q, q_ids=q_ids) -> Iterator[pd.DataFrame]:
+    context = vectors.sparkSession.sparkContext
+    if dimension is None:
+        dimension = queries.where("vector is not null").select(F.max(F.size("vector"))).first()[0] or 0
+    usable = vector_reason(F.col("vector"), dimension).isNull()
+    wide = F.transform("vector", lambda x: x.cast("double"))
+    asked = queries.where(usable).select(F.col("query_id").cast("long").alias("query_id"), wide.alias("vector"))
+    rows = vectors.where(usable).select(F.col(id_col).alias("id"), wide.alias("vector"))
+    blocks, held, scans = [], [], []
+
+    def scan(parts: list) -> None:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch):
                     continue
                 v = np.array(batch["vector"].tolist(), np.float64)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
-                distance = np.round(1 - q @ v.T, 9)
-                distance[q_ids[:, None] == batch["id"].to_numpy()[None]] = np.inf
-                order = np.lexsort((np.broadcast_to(batch["id"].to_numpy(), distance.shape), distance), axis=1)[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": batch["id"].to_numpy()[order.ravel()], "distance": np.take_along_axis(distance, order, 1).ravel()})
-                yield out[np.isfinite(out["distance"])]
-
-        near = vectors.select(F.col(id_col).alias("id"), "vector").mapInPandas(run, "query_id long, id long, distance double")
-        found = near if found is None else found.union(near)
-    if found is None:
+                ids = batch["id"].to_numpy()
+                for part in parts:
+                    q_ids, q = part.value
+                    row, col, distance = nearest(q, q_ids, v, ids, k)
+                    yield pd.DataFrame({"query_id": q_ids[row], "id": ids[col], "distance": distance})
+
+        scans.append(rows.mapInPandas(run, "query_id long, id long, distance double"))
+
+    def close_block() -> None:
+        if held:
+            q = np.array([r["vector"] for r in held], np.float64)
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            blocks.append(context.broadcast((np.array([r["query_id"] for r in held]), q)))
+            held.clear()
+        if len(blocks) * BLOCK_QUERIES * dimension * 8 >= SCAN_BYTES:
+            scan(list(blocks))
+            blocks.clear()
+
+    for r in asked.toLocalIterator():
+        held.append(r)
+        if len(held) == BLOCK_QUERIES:
+            close_block()
+    close_block()
+    if blocks:
+        scan(list(blocks))
+    if not scans:
         return vectors.sparkSession.createDataFrame([], f"query_id long, {id_col} long, distance double, rank int")
+    found = scans[0]
+    for other in scans[1:]:
+        found = found.union(other)
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
     return top_k(found.withColumnRenamed("id", id_col), k, F.col("distance"), F.col(id_col))
 
 
+def hits_with_coverage(coverage: DataFrame, hits: DataFrame, key: str = "query_id") -> DataFrame:
+    """Each query's coverage row with its hits; a query without hits keeps its coverage beside nulls."""
+    return coverage.join(hits, key, "left")
+
+
 def vector_coverage(vectors: DataFrame, group: str, dimension: int) -> DataFrame:
     """Per group: rows, and how many vectors are missing, unusable (by reason) and usable."""
     seen = vectors.withColumn("reason", vector_reason(F.col("vector"), dimension))

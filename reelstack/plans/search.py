@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from reelstack.functions.text import tokens
 from reelstack.operators import evaluate as ev
 from reelstack.operators import retrieval as rt
+from reelstack.operators.tables import cut
 from reelstack.plans import sql
 from reelstack.sources import views
 
 GENERIC = ["the", "de", "and"]
+#: Neighbours farther away than this are none.
+MAX_DISTANCE = 0.75
 
 
 def fields() -> dict:
@@ -30,7 +33,7 @@ def lexical(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical(spark, sf_dir, 20).select("query_id", "scene_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+    return lexical(spark, sf_dir).select("query_id", "scene_id", F.round("raw_score", 6).alias("raw_score"), "rank")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,16 +44,19 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_fields_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of fields and of the best line with the bonus for covered terms, all from one pass over the lines."""
     queries, scene = views.search_queries(spark, sf_dir), eligible_scenes(spark, sf_dir)
-    hits = rt.bm25_terms(queries, scene, "scene_id", fields())
+    lines = F.split(F.concat_ws("\n", "caption", "transcript"), "\n")
+    post = rt.line_postings(scene, "scene_id", lines, queries.select(F.explode("terms").alias("term")))
+    by_field = rt.fields_of_lines(post, "scene_id", F.when(F.col("line_no") == 0, "caption").otherwise("transcript"))
+    hits = cut(rt.bm25_of(by_field, queries, "scene_id"))
+    seen = cut(rt.bm25_of(post.withColumn("field", F.lit("line")), queries, "scene_id", "line_no"))
     raw = hits.groupBy("query_id", "scene_id").agg(F.round(F.sum("score"), 9).alias("raw_score"))
-    obs = observations(spark, sf_dir)
-    seen = rt.bm25_terms(queries, obs, "obs_id", {"line": tokens("line")}).withColumn("scene_id", F.split_part("obs_id", F.lit("-"), F.lit(1)).cast("long"))
-    per_obs = seen.groupBy("query_id", "scene_id", "obs_id").agg(F.sum("score").alias("raw_score"))
+    per_obs = seen.groupBy("query_id", "scene_id", "line_no").agg(F.sum("score").alias("raw_score"))
     merged = rt.merged_channels(raw, per_obs, "scene_id", 1.0)
     every = hits.select("query_id", "scene_id", "term").unionByName(seen.select("query_id", "scene_id", "term"))
     ranked = rt.rank_lexical(merged, rt.coverage(every, queries, "scene_id"), "scene_id")
-    top = rt.top_k(ranked, 20, F.desc("rank_score"), F.desc("raw_score"), F.col("scene_id"))
+    top = rt.top_k(ranked, 200, F.desc("rank_score"), F.desc("raw_score"), F.col("scene_id"))
     return top.select("query_id", "scene_id", "matched", F.round("raw_score", 6).alias("raw_score"), F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
@@ -61,9 +67,9 @@ def phrase_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     # neighbouring word pairs of the passage are its phrases; a phrase of query terms only adds nothing
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.slice(words, i, 2))
     phrases = F.filter(rt.clean_phrases(pairs), lambda p: (F.size(F.array_except(p, kept)) > 0) & ~F.forall(p, lambda t: t.isin(GENERIC)))
-    asked = queries.select("query_id", F.slice(phrases, 1, 5).alias("phrases"))
+    asked = queries.select("query_id", phrases.alias("phrases"))
     found = rt.phrase_scores(asked, eligible_scenes(spark, sf_dir), "scene_id", fields())
-    return rt.top_k(found, 20, F.desc("phrase_score"), F.col("scene_id")).select("query_id", "scene_id", "n_phrases", F.round("phrase_score", 5).alias("phrase_score"), "rank")
+    return rt.top_k(found, 200, F.desc("phrase_score"), F.col("scene_id")).select("query_id", "scene_id", "n_phrases", F.round("phrase_score", 5).alias("phrase_score"), "rank")
 
 
 def token_document_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +87,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, vec = vectors(spark, sf_dir)
-    return rt.dense_top_k(queries, vec, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    return rt.dense_top_k(queries, vec, 200, max_distance=MAX_DISTANCE).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +131,7 @@ _METRIC = """
 _HIT = "hit AS (SELECT g.query_id, min(rank) AS hit_rank FROM gold g LEFT JOIN (SELECT * FROM lexical WHERE rank <= 10) l USING (query_id, scene_id) GROUP BY 1)"
 
 ORACLE_SQL = {
-    "bm25_topk": f"WITH {sql.LEXICAL} SELECT query_id, scene_id, round(raw_score, 6) AS raw_score, rank FROM lexical WHERE rank <= 20",
+    "bm25_topk": f"WITH {sql.LEXICAL} SELECT query_id, scene_id, round(raw_score, 6) AS raw_score, rank FROM lexical",
     "bm25_fields_coverage": f"""WITH {sql.LEXICAL},
 obs AS (
   SELECT scene_id, scene_id || '-' || (i - 1) AS obs_id, line FROM (
@@ -142,7 +148,7 @@ r AS (
   FROM merged m LEFT JOIN cov USING (query_id, scene_id) JOIN query q ON q.query_id = m.query_id)
 SELECT query_id, scene_id, matched, round(raw_score, 6) AS raw_score, round(rank_score, 6) AS rank_score,
        row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, raw_score DESC, scene_id) AS rank
-FROM r QUALIFY rank <= 20""",
+FROM r QUALIFY rank <= 200""",
     "phrase_expansion": f"""WITH {sql.ELIGIBLE}, {sql.QUERY},
 w AS (SELECT query_id, terms, {sql.tok('text')} AS w, CASE WHEN len(list_filter(terms, lambda t: t NOT IN ('the', 'de', 'and'))) = 0 THEN terms ELSE list_filter(terms, lambda t: t NOT IN ('the', 'de', 'and')) END AS kept FROM query),
 p0 AS (SELECT query_id, kept, unnest(range(1, greatest(len(w), 2))) AS i, w FROM w),
@@ -150,8 +156,7 @@ p1 AS (SELECT query_id, i, w[i:i+1] AS p, kept FROM p0),
 p2 AS (SELECT query_id, p, min(i) AS i, any_value(kept) AS kept FROM p1 GROUP BY query_id, p),
 p3 AS (
   SELECT query_id, p, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM p2
-  WHERE len(list_filter(p, lambda t: NOT list_contains(kept, t))) > 0 AND len(list_filter(p, lambda t: t NOT IN ('the', 'de', 'and'))) > 0
-  QUALIFY n <= 5),
+  WHERE len(list_filter(p, lambda t: NOT list_contains(kept, t))) > 0 AND len(list_filter(p, lambda t: t NOT IN ('the', 'de', 'and'))) > 0),
 phrase AS (SELECT query_id AS q, query_id || ':' || (n - 1) AS query_id, list_distinct(p) AS terms FROM p3),
 {sql.bm25({'caption': sql.tok('caption'), 'transcript': sql.tok('transcript')}, 'eligible', 'scene_id', query='phrase')},
 f AS (SELECT query_id, scene_id, field, count(*) AS m, sum(score) AS score FROM hits GROUP BY ALL),
@@ -159,11 +164,11 @@ s AS (
   SELECT q AS query_id, scene_id, round(0.3 * sum(score), 9) AS phrase_score, count(DISTINCT f.query_id) AS n_phrases
   FROM f JOIN phrase p ON p.query_id = f.query_id AND m = len(terms) GROUP BY ALL)
 SELECT query_id, scene_id, n_phrases, round(phrase_score, 5) AS phrase_score, row_number() OVER (PARTITION BY query_id ORDER BY phrase_score DESC, scene_id) AS rank
-FROM s QUALIFY rank <= 20""",
+FROM s QUALIFY rank <= 200""",
     "token_document_share": f"""WITH {sql.ELIGIBLE}
 SELECT token, count(*) AS df, round(count(*) / (SELECT count(*) FROM eligible), 6) AS share
 FROM (SELECT DISTINCT scene_id, unnest({sql.tok('caption')}) AS token FROM eligible) GROUP BY 1 ORDER BY df DESC, token LIMIT 50""",
-    "dense_topk": f"WITH {sql.DENSE} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM dense WHERE rank <= 10",
+    "dense_topk": f"WITH {sql.DENSE} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM dense WHERE rank <= 200 AND distance <= 0.75",
     "vector_coverage": """WITH v AS (
   SELECT label, CASE WHEN vec_id % 11 = 0 THEN 'missing' WHEN vec_id % 13 = 0 THEN 'dimension' WHEN vec_id % 7 = 0 THEN 'zero' END AS r FROM embeddings)
 SELECT label, count(*) AS eligible, count(*) FILTER (r = 'missing') AS missing, count(*) FILTER (r <> 'missing') AS unusable, count(*) FILTER (r IS NULL) AS usable,

@@ -23,7 +23,7 @@ def first_distinct(x: str) -> str:
 
 
 QUERY = f"""query AS (
-  SELECT item_id AS query_id, text, {first_distinct('w')}[1:8] AS terms
+  SELECT item_id AS query_id, text, {first_distinct('w')} AS terms
   FROM (SELECT item_id, text, {tok('text')} AS w FROM benchmark))"""
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS scene_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 

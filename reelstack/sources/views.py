@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelstack.functions.text import tokens
+from reelstack.operators.tables import cut, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,19 +39,27 @@ def clips(scene: DataFrame) -> DataFrame:
     )
 
 
-def search_queries(spark: SparkSession, sf_dir: str, terms: int = 8) -> DataFrame:
-    """Benchmark passages as queries: their first distinct words."""
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), "text", F.slice(F.array_distinct(tokens("text")), 1, terms).alias("terms")
-    )
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as queries: all their distinct words."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array_distinct(tokens("text")).alias("terms"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, scene_id): scenes that hold the query's passage."""
+    """(query_id, scene_id): scenes that hold the query's passage.
+
+    A passage may begin or end inside a word of the document, but its inner words are whole words there: the longest of them
+    is the equi-join key, the passage itself the residual. Passages of less than three words are a stated set that is held against all documents.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # whole words that documents and passages share are the equi-join key: a passage's longest word, the passage itself being the residual
-    longest = F.element_at(F.array_sort(F.transform(F.array_distinct(tokens("passage")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = items.withColumn("key", longest).select("item_id", "key", "passage")
-    hit = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("key")).join(keyed, "key").select("doc_id", "item_id", "passage")
-    return hit.join(docs, "doc_id").where(F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("scene_id"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("words", tokens("passage"))
+    inner = F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0)))
+    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
+    keyed = items.where("size(words) > 2").select("item_id", longest.alias("key"), "passage")
+    keys = small(keyed.select("key").distinct())
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("key")).join(keys, "key", "left_semi")
+    hit = held.join(keyed, "key").select("doc_id", "item_id", "passage").join(docs, "doc_id").where(F.contains("text", "passage"))
+    short = cut(items.where("size(words) <= 2 and passage <> ''").select("item_id", "passage"))
+    found = hit.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("scene_id"))
+    if short.count():
+        found = found.unionByName(docs.join(F.broadcast(short), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("scene_id")))
+    return found
