@@ -10,7 +10,9 @@ LAMBDA = 1.0
 
 
 def fuse(channels: dict[str, DataFrame], weights: dict[str, float], structured: DataFrame | None = None, k: float = RRF_K, lam: float = LAMBDA, id_col: str = "scene_id") -> DataFrame:
-    """(query_id, id, a rank per channel, structured, base_score) of every scene in any channel or with a structured score.
+    """(query_id, id, a rank per channel, structured, base_score) of every scene in any channel or that its tags admit.
+
+    ``structured`` (query_id, id, structured, admits) scores all of them; a score that admits nothing adds no scene.
 
     Reciprocal ranks are summed over channels and divided by what first place in every configured channel would give, so
     a channel without rows lowers no one else's scale; an absent rank adds nothing.
@@ -21,12 +23,12 @@ def fuse(channels: dict[str, DataFrame], weights: dict[str, float], structured:
     for c, df in on.items():
         part = df.select("query_id", id_col, F.lit(c).alias("channel"), F.col("rank"))
         long = part if long is None else long.unionByName(part)
-    marked = long.select("query_id", id_col, "channel", "rank", F.lit(0.0).alias("structured"))
+    marked = long.select("query_id", id_col, "channel", "rank", F.lit(0.0).alias("structured"), F.lit(True).alias("admits"))
     if structured is not None:
-        marked = marked.unionByName(structured.select("query_id", id_col, F.lit(None).cast("string").alias("channel"), F.lit(None).cast("int").alias("rank"), F.col("structured").cast("double")))
+        marked = marked.unionByName(structured.select("query_id", id_col, F.lit(None).cast("string").alias("channel"), F.lit(None).cast("int").alias("rank"), F.col("structured").cast("double"), "admits"))
     ranks = {c: F.min(F.when(F.col("channel") == c, F.col("rank"))) for c in on}
     # one aggregation brings the channels side by side
-    wide = marked.groupBy("query_id", id_col).agg(*[r.alias(f"{c}_rank") for c, r in ranks.items()], F.max("structured").alias("structured"))
+    wide = marked.groupBy("query_id", id_col).agg(*[r.alias(f"{c}_rank") for c, r in ranks.items()], F.max("structured").alias("structured"), F.bool_or("admits").alias("admits")).where("admits").drop("admits")
     total = sum((F.coalesce(weights[c] / (k + F.col(f"{c}_rank")), F.lit(0.0)) for c in on), F.lit(0.0))
     return wide.withColumn("base_score", F.round(total / ceiling + lam * F.col("structured"), 9))
 
@@ -82,6 +84,21 @@ def date_guard(candidates: DataFrame, windows: DataFrame, tags: DataFrame, id_co
     return per.select("query_id", id_col, "field", F.when(F.col("hit"), "match").when(F.col("dated"), "conflict").otherwise("unknown").alias("judgement"))
 
 
+def without_conflicts(ranked: DataFrame, judged: DataFrame, id_col: str = "scene_id") -> DataFrame:
+    """Ranked rows without those for which a stated window's field conflicts."""
+    return ranked.join(judged.where("judgement = 'conflict'").select("query_id", id_col).distinct(), ["query_id", id_col], "left_anti")
+
+
+def active_exclusions(searches: DataFrame, rules: DataFrame, id_col: str = "scene_id") -> DataFrame:
+    """(query_id, id) that exclusion rules leave out of searches: fingerprint, normalised query, version and canonical filters must all agree, nulls being equal."""
+    keys = ("fingerprint", "normalized_query", "version", "filters")
+    rule = rules.where("active").select(*[F.col(k).alias(f"_{k}") for k in keys], id_col)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return searches.join(rule, same).select("query_id", id_col).distinct()
+
+
 def ranked_diff(control: DataFrame, treatment: DataFrame, excluded: DataFrame | None = None, guarded: DataFrame | None = None, id_col: str = "scene_id") -> DataFrame:
     """(query_id, id, change, cause) of two ranked lists: entered, dropped or moved rows; a drop is caused by an exclusion, the guard or the score."""
     keys = ["query_id", id_col]
@@ -103,3 +120,13 @@ def shortage_reasons(returned: Column, candidates: Column, excluded: Column, gua
         )
     )
     return F.when(returned >= size, "").otherwise(F.array_join(reasons, ","))
+
+
+def explanation(terms: Column, caption: Column, transcript: Column) -> dict[str, Column]:
+    """The query's terms that each field holds, the field that speaks for the scene, and, if none does, the text that stands in for it."""
+    from reelstack.functions.text import blank_to_null, tokens
+
+    held = lambda c: F.array_join(F.array_sort(F.array_intersect(terms, tokens(c))), " ")
+    evidence = F.when(held(caption) != "", "caption").when(held(transcript) != "", "transcript").otherwise("none")
+    stand_in = F.when(evidence == "none", F.coalesce(F.when(blank_to_null(caption).isNotNull(), caption), F.when(blank_to_null(transcript).isNotNull(), transcript)))
+    return {"in_caption": held(caption), "in_transcript": held(transcript), "evidence": evidence, "stand_in": stand_in}

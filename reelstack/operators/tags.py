@@ -64,25 +64,78 @@ def condition_matches(conditions: DataFrame, tags: DataFrame) -> DataFrame:
     return exact.unionByName(caseless).unionByName(ranged).distinct()
 
 
+#: Axes that score but admit no scene of their own.
+DATE_AXES = ("broadcast_date", "filmed_date")
+
+
+def match_key(value: Column) -> Column:
+    """Values are the same if they agree without white space, in small letters."""
+    return F.regexp_replace(F.lower(value), r"\s", "")
+
+
+def query_conditions(resolved: DataFrame) -> DataFrame:
+    """(query_id, axis, tag_type, kind, value, upper, condition_id) of resolved queries, each once by type and normalised value.
+
+    ``resolved``: query_id, axis, tag_type, value, upper (null but for date windows). Values that are empty ask for nothing; equal names of two
+    types are two conditions.
+    """
+    ranged = F.col("upper").isNotNull()
+    clean = resolved.withColumn("value", F.when(ranged, F.col("value")).otherwise(match_key(F.col("value")))).where("value <> ''")
+    once = clean.dropDuplicates(["query_id", "axis", "tag_type", "value", "upper"])
+    return once.withColumns({"kind": F.when(ranged, "range").otherwise("caseless"), "condition_id": F.concat_ws("|", "tag_type", "value", "upper")})
+
+
 def structured_scores(conditions: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, scene_id, structured): matched share of each requested axis, weighted over the requested axes only."""
+    """(query_id, scene_id, structured, admits): matched share of each requested axis, weighted over the requested axes only; whether an axis other than a date's matched."""
     weight = F.create_map(*[F.lit(x) for a, w in weights.items() for x in (a, float(w))])
     requested = conditions.groupBy("query_id", "axis").agg(F.countDistinct("condition_id").alias("requested")).withColumn("weight", F.coalesce(weight[F.col("axis")], F.lit(0.0)))
     total = requested.groupBy("query_id").agg(F.sum("weight").alias("total"))
     matched = matches.groupBy("query_id", "scene_id", "axis").agg(F.countDistinct("condition_id").alias("matched"))
     part = matched.join(requested, ["query_id", "axis"]).join(total, "query_id")
-    return part.groupBy("query_id", "scene_id").agg(F.round(F.sum(F.col("matched") / F.col("requested") * F.col("weight") / F.col("total")), 9).alias("structured"))
+    share = F.col("matched") / F.col("requested") * F.col("weight") / F.col("total")
+    return part.groupBy("query_id", "scene_id").agg(F.round(F.sum(share), 9).alias("structured"), F.bool_or(~F.col("axis").isin(*DATE_AXES)).alias("admits"))
+
 
+def noun_runs(words: Column, noun) -> Column:
+    """array<array<string>>: the maximal runs of words for which ``noun`` holds, in order."""
+    none = F.array().cast("array<array<string>>")
+    start = F.struct(none.alias("runs"), F.lit(False).alias("open"))
 
-def keyword_conditions(query_nouns: Column, expansion: Column, stop: list[str], cap: int = 12) -> Column:
-    """Keyword conditions of a query: its nouns and neighbouring joins of two and three, without stop words, then expansions, up to the cap."""
+    def step(acc: Column, w: Column) -> Column:
+        size = F.size(acc["runs"])
+        longer = F.concat(F.slice(acc["runs"], F.lit(1), F.greatest(size - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc["runs"], F.lit(-1)), F.array(w))))
+        opened = F.concat(acc["runs"], F.array(F.array(w)))
+        return F.when(noun(w), F.struct(F.when(acc["open"], longer).otherwise(opened).alias("runs"), F.lit(True).alias("open"))).otherwise(F.struct(acc["runs"].alias("runs"), F.lit(False).alias("open")))
+
+    return F.aggregate(words, start, step, lambda acc: acc["runs"])
+
+
+def run_joins(runs: Column, longest: int = 3) -> Column:
+    """Distinct joins of one to ``longest`` neighbouring words of each run, run by run, shorter ones first."""
     from reelstack.functions.text import ngram_join
 
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: F.concat(*[ngram_join(run, n) for n in range(1, longest + 1)]))))
+
+
+def keyword_conditions(query_runs: Column, expansion: Column, stop: list[str], cap: int = 12) -> Column:
+    """Keyword conditions of a query: joins of one to three words inside its noun runs, without stop words, then expansions, up to the cap."""
     kept = lambda c: F.filter(c, lambda w: ~w.isin(stop))
-    own = kept(F.array_distinct(F.concat(query_nouns, ngram_join(query_nouns, 2), ngram_join(query_nouns, 3))))
+    own = kept(run_joins(query_runs))
     return F.slice(F.concat(own, F.array_except(kept(expansion), own)), 1, cap)
 
 
+def admitted_phrases(phrases: DataFrame, values: DataFrame, id_col: str = "scene_id") -> DataFrame:
+    """(query_id, id, n): how many of a query's phrases a scene's tag values admit, each noun run of the phrase being covered whole.
+
+    ``phrases``: query_id, phrase_no, runs array<array<string>>; ``values``: id, value. Scenes meet a phrase by the joins of its
+    runs' words, so only scenes that hold one of them are looked at.
+    """
+    each = phrases.where("size(runs) > 0").withColumn("value", F.explode(run_joins(F.col("runs"))))
+    met = each.join(values, "value").groupBy("query_id", "phrase_no", id_col).agg(F.collect_set("value").alias("held"), F.first("runs").alias("runs"))
+    whole = met.where(F.forall("runs", lambda run: covered_by(run, F.col("held"))))
+    return whole.groupBy("query_id", id_col).agg(F.count("*").alias("n"))
+
+
 def keyword_bonus(matched: Column, requested: Column, weight: float = 0.2) -> Column:
     return F.when(requested > 0, weight * matched / requested).otherwise(0.0)
 
