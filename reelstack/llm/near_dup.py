@@ -181,23 +181,24 @@ def _outside(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return rows.select("hub", "rep", "n", "t", "th").mapInArrow(run, "hub long, rep long, n long, inside long, outside array<long>")
 
 
-def _meeting_keys(duo: DataFrame, percent: int) -> DataFrame:
-    """(hub, key, rep, n, most): keys of which two members of one hub that reach the similarity share at least one; ``most`` bounds what a member shares.
+def _meeting_keys(duo: DataFrame, each: DataFrame, percent: int) -> DataFrame:
+    """(hub, key, rep, n, component, inside, out): keys of which two members of one hub, in different components, that reach the similarity share at least one.
 
-    Such a pair has at least p times a member's shingles in common, of which ``inside`` at most lie inside the hub. If that leaves
-    ``t`` > 0 for the outside, the pair shares one of the member's rarest outside shingles, all but the ``t - 1`` most frequent ones. Members with
-    nothing left to share outside have all outside shingles as keys, and two classes of size: sizes that are within p of each other meet in one.
+    ``each`` has the members' shingles outside the hub. Such a pair has at least p times a member's shingles in common, of which ``inside`` at most lie
+    inside the hub, so ``t`` at least are outside shingles that other components have too (``out``: how many a member has of those). With ``t`` > 0 the pair
+    shares one of the member's rarest, all but the ``t - 1`` most frequent ones. Members with nothing left to share outside have all of them as keys, and
+    two classes of size: sizes that are within p of each other meet in one, to share what lies inside the hub.
     """
     left = F.ceil(F.col("n") * percent / 100) - F.col("inside")
-    each = duo.select("hub", "rep", "n", "inside", left.alias("t"), F.size("outside").alias("out"), F.explode("outside").alias("key"))
-    # (what one member alone has joins nothing, but counts as rarest)
-    often = cut(each.withColumn("often", F.count("*").over(Window.partitionBy("hub", "key"))))
+    often = each.groupBy("hub", "key").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "key", "often")
+    met = cut(each.join(often, ["hub", "key"]))
+    able = met.groupBy("hub", "rep").agg(F.count("*").alias("out"), F.first(left).alias("t")).where("out >= t")
     rarest = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("often", "key"))
-    prefix = often.withColumn("place", rarest).where((F.col("often") > 1) & (F.col("place") <= F.col("out") - F.greatest(F.col("t"), F.lit(1)) + 1))
+    prefix = met.join(able, ["hub", "rep"]).withColumn("place", rarest).where(F.col("place") <= F.col("out") - F.greatest(F.col("t"), F.lit(1)) + 1)
     step = F.floor(F.log(F.col("n")) / F.lit(-math.log(percent / 100)))
-    sized = duo.where(left <= 0).select("hub", F.explode(F.array(step, step + 1)).alias("step"), "rep", "n", "inside", F.size("outside").alias("out"))
-    parts = [prefix.select("hub", "key", "rep", "n", "inside", "out"), sized.select("hub", F.xxhash64(F.lit("size"), "step").alias("key"), "rep", "n", "inside", "out")]
-    return parts[0].union(parts[1])
+    sized = duo.where(left <= 0).select("hub", F.explode(F.array(step, step + 1)).alias("step"), "rep", "n", "component", "inside")
+    columns = ["hub", "key", "rep", "n", "component", "inside", "out"]
+    return prefix.select(*columns).union(sized.withColumns({"key": F.xxhash64(F.lit("size"), "step"), "out": F.lit(0).cast("long")}).select(*columns))
 
 
 def _candidates(keyed: DataFrame, turn: int, last: bool, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -279,10 +280,12 @@ def near_duplicates(
     duo = cut(left.where("rep <> hub").select("hub", "rep", "n").distinct())
     open_ids = cut(duo.select(F.col("rep").alias("id")).union(duo.select("hub")).distinct())
     open_texts = slim.join(small(open_ids, open_ids.count()), "id", "left_semi")
-    keys = cut(_meeting_keys(cut(_outside(duo, open_texts, width)), percent))
+    apart = cut(_outside(duo, open_texts, width))
     for turn in range(TURNS + 1):
         named = label.withColumnRenamed("node", "rep")
-        keyed = keys.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = cut(apart.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+        each = now.select("hub", "rep", "n", "component", "inside", F.explode("outside").alias("key"))
+        keyed = cut(_meeting_keys(now.drop("outside"), each, percent))
         pairs, large = _candidates(keyed, turn, turn == TURNS, percent)
         fresh = cut(pairs.join(asked, ["a", "b"], "left_anti"))
         found = cut(_verified(fresh, open_texts, width, percent))
