@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,21 +31,22 @@ def _casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
-def _ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.length(c)
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"[\s\p{Z}]|[\p{Cf}&&[^\x{200C}\x{200D}]]", "")
 
 
-def match_value(value: Column | str) -> Column:
-    """NFKC without white space and format characters (joiners stay), twice normalised; ASCII stays in the JVM."""
-    v = _col(value)
-    bare = lambda c: F.regexp_replace(c, r"[\s\p{Z}]|[\p{Cf}&&[^\x{200C}\x{200D}]]", "")
-    return F.when(_ascii(v), F.regexp_replace(v, r"\s", "")).otherwise(_nfkc(bare(_nfkc(v))))
+def normalised(df: DataFrame, column: str, match: str | None = None, comparison: str | None = None) -> DataFrame:
+    """Add a match value and/or a comparison text of a column, under the names given.
 
-
-def comparison_text(value: Column | str) -> Column:
-    """NFKC, case-folded, without white space: equal texts read alike."""
-    v = _col(value)
-    return F.when(_ascii(v), F.regexp_replace(F.lower(v), r"\s", "")).otherwise(F.regexp_replace(_casefold(v), r"[\s\p{Z}]", ""))
+    The match value is NFKC without white space and format characters (joiners stay), twice normalised; texts whose comparison
+    texts are equal read alike: NFKC, case-folded, without white space. Rows of ASCII text (and nulls) never leave the JVM: only the others
+    pass through Python, as the second part of a union.
+    """
+    c, ascii_only = F.col(column), F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
+    made = lambda m, k: {n: e for n, e in ((match, m), (comparison, k)) if n}
+    plain = df.where(ascii_only).withColumns(made(F.regexp_replace(c, r"\s", ""), F.regexp_replace(F.lower(c), r"\s", "")))
+    wide = df.where(~ascii_only).withColumns(made(_nfkc(_bare(_nfkc(c))), F.regexp_replace(_casefold(c), r"[\s\p{Z}]", "")))
+    return plain.unionByName(wide)
 
 
 def blank_to_null(value: Column | str) -> Column:
@@ -77,7 +78,7 @@ def fingerprint(*fields: Column | str) -> Column:
 def canonical_filters(filters: Column) -> Column:
     """Map of filter name to values: values trimmed, lower-cased, distinct and sorted, empty lists gone, names sorted."""
     clean = F.transform_values(filters, lambda _, v: F.array_sort(F.array_distinct(F.filter(F.transform(v, lambda x: F.lower(F.trim(x))), lambda x: x != ""))))
-    return F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(clean, lambda _, v: F.size(v) > 0))))
+    return F.map_from_entries(ordered_keys(F.map_entries(F.map_filter(clean, lambda _, v: F.size(v) > 0))))
 
 
 def text_key(token_list: Column, raw: Column | str) -> Column:
@@ -119,6 +120,39 @@ def utf16_length(text: Column | str) -> Column:
     return (F.octet_length(F.encode(_col(text), "UTF-16BE")) / 2).cast("long")
 
 
+def utf16_index(text: Column | str, at: Column) -> Column:
+    """Index in UTF-16 units of the code point at ``at``."""
+    return utf16_length(F.substring(_col(text), F.lit(1), at.cast("int")))
+
+
+def code_point_index(text: Column | str, unit: Column) -> Column:
+    """Code points before a UTF-16 unit; a unit inside a pair counts as after it."""
+    raw = F.encode(_col(text), "UTF-16BE")
+    return F.length(F.decode(F.substring(raw, F.lit(1), (2 * unit).cast("int")), "UTF-16BE")).cast("long")
+
+
+def occurrences(text: Column | str, value: Column | str) -> Column:
+    """Starts of all matches of a value in a text that do not overlap, in code points from 0."""
+    t, v = _col(text), _col(value)
+    pieces = F.split(t, F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + F.length(v)).alias("at"), F.concat(acc["found"], F.array((acc["at"] + F.length(x)).cast("long"))).alias("found"))
+    found = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["found"])
+    return F.when(F.length(v) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def ordered_keys(entries: Column) -> Column:
+    """Map entries in the order of their keys' UTF-16 units."""
+    keyed = F.transform(entries, lambda e: F.struct(F.encode(e["key"], "UTF-16BE").alias("unit"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.transform(F.array_sort(keyed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
+def version_id(schema: Column, settings: Column) -> Column:
+    """``schema:`` and the first eight digits of the hash of the settings (a map of text to text) as JSON with sorted keys."""
+    text = F.to_json(F.map_from_entries(ordered_keys(F.map_entries(settings))))
+    return F.concat(schema, F.lit(":"), F.substring(F.sha2(text.cast("binary"), 256), 1, 8))
+
+
 def ngram_join(words: Column, n: int) -> Column:
     """Neighbouring ``n`` words joined without a gap."""
     count = F.size(words) - n + 1

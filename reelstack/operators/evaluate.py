@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +49,21 @@ def multi_answer_metrics(relevant: DataFrame, ranked: DataFrame, k: int, doc_col
     )
 
 
-def paired_bootstrap(pairs: DataFrame, id_col: str, left: str, right: str, resamples: int = 200) -> DataFrame:
+#: Cumulative probabilities of 0 to 7 draws of one row in a resample as large as the table (Poisson of mean 1); more are as rare as 1e-6.
+DRAWS = tuple(sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(8))
+
+
+def paired_bootstrap(pairs: DataFrame, id_col: str, left: str, right: str, resamples: int = 10_000) -> DataFrame:
     """Mean difference ``right - left`` with its 2.5 and 97.5 percentiles over resamples, and wins, ties and losses.
 
-    A resample draws as many positions as there are rows, each by a hash of resample and position, so reruns agree.
-    Draws are an equi-join of hashed positions with the rows, in one grouped aggregation a resample.
+    In each resample a row is drawn as often as a hash of resample and id says, by the Poisson distribution that draws from a large table tend to:
+    rows need no numbers, reruns agree, and a task adds up its rows by resample before anything is shuffled.
     """
-    spark = pairs.sparkSession
-    rows = pairs.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id_col)) - 1).select("pos", (F.col(right) - F.col(left)).alias("d"))
-    n = rows.count()
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
-    key = F.concat_ws(":", "b", "i")
-    draws = draws.withColumn("pos", F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1))
-    means = draws.join(rows, "pos").groupBy("b").agg(F.avg("d").alias("m"))
+    rows = pairs.select(F.col(id_col).alias("id"), (F.col(right) - F.col(left)).alias("d"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "id").cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    times = sum((F.when(draw >= c, 1).otherwise(0) for c in DRAWS), F.lit(0))
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", times).where("w > 0")
+    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
     spread = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
     whole = rows.agg(
         F.count("*").alias("n"),
@@ -73,13 +77,25 @@ def paired_bootstrap(pairs: DataFrame, id_col: str, left: str, right: str, resam
 
 
 def set_scores(gold: Column, found: Column, optional: Column) -> dict[str, Column]:
-    """Per-row precision, recall and F1 of slot sets; optional slots count neither for nor against."""
-    tp = F.size(F.array_intersect(gold, found))
-    judged = F.size(F.array_except(found, optional))
-    p = F.when(judged > 0, tp / judged).otherwise(F.when(F.size(gold) == 0, 1.0).otherwise(0.0))
-    r = F.when(F.size(gold) > 0, tp / F.size(gold)).otherwise(1.0)
+    """Per-row counts and precision, recall, F1 of slot sets: optional slots are allowed and not asked for; a side that is empty counts as right."""
+    allowed = F.size(F.array_intersect(found, F.array_union(gold, optional)))
+    hit = F.size(F.array_intersect(gold, found))
+    p = F.when(F.size(found) > 0, allowed / F.size(found)).otherwise(1.0)
+    r = F.when(F.size(gold) > 0, hit / F.size(gold)).otherwise(1.0)
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return {"precision": p, "recall": r, "f1": f, "exact": F.size(F.array_except(gold, found)) + F.size(F.array_except(F.array_except(found, optional), gold)) == 0}
+    return {"precision": p, "recall": r, "f1": f, "allowed": allowed, "hit": hit, "n_found": F.size(found), "n_gold": F.size(gold)}
+
+
+def slot_flags(intent: Column, gold_intent: Column, gold: Column, found: Column, optional: Column, forbidden: list[str], explicit: Column, text_words: Column) -> dict[str, Column]:
+    """Per-row verdicts: ``frame`` (intent and all slots right), ``leak`` (a slot holds a forbidden phrase), ``hallucination`` (a slot given as explicit is not in the text)."""
+    frame = (intent == gold_intent) & (F.size(F.array_except(gold, found)) == 0) & (F.size(F.array_except(found, F.array_union(gold, optional))) == 0)
+    leak = F.exists(found, lambda v: F.exists(F.array(*map(F.lit, forbidden)), lambda w: F.contains(v, w)))
+    return {"frame": frame, "leak": leak, "hallucination": F.size(F.array_except(explicit, text_words)) > 0}
+
+
+def span_exact_rate(spans: Column, corrected: Column) -> Column:
+    """Share of spans that needed no correction, over all rows; null without spans."""
+    return F.round((F.sum(spans) - F.sum(corrected)) / F.nullif(F.sum(spans), F.lit(0)), 6)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -101,3 +117,20 @@ def overlap_band(query: Column, caption: Column) -> Column:
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     share = F.size(F.array_intersect(grams(query), grams(caption))) / F.size(grams(query))
     return F.when(F.length(caption) == 0, "empty").when(share == 0, "none").when(share < 0.25, "low").otherwise("high")
+
+
+def entity_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of counts and shares of found entities (clip_id, scene_id, type, key) against gold ones.
+
+    ``strict`` ones are gold in their scene, ``attributable`` ones in their clip, ``outside`` ones nowhere in it; recall is over all gold
+    entities and over those of scenes that were answered at all.
+    """
+    keys = ["clip_id", "scene_id", "type", "key"]
+    marked = found.join(gold.select(keys).distinct().withColumn("hit", F.lit(True)), keys, "left")
+    marked = marked.join(gold.select("clip_id", "type", "key").distinct().withColumn("near", F.lit(True)), ["clip_id", "type", "key"], "left")
+    asked = gold.join(found.select(keys).distinct().withColumn("hit", F.lit(True)), keys, "left")
+    asked = asked.join(found.select("clip_id", "scene_id").distinct().withColumn("answered", F.lit(True)), ["clip_id", "scene_id"], "left")
+    left = marked.agg(F.count("*").alias("found"), F.count_if("hit").alias("strict"), F.count_if("near").alias("attributable"), F.count_if(F.col("near").isNull()).alias("outside")).withColumn("one", F.lit(1))
+    right = asked.agg(F.count("*").alias("gold"), F.count_if("hit").alias("recalled"), F.count_if("answered").alias("answered")).withColumn("one", F.lit(1))
+    shares = {"strict_precision": ("strict", "found"), "attributable_precision": ("attributable", "found"), "recall": ("recalled", "gold"), "answered_recall": ("recalled", "answered")}
+    return left.join(right, "one").drop("one").withColumns({k: ratio(F.col(a), F.col(b)) for k, (a, b) in shares.items()})

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelstack.functions.text import comparison_text, text_key, tokens
+from reelstack.functions.text import normalised, text_key, tokens
 
 RATIO_FLOOR = 0.34
 THRESHOLDS = (1.0, 0.95, 0.9, 0.85, 0.8)
@@ -31,7 +31,7 @@ def merged(observed: DataFrame, scene: str = "scene_id", frame: str = "frame", i
     A text that a frame holds twice is ambiguous: those observations stay apart, each a group of its own.
     The representative is the most confident observation, the earliest on a tie.
     """
-    keyed = observed.withColumn("same", comparison_text("raw_text"))
+    keyed = normalised(observed, "raw_text", comparison="same")
     per_frame = keyed.groupBy(scene, "same", frame).agg(F.count("*").alias("n")).groupBy(scene, "same").agg((F.max("n") > 1).alias("ambiguous"))
     marked = keyed.join(per_frame, [scene, "same"]).withColumn("part", F.when(F.col("ambiguous"), F.col(ident)))
     best = F.max_by(F.col(ident), F.struct(F.col("confidence"), -F.col(frame), F.col(ident)))
@@ -185,7 +185,7 @@ def merged_at(observed: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -
     Threshold 1 merges equal texts only. Below, texts with the same numbers and the same punctuation are compatible
     from that matching-block ratio on. ``group_id`` is the group's most confident observation, the earliest on a tie.
     """
-    rows = observed.select("scene_id", "frame", "obs_id", "confidence", comparison_text("raw_text").alias("same"))
+    rows = normalised(observed, "raw_text", comparison="same").select("scene_id", "frame", "obs_id", "confidence", "same")
 
     def run(scene: pd.DataFrame) -> pd.DataFrame:
         scene = scene.sort_values(["frame", "obs_id"], ignore_index=True)
@@ -201,9 +201,36 @@ def merged_at(observed: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -
     return rows.groupBy("scene_id").applyInPandas(run, "threshold double, scene_id long, obs_id long, group_id long")
 
 
-def outcome(label: Column, seen: Column) -> Column:
-    """``exact``, ``misread`` or ``miss`` of a label's matched text."""
-    return F.when(seen.isNull(), "miss").when(comparison_text(label) == comparison_text(seen), "exact").otherwise("misread")
+def outcome(score: Column) -> Column:
+    """``exact``, ``misread`` or ``miss`` of a label by its match's score."""
+    return F.when(score.isNull(), "miss").when(score >= 1 - 1e-9, "exact").otherwise("misread")
+
+
+def reach(label_tokens: Column, seen_tokens: Column) -> Column:
+    """Whether a label can be found by its tokens: ``unsearchable`` without tokens, ``reachable`` if what was read holds all of them, else ``lost``."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size(label_tokens) == 0, "unsearchable").when(F.size(F.array_except(label_tokens, F.coalesce(seen_tokens, none))) == 0, "reachable").otherwise("lost")
+
+
+def stray_tokens(lines: DataFrame, group: list[str]) -> DataFrame:
+    """(group, stray): tokens read in a frame that none of its labels has. ``lines`` as for ``matched_lines``."""
+    all_of = lambda ident, text: F.array_distinct(F.flatten(F.collect_list(F.when(F.col(ident).isNotNull(), tokens(text)))))
+    per = lines.groupBy(*group).agg(all_of("label_id", "label").alias("gold"), all_of("obs_id", "raw_text").alias("seen"))
+    return per.select(*group, F.array_sort(F.array_except("seen", "gold")).alias("stray"))
+
+
+def case_status(expected: Column, reported: Column, best: Column, floor: float = RATIO_FLOOR) -> Column:
+    """State of a reported misreading, from the observation nearest to what is expected: ``fixed``, ``reproduced``, ``changed`` or ``absent``."""
+    like = lambda a, b: F.coalesce(similarity(a, b), F.lit(0.0))
+    now = like(expected, best)
+    return F.when(now < floor, "absent").when(now >= 1 - 1e-9, "fixed").when(like(reported, best) >= 1 - 1e-9, "reproduced").otherwise("changed")
+
+
+def nearest_observation(cases: DataFrame, observed: DataFrame, group: list[str]) -> DataFrame:
+    """Cases (group, case_id, expected, reported) with ``best``, the text observed in their group that is most like what is expected."""
+    pairs = cases.join(observed.select(*group, "obs_id", "raw_text"), group, "left").withColumn("like", similarity(F.col("expected"), F.col("raw_text")))
+    best = pairs.groupBy("case_id").agg(F.max(F.struct("like", (-F.col("obs_id")).alias("o"), "raw_text")).alias("x"))
+    return cases.join(best, "case_id").withColumn("best", F.col("x.raw_text")).drop("x")
 
 
 def pair_confusion(pairs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -58,6 +58,11 @@ def absent(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin(*ABSENT) | (F.trim(value) == ""), F.lit(True))
 
 
+def empty_shape(value: Column) -> Column:
+    """Whether a value is an empty list, object or string as a model writes it: no word for nothing, but nothing."""
+    return F.coalesce(F.trim(value).isin("[]", "{}", '""', '[""]', "[null]"), F.lit(False))
+
+
 def validated(outputs: DataFrame, types: list[str], most: int) -> DataFrame:
     """Scenes with ``accepted`` and ``reason``: a scene is rejected whole for a type outside the vocabulary, evidence that is not among its labels, or too many values.
 

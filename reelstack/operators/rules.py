@@ -12,15 +12,25 @@ def flip(active: DataFrame, retired: DataFrame, added: DataFrame, keys: list[str
 
 
 def normalised_query(words: Column, aliases: Column, stop: list[str]) -> Column:
-    """Sorted distinct words of a query: aliases resolved (a map column), stop words gone."""
-    folded = F.transform(words, lambda w: F.coalesce(aliases[w], w))
+    """Sorted distinct words of a query: case folded, aliases resolved (a map column), stop words gone."""
+    folded = F.transform(words, lambda w: F.coalesce(aliases[F.lower(w)], F.lower(w)))
     return F.array_sort(F.array_distinct(F.filter(folded, lambda w: ~w.isin(stop))))
 
 
-def rekeyed(rules: DataFrame, stored: str, recomputed: Column, usable: Column) -> DataFrame:
-    """Add ``new_key`` and ``status`` of stored rules whose key is computed anew: ``skipped`` if unusable, else ``changed`` or ``unchanged``."""
-    status = F.when(~usable, "skipped").when(recomputed.eqNullSafe(F.col(stored)), "unchanged").otherwise("changed")
-    return rules.withColumn("new_key", F.when(usable, recomputed)).withColumn("status", status)
+def with_synonyms(normalised: Column, synonyms: Column) -> Column:
+    """A normalised query with the synonyms of its words (a map of word to words) behind it, for word search only."""
+    return F.array_union(normalised, F.flatten(F.transform(normalised, lambda w: F.coalesce(synonyms[w], F.array().cast("array<string>")))))
+
+
+def rekeyed(rules: DataFrame, stored: str, verified: Column, recomputed: Column, usable: Column) -> DataFrame:
+    """Add ``new_key`` and ``status`` of stored rules whose key is computed anew.
+
+    A stored key must first be what the old rules of normalisation give (``verified``): else it is a ``mismatch`` and keeps its key. Then
+    ``skipped`` if unusable, else ``changed`` or ``unchanged``.
+    """
+    right = verified.eqNullSafe(F.col(stored))
+    status = F.when(~right, "mismatch").when(~usable, "skipped").when(recomputed.eqNullSafe(F.col(stored)), "unchanged").otherwise("changed")
+    return rules.withColumn("new_key", F.when(right & usable, recomputed)).withColumn("status", status)
 
 
 #: What a rule may ask of a slot's values, as a predicate of (values, argument).
@@ -29,6 +39,7 @@ CONDITIONS = {
     "is_empty": lambda values, arg: F.size(values) == 0,
     "is_not_empty": lambda values, arg: F.size(values) > 0,
     "equals": lambda values, arg: F.array_sort(values) == F.array(arg),
+    "has_type": lambda values, arg: F.exists(values, lambda v: F.split_part(v, F.lit(":"), F.lit(1)) == arg),
 }
 
 
@@ -37,8 +48,9 @@ def applied_rules(slots: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``slots``: query_id, slot, values array<string>, protected; ``rules``: rule_id, query_key (as the slots'), slot, condition, cond_arg,
     operation (set, unset, add, remove), arg, priority. A rule applies if its condition holds on the slot as it
-    came. If several rules set or unset one slot, the one of highest priority (then lowest id) wins and the others are conflicts; additions
-    and removals all apply. Slots that the user filled in are protected. Returns the slots with
+    came; typed values are written ``type:value``. Rules on one slot that cannot both hold are a conflict group: those that set or unset it, and
+    those that add or remove the same value. The operation of the rule of highest priority (then lowest id) wins, rules of the group with another
+    operation or value are conflicts. Slots that the user filled in are protected. Returns the slots with
     ``applied`` and ``conflicts`` (sorted rule ids).
     """
     joined = slots.join(rules.withColumnRenamed("query_key", "query_id"), ["query_id", "slot"])
@@ -46,8 +58,10 @@ def applied_rules(slots: DataFrame, rules: DataFrame) -> DataFrame:
     for name, test in CONDITIONS.items():
         holds = holds | ((F.col("condition") == name) & test(F.col("values"), F.col("cond_arg")))
     fired = joined.where(holds & ~F.col("protected")).withColumn("exclusive", F.col("operation").isin("set", "unset"))
-    turn = Window.partitionBy("query_id", "slot", "exclusive").orderBy(F.desc("priority"), "rule_id")
-    fired = fired.withColumn("loses", F.col("exclusive") & (F.row_number().over(turn) > 1))
+    fired = fired.withColumn("claim", F.when(F.col("exclusive"), F.lit("")).otherwise(F.concat(F.lit("v"), "arg")))
+    turn = Window.partitionBy("query_id", "slot", "claim").orderBy(F.desc("priority"), "rule_id")
+    wins = F.struct("operation", "arg")
+    fired = fired.withColumn("loses", wins != F.first(wins).over(turn))
     pick = lambda op: F.array_sort(F.array_compact(F.collect_set(F.when((F.col("operation") == op) & ~F.col("loses"), F.col("arg")))))
     ids = lambda cond: F.array_sort(F.array_compact(F.collect_set(F.when(cond, F.col("rule_id")))))
     per = fired.groupBy("query_id", "slot").agg(
@@ -66,8 +80,20 @@ def applied_rules(slots: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def anchored(text: Column, value: Column, start: Column) -> dict[str, Column]:
-    """Where a claimed value really stands in a text: ``kept`` at its claimed place, ``moved`` to the first one, or ``demoted`` if it is nowhere."""
+    """Where a claimed value really stands in a text: ``kept`` at its claimed place, ``moved`` to the match nearest to it (the first of two), or ``demoted`` if it is nowhere."""
+    from reelstack.functions.text import occurrences
+
     there = F.substring(text, start + 1, F.length(value)) == value
-    first = F.instr(text, value) - 1
-    status = F.when(there, "kept").when(first >= 0, "moved").otherwise("demoted")
-    return {"status": status, "start": F.when(there, start).when(first >= 0, first)}
+    nearest = F.array_min(F.transform(occurrences(text, value), lambda s: F.struct(F.abs(s - start).alias("away"), s.alias("at"))))["at"]
+    status = F.when(there, "kept").when(nearest.isNotNull(), "moved").otherwise("demoted")
+    return {"status": status, "start": F.when(there, start).otherwise(nearest)}
+
+
+def date_anchored(text: Column, start: Column, end_exclusive: Column, field: Column, filmed: list[str]) -> dict[str, Column]:
+    """Whether a claimed date text denotes its window: ``kept``, else ``demoted``; a filmed date whose text does not say so becomes a broadcast date."""
+    from reelstack.functions.text import period_end, period_start
+
+    day = F.regexp_extract(text, r"\d{4}(?:-\d{2}){0,2}", 0)
+    right = F.coalesce((period_start(day) == start) & (period_end(day) == end_exclusive), F.lit(False))
+    said = F.exists(F.array(*map(F.lit, filmed)), lambda w: F.contains(F.lower(text), w))
+    return {"status": F.when(right, "kept").otherwise("demoted"), "field": F.when((field == "filmed") & ~said, "broadcast").otherwise(field)}

@@ -24,34 +24,38 @@ TIERS = ["uploaded", "embedded", "asr"]
 
 def scalar_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (a lambda evaluates what it refers to for each element: the words are a column first)
-    d = views.table(spark, sf_dir, "documents").withColumn("words", tx.tokens("text")).withColumn("opening", F.slice("words", 1, 4))
+    d = views.table(spark, sf_dir, "documents").withColumn("words", tx.tokens("text"))
     day = F.concat_ws("-", F.lit("2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"))
-    words = F.col("words")
-    plain = lambda at: F.regexp_replace(F.substring("text", at, 30), "[^A-Za-z ]", "")
+    words, digest = F.col("words"), lambda c: F.md5(c.cast("binary"))
+    middle = F.floor(F.length("text") / 2)
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
     return d.select(
         "doc_id",
         F.size(words).alias("n_tokens"),
-        tx.token_form(F.concat(F.element_at(words, 1), F.lit("/nng"))).alias("form"),
-        tx.text_key(F.slice(words, 1, 5), F.substring("text", 1, 20)).alias("text_key"),
-        tx.fingerprint("source", "lang").alias("fingerprint"),
+        tx.token_form(F.concat(F.try_element_at(words, F.lit(1)), F.lit("/nng"))).alias("form"),
+        tx.text_key(words, "text").alias("text_key"),
+        tx.fingerprint("source", "lang", "text").alias("fingerprint"),
         tx.period_start(day).cast("string").alias("period_start"),
         tx.period_end(day).cast("string").alias("period_end"),
         tx.last_day_text(tx.period_end(day)).alias("last_day"),
         tx.confidence_band(F.col("doc_id") % 100 / 100).alias("band"),
         tx.utf16_length("text").alias("utf16_length"),
-        F.array_join(tx.ngram_join(F.col("opening"), 2), " ").alias("bigrams"),
+        tx.utf16_index("text", middle).alias("middle_unit"),
+        tx.code_point_index("text", middle).alias("middle_point"),
+        digest(F.array_join(tx.ngram_join(words, 2), " ")).alias("bigrams"),
         tx.damaged("text").alias("damaged"),
-        F.round(tx.error_rate(plain(1), plain(4)), 6).alias("error_rate"),
-        tx.blank_to_null(F.substring("text", 5, 1)).alias("fifth"),
-        tx.without_fence(F.concat(F.lit("```json\n{}"), F.lit("\n```"))).alias("unfenced"),
-        F.floor(F.log2(F.length("text") + 1)).cast("long").alias("size_bucket"),
+        F.round(tx.error_rate(F.col("source"), F.col("lang")), 6).alias("error_rate"),
+        tx.blank_to_null("text").isNotNull().alias("ready"),
+        digest(tx.without_fence(fenced)).alias("unfenced"),
+        tx.bucket(F.log2(F.length("text") + 1), 1.0).cast("long").alias("size_bucket"),
+        tx.version_id(F.col("lang"), F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))).alias("version_id"),
     )
 
 
 def normalised_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match values and comparison texts, with Unicode normalisation (rows only: SQL has no NFKC)."""
-    d = views.table(spark, sf_dir, "documents").withColumn("line", F.substring("text", 1, 60))
-    return d.select("doc_id", tx.match_value("line").alias("match_value"), tx.comparison_text("line").alias("comparison"))
+    """Match values and comparison texts of whole documents, with Unicode normalisation (rows only: SQL has no NFKC)."""
+    d = tx.normalised(views.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "match_value", "comparison")
+    return d.select("doc_id", "match_value", "comparison")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,20 +143,6 @@ def keyframe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.diverse(chosen, 27.0, 5, 2)
 
 
-def ocr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as observations, two lines to a frame: the ASCII excerpt that the SQL twins of ``ocr_merge`` and ``merge_sweep`` can follow (``line_input`` has all lines whole)."""
-    raw = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw_text"))
-    ascii_only = raw.where(F.octet_length("raw_text") == F.length("raw_text"))
-    return ascii_only.select(
-        F.floor(F.col("doc_id") / 5).alias("scene_id"), (F.col("doc_id") % 5 * 1000 + F.floor(F.col("line_no") / 2)).alias("frame"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("obs_id"), F.substring("raw_text", 1, 40).alias("raw_text"), ((F.col("doc_id") * 7 + F.col("line_no")) % 100 / 100).alias("confidence")
-    )
-
-
-def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = ob.merged(ob.built(ocr_input(spark, sf_dir)))
-    return groups.select("scene_id", F.col("same").alias("group_text"), "size", "representative", "first_frame", "last_frame", "confidence")
-
-
 def line_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, whole, as an observation; two lines make a frame, five documents a scene."""
     raw = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw_text"))
@@ -161,34 +151,64 @@ def line_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal whole lines merged across the frames of a scene (NFKC, so rows only)."""
+def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal whole lines merged across the frames of a scene."""
     groups = ob.merged(ob.built(line_input(spark, sf_dir)))
     return groups.select("scene_id", F.col("same").alias("group_text"), "size", "representative", "first_frame", "last_frame", "confidence")
 
 
-def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole lines as labels, matched greedily with what was read in their frame (matching-block ratio, rows only).
+def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups, by their representatives only."""
+    return ocr_merge(spark, sf_dir).select("scene_id", "representative", "size")
 
-    Reading is imitated: each third line was missed, each ninth read with a stray border at its end.
-    """
+
+def group_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of merged groups: observations in several, frames twice in one, representatives that are not the most confident; those of every 50th were exchanged."""
+    observed = ob.built(line_input(spark, sf_dir))
+    members = ob.merged_at(observed, (1.0,)).join(observed.select("obs_id", "frame", "confidence"), "obs_id")
+    return ob.partition_faults(members.withColumn("representative", F.when(F.col("group_id") % 50 == 7, -1).otherwise(F.col("group_id"))))
+
+
+def _read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines as labels and as what was read of them: each third line was missed, each ninth read with a stray border at its end."""
     read = F.when(F.col("obs_id") % 9 == 4, F.concat("raw_text", F.lit(" |"))).otherwise(F.col("raw_text"))
     lines = line_input(spark, sf_dir).withColumns({"label_id": F.col("obs_id"), "label": F.col("raw_text"), "seen": read})
-    lines = lines.withColumn("obs_id", F.when(F.col("obs_id") % 3 < 2, F.col("obs_id"))).select("scene_id", "frame", "label_id", "label", "obs_id", F.col("seen").alias("raw_text"))
-    found = ob.matched_lines(lines, ["scene_id", "frame"])
+    return lines.withColumn("obs_id", F.when(F.col("obs_id") % 3 < 2, F.col("obs_id"))).select("scene_id", "frame", "label_id", "label", "obs_id", F.col("seen").alias("raw_text"))
+
+
+def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines as labels, matched greedily with what was read in their frame (matching-block ratio, rows only)."""
+    found = ob.matched_lines(_read_lines(spark, sf_dir), ["scene_id", "frame"])
     # the edit distance of a text that lies in the other is the difference of their lengths
     apart = F.abs(F.length("raw_text") - F.length("label")) / F.nullif(F.length("label"), F.lit(0))
     wrong = F.when((F.contains(F.col("raw_text"), F.col("label")) | F.contains(F.col("label"), F.col("raw_text"))) & (F.length("label") > 0), apart).otherwise(tx.error_rate(F.col("label"), F.coalesce("raw_text", F.lit(""))))
-    return found.select("label_id", "obs_id", F.round("score", 6).alias("score"), ob.outcome(F.col("label"), F.col("raw_text")).alias("outcome"), F.round(wrong, 6).alias("error_rate"))
+    return found.select("label_id", "obs_id", F.round("score", 6).alias("score"), ob.outcome(F.col("score")).alias("outcome"), ob.reach(tx.tokens("label"), tx.tokens("raw_text")).alias("reach"), F.round(wrong, 6).alias("error_rate"))
+
+
+def stray_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens read in a frame that none of its labels has."""
+    rows = _read_lines(spark, sf_dir)
+    read = rows.withColumn("raw_text", F.when(F.col("label_id") % 9 == 4, F.concat("label", F.lit(" x"), F.col("frame") % 3)).otherwise(F.col("raw_text")))
+    found = ob.stray_tokens(read, ["scene_id", "frame"]).where("size(stray) > 0")
+    return found.select("scene_id", "frame", F.array_join("stray", " ").alias("stray"))
+
+
+def case_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported misreadings against what is read now (matching-block ratio, rows only): each 50th line was reported with a border behind it."""
+    lines = line_input(spark, sf_dir).where("trim(raw_text) <> ''")
+    cases = lines.where("obs_id % 50 = 4").select("scene_id", "frame", F.col("obs_id").alias("case_id"), F.col("raw_text").alias("expected"), F.concat("raw_text", F.lit(" |")).alias("reported"))
+    now = F.when(F.col("obs_id") % 3 == 0, F.concat("raw_text", F.lit(" |"))).when(F.col("obs_id") % 3 == 1, F.concat(F.lit("~ "), "raw_text")).otherwise(F.col("raw_text"))
+    near = ob.nearest_observation(cases, lines.withColumn("raw_text", now), ["scene_id", "frame"])
+    return near.select("case_id", ob.case_status(F.col("expected"), F.col("reported"), F.col("best")).alias("status"))
 
 
 def merge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion of merge groups against labels of line pairs, at several lengths of agreeing text."""
-    obs = ob.built(ocr_input(spark, sf_dir)).where("scene_id % 3 = 0")
+    obs = tx.normalised(ob.built(line_input(spark, sf_dir)), "raw_text", comparison="same")
     pairs = obs.groupBy("scene_id", F.lower("raw_text").alias("t")).agg(F.min("obs_id").alias("left_id"), F.max("obs_id").alias("right_id")).where("left_id < right_id").select("left_id", "right_id", (F.col("left_id") % 10 != 0).alias("same"))
     out = None
     for n in (5, 20, 40):
-        groups = obs.select("obs_id", F.concat_ws("|", "scene_id", F.substring(tx.comparison_text("raw_text"), 1, n), F.when(F.col("obs_id") % 7 == 0, F.col("obs_id"))).alias("group_id"))
+        groups = obs.select("obs_id", F.concat_ws("|", "scene_id", F.substring("same", 1, n), F.when(F.col("obs_id") % 7 == 0, F.col("obs_id"))).alias("group_id"))
         part = ob.pair_confusion(pairs, groups).withColumn("length", F.lit(n))
         out = part if out is None else out.unionByName(part)
     return out
@@ -215,17 +235,19 @@ def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each scene that fit a budget of 200 characters, in order (a fold, rows only)."""
-    lines = search.observations(spark, sf_dir).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("line").alias("text")))).alias("items"))
+    """Distinct lines of each scene in order, labelled, as far as they fit a budget of 200 characters (a fold, rows only)."""
+    first = search.observations(spark, sf_dir).groupBy("scene_id", "line").agg(F.min("line_no").alias("line_no"))
+    lines = first.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("line").alias("text")))).alias("items"))
     kept = lines.select("scene_id", pr.within_budget(F.col("items"), 200).alias("kept"))
-    return kept.select("scene_id", F.size("kept").alias("n_kept"), F.to_json(F.struct("kept")).alias("grounding"))
+    labelled = F.transform("kept", lambda t, i: F.struct(F.concat(F.lit("l"), i + 1).alias("label"), t.alias("text")))
+    return kept.select("scene_id", F.size("kept").alias("n_kept"), F.to_json(F.struct(labelled.alias("texts"))).alias("grounding"))
 
 
 def absent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers that only say that there is nothing."""
+    """Model answers that only say that there is nothing, by a word or by an empty shape."""
     d = views.table(spark, sf_dir, "documents")
-    answer = F.element_at(F.array(F.lit(" None "), F.lit("N/A"), F.lit("-"), F.substring("text", 1, 10), F.lit("Unknown")), (F.col("doc_id") % 5 + 1).cast("int"))
-    return d.groupBy("source").agg(F.count_if(pr.absent(answer)).alias("n_absent"), F.count_if(~pr.absent(answer)).alias("n_present"))
+    answer = F.element_at(F.array(F.lit(" None "), F.lit("N/A"), F.lit("-"), F.col("text"), F.lit("Unknown"), F.lit(" [] "), F.lit('""')), (F.col("doc_id") % 7 + 1).cast("int"))
+    return d.groupBy("source").agg(F.count_if(pr.absent(answer)).alias("n_absent"), F.count_if(pr.empty_shape(answer)).alias("n_shape"), F.count_if(~pr.absent(answer) & ~pr.empty_shape(answer)).alias("n_present"))
 
 
 def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +261,7 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 1.2345).alias("start_s"), (F.col("turn") * 1.2345 + F.col("conv_id") % 3).alias("end_s"), (-(F.col("turn") % 7) / 3.0).alias("logprob"), F.when(F.col("turn") % 5 == 4, "  ").otherwise(F.substring("text", 1, 12)).alias("text"))
+    e = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 1.2345).alias("start_s"), (F.col("turn") * 1.2345 + F.col("conv_id") % 3).alias("end_s"), (-(F.col("turn") % 7) / 3.0).alias("logprob"), F.when(F.col("turn") % 5 == 4, "  ").otherwise(F.col("text")).alias("text"))
     return pr.speech_segments(e).select("conv_id", "turn", "start", "end", F.round("confidence", 6).alias("confidence"), "text")
 
 
@@ -247,7 +269,7 @@ def subtitle_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues parsed from conversations written as SRT texts."""
     s = segments(spark, sf_dir)
     clock = lambda ms: F.concat(F.lpad(F.floor(ms / 3600000).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(ms / 60000 % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(ms / 1000 % 60).cast("string"), 2, "0"), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
-    block = F.concat(F.col("segment_id"), F.lit("\n"), clock(F.col("start")), F.lit(" --> "), clock(F.col("end")), F.lit("\n"), F.substring(F.regexp_replace("text", "\n", " "), 1, 30))
+    block = F.concat(F.col("segment_id"), F.lit("\n"), clock(F.col("start")), F.lit(" --> "), clock(F.col("end")), F.lit("\n"), F.regexp_replace("text", "\n", " "))
     files = s.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("content"))
     cues, _ = st.parse_cues(files.select(F.col("clip_id").cast("string").alias("path"), "content"))
     return cues.select(F.col("path").cast("long").alias("clip_id"), "cue_no", "start", "end", "text")
@@ -262,39 +284,61 @@ def fingerprint_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rekey_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored rules whose key is computed anew from a normalised query."""
-    c = views.table(spark, sf_dir, "conversations").where("turn = 0")
-    words = rl.normalised_query(F.slice(tx.tokens("text"), 1, 6), F.create_map(F.lit("the"), F.lit("a"), F.lit("der"), F.lit("die")), ["of", "in"])
-    key = tx.fingerprint(F.array_join(words, " "))
-    stored = F.when(F.col("conv_id") % 3 == 0, F.lit("old")).otherwise(key)
-    rules = c.select("conv_id", stored.alias("stored"), key.alias("key"), (F.size(words) > 2).alias("usable"))
-    return rl.rekeyed(rules, "stored", F.col("key"), F.col("usable")).select("conv_id", "new_key", "status")
+    """Stored rules of all turns whose key is computed anew from the normalised query; every third key was spoilt."""
+    c = views.table(spark, sf_dir, "conversations").withColumn("words", tx.tokens("text"))
+    new = rl.normalised_query(F.col("words"), F.create_map(F.lit("the"), F.lit("a"), F.lit("der"), F.lit("die")), ["of", "in"])
+    old = tx.fingerprint(F.array_join(F.array_sort(F.array_distinct("words")), " "))
+    c = c.withColumns({"new": new, "old": old}).withColumn("key", tx.fingerprint(F.array_join("new", " ")))
+    spelt = rl.with_synonyms(F.col("new"), F.create_map(F.lit("a"), F.array(F.lit("one"), F.lit("any"))))
+    rules = c.select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.lit("old")).otherwise(F.col("old")).alias("stored"), "old", "key", (F.size("new") > 2).alias("usable"), F.size(spelt).alias("n_search_words"))
+    return rl.rekeyed(rules, "stored", F.col("old"), F.col("key"), F.col("usable")).select("conv_id", "turn", "new_key", "status", "n_search_words")
 
 
 def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correction rules over the words of conversations' first turns (rule folds, rows only)."""
-    c = views.table(spark, sf_dir, "conversations").where("turn = 0")
-    slots = c.select(F.col("conv_id").alias("query_id"), F.lit("topic").alias("slot"), F.slice(F.array_distinct(tx.tokens("text")), 1, 4).alias("values"), (F.col("conv_id") % 7 == 0).alias("protected"))
-    base = c.select(F.col("conv_id").alias("query_key"), F.lit("topic").alias("slot"))
-    made = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("rule_id"), F.lit(cond).alias("condition"), F.lit(ca).alias("cond_arg"), F.lit(op).alias("operation"), F.lit(arg).alias("arg"), F.lit(p).alias("priority")) for i, cond, ca, op, arg, p in ((1, "is_not_empty", "", "add", "news", 1), (2, "has_value", "the", "remove", "the", 1), (3, "has_value", "of", "set", "general", 5), (4, "is_not_empty", "", "unset", "", 1))]))
+    """Correction rules over the words of all turns, typed by their length (rule folds, rows only)."""
+    c = views.table(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    typed = F.transform(F.array_distinct(tx.tokens("text")), lambda w: F.concat(F.when(F.length(w) > 6, "long").otherwise("short"), F.lit(":"), w))
+    slots = c.select(F.col("key").alias("query_id"), F.lit("topic").alias("slot"), typed.alias("values"), (F.col("conv_id") % 7 == 0).alias("protected"))
+    base = c.select(F.col("key").alias("query_key"), F.lit("topic").alias("slot"))
+    made = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("rule_id"), F.lit(cond).alias("condition"), F.lit(ca).alias("cond_arg"), F.lit(op).alias("operation"), F.lit(arg).alias("arg"), F.lit(p).alias("priority")) for i, cond, ca, op, arg, p in (
+        (1, "is_not_empty", "", "add", "short:news", 1), (2, "has_value", "short:the", "remove", "short:the", 1), (3, "has_value", "short:of", "set", "short:general", 5), (4, "has_value", "short:la", "unset", "", 1), (5, "has_type", "long", "add", "short:the", 2), (6, "is_empty", "", "set", "short:none", 1))]))
     rules = base.where("query_key % 2 = 0").select("query_key", "slot", made.alias("r")).select("query_key", "slot", "r.*")
     out = rl.applied_rules(slots, rules)
     return out.select("query_id", "slot", F.array_join("values", " ").alias("values"), F.array_join(F.col("applied").cast("array<string>"), ",").alias("applied"), F.array_join(F.col("conflicts").cast("array<string>"), ",").alias("conflicts"))
 
 
 def anchor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claimed places of words in the turns they came from."""
-    c = views.table(spark, sf_dir, "conversations")
-    value = F.element_at(F.split("text", " "), 2)
-    rows = c.where(F.size(F.split("text", " ")) > 2).select("conv_id", "turn", "text", F.when(F.col("turn") % 4 == 3, F.concat(value, F.lit("~~"))).otherwise(value).alias("value"), (F.length(F.element_at(F.split("text", " "), 1)) + 1 + F.col("turn") % 2).alias("claimed"))
+    """Claimed places of words in the turns they came from; a word that is not at its place moves to the nearest match."""
+    c = views.table(spark, sf_dir, "conversations").withColumn("w", F.split("text", " ")).where("size(w) > 2")
+    value = F.element_at("w", 2)
+    claimed = F.length(F.element_at("w", 1)) + 1 + F.when(F.col("turn") % 2 == 0, 0).otherwise(F.floor(F.length("text") / 2))
+    rows = c.select("conv_id", "turn", "text", F.when(F.col("turn") % 4 == 3, F.concat(value, F.lit("~~"))).otherwise(value).alias("value"), claimed.cast("int").alias("claimed"))
     found = rl.anchored(F.col("text"), F.col("value"), F.col("claimed"))
-    return rows.select("conv_id", "turn", found["status"].alias("status"), found["start"].alias("start"))
+    return rows.select("conv_id", "turn", found["status"].alias("status"), found["start"].cast("long").alias("start"))
+
+
+def value_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of each turn's second word in its text."""
+    c = views.table(spark, sf_dir, "conversations").withColumn("w", F.split("text", " ")).where("size(w) > 2")
+    spans = tx.occurrences("text", F.element_at("w", 2))
+    return c.select("conv_id", "turn", F.posexplode(spans).alias("n", "start"))
+
+
+def date_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claimed months against date texts of years, months and days; filmed dates need a word that says so."""
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    stamp = F.element_at(F.array(F.date_format("day", "yyyy"), F.date_format("day", "yyyy-MM"), F.date_format("day", "yyyy-MM-dd")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    text = F.concat(F.when(F.col("o_orderkey") % 4 == 0, "Filmed in ").otherwise("Seen in "), stamp)
+    field = F.when(F.col("o_orderkey") % 2 == 0, "filmed").otherwise("broadcast")
+    start = F.trunc("day", "month")
+    found = rl.date_anchored(text, start, F.add_months(start, 1), field, ["filmed", "shot"])
+    return o.select("o_orderkey", found["status"].alias("status"), found["field"].alias("field"))
 
 
 def retokenize_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose stored tokens differ from those of today's tokenizer."""
     d = views.table(spark, sf_dir, "documents")
-    new = F.array_join(F.slice(tx.tokens("text"), 1, 6), " ")
+    new = F.array_join(tx.tokens("text"), " ")
     stored = F.when(F.col("doc_id") % 3 == 0, F.upper(new)).otherwise(new)
     return d.select("doc_id", stored.alias("stored"), new.alias("tokens")).where("stored <> tokens").select("doc_id", "tokens")
 
@@ -303,11 +347,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         scalar_suite, normalised_values, transcript_selection, uncovered_ranges, scene_mapping, scene_text, scene_bounds, scene_spans, keyframe_plan, keyframe_pick, keyframe_greedy,
-        ocr_merge, ocr_merge_lines, ocr_score, merge_sweep, merge_thresholds, entity_candidates, grounding, absent_values, output_validation, speech_cleanup, subtitle_cues, fingerprint_filters, rekey_rules, apply_rules, anchor_check, retokenize_patch,
+        ocr_merge, ocr_merge_lines, group_partition, ocr_score, stray_tokens, case_status, merge_sweep, merge_thresholds, entity_candidates, grounding, absent_values, output_validation, speech_cleanup, subtitle_cues, fingerprint_filters, rekey_rules, apply_rules, anchor_check, value_spans, date_anchors, retokenize_patch,
     )
 }
 
 _W = sql.tok("text")
+#: Starts of the matches of a value in a text: lengths of what lies between them, summed up.
+_STARTS = "list_transform(range(1, len(string_split({0}, {1}))), lambda i: CAST(list_sum(list_transform(string_split({0}, {1})[1:i], lambda p: length(p))) + (i - 1) * length({1}) AS BIGINT))"
 _BYTES = "unhex(lpad(hex(CAST(octet_length(encode({0})) AS UINTEGER)), 8, '0')) || encode({0})"
 _SEG = """seg AS (
   SELECT conv_id AS clip_id, conv_id * 100 + turn AS segment_id, ['asr', 'embedded', 'uploaded'][turn % 3 + 1] AS source, turn * 3000 AS s, turn * 3000 + 3500 AS e, text FROM conversations),
@@ -325,21 +371,22 @@ sc AS (SELECT clip_id, i AS scene_no, i * 5000 AS s, least(i * 5000 + 5000, d) A
 map AS (
   SELECT sc.clip_id, scene_no, segment_id, least(sc.e, sel.e) - greatest(sc.s, sel.s) AS overlap_ms, sel.s AS seg_start, text
   FROM sc JOIN sel ON sel.clip_id = sc.clip_id AND conflicts = '' AND greatest(sc.s, sel.s) < least(sc.e, sel.e))"""
+# (NFKC and case folding change nothing else in the given texts: compared line by line)
 _OCR = """ocr AS (
-  SELECT doc_id // 5 AS scene_id, doc_id % 5 * 1000 + (i - 1) // 2 AS frame, doc_id * 100000 + i - 1 AS obs_id, substr(line, 1, 40) AS raw_text, ((doc_id * 7 + i - 1) % 100) / 100 AS confidence
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE strlen(line) = length(line)),
-obs AS (SELECT *, regexp_replace(lower(raw_text), '\\s', '', 'g') AS same FROM ocr WHERE trim(raw_text) <> '')"""
+  SELECT doc_id // 5 AS scene_id, doc_id % 5 * 1000000 + (i - 1) // 2 AS frame, doc_id * 100000 + i - 1 AS obs_id, line AS raw_text, ((doc_id * 7 + i - 1) % 100) / 100 AS confidence
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+obs AS (SELECT *, regexp_replace(replace(lower(raw_text), 'ß', 'ss'), '\\s', '', 'g') AS same FROM ocr WHERE trim(raw_text) <> '')"""
 
 ORACLE_SQL = {
     "scalar_suite": f"""WITH d AS (SELECT *, {_W} AS w, make_date(2024, CAST(doc_id % 12 + 1 AS INTEGER), 1) AS p FROM documents)
-SELECT doc_id, len(w) AS n_tokens, w[1] AS form, substr(sha256(CASE WHEN len(w) > 0 THEN 'tok:' || array_to_string(w[1:5], ' ') ELSE 'raw:' || substr(text, 1, 20) END), 1, 12) AS text_key,
-       sha256(unhex(printf('%08X', strlen(source))) || encode(source) || unhex(printf('%08X', strlen(lang))) || encode(lang)) AS fingerprint,
+SELECT doc_id, len(w) AS n_tokens, w[1] AS form, substr(sha256(CASE WHEN len(w) > 0 THEN 'tok:' || array_to_string(w, ' ') ELSE 'raw:' || text END), 1, 12) AS text_key,
+       sha256(unhex(printf('%08X', strlen(source))) || encode(source) || unhex(printf('%08X', strlen(lang))) || encode(lang) || unhex(printf('%08X', strlen(text))) || encode(text)) AS fingerprint,
        CAST(p AS VARCHAR) AS period_start, CAST(CAST(p + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS period_end, CAST(CAST(p + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS last_day,
-       CASE WHEN doc_id % 100 < 50 THEN 'low' WHEN doc_id % 100 < 80 THEN 'mid' ELSE 'high' END AS band, length(text) AS utf16_length,
-       array_to_string(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || w[i + 1])[1:3], ' ') AS bigrams, contains(text, chr(65533)) AS damaged,
-       round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a) WHEN length(b) = 0 THEN 0.0 END, 6) AS error_rate,
-       nullif(trim(substr(text, 5, 1), ' '), '') AS fifth, '{{}}' AS unfenced, CAST(floor(log2(length(text) + 1)) AS BIGINT) AS size_bucket
-FROM (SELECT *, regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g') AS a, regexp_replace(substr(text, 4, 30), '[^A-Za-z ]', '', 'g') AS b FROM d)""",
+       CASE WHEN doc_id % 100 < 50 THEN 'low' WHEN doc_id % 100 < 80 THEN 'mid' ELSE 'high' END AS band, length(text) AS utf16_length, length(text) // 2 AS middle_unit, length(text) // 2 AS middle_point,
+       md5(array_to_string(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || w[i + 1]), ' ')) AS bigrams, contains(text, chr(65533)) AS damaged,
+       round(levenshtein(source, lang) / length(source), 6) AS error_rate, trim(text, ' ') <> '' AS ready, md5(regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '```', '^```[a-zA-Z]*\\s*', ''), '\\s*```$', '')) AS unfenced,
+       CAST(floor(log2(length(text) + 1)) AS BIGINT) AS size_bucket, lang || ':' || substr(sha256('{{"lang":"' || lang || '","source":"' || source || '"}}'), 1, 8) AS version_id
+FROM d""",
     "transcript_selection": f"WITH {_SEG} SELECT clip_id, segment_id, source, conflicts = '' AS selected, conflicts FROM sel",
     "uncovered_ranges": f"""WITH {_SEG},
 c AS (SELECT clip_id, s, e, max(e) OVER (PARTITION BY clip_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sel WHERE conflicts = ''),
@@ -362,7 +409,20 @@ QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id %
 a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL)
 SELECT scene_id, same AS group_text, count(*) AS size, arg_max(obs_id, (confidence, -frame, obs_id)) AS representative, min(frame) AS first_frame, max(frame) AS last_frame, max(confidence) AS confidence
 FROM obs JOIN a USING (scene_id, same) GROUP BY scene_id, same, CASE WHEN amb THEN obs_id END""",
-    "merge_sweep": f"""WITH {_OCR}, o AS (SELECT * FROM obs WHERE scene_id % 3 = 0),
+    "stray_tokens": f"""WITH {_OCR},
+t AS (SELECT scene_id, frame, unnest({sql.tok('raw_text')}) AS tok, false AS gold FROM (SELECT scene_id, frame, CASE WHEN obs_id % 9 = 4 THEN raw_text || ' x' || frame % 3 ELSE raw_text END AS raw_text FROM ocr WHERE obs_id % 3 < 2)
+  UNION ALL SELECT scene_id, frame, unnest({sql.tok('raw_text')}), true FROM ocr),
+g AS (SELECT scene_id, frame, tok FROM t GROUP BY ALL HAVING NOT bool_or(gold))
+SELECT scene_id, frame, string_agg(tok, ' ' ORDER BY tok) AS stray FROM g GROUP BY ALL""",
+    "ocr_merge_lines": f"""WITH {_OCR},
+a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL)
+SELECT scene_id, count(*) AS size, arg_max(obs_id, (confidence, -frame, obs_id)) AS representative
+FROM obs JOIN a USING (scene_id, same) GROUP BY scene_id, same, CASE WHEN amb THEN obs_id END""",
+    "group_partition": f"""WITH {_OCR},
+a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT arg_max(obs_id, (confidence, -frame, -obs_id)) AS id FROM obs JOIN a USING (scene_id, same) GROUP BY scene_id, same, CASE WHEN amb THEN obs_id END)
+SELECT 'in_many_groups' AS fault, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'frame_twice', 0 UNION ALL SELECT 'weak_representative', (SELECT count(*) FROM g WHERE id % 50 = 7)""",
+    "merge_sweep": f"""WITH {_OCR}, o AS (SELECT * FROM obs),
 p AS (SELECT min(obs_id) AS l, max(obs_id) AS r FROM o GROUP BY scene_id, lower(raw_text) HAVING min(obs_id) < max(obs_id)),
 g AS (SELECT obs_id, n AS length, concat_ws('|', scene_id, substr(same, 1, n), CASE WHEN obs_id % 7 = 0 THEN obs_id END) AS g FROM o, (VALUES (5), (20), (40)) v(n)),
 j AS (SELECT a.length, l % 10 <> 0 AS same, a.g = b.g AS tog FROM p JOIN g a ON a.obs_id = l JOIN g b ON b.obs_id = r AND b.length = a.length),
@@ -372,27 +432,33 @@ SELECT *, round(fp / nullif(fp + tn, 0), 6) AS false_merge_rate, round(fn / null
 v AS (SELECT scene_id, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT scene_id, string_split(caption, ' ') AS l FROM scene)),
 r AS (SELECT scene_id // 5 AS group_id, lower(value) AS key, scene_id * 10000 + pos AS position, value, ((scene_id + pos) % 50) / 50 AS confidence, 's' || scene_id AS evidence FROM v WHERE regexp_full_match(value, '[A-Z][a-z]+'))
 SELECT group_id, key, max(confidence) AS confidence, string_agg(DISTINCT evidence, ',' ORDER BY evidence) AS evidence, arg_min(value, position) AS value, count(*) AS n FROM r WHERE confidence >= 0.2 GROUP BY ALL""",
-    "absent_values": """WITH a AS (SELECT source, lower(trim([' None ', 'N/A', '-', substr(text, 1, 10), 'Unknown'][doc_id % 5 + 1], ' ')) AS x FROM documents),
-b AS (SELECT source, x IN ('none', 'n/a', 'na', 'null', 'unknown', 'not visible', 'no text', '-', '') AS y FROM a)
-SELECT source, count(*) FILTER (coalesce(y, true)) AS n_absent, count(*) FILTER (NOT coalesce(y, true)) AS n_present FROM b GROUP BY 1""",
+    "absent_values": """WITH a AS (SELECT source, lower(trim([' None ', 'N/A', '-', text, 'Unknown', ' [] ', '""'][doc_id % 7 + 1], ' ')) AS x FROM documents),
+b AS (SELECT source, x IN ('none', 'n/a', 'na', 'null', 'unknown', 'not visible', 'no text', '-', '') AS y, x IN ('[]', '{}', '""', '[""]', '[null]') AS z FROM a)
+SELECT source, count(*) FILTER (coalesce(y, true)) AS n_absent, count(*) FILTER (coalesce(z, false)) AS n_shape, count(*) FILTER (NOT coalesce(y, true) AND NOT coalesce(z, false)) AS n_present FROM b GROUP BY 1""",
     "output_validation": """WITH g AS (SELECT user_id AS scene_id, count(*) AS n, bool_or(event_type NOT IN ('click', 'view', 'purchase', 'signup')) AS u, list('l' || event_id % 40) AS ev, list('l' || event_id % 37) AS la FROM events WHERE user_id IS NOT NULL GROUP BY 1),
 r AS (SELECT scene_id, CASE WHEN n > 60 THEN 'too_many' WHEN u THEN 'unknown_type' WHEN len(list_filter(ev, lambda x: NOT list_contains(la, x))) > 0 THEN 'missing_evidence' END AS reason FROM g)
 SELECT scene_id, reason IS NULL AS accepted, reason FROM r""",
     "speech_cleanup": """WITH a AS (
   SELECT conv_id, turn, CAST(round_even(turn * 1.2345e0 * 1000, 0) AS BIGINT) AS "start", CAST(round_even((turn * 1.2345e0 + conv_id % 3) * 1000, 0) AS BIGINT) AS "end", round(least(1, exp(-(turn % 7) / 3.0)), 6) AS confidence,
-         trim(CASE WHEN turn % 5 = 4 THEN '  ' ELSE substr(text, 1, 12) END, ' ') AS text FROM conversations)
+         trim(CASE WHEN turn % 5 = 4 THEN '  ' ELSE text END, ' ') AS text FROM conversations)
 SELECT * FROM a WHERE text <> '' AND "start" < "end\"""",
-    "subtitle_cues": """SELECT conv_id AS clip_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_no, turn * 3000 AS "start", turn * 3000 + 3500 AS "end", trim(substr(replace(text, chr(10), ' '), 1, 30), ' ') AS text FROM conversations""",
+    "subtitle_cues": """SELECT conv_id AS clip_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_no, turn * 3000 AS "start", turn * 3000 + 3500 AS "end", trim(regexp_replace(replace(text, chr(10), ' '), '<[^>]*>', '', 'g'), ' ') AS text FROM conversations WHERE trim(regexp_replace(replace(text, chr(10), ' '), '<[^>]*>', '', 'g'), ' ') <> ''""",
     "fingerprint_filters": """WITH e AS (SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b, '{"type":["' || lower(event_type) || '"]}' AS filters FROM events WHERE user_id IS NOT NULL)
 SELECT event_id, filters, sha256(unhex(printf('%08X', strlen(a))) || encode(a) || unhex(printf('%08X', strlen(b))) || encode(b) || unhex(printf('%08X', strlen(filters))) || encode(filters)) AS fingerprint FROM e""",
-    "rekey_rules": f"""WITH w AS (SELECT conv_id, list_filter(list_transform(({_W})[1:6], lambda x: CASE x WHEN 'the' THEN 'a' WHEN 'der' THEN 'die' ELSE x END), lambda x: x NOT IN ('of', 'in')) AS w FROM conversations WHERE turn = 0),
-k AS (SELECT conv_id, len(list_distinct(w)) > 2 AS usable, array_to_string(list_sort(list_distinct(w)), ' ') AS q FROM w),
-h AS (SELECT conv_id, usable, sha256(unhex(printf('%08X', strlen(q))) || encode(q)) AS key FROM k)
-SELECT conv_id, CASE WHEN usable THEN key END AS new_key, CASE WHEN NOT usable THEN 'skipped' WHEN conv_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM h""",
-    "anchor_check": """WITH a AS (
-  SELECT conv_id, turn, text, CASE WHEN turn % 4 = 3 THEN string_split(text, ' ')[2] || '~~' ELSE string_split(text, ' ')[2] END AS v, length(string_split(text, ' ')[1]) + 1 + turn % 2 AS c
-  FROM conversations WHERE len(string_split(text, ' ')) > 2)
-SELECT conv_id, turn, CASE WHEN substr(text, c + 1, length(v)) = v THEN 'kept' WHEN instr(text, v) > 0 THEN 'moved' ELSE 'demoted' END AS status,
-       CASE WHEN substr(text, c + 1, length(v)) = v THEN c WHEN instr(text, v) > 0 THEN instr(text, v) - 1 END AS start FROM a""",
-    "retokenize_patch": f"""WITH d AS (SELECT doc_id, array_to_string(({_W})[1:6], ' ') AS tokens FROM documents) SELECT doc_id, tokens FROM d WHERE doc_id % 3 = 0 AND upper(tokens) <> tokens""",
+    "rekey_rules": f"""WITH w AS (SELECT conv_id, turn, {_W} AS r, list_filter(list_transform({_W}, lambda x: CASE x WHEN 'the' THEN 'a' WHEN 'der' THEN 'die' ELSE x END), lambda x: x NOT IN ('of', 'in')) AS w FROM conversations),
+k AS (SELECT conv_id, turn, list_distinct(w) AS d, array_to_string(list_sort(list_distinct(w)), ' ') AS q, array_to_string(list_sort(list_distinct(r)), ' ') AS o FROM w),
+h AS (SELECT conv_id, turn, d, len(d) > 2 AS usable, q = o AS same, sha256(unhex(printf('%08X', strlen(q))) || encode(q)) AS key FROM k)
+SELECT conv_id, turn, CASE WHEN usable AND conv_id % 3 <> 0 THEN key END AS new_key, CASE WHEN conv_id % 3 = 0 THEN 'mismatch' WHEN NOT usable THEN 'skipped' WHEN same THEN 'unchanged' ELSE 'changed' END AS status,
+       CAST(len(d) + CASE WHEN list_contains(d, 'a') THEN CASE WHEN list_contains(d, 'one') THEN 0 ELSE 1 END + CASE WHEN list_contains(d, 'any') THEN 0 ELSE 1 END ELSE 0 END AS INTEGER) AS n_search_words FROM h""",
+    "anchor_check": f"""WITH a AS (
+  SELECT conv_id, turn, text, CASE WHEN turn % 4 = 3 THEN w[2] || '~~' ELSE w[2] END AS v, length(w[1]) + 1 + CASE WHEN turn % 2 = 0 THEN 0 ELSE length(text) // 2 END AS c
+  FROM (SELECT *, string_split(text, ' ') AS w FROM conversations) WHERE len(w) > 2),
+b AS (SELECT *, CASE WHEN v = '' THEN [] ELSE {_STARTS.format('text', 'v')} END AS s FROM a),
+n AS (SELECT *, (SELECT arg_min(x, (abs(x - c), x)) FROM (SELECT unnest(s) AS x)) AS near, substr(text, c + 1, length(v)) = v AS there FROM b)
+SELECT conv_id, turn, CASE WHEN there THEN 'kept' WHEN near IS NOT NULL THEN 'moved' ELSE 'demoted' END AS status, CASE WHEN there THEN c ELSE near END AS start FROM n""",
+    "value_spans": f"""WITH a AS (SELECT conv_id, turn, text, w[2] AS v FROM (SELECT *, string_split(text, ' ') AS w FROM conversations) WHERE len(w) > 2 AND w[2] <> ''),
+b AS (SELECT conv_id, turn, {_STARTS.format('text', 'v')} AS s FROM a)
+SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, s[i] AS start FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM b)""",
+    "date_anchors": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'kept' ELSE 'demoted' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'filmed' ELSE 'broadcast' END AS field FROM orders""",
+    "retokenize_patch": f"""WITH d AS (SELECT doc_id, array_to_string({_W}, ' ') AS tokens FROM documents) SELECT doc_id, tokens FROM d WHERE doc_id % 3 = 0 AND upper(tokens) <> tokens""",
 }
