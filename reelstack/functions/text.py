@@ -35,6 +35,16 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(c, r"[\s\p{Z}]|[\p{Cf}&&[^\x{200C}\x{200D}]]", "")
 
 
+def match_value(value: Column | str) -> Column:
+    """NFKC without white space and format characters (joiners stay), twice normalised. Every row passes through Python; ``normalised`` spares ASCII rows that."""
+    return _nfkc(_bare(_nfkc(_col(value))))
+
+
+def comparison_text(value: Column | str) -> Column:
+    """NFKC, case-folded, without white space: equal texts read alike. As ``match_value``, for a column of few rows."""
+    return F.regexp_replace(_casefold(_col(value)), r"[\s\p{Z}]", "")
+
+
 def normalised(df: DataFrame, column: str, match: str | None = None, comparison: str | None = None) -> DataFrame:
     """Add a match value and/or a comparison text of a column, under the names given.
 

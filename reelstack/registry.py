@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstack.plans import curation, preparation, ranking, records, search
+from reelstack.plans import archive, curation, preparation, ranking, records, search
 
-_MODULES = (search, ranking, preparation, curation, records)
+_MODULES = (search, ranking, preparation, curation, records, archive)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
