@@ -9,23 +9,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE = "map<string, struct<status:string, attempts:int, error:string>>"
+STATE = "map<string, struct<status:string, attempts:int, error:string, started:string, finished:string>>"
 
 
 def stage_states(runs: DataFrame, key: str, json_col: str) -> DataFrame:
-    """One row per run and stage of a JSON object of stage states."""
-    return runs.select(key, F.explode(F.from_json(json_col, STATE)).alias("stage", "state")).select(key, "stage", "state.*")
+    """One row per run and stage of a JSON object of stage states, with its seconds; a run without states, or whose text is no object, has one row of null stage."""
+    parsed = runs.select(key, F.from_json(json_col, STATE).alias("states"))
+    rows = parsed.select(key, F.explode_outer("states").alias("stage", "state")).select(key, "stage", "state.*")
+    took = F.unix_timestamp(F.try_to_timestamp("finished")) - F.unix_timestamp(F.try_to_timestamp("started"))
+    return rows.withColumn("seconds", F.when(took >= 0, took))
 
 
-def availability(states: DataFrame, key: str, expected: list[str]) -> DataFrame:
-    """Per run: failed stages, missing stages, and whether it is ``available``, ``partial`` or ``unavailable``."""
+def availability(states: DataFrame, key: str, expected: list[str], channels: dict[str, str] | None = None) -> DataFrame:
+    """Per run: failed stages, missing stages, missing channels (``channels``: stage to channel), seconds, the first failure's reason, and its ``availability``.
+
+    ``available`` if all is done, ``partial`` if anything is, else ``unavailable``; ``legacy`` for runs that recorded no stages.
+    """
+    failed = F.col("status") == "failed"
+    of = F.create_map(*[F.lit(x) for pair in (channels or {"": ""}).items() for x in pair])
+    done = F.array_compact(F.collect_set(F.when(F.col("status") == "done", F.col("stage"))))
     per = states.groupBy(key).agg(
-        F.array_join(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("status") == "failed", F.col("stage"))))), ",").alias("failed"),
-        F.array_join(F.array_except(F.array(*map(F.lit, expected)), F.collect_set("stage")), ",").alias("missing"),
+        F.array_join(F.array_sort(F.array_compact(F.collect_set(F.when(failed, F.col("stage"))))), ",").alias("failed"),
+        F.array_join(F.array_except(F.array(*map(F.lit, expected)), F.array_compact(F.collect_set("stage"))), ",").alias("missing"),
+        F.array_join(F.array_sort(F.array_except(F.map_values(of), F.transform(done, lambda x: of[x]))), ",").alias("missing_channels"),
         F.count_if(F.col("status") == "done").alias("done"),
+        F.count("stage").alias("_stages"),
+        F.sum("seconds").alias("seconds"),
+        F.min(F.when(failed, F.struct("stage", "error"))).alias("_first"),
     )
-    state = F.when((F.col("failed") == "") & (F.col("missing") == ""), "available").when(F.col("done") > 0, "partial").otherwise("unavailable")
-    return per.withColumn("availability", state)
+    state = F.when(F.col("_stages") == 0, "legacy").when((F.col("failed") == "") & (F.col("missing") == ""), "available").when(F.col("done") > 0, "partial").otherwise("unavailable")
+    return per.withColumns({"availability": state, "reason": F.col("_first.error")}).drop("_stages", "_first")
 
 
 def offset_page(rows: DataFrame, order: list, offset: int, size: int) -> DataFrame:

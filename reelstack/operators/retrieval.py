@@ -185,7 +185,7 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray,
     return row[kept], col[kept], distance[row[kept], col[kept]]
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", max_distance: float | None = None, dimension: int | None = None) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", max_distance: float | None = None, dimension: int | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of each query by cosine distance; ties by id.
 
     The queries are a stated set: their vectors are broadcast in blocks, as many as ``SCAN_BYTES`` hold, and multiplied with
@@ -222,13 +222,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
             q /= np.linalg.norm(q, axis=1, keepdims=True)
             blocks.append(context.broadcast((np.array([r["query_id"] for r in held]), q)))
             held.clear()
-        if len(blocks) * BLOCK_QUERIES * dimension * 8 >= SCAN_BYTES:
+        if len(blocks) * block * dimension * 8 >= SCAN_BYTES:
             scan(list(blocks))
             blocks.clear()
 
     for r in asked.toLocalIterator():
         held.append(r)
-        if len(held) == BLOCK_QUERIES:
+        if len(held) == block:
             close_block()
     close_block()
     if blocks:

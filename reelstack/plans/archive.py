@@ -75,7 +75,7 @@ def entity_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ob.merged(observed).select("scene_id", F.col("representative").alias("ref")).join(observed.select(F.col("obs_id").alias("ref"), F.col("raw_text").alias("text")), "ref").select("scene_id", "ref", "text")
     chosen = iv.select_by_priority(preparation.segments(spark, sf_dir), preparation.TIERS).where("selected").select("segment_id", "text")
     links = preparation.scene_mapping(spark, sf_dir).join(chosen, "segment_id").select((F.col("clip_id") * 100 + F.col("scene_no")).alias("scene_id"), F.col("segment_id").alias("ref"), "text", "overlap_ms")
-    tags = ranking.held_tags(spark, sf_dir).select("scene_id", F.crc32(F.col("tag").cast("binary")).alias("ref"), F.col("tag").alias("text"))
+    tags = ranking.held_tags(spark, sf_dir).select("scene_id", F.conv(F.hex(F.substring("tag", 1, 4)), 16, 10).cast("long").alias("ref"), F.col("tag").alias("text"))
     return ar.entity_inputs(groups, links, tags).select("scene_id", "label", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -285,5 +285,5 @@ g AS (SELECT scene_id, arg_max(obs_id, (confidence, -frame, obs_id)) AS ref FROM
 t AS (
   SELECT g.scene_id, 'ocr' AS kind, ref, raw_text AS text, NULL AS tag FROM g JOIN obs ON obs_id = ref UNION ALL SELECT clip_id * 100 + scene_no, 'tr', segment_id, text, NULL FROM map)
 SELECT scene_id, kind || '_' || row_number() OVER (PARTITION BY scene_id, kind ORDER BY ref) AS label, md5(text) AS digest FROM t
-UNION ALL SELECT scene_id, 'tag_' || row_number() OVER (PARTITION BY scene_id ORDER BY CASE tag WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'search' THEN 3 WHEN 'click' THEN 4 ELSE 5 END), md5(tag) FROM held""",
+UNION ALL SELECT scene_id, 'tag_' || row_number() OVER (PARTITION BY scene_id ORDER BY tag), md5(tag) FROM held""",
 }

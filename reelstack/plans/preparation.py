@@ -158,8 +158,8 @@ def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same groups, by their representatives only."""
-    return ocr_merge(spark, sf_dir).select("scene_id", "representative", "size")
+    """The same groups under their older name."""
+    return ocr_merge(spark, sf_dir)
 
 
 def group_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,10 +414,6 @@ t AS (SELECT scene_id, frame, unnest({sql.tok('raw_text')}) AS tok, false AS gol
   UNION ALL SELECT scene_id, frame, unnest({sql.tok('raw_text')}), true FROM ocr),
 g AS (SELECT scene_id, frame, tok FROM t GROUP BY ALL HAVING NOT bool_or(gold))
 SELECT scene_id, frame, string_agg(tok, ' ' ORDER BY tok) AS stray FROM g GROUP BY ALL""",
-    "ocr_merge_lines": f"""WITH {_OCR},
-a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL)
-SELECT scene_id, count(*) AS size, arg_max(obs_id, (confidence, -frame, obs_id)) AS representative
-FROM obs JOIN a USING (scene_id, same) GROUP BY scene_id, same, CASE WHEN amb THEN obs_id END""",
     "group_partition": f"""WITH {_OCR},
 a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
 g AS (SELECT arg_max(obs_id, (confidence, -frame, -obs_id)) AS id FROM obs JOIN a USING (scene_id, same) GROUP BY scene_id, same, CASE WHEN amb THEN obs_id END)
@@ -462,3 +458,4 @@ SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, s[i] AS start FROM (SELECT *,
     "date_anchors": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'kept' ELSE 'demoted' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'filmed' ELSE 'broadcast' END AS field FROM orders""",
     "retokenize_patch": f"""WITH d AS (SELECT doc_id, array_to_string({_W}, ' ') AS tokens FROM documents) SELECT doc_id, tokens FROM d WHERE doc_id % 3 = 0 AND upper(tokens) <> tokens""",
 }
+ORACLE_SQL["ocr_merge_lines"] = ORACLE_SQL["ocr_merge"]

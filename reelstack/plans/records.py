@@ -17,12 +17,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as stages of a run, written as JSON and read back."""
+    """Order lines as stages of a run, written as JSON and read back; every 13th run recorded none."""
     status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "F", "done").otherwise("waiting")
-    stages = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat(F.lit("s"), "l_linenumber").alias("k")).agg(F.max(status).alias("status"), F.count("*").cast("int").alias("attempts"))
-    entry = F.struct("k", F.struct("status", "attempts", F.lit("").alias("error")).alias("v"))
+    stamp = lambda c: F.date_format(F.max(c), "yyyy-MM-dd HH:mm:ss")
+    stages = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat(F.lit("s"), "l_linenumber").alias("k")).agg(F.max(status).alias("status"), F.count("*").cast("int").alias("attempts"), stamp(F.to_timestamp("l_shipdate")).alias("started"), stamp(F.to_timestamp("l_shipdate") + F.make_interval(mins=F.col("l_linenumber"))).alias("finished"))
+    entry = F.struct("k", F.struct("status", "attempts", F.concat(F.lit("broke "), "k").alias("error"), "started", "finished").alias("v"))
     runs = stages.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("states"))
-    return rc.availability(rc.stage_states(runs, "l_orderkey", "states"), "l_orderkey", ["s1", "s2", "s3"])
+    runs = runs.withColumn("states", F.when(F.col("l_orderkey") % 13 != 0, F.col("states")))
+    return rc.availability(rc.stage_states(runs, "l_orderkey", "states"), "l_orderkey", ["s1", "s2", "s3"], {"s1": "caption", "s2": "dialogue"})
 
 
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +100,15 @@ def effective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stage_availability, history_page, keyset_page, explicit_windows, frames_in_scenes, exclusion_validity, pending_candidates, sibling_results, publish_runs, record_faults, effective_rank)}
 
 ORACLE_SQL = {
-    "stage_availability": """WITH s AS (SELECT l_orderkey, 's' || l_linenumber AS st, max(CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'done' ELSE 'waiting' END) AS x FROM lineitem GROUP BY ALL),
+    "stage_availability": """WITH s AS (
+  SELECT l_orderkey, CASE WHEN l_orderkey % 13 <> 0 THEN 's' || l_linenumber END AS st, max(CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'done' ELSE 'waiting' END) AS x, 60 * max(l_linenumber) AS sec
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
 p AS (
-  SELECT l_orderkey, coalesce(string_agg(DISTINCT CASE WHEN x = 'failed' THEN st END, ',' ORDER BY CASE WHEN x = 'failed' THEN st END), '') AS failed,
-         array_to_string(list_filter(['s1', 's2', 's3'], lambda k: NOT list_contains(list(st), k)), ',') AS missing, count(*) FILTER (x = 'done') AS done FROM s GROUP BY 1)
-SELECT *, CASE WHEN failed = '' AND missing = '' THEN 'available' WHEN done > 0 THEN 'partial' ELSE 'unavailable' END AS availability FROM p""",
+  SELECT l_orderkey, coalesce(string_agg(DISTINCT CASE WHEN x = 'failed' AND st IS NOT NULL THEN st END, ',' ORDER BY CASE WHEN x = 'failed' AND st IS NOT NULL THEN st END), '') AS failed,
+         array_to_string(list_filter(['s1', 's2', 's3'], lambda k: NOT coalesce(list_contains(list(st), k), false)), ',') AS missing,
+         concat_ws(',', CASE WHEN NOT coalesce(bool_or(st = 's1' AND x = 'done'), false) THEN 'caption' END, CASE WHEN NOT coalesce(bool_or(st = 's2' AND x = 'done'), false) THEN 'dialogue' END) AS missing_channels,
+         count(*) FILTER (x = 'done' AND st IS NOT NULL) AS done, count(st) AS n, CAST(sum(sec) FILTER (st IS NOT NULL) AS BIGINT) AS seconds, 'broke ' || min(st) FILTER (x = 'failed') AS reason FROM s GROUP BY 1)
+SELECT * EXCLUDE (n), CASE WHEN n = 0 THEN 'legacy' WHEN failed = '' AND missing = '' THEN 'available' WHEN done > 0 THEN 'partial' ELSE 'unavailable' END AS availability FROM p""",
     "history_page": "SELECT o_orderkey, o_custkey, count(*) OVER () AS total FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 20",
     "keyset_page": "SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (50, 100) ORDER BY 1, 2 LIMIT 25",
     "explicit_windows": f"""SELECT item_id AS query_id, 'broadcast' AS field, CASE WHEN item_id % 3 = 0 THEN '1996-01-01' ELSE {ranking._MONTH.format('item_id')} END AS "start",

@@ -20,6 +20,26 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def cue_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cues, rejects) of subtitle files of any kind (path, content), told apart by their content: JSON lists of cues, else SRT or WebVTT."""
+    is_json = F.ltrim("content").startswith("[")
+    text, text_bad = parse_cues(files.where(~F.coalesce(is_json, F.lit(False))))
+    listed, listed_bad = parse_json_cues(files.where(is_json))
+    return text.unionByName(listed), text_bad.unionByName(listed_bad)
+
+
+def parse_json_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``parse_cues``, of JSON lists of objects with ``start`` and ``end`` in ms and ``text``."""
+    read = files.withColumn("cues", F.from_json("content", "array<struct<start:long,end:long,text:string>>"))
+    each = read.select("path", F.explode("cues").alias("c")).select("path", "c.*")
+    whole = F.coalesce(F.col("start") < F.col("end"), F.lit(False)) & F.col("text").isNotNull()
+    wrong = each.where(~whole).select("path", F.lit("bad_interval").alias("reason")).distinct()
+    none = read.where(F.coalesce(F.size("cues") <= 0, F.lit(True))).select("path", F.lit("no_cue").alias("reason"))
+    order = Window.partitionBy("path").orderBy("start", "end", "text")
+    good = each.join(wrong, "path", "left_anti").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''")
+    return good.withColumn("cue_no", F.row_number().over(order) - 1).select("path", "start", "end", "text", "cue_no"), wrong.unionByName(none)
+
+
 def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cues, rejects) of files (path, content): cues (path, cue_no, start, end, text) by time, rejects (path, reason).
 
@@ -35,4 +55,4 @@ def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = files.select("path").distinct().join(cues.select("path").distinct(), "path", "left_anti").select("path", F.lit("no_cue").alias("reason"))
     order = Window.partitionBy("path").orderBy("start", "end", "text")
     good = cues.join(wrong, "path", "left_anti").where("text <> ''").withColumn("cue_no", F.row_number().over(order) - 1)
-    return good, wrong.unionByName(none)
+    return good.select("path", "start", "end", "text", "cue_no"), wrong.unionByName(none)

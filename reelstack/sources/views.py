@@ -63,3 +63,18 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     if short.count():
         found = found.unionByName(docs.join(F.broadcast(short), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("scene_id")))
     return found
+
+
+def load_index(spark: SparkSession, path: str, schema: str, wanted: DataFrame | None = None, category: str | None = None, id_col: str = "id") -> DataFrame:
+    """Rows of a JSON-lines index with an id: those among ``wanted`` ids, those of a category, or all."""
+    rows = spark.read.schema(schema).json(path).where(F.col(id_col).isNotNull())
+    if wanted is not None:
+        rows = rows.join(small(wanted.select(id_col).distinct()), id_col, "left_semi")
+    return rows if category is None else rows.where(F.col("category") == category)
+
+
+def read_strict(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects with their line and reason) of JSON-lines files under a strict schema."""
+    from reelstack.operators.archive import parsed_records
+
+    return parsed_records(spark.read.text(path).select("value", F.col("value").alias("line")), "value", schema, required)

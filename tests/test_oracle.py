@@ -9,7 +9,7 @@ import __spark_entry__
 from reelstack import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["eligibility", "effective_tags", "bm25_topk", "dense_topk", "vector_coverage", "transcript_selection", "uncovered_ranges", "scene_mapping", "keyframe_plan", "ocr_merge", "rekey_rules", "latest_run", "status_counts", "evidence_rollup", "upsert_tags", "soft_delete", "run_summary", "subtitle_cues", "dq_report", "scene_tiling"]
+NAMES = ["eligibility", "effective_tags", "bm25_topk", "dense_topk", "vector_coverage", "transcript_selection", "uncovered_ranges", "scene_mapping", "keyframe_plan", "ocr_merge", "rekey_rules", "latest_run", "status_counts", "evidence_rollup", "upsert_tags", "soft_delete", "run_summary", "subtitle_cues", "dq_report", "scene_tiling", "structured_score", "hybrid_search", "replay_diff", "bm25_fields_coverage", "embedding_health", "slot_scores", "stray_tokens", "value_spans", "revised_rules", "index_readiness", "strict_records"]
 
 
 def plain(value):
