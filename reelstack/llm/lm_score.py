@@ -251,7 +251,6 @@ def lexicon(counts: DataFrame, head: int = HEAD, shape: Shape = Shape()) -> Lexi
         least = at
     top = counts.where((step >= least if least is not None else F.lit(False)) & (F.col("class") >= 0)).select("word", "n").toArrow()
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by = np.argsort(word)
     frequent = counts.where("class >= 0").orderBy(F.desc("n"), "word").limit(shape.vocab).toArrow()
     vocab, own = frequent.column("word").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     by_class = counts.where("class >= 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -265,7 +264,10 @@ def lexicon(counts: DataFrame, head: int = HEAD, shape: Shape = Shape()) -> Lexi
     np.subtract.at(tokens, kinds, own)
     np.subtract.at(distinct, kinds, 1)
     place = np.argsort(vocab)
-    return Lexicon(word[by], n[by], vocab[place], int(ends), total, all_words, tokens, distinct, shape, own[place])
+    # tasks know the vocabulary's counts, however small the head is
+    word, first = np.unique(np.concatenate([word, vocab]), return_index=True)
+    n = np.concatenate([n, own])[first]
+    return Lexicon(word, n, vocab[place], int(ends), total, all_words, tokens, distinct, shape, own[place])
 
 
 def _noise(lex: Lexicon) -> np.ndarray:
@@ -341,7 +343,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = cut(word_counts(training.select("text"), shape))
     lex = lexicon(counts, head, shape)
     ids = cut(training.select("id").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(warm_docs))
-    sample = training.join(F.broadcast(ids), "id", "left_semi").select("text")
+    sample = training.join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id", "text").select("text")
     model = train(training, sample, lex)
     shared = spark.sparkContext.broadcast((lex, model))
 
