@@ -17,6 +17,8 @@ The statistics are counted per task before they are shuffled and hold one row pe
 (host, node, value), so a host of any size is no single task's work. Nodes are hashes of their paths, so a page of any depth
 costs its length only. The table of unimportant nodes is broadcast while it is small; beyond, it is joined by the nodes that a page has.
 
+A page of which the tree would leave nothing keeps what it does not itself call noise.
+
 Defined results: null and empty pages give an empty text; a null or odd url makes the
 page part of a nameless host; unclosed and crossing tags are closed as browsers
 do; an unfinished tag at the end is dropped. Repeated rows each get their row, and count as pages of their own; a null id is kept. A page
@@ -49,7 +51,7 @@ PRESENTATION = 0.1
 #: Importances are taken to lie between this and one less this.
 CLIP = 0.01
 #: What an element's own words weigh, in log-odds: it says that it is no content, that it is the article; it lies inside the article.
-SAYS_NOISE, SAYS_ARTICLE, INSIDE_ARTICLE = -5.0, 5.0, 2.5
+SAYS_NOISE, SAYS_ARTICLE, INSIDE_ARTICLE = -5.0, 5.0, 1.5
 #: The article's text is taken alone if it has this share of the text that is left.
 ARTICLE_SHARE = 0.25
 #: Unimportant nodes (rows of host, node, log-odds) up to which they are broadcast.
@@ -239,6 +241,9 @@ def main_text(page: str | None, odds: dict[int, float] | None = None) -> str:
     if not page:
         return ""
     left = [b for b in parse(page, odds)[0] if not b[1]]
+    if odds and not left:
+        # a page is not all noise: one that its host repeats whole is judged by what it says of itself
+        left = [b for b in parse(page)[0] if not b[1]]
     marked = [b for b in left if b[2]]
     if marked and sum(len(b[3]) for b in marked) >= ARTICLE_SHARE * sum(len(b[3]) for b in left):
         left = marked
@@ -278,11 +283,12 @@ def style_tree(pages: DataFrame, strength: float = STRENGTH) -> DataFrame:
     values = cut(values.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")))
     node = cut(_importance(values, "host", "node"))
     weight = F.col("pages") - 1
-    mean = node.groupBy("node").agg((F.sum(F.col("own") * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("mean"))
-    pooled = _importance(values.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")), "node").select("node", F.col("own").alias("pooled"))
-    joined = node.join(mean.join(pooled, "node"), "node")
-    # (least passes over nulls)
-    elsewhere = F.coalesce(F.least("mean", "pooled"), F.lit(UNKNOWN))
+    sums = node.groupBy("node").agg(F.sum(F.col("own") * weight).alias("sum"), F.sum(weight).alias("weight"))
+    pooled = _importance(values.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")), "node").select("node", F.col("pages").alias("all_pages"), F.col("own").alias("pooled"))
+    joined = node.join(sums.join(pooled, "node"), "node")
+    # what other hosts tell: a path that no other host has is not judged by its own pages twice (least passes over nulls)
+    mean = (F.coalesce("sum", F.lit(0.0)) - F.coalesce(F.col("own") * weight, F.lit(0.0)) + strength * UNKNOWN) / F.nullif(F.col("weight") - weight + strength, F.lit(0.0))
+    elsewhere = F.coalesce(F.least(mean, F.when(F.col("all_pages") > F.col("pages"), F.col("pooled"))), F.lit(UNKNOWN))
     shrunk = (F.coalesce(F.col("own"), F.lit(0.0)) * weight + strength * elsewhere) / (weight + strength)
     return joined.select("host", "node", "pages", "presentation", "content", shrunk.alias("importance"))
 
