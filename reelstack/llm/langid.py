@@ -72,7 +72,7 @@ def grams(points: np.ndarray, row: np.ndarray, n: int, buckets: int = BUCKETS) -
             gram = gram[:-1] * np.uint64(1 << 21) + text[k:]
         if k + 1 in ORDERS and len(gram):
             inside = row[: len(gram)] == row[k:] if k else np.ones(len(gram), bool)
-            bucket = (mix64(gram[inside] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix64(gram[inside] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             cells.append(row[: len(gram)][inside] * buckets + bucket)
     count = np.bincount(np.concatenate(cells), minlength=n * buckets) if cells else np.zeros(n * buckets, np.int64)
     at = np.flatnonzero(count)

@@ -213,6 +213,8 @@ def test_the_tree_decides_what_stays(spark):
     # the same host's pages, and the tree of all hosts behind a host of one page
     assert text[900] == "First of its host" and text[None] == "no host"
     assert hx.main_text(rows[3][2], {}) == "Story 3 is told\n\nSeen everywhere"
+    whole = spark.createDataFrame([(i, "http://same.org/", page(0, "<p>The one page</p>")) for i in range(50)], "page_id long, url string, html string")
+    assert {r["text"] for r in hx.extract_text(whole).collect()} == {"Site of all\n\nPart 0\n\nThe one page"}
     joined = hx.extract_text(pages, broadcast_nodes=0).collect()
     assert sorted(map(str, joined)) == sorted(map(str, got))
 
@@ -251,7 +253,7 @@ def test_mixture_is_what_the_leaves_were_dealt(spark):
     rows = [(None if i % 40 == 7 else i, " ".join("w" for _ in range(rng.randint(0, 9))), rng.choice("abc") if i % 9 else None, "mine") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
     mixed = mixing.mixed_documents(docs, blocks=16, depth=2)
-    assert mixed.columns[:4] == docs.columns and {"mix_size", "mix_source", "taken", "shards"} <= set(mixed.columns)
+    assert mixed.columns[:4] == docs.columns and {"mix_size", "taken", "shards"} <= set(mixed.columns)
     got = mixed.collect()
     assert len(got) == 400 and {r["size"] for r in got} == {"mine"}
     taken, target = Counter(), {}
