@@ -12,20 +12,19 @@ representatives are aggregated to buckets; in each, the member that shares bucke
 with most others is the hub, members are verified against it on whole shingle sets,
 and verified links are joined to components. Members of one hub that are then
 still in different components can only be similar if they share enough shingles that the
-hub lacks; they meet by the rarest of those, or by their size if they lack too little. Where many of them meet, sub-hubs
-are drawn and verified first, and only what is left in different components is paired, in blocks. A group of copies therefore costs links in proportion to its
+hub lacks; they are paired by those, which are rare, and counted before a pair is
+verified; where many members share one, they are dealt to several tasks. A group of copies therefore costs links in proportion to its
 size, while no pair that may be linked stays untested. With 40 bands of 5 coordinates a pair at similarity
 0.8 shares no bucket with probability 1.3e-7.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +35,8 @@ WIDTH = 5
 PERCENT = 80
 BANDS = 40
 ROWS = 5
-#: Members of a key up to which all their pairs are candidates; larger groups take up to TURNS sub-hubs first, then BLOCKS times BLOCKS tasks.
-GROUP = 64
-TURNS = 3
-BLOCKS = 16
+#: Members of one hub and shingle that a task compares with the others; more are dealt to several tasks.
+PART = 256
 #: Bytes of text sketched at once: rounds have a fixed cost, so larger than other passes.
 SKETCH_BYTES = 1 << 22
 
@@ -181,52 +178,39 @@ def _outside(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return rows.select("hub", "rep", "n", "t", "th").mapInArrow(run, "hub long, rep long, n long, inside long, outside array<long>")
 
 
-def _meeting_keys(duo: DataFrame, each: DataFrame, percent: int) -> DataFrame:
-    """(hub, key, rep, n, component, inside, out): keys of which two members of one hub, in different components, that reach the similarity share at least one.
+def _pairs(members: DataFrame, *keys: str) -> DataFrame:
+    """Self-join of members (keys, m, ...) on their keys, the second one's columns with a 2; a group of ``m`` members is dealt to parts of ``PART`` members against all others."""
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    left = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).drop("m")
+    right = members.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
+    others = [c for c in right.columns if c not in (*keys, "part")]
+    return left.join(right.select(*keys, "part", *[F.col(c).alias(f"{c}2") for c in others]), [*keys, "part"])
 
-    ``each`` has the members' shingles outside the hub. Such a pair has at least p times a member's shingles in common, of which ``inside`` at most lie
-    inside the hub, so ``t`` at least are outside shingles that other components have too (``out``: how many a member has of those). With ``t`` > 0 the pair
-    shares one of the member's rarest, all but the ``t - 1`` most frequent ones. Members with nothing left to share outside have all of them as keys, and
-    two classes of size: sizes that are within p of each other meet in one, to share what lies inside the hub.
-    """
-    left = F.ceil(F.col("n") * percent / 100) - F.col("inside")
-    often = each.groupBy("hub", "key").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "key", "often")
-    met = cut(each.join(often, ["hub", "key"]))
-    able = met.groupBy("hub", "rep").agg(F.count("*").alias("out"), F.first(left).alias("t")).where("out >= t")
-    rarest = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("often", "key"))
-    prefix = met.join(able, ["hub", "rep"]).withColumn("place", rarest).where(F.col("place") <= F.col("out") - F.greatest(F.col("t"), F.lit(1)) + 1)
-    step = F.floor(F.log(F.col("n")) / F.lit(-math.log(percent / 100)))
-    sized = duo.where(left <= 0).select("hub", F.explode(F.array(step, step + 1)).alias("step"), "rep", "n", "component", "inside")
-    columns = ["hub", "key", "rep", "n", "component", "inside", "out"]
-    return prefix.select(*columns).union(sized.withColumns({"key": F.xxhash64(F.lit("size"), "step"), "out": F.lit(0).cast("long")}).select(*columns))
-
-
-def _candidates(keyed: DataFrame, turn: int, last: bool, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), the groups that were too large): members of one key in different components.
-
-    Groups of up to ``GROUP`` members give all their pairs. In a larger one a member is drawn as sub-hub and paired with the others, which leaves
-    what is not like it to the next turn; in the last turn its pairs are dealt to blocks, so that no task has a whole group.
+
+def _across(duo: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub in different components that can reach the similarity.
+
+    |A and B| >= p / (1 + p) * (|A| + |B|), of which at most min(inside) lie inside the hub: the pair shares as many shingles
+    outside of it as are lacking, and is found by them; pairs that lack none are compared as they are.
     """
-    mixed = keyed.groupBy("hub", "key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.struct("rep", "n", "inside", "out", "component").alias("x"))).alias("sub"))
-    mixed = cut(mixed.where("lo < hi").select("hub", "key", "m", F.col("sub.x").alias("sub")))
-    large = F.col("m") > GROUP
-    met = cut(keyed.join(mixed, ["hub", "key"]))
-    second = lambda df, *more: df.select("hub", "key", *more, *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "inside", "out", "component")])
-    few = met.where(~large)
-    found = few.drop("m", "sub").join(second(few), ["hub", "key"])
-    if last:
-        block = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(BLOCKS)).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-        many = met.where(large).drop("m", "sub").withColumn("i", block)
-        more = many.select("*", others.alias("j")).join(second(many.withColumn("j", F.col("i")).drop("i").select("*", others.alias("i")), "i", "j"), ["hub", "key", "i", "j"]).drop("i", "j")
-    else:
-        subs = [F.col(f"sub.{c}").alias(f"{c}2") for c in ("rep", "n", "inside", "out", "component")]
-        more = met.where(large).select("hub", "key", "rep", "n", "inside", "out", "component", *subs)
-    both = found.unionByName(more).where("component <> component2")
-    # what two members can share at most: inside the hub, and outside of it
-    most = F.least("inside", "inside2") + F.least("out", "out2")
-    both = both.where((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))).where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), mixed.where(large)
+    need = lambda have, n, m: (100 + percent) * have >= percent * (n + m)
+    same_size = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    each = duo.select("hub", "rep", "n", "component", "inside", F.explode("outside").alias("shingle"))
+    met = each.groupBy("hub", "shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "shingle", "m")
+    each = each.join(met, ["hub", "shingle"])
+    reach = each.groupBy("hub", "rep").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("inside").alias("inside"))
+    able = reach.where(need(F.col("inside") + F.col("k"), F.col("n"), F.col("n") * (percent / 100))).select("hub", "rep")
+    each = cut(each.join(able, ["hub", "rep"], "left_semi"))
+    found = _pairs(each, "hub", "shingle").where((F.col("component") < F.col("component2")) & same_size)
+    found = found.groupBy("hub", "rep", "rep2").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.least(F.first("inside"), F.first("inside2")).alias("inside"))
+    found = found.where(need(F.col("inside") + F.col("k"), F.col("n"), F.col("n2"))).select("rep", "rep2")
+    # members that lie in the hub so far that they may share enough there with the hub's smallest such member
+    whole = duo.where(need(F.col("inside"), F.col("n"), F.col("n") * (percent / 100))).select("hub", "rep", "n", "component", "inside")
+    hubs = whole.groupBy("hub").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "least")
+    whole = whole.join(hubs, "hub").where(need(F.col("inside"), F.col("n"), F.greatest(F.col("least"), F.col("n") * (percent / 100)))).drop("least")
+    whole = cut(whole.join(whole.groupBy("hub").agg(F.count("*").alias("m")), "hub"))
+    direct = _pairs(whole, "hub").where((F.col("component") < F.col("component2")) & same_size & need(F.least("inside", "inside2"), F.col("n"), F.col("n2"))).select("rep", "rep2")
+    return found.union(direct).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -280,21 +264,12 @@ def near_duplicates(
     duo = cut(left.where("rep <> hub").select("hub", "rep", "n").distinct())
     open_ids = cut(duo.select(F.col("rep").alias("id")).union(duo.select("hub")).distinct())
     open_texts = slim.join(small(open_ids, open_ids.count()), "id", "left_semi")
-    apart = cut(_outside(duo, open_texts, width))
-    for turn in range(TURNS + 1):
-        named = label.withColumnRenamed("node", "rep")
-        now = cut(apart.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        each = now.select("hub", "rep", "n", "component", "inside", F.explode("outside").alias("key"))
-        keyed = cut(_meeting_keys(now.drop("outside"), each, percent))
-        pairs, large = _candidates(keyed, turn, turn == TURNS, percent)
-        fresh = cut(pairs.join(asked, ["a", "b"], "left_anti"))
-        found = cut(_verified(fresh, open_texts, width, percent))
-        if found.count():
-            links = cut(links.union(found))
-            label = components(spark, links)
-        if not large.count():
-            break
-        asked = cut(asked.union(fresh))
+    apart = cut(_outside(duo, open_texts, width)).join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    fresh = _across(apart, percent).join(asked, ["a", "b"], "left_anti")
+    found = cut(_verified(fresh, open_texts, width, percent))
+    if found.count():
+        links = cut(links.union(found))
+        label = components(spark, links)
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.select("k1", "k2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

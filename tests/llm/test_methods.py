@@ -155,10 +155,9 @@ def classes(rows, width):
     return label
 
 
-@pytest.mark.parametrize("turns", [0, 2])
-def test_sub_hubs_and_blocks_lose_no_link(spark, monkeypatch, turns):
-    monkeypatch.setattr(near_dup, "GROUP", 2)
-    monkeypatch.setattr(near_dup, "TURNS", turns)
+@pytest.mark.parametrize("part", [2, 256])
+def test_groups_dealt_to_parts_lose_no_link(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dup, "PART", part)
     rows = near_copies()
     # excerpts of a longer text: like each other, not like it
     rng, long = random.Random(2), [f"p{i}" for i in range(300)]
