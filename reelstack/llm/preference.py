@@ -12,7 +12,8 @@ Defined results: turns are ordered by (turn, role, text), nulls first; a null ro
 renders as ``unknown``, a null text as an empty one, and both compare as equal to
 themselves; rows that repeat are turns that repeat; a marker inside a text is
 broken by a backslash; pairs of equal conversations have empty completions and are not ``usable``, and
-so are pairs of which a completion holds no assistant turn.
+so are pairs of which a completion holds no assistant turn. Turns of a null id are left out; a null side is an empty one; turns that tie in all
+three order columns are alike. An empty table gives no pairs; other columns are not read. A conversation is one row, so it has to fit a task's memory.
 """
 
 from __future__ import annotations
@@ -89,8 +90,13 @@ def digest(formatted: DataFrame, id_col: str = "pair_id") -> DataFrame:
     """Flat columns of formatted pairs: texts joined, and the loss spans of each completion as ``first-last`` code points."""
 
     def spans(side: str) -> Column:
-        ends = F.transform(side, lambda s, i: F.struct(F.length(F.array_join(F.transform(F.slice(side, F.lit(1), i + 1), lambda x: x["text"]), "")).alias("end"), F.length(s["text"]).alias("n"), s["loss"].alias("loss")))
-        return F.array_join(F.transform(F.filter(ends, lambda e: e["loss"]), lambda e: F.concat_ws("-", e["end"] - e["n"], e["end"])), ",")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x["text"])
+            return F.struct(end.alias("at"), F.when(x["loss"], F.concat(acc["found"], F.array(F.concat_ws("-", acc["at"], end)))).otherwise(acc["found"]).alias("found"))
+
+        return F.array_join(F.aggregate(side, start, step, lambda acc: acc["found"]), ",")
 
     joined = lambda side: F.array_join(F.transform(side, lambda s: s["text"]), "")
     return formatted.select(

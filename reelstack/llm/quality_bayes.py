@@ -13,7 +13,9 @@ shuffled, so a hot host costs its keys' rows only, and the site table is joined
 handling, broadcast only if it is small.
 
 Defined results: a null text counts as an empty one; a null host or path is a site of its own;
-sites without labels have their parent's posterior; without labels of both kinds the evidence is 0.
+sites without labels have their parent's posterior; without labels of both kinds the evidence is 0. Several labels of one
+document count as the greatest; rows that repeat an id are judged each, a null id is kept and teaches nothing; ties of the sample's hash
+are broken by the id. Empty tables give no rows; other columns are not read. A text is measured in one piece, in memory of some 40 times its bytes.
 """
 
 from __future__ import annotations
