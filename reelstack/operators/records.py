@@ -59,11 +59,12 @@ def inside_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, width
 
 
 def activated(active: DataFrame, ready: DataFrame) -> DataFrame:
-    """(clip_id, run_id, changed): each clip's newest ready run if it is newer than the active one, else the active one."""
-    newest = ready.groupBy("clip_id").agg(F.max("run_id").alias("ready_run"))
+    """(clip_id, run_id, transcript_source, changed): each clip's newest ready run, with its transcript source, if it is newer than the active one, else the active one."""
+    newest = ready.groupBy("clip_id").agg(F.max("run_id").alias("ready_run"), F.max_by("transcript_source", "run_id").alias("ready_source"))
     both = active.join(newest, "clip_id", "left")
     newer = F.coalesce(F.col("ready_run") > F.col("run_id"), F.lit(False))
-    return both.select("clip_id", F.when(newer, F.col("ready_run")).otherwise(F.col("run_id")).alias("run_id"), newer.alias("changed"))
+    pick = lambda new, old: F.when(newer, F.col(new)).otherwise(F.col(old)).alias(old)
+    return both.select("clip_id", pick("ready_run", "run_id"), pick("ready_source", "transcript_source"), newer.alias("changed"))
 
 
 def rank_faults(results: DataFrame, key: str, rank: str) -> DataFrame:
@@ -78,6 +79,29 @@ def selection_faults(judged: DataFrame) -> DataFrame:
     return twice.union(judged.where("selected = (conflicts <> '')").select("segment_id")).distinct()
 
 
+def unfounded_exclusions(judged: DataFrame, tiers: list[str]) -> DataFrame:
+    """Segments (clip_id, segment_id) that were dropped although no selected segment of a higher tier overlaps them, checked on the intervals themselves."""
+    from reelstack.operators.intervals import overlaps
+
+    place = F.array_position(F.array(*map(F.lit, tiers)), F.col("source"))
+    ranked = judged.withColumn("tier", place)
+    upper = ranked.where("selected").select("clip_id", F.col("tier").alias("r_tier"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    dropped = ranked.where("not selected").select("clip_id", "segment_id", "tier", "start", "end")
+    founded = overlaps(dropped, upper).where("r_tier < tier").select("clip_id", "segment_id")
+    return dropped.select("clip_id", "segment_id").join(founded.distinct(), ["clip_id", "segment_id"], "left_anti")
+
+
+def pending_rules(rules: DataFrame) -> DataFrame:
+    """Per report: rules that are neither active nor rejected, and the newest of them."""
+    return rules.where("not active and not rejected").groupBy("report_id").agg(F.count("*").alias("pending"), F.max("rule_id").alias("newest"))
+
+
+def typed_path(text, path: str, pattern: str, kind: str):
+    """A value of a JSON text at a path, cast to ``kind``; null unless the text there looks like the pattern."""
+    raw = F.get_json_object(text, path)
+    return F.when(raw.rlike(pattern), raw.try_cast(kind))
+
+
 def effective_rank(vectors: DataFrame, vector: str) -> DataFrame:
     """Exponential of the entropy of the normalised singular values, from Gram matrices summed over partitions.
 

@@ -133,7 +133,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyframe_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = pr.best_per_slot(frames(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") * 1000000 + F.col("frame_no")), "scene_id", "slot_name")
-    return best.select("scene_id", "slot_name", "frame_no", "blank")
+    turn = F.row_number().over(Window.partitionBy("scene_id").orderBy("ts_ms"))
+    return best.select("scene_id", "slot_name", "frame_no", "blank", turn.alias("place"))
 
 
 def keyframe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +404,9 @@ SELECT clip_id, row_number() OVER w - 1 AS scene_no, start, coalesce(lead(start)
 SELECT scene_id, slot, centre, CAST(round_even(centre * 29.97 / 1000, 0) AS BIGINT) AS frame,
        array_to_string(list_transform([0, 400, -400, 800, -800], lambda o: least(greatest(centre + o, start_ms), end_ms - 1)), ',') AS candidates,
        CAST(ceil(start_ms * 29.97 / 1000) AS BIGINT) AS first_frame, CAST(ceil(end_ms * 29.97 / 1000) AS BIGINT) - 1 AS last_frame FROM c""",
-    "keyframe_pick": """SELECT user_id AS scene_id, event_type AS slot_name, event_id AS frame_no, event_id % 9 = 0 AS blank FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 9 = 0, coalesce(value, 0) DESC, epoch_us(ts) // 1000, event_id) = 1""",
+    "keyframe_pick": """SELECT scene_id, slot_name, frame_no, blank, row_number() OVER (PARTITION BY scene_id ORDER BY t, frame_no) AS place FROM (
+SELECT user_id AS scene_id, event_type AS slot_name, event_id AS frame_no, event_id % 9 = 0 AS blank, epoch_us(ts) // 1000 AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 9 = 0, coalesce(value, 0) DESC, epoch_us(ts) // 1000, event_id) = 1)""",
     "ocr_merge": f"""WITH {_OCR},
 a AS (SELECT scene_id, same, max(n) > 1 AS amb FROM (SELECT scene_id, same, frame, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL)
 SELECT scene_id, same AS group_text, count(*) AS size, arg_max(obs_id, (confidence, -frame, obs_id)) AS representative, min(frame) AS first_frame, max(frame) AS last_frame, max(confidence) AS confidence

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelstack.operators import curation as cu
 from reelstack.operators import intervals as iv
 from reelstack.operators import records as rc
+from reelstack.operators.tables import cut
 from reelstack.plans import preparation, ranking, search, sql
 from reelstack.sources import views
 
@@ -73,19 +74,35 @@ def sibling_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("clip_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"))
-    active = runs.groupBy("clip_id").agg(F.min("run_id").alias("run_id"))
-    return rc.activated(active, runs.where("status = 'F'").select("clip_id", "run_id"))
+    source = F.element_at(F.array(F.lit("provided"), F.lit("asr"), F.lit("none")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    runs = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("clip_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), source.alias("transcript_source"))
+    active = runs.groupBy("clip_id").agg(F.min("run_id").alias("run_id"), F.min_by("transcript_source", "run_id").alias("transcript_source"))
+    return rc.activated(active, runs.where("status = 'F'"))
+
+
+def pending_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as rules of their order's report."""
+    li = _t(spark, sf_dir, "lineitem")
+    return rc.pending_rules(li.select(F.col("l_orderkey").alias("report_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rule_id"), (F.col("l_linestatus") == "O").alias("active"), (F.col("l_returnflag") == "R").alias("rejected")))
+
+
+def typed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and texts at paths of a JSON text, null where they are of another type; every fifth number is written as a text that is none."""
+    e = _t(spark, sf_dir, "events").where("value is not null")
+    number = F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.floor("value").cast("string"))
+    text = F.to_json(F.struct(F.struct(number.alias("n"), F.col("event_type").alias("t")).alias("a")))
+    return e.select("event_id", rc.typed_path(text, "$.a.n", r"^-?\d+$", "bigint").alias("n"), rc.typed_path(text, "$.a.t", "^[a-z]+$", "string").alias("t"), rc.typed_path(text, "$.a.x", ".*", "string").alias("x"))
 
 
 def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of search results and selections; results of orders stand for recorded ranks."""
-    judged = iv.select_by_priority(preparation.segments(spark, sf_dir), preparation.TIERS)
+    judged = cut(iv.select_by_priority(preparation.segments(spark, sf_dir), preparation.TIERS))
     li = _t(spark, sf_dir, "lineitem")
     return cu.violations(
         {
             "recorded_ranks": rc.rank_faults(li.where("l_partkey % 50 <> 0"), "l_orderkey", "l_linenumber"),
             "selection": rc.selection_faults(judged),
+            "unfounded_exclusion": rc.unfounded_exclusions(judged.where("segment_id % 7 <> 0 or not selected"), preparation.TIERS),
             "scene_without_end": views.scenes(spark, sf_dir).where("end_ms <= start_ms"),
             "run_without_clip": cu.orphans(_t(spark, sf_dir, "orders"), "o_custkey", _t(spark, sf_dir, "customer").where("c_custkey % 10 <> 0"), "c_custkey"),
         }
@@ -97,7 +114,7 @@ def effective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.effective_rank(search.vectors(spark, sf_dir)[1], "vector")
 
 
-QUERIES = {f.__name__: f for f in (stage_availability, history_page, keyset_page, explicit_windows, frames_in_scenes, exclusion_validity, pending_candidates, sibling_results, publish_runs, record_faults, effective_rank)}
+QUERIES = {f.__name__: f for f in (stage_availability, history_page, keyset_page, explicit_windows, frames_in_scenes, exclusion_validity, pending_candidates, sibling_results, publish_runs, pending_rules, typed_paths, record_faults, effective_rank)}
 
 ORACLE_SQL = {
     "stage_availability": """WITH s AS (
@@ -118,9 +135,14 @@ SELECT * EXCLUDE (n), CASE WHEN n = 0 THEN 'legacy' WHEN failed = '' AND missing
 SELECT query_id, count(*) AS rules, count(*) FILTER (scene_id IN (SELECT scene_id FROM eligible)) AS valid FROM (SELECT DISTINCT * FROM excl) GROUP BY 1""",
     "pending_candidates": f"WITH {sql.SCENE}, {ranking._JUDGED} SELECT scene_id, tag, count(*) AS n FROM jud WHERE scene_id IS NOT NULL AND source <> 'reviewer' AND (scene_id, tag) NOT IN (SELECT (scene_id, tag) FROM jud WHERE scene_id IS NOT NULL AND source = 'reviewer' AND status = 'verified') GROUP BY ALL",
     "sibling_results": """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber > 1 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 4 = 0)""",
-    "publish_runs": """WITH a AS (SELECT o_custkey AS clip_id, min(o_orderkey) AS a, max(o_orderkey) FILTER (o_orderstatus = 'F') AS r FROM orders GROUP BY 1)
-SELECT clip_id, CASE WHEN r > a THEN r ELSE a END AS run_id, coalesce(r > a, false) AS changed FROM a""",
-    "record_faults": """SELECT 'recorded_ranks' AS "check", (SELECT count(DISTINCT l_orderkey) FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_partkey % 50 <> 0) WHERE n <> l_linenumber) AS n
+    "publish_runs": """WITH a AS (SELECT o_custkey AS clip_id, min(o_orderkey) AS a, max(o_orderkey) FILTER (o_orderstatus = 'F') AS r FROM orders GROUP BY 1), x AS (SELECT clip_id, CASE WHEN r > a THEN r ELSE a END AS run_id, coalesce(r > a, false) AS changed FROM a)
+SELECT clip_id, run_id, ['provided', 'asr', 'none'][run_id % 3 + 1] AS transcript_source, changed FROM x""",
+    "pending_rules": "SELECT l_orderkey AS report_id, count(*) AS pending, max(l_orderkey * 10 + l_linenumber) AS newest FROM lineitem WHERE l_linestatus <> 'O' AND l_returnflag <> 'R' GROUP BY 1",
+    "typed_paths": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(floor(value) AS BIGINT) END AS n, CASE WHEN regexp_full_match(event_type, '[a-z]+') THEN event_type END AS t, CAST(NULL AS VARCHAR) AS x FROM events WHERE value IS NOT NULL",
+    "record_faults": f"""WITH {preparation._SEG},
+bad AS (SELECT segment_id FROM sel d WHERE conflicts <> '' AND NOT EXISTS (
+  SELECT 1 FROM sel u WHERE u.clip_id = d.clip_id AND u.conflicts = '' AND u.segment_id % 7 <> 0 AND greatest(u.s, d.s) < least(u.e, d.e) AND (u.source = 'uploaded' AND d.source <> 'uploaded' OR u.source = 'embedded' AND d.source = 'asr')))
+SELECT 'unfounded_exclusion' AS "check", (SELECT count(*) FROM bad) AS n UNION ALL SELECT 'recorded_ranks' AS "check", (SELECT count(DISTINCT l_orderkey) FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_partkey % 50 <> 0) WHERE n <> l_linenumber) AS n
 UNION ALL SELECT 'selection', 0 UNION ALL SELECT 'scene_without_end', 0
 UNION ALL SELECT 'run_without_clip', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0))""",
 }
