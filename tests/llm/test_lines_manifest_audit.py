@@ -177,9 +177,9 @@ def test_audit_matches_plain_python(spark, rows, limits, monkeypatch):
 def test_audit_of_empty_tables_and_text_ids(spark, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert audit_filters(frame(spark, []), labels).collect() == []
-    named = frame(spark, rows).withColumn("doc_id", F.format_string("%05d", "doc_id"))
-    got = {tuple(r)[:3]: tuple(r)[3:] for r in audit_filters(named.where("doc_id <> 'null'"), labels.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()}
-    assert got == want_audit([r for r in rows if r[0] is not None], [])
+    named = frame(spark, rows).withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("%05d", "doc_id")))
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in audit_filters(named, labels.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()}
+    assert got == want_audit(rows, [])
 
 
 def test_trie_holds_prefixes_of_each_other():
