@@ -61,7 +61,8 @@ AXES = {"event": 2.0, "person": 2.0, "organization": 1.0, "location": 1.0, "faci
 
 
 def _pick(values: list[str], ident):
-    return F.element_at(F.array(*map(F.lit, values)), (ident % len(values) + 1).cast("int"))
+    """The value that a number stands for; null for null."""
+    return F.get(F.array(*map(F.lit, values)), (ident % len(values)).cast("int"))
 
 
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelstack.functions.text import tokens
 from reelstack.operators import evaluate as ev
 from reelstack.operators import retrieval as rt
+from reelstack.operators import topk
 from reelstack.operators.tables import cut
 from reelstack.plans import sql
 from reelstack.sources import views
@@ -28,7 +29,12 @@ def eligible_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
     """Top scenes of each query by BM25 over caption and transcript."""
-    raw = rt.bm25(views.search_queries(spark, sf_dir), eligible_scenes(spark, sf_dir), "scene_id", fields(), {})
+    queries, scene = views.search_queries(spark, sf_dir), eligible_scenes(spark, sf_dir)
+    found = topk.best(queries, scene, "scene_id", F.array(*fields().values()), k)
+    if found is None:
+        raw = rt.bm25(queries, scene, "scene_id", fields(), {})
+    else:
+        raw = found.select("query_id", "scene_id", F.round("score", 9).alias("raw_score"))
     return rt.top_k(raw, k, F.desc("raw_score"), F.col("scene_id"))
 
 
@@ -47,6 +53,23 @@ def bm25_fields_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of fields and of the best line with the bonus for covered terms, all from one pass over the lines."""
     queries, scene = views.search_queries(spark, sf_dir), eligible_scenes(spark, sf_dir)
     lines = F.split(F.concat_ws("\n", "caption", "transcript"), "\n")
+    found = topk.best(queries, scene, "scene_id", F.transform(lines, tokens), 200, with_parts=True)
+    ranked = by_joins(queries, scene, lines) if found is None else by_parts(found, queries)
+    top = rt.top_k(ranked, 200, F.desc("rank_score"), F.desc("raw_score"), F.col("scene_id"))
+    return top.select("query_id", "scene_id", "matched", F.round("raw_score", 6).alias("raw_score"), F.round("rank_score", 6).alias("rank_score"), "rank")
+
+
+def by_parts(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rank scores of the few scenes that can be among a query's best."""
+    raw = F.round(F.round("score", 9) + F.col("part_score"), 9)
+    total = queries.select("query_id", F.size(F.array_distinct("terms")).alias("total"))
+    bonus = F.when(F.col("total") > 1, topk.COVERAGE * F.col("matched") / F.col("total")).otherwise(0.0)
+    scored = found.withColumn("raw_score", raw).join(total, "query_id")
+    return scored.withColumn("rank_score", F.round(F.col("raw_score") / F.round("top", 9) + bonus, 9))
+
+
+def by_joins(queries: DataFrame, scene: DataFrame, lines: Column) -> DataFrame:
+    """The same of all scenes, by joins of postings: for more queries than tasks should be sent."""
     post = rt.line_postings(scene, "scene_id", lines, queries.select(F.explode("terms").alias("term")))
     by_field = rt.fields_of_lines(post, "scene_id", F.when(F.col("line_no") == 0, "caption").otherwise("transcript"))
     hits = cut(rt.bm25_of(by_field, queries, "scene_id"))
@@ -55,9 +78,7 @@ def bm25_fields_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_obs = seen.groupBy("query_id", "scene_id", "line_no").agg(F.sum("score").alias("raw_score"))
     merged = rt.merged_channels(raw, per_obs, "scene_id", 1.0)
     every = hits.select("query_id", "scene_id", "term").unionByName(seen.select("query_id", "scene_id", "term"))
-    ranked = rt.rank_lexical(merged, rt.coverage(every, queries, "scene_id"), "scene_id")
-    top = rt.top_k(ranked, 200, F.desc("rank_score"), F.desc("raw_score"), F.col("scene_id"))
-    return top.select("query_id", "scene_id", "matched", F.round("raw_score", 6).alias("raw_score"), F.round("rank_score", 6).alias("rank_score"), "rank")
+    return rt.rank_lexical(merged, rt.coverage(every, queries, "scene_id"), "scene_id")
 
 
 def phrase_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
