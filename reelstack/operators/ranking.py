@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelstack.operators.tables import cut, small
+
 RRF_K = 60.0
 LAMBDA = 1.0
 
@@ -33,11 +37,15 @@ def fuse(channels: dict[str, DataFrame], weights: dict[str, float], structured:
     return wide.withColumn("base_score", F.round(total / ceiling + lam * F.col("structured"), 9))
 
 
-def recency(day: Column, query: str = "query_id") -> Column:
+def recency(day: Column, first: Column, last: Column) -> Column:
     """Where a day lies between the first and last day of its query's candidates; 0 without a day or a span."""
-    w = Window.partitionBy(query)
-    lo, hi = F.min(day).over(w), F.max(day).over(w)
-    return F.coalesce(F.when(hi > lo, F.datediff(day, lo) / F.datediff(hi, lo)), F.lit(0.0))
+    return F.coalesce(F.when(last > first, F.datediff(day, first) / F.datediff(last, first)), F.lit(0.0))
+
+
+def with_span(candidates: DataFrame, day: Column, by: str = "query_id") -> DataFrame:
+    """Add ``first_day`` and ``last_day`` of a query's candidates: one pre-aggregated row a query, joined back. The candidates are read twice."""
+    span = candidates.groupBy(by).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    return candidates.join(span, by)
 
 
 def soft_score(signals: dict[str, tuple[Column, Column, float]]) -> Column:
@@ -55,20 +63,61 @@ def final_order(epsilon: float = 0.0, id_col: str = "scene_id") -> list[Column]:
     return [base.desc(), F.desc("soft_score"), F.col(id_col)]
 
 
-def page(ranked: DataFrame, excluded: DataFrame, number: int = 1, size: int = 10, id_col: str = "scene_id") -> DataFrame:
+def final_key(epsilon: float = 0.0, id_col: str = "scene_id") -> Column:
+    """The final order as one ascending value."""
+    base = F.floor(F.col("base_score") / epsilon) if epsilon > 0 else F.col("base_score")
+    return F.struct((-base).alias("base"), (-F.col("soft_score")).alias("soft"), F.col(id_col).alias("id"))
+
+
+def head(rows: DataFrame, k: int, order: list[Column], by: str = "query_id", name: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each query, numbered. Spark limits each partition's groups to ``k`` before it shuffles, so a task gets at most ``k`` rows a query from each of the others."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= k)
+
+
+def deep_enough(rows: DataFrame, treat: Callable[[DataFrame], DataFrame], need: int, order: list[Column], depth: int = 200) -> DataFrame:
+    """Treated rows among which are the first ``need`` that ``treat`` leaves of each query.
+
+    ``treat`` takes rows and returns some of them; a column ``out``, if it adds one, marks those that do not count. It is applied to the first ``depth``
+    rows of each query; only queries that had more and are left with less than ``need`` are treated in full.
+    """
+    found = cut(treat(head(rows, depth, order).drop("rank")))
+    counted = found.where(~F.col("out")) if "out" in found.columns else found
+    left = counted.groupBy("query_id").agg(F.count("*").alias("left"))
+    held = rows.groupBy("query_id").agg(F.count("*").alias("held")).where(F.col("held") > depth)
+    short = cut(held.join(left, "query_id", "left").where(F.coalesce("left", F.lit(0)) < need).select("query_id"))
+    n = short.count()
+    if not n:
+        return found
+    short = small(short, n)
+    return found.join(short, "query_id", "left_anti").unionByName(treat(rows.join(short, "query_id", "left_semi")))
+
+
+def marked(rows: DataFrame, excluded: DataFrame, id_col: str = "scene_id") -> DataFrame:
+    """Add ``out``: whether (query_id, id) is excluded."""
+    out = excluded.select("query_id", id_col).distinct().withColumn("out", F.lit(True))
+    return rows.join(out, ["query_id", id_col], "left").withColumn("out", F.coalesce("out", F.lit(False)))
+
+
+def page(rows: DataFrame, excluded: DataFrame | None, order: Column, number: int = 1, size: int = 10, id_col: str = "scene_id") -> DataFrame:
     """(query_id, id, rank, state, has_more): the rows of one page over rows that are not excluded, and the exclusions met while filling it.
 
-    ``ranked`` has the full order in ``rank``; ``excluded`` holds (query_id, id).
+    ``order`` is ascending and ends on an id (``final_key``). ``excluded`` holds (query_id, id); without it, ``rows`` are ``marked``. Ranks count all rows. Of the
+    rows that are not excluded only as many as the pages so far and one more are brought together; of the excluded ones, those before the page's last row.
     """
-    marked = ranked.join(excluded.select("query_id", id_col).distinct().withColumn("out", F.lit(True)), ["query_id", id_col], "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    order = Window.partitionBy("query_id").orderBy("rank")
-    valid = F.sum((~F.col("out")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum((~F.col("out")).cast("int")).over(Window.partitionBy("query_id"))
     lo, hi = (number - 1) * size, number * size
-    placed = marked.withColumns({"valid": valid, "has_more": total > hi})
-    shown = ~F.col("out") & (F.col("valid") > lo) & (F.col("valid") <= hi)
-    met = F.col("out") & (F.col("valid") >= lo) & (F.col("valid") < hi)
-    return placed.where(shown | met).select("query_id", id_col, "rank", F.when(F.col("out"), "excluded").otherwise("shown").alias("state"), "has_more")
+    every = rows if excluded is None else marked(rows, excluded, id_col)
+    keyed = every.select("query_id", id_col, "out", order.alias("_key"))
+    valid = cut(head(keyed.where(~F.col("out")), hi + 1, [F.col("_key")], name="valid"))
+    last = valid.where(F.col("valid") == hi).select("query_id", F.col("_key").alias("_last"))
+    met = keyed.where("out").join(last, "query_id", "left").where(F.col("_last").isNull() | (F.col("_key") < F.col("_last"))).drop("_last")
+    few = valid.unionByName(met.withColumn("valid", F.lit(0)))
+    whole = Window.partitionBy("query_id")
+    turn = whole.orderBy("_key")
+    count = F.sum((~F.col("out")).cast("int")).over(turn.rowsBetween(Window.unboundedPreceding, 0))
+    placed = few.withColumns({"rank": F.row_number().over(turn), "count": count, "has_more": F.max("valid").over(whole) > hi})
+    shown = ~F.col("out") & (F.col("count") > lo) & (F.col("count") <= hi)
+    passed = F.col("out") & (F.col("count") >= lo) & (F.col("count") < hi)
+    return placed.where(shown | passed).select("query_id", id_col, "rank", F.when(F.col("out"), "excluded").otherwise("shown").alias("state"), "has_more")
 
 
 def date_guard(candidates: DataFrame, windows: DataFrame, tags: DataFrame, id_col: str = "scene_id") -> DataFrame:

@@ -195,30 +195,28 @@ WEATHER = ["rain", "sun", "snow"]
 
 
 def soft_ordered(spark: SparkSession, sf_dir: str, lexical: DataFrame | None = None) -> DataFrame:
-    """Fused candidates with their soft score: recency for every second query, b-roll always, season and weather where asked for."""
+    """(query_id, scene_id, base_score, soft_score) of all candidates, materialised: recency for every second query, b-roll always, season and weather where asked for."""
     day = dated(spark, sf_dir).groupBy("scene_id").agg(F.max("value").alias("day"))
     shot = views.scenes(spark, sf_dir).select("scene_id", "shot_type")
-    rows = fused(spark, sf_dir, lexical).join(day, "scene_id", "left").join(shot, "scene_id", "left")
+    rows = fused(spark, sf_dir, lexical).select("query_id", "scene_id", "base_score").join(day, "scene_id", "left").join(shot, "scene_id", "left")
+    rows = rk.with_span(cut(rows.withColumn("day", F.to_date("day"))), F.col("day"))
     one = lambda hit: F.when(hit, 1.0).otherwise(0.0)
-    q, season = F.col("query_id"), _pick(SEASONS, F.floor(F.month(F.to_date("day")) % 12 / 3))
+    q, season = F.col("query_id"), _pick(SEASONS, F.floor(F.month("day") % 12 / 3))
     signals = {
-        "recency": (F.col("recency"), q % 2 == 0, 1.0),
+        "recency": (rk.recency(F.col("day"), F.col("first_day"), F.col("last_day")), q % 2 == 0, 1.0),
         "b_roll": (one(F.col("shot_type") == "b_roll"), F.lit(True), 0.5),
         "season": (one(season == _pick(SEASONS, q)), q % 3 == 1, 0.3),
         "weather": (one(_pick(WEATHER, F.col("scene_id")) == _pick(WEATHER, q)), q % 5 == 2, 0.2),
     }
-    return rows.withColumn("recency", rk.recency(F.to_date("day"))).withColumn("soft_score", F.round(rk.soft_score(signals), 9))
+    return cut(rows.select("query_id", "scene_id", "base_score", F.round(rk.soft_score(signals), 9).alias("soft_score")))
 
 
-def final_ranks(spark: SparkSession, sf_dir: str, lexical: DataFrame | None = None) -> DataFrame:
-    """All candidates in their final order, materialised: pages, guard and replay are taken from it."""
-    ordered = soft_ordered(spark, sf_dir, lexical)
-    turn = Window.partitionBy("query_id").orderBy(*rk.final_order(0.01))
-    return cut(ordered.withColumn("rank", F.row_number().over(turn)).select("query_id", "scene_id", "base_score", "soft_score", "rank"))
+EPSILON = 0.01
 
 
 def soft_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return final_ranks(spark, sf_dir).where("rank <= 200").select("query_id", "scene_id", F.round("soft_score", 6).alias("soft_score"), "rank")
+    first = rk.head(soft_ordered(spark, sf_dir), 200, rk.final_order(EPSILON))
+    return first.select("query_id", "scene_id", F.round("soft_score", 6).alias("soft_score"), "rank")
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,33 +244,33 @@ def exclusions(spark: SparkSession, sf_dir: str, lexical: DataFrame | None = Non
 
 def page_with_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical = cut(search.lexical(spark, sf_dir))
-    return rk.page(final_ranks(spark, sf_dir, lexical), exclusions(spark, sf_dir, lexical), 1, 10)
+    return rk.page(soft_ordered(spark, sf_dir, lexical), exclusions(spark, sf_dir, lexical), rk.final_key(EPSILON), 1, 10)
 
 
-def guarded_ranks(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ranked rows without date conflicts, numbered anew, the rows that were left out)."""
-    judged = cut(rk.date_guard(ranked, date_windows(spark, sf_dir), dated(spark, sf_dir)))
-    kept = rk.without_conflicts(ranked, judged)
-    turn = Window.partitionBy("query_id").orderBy("rank")
-    return kept.withColumn("rank", F.row_number().over(turn)), judged.where("judgement = 'conflict'").select("query_id", "scene_id").distinct()
+def judged_dates(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return rk.date_guard(rows, date_windows(spark, sf_dir), dated(spark, sf_dir))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: two pools of 200, tags, fusion, soft order, date guard, exclusions by four keys, first page."""
     lexical = cut(search.lexical(spark, sf_dir))
-    kept, _ = guarded_ranks(spark, sf_dir, final_ranks(spark, sf_dir, lexical))
-    return rk.page(kept, exclusions(spark, sf_dir, lexical), 1, 10)
+    out = cut(exclusions(spark, sf_dir, lexical))
+    treat = lambda rows: rk.marked(rk.without_conflicts(rows, judged_dates(spark, sf_dir, rows)), out)
+    kept = rk.deep_enough(soft_ordered(spark, sf_dir, lexical), treat, 11, rk.final_order(EPSILON))
+    return rk.page(kept, None, rk.final_key(EPSILON), 1, 10)
 
 
 def replay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten of each query under the current rules, and with the candidate rules (exclusions and guard), side by side."""
     lexical = cut(search.lexical(spark, sf_dir))
-    ranked = final_ranks(spark, sf_dir, lexical)
+    ordered = soft_ordered(spark, sf_dir, lexical)
     out = cut(exclusions(spark, sf_dir, lexical))
-    kept, guarded = guarded_ranks(spark, sf_dir, ranked)
-    first = lambda df: rt.top_k(df.drop("rank"), 10, *rk.final_order(0.01)).select("query_id", "scene_id", "rank")
-    treated = kept.join(out, ["query_id", "scene_id"], "left_anti")
-    return rk.ranked_diff(first(ranked), first(treated), excluded=out, guarded=guarded).where("change <> 'same'")
+    treat = lambda rows: rk.without_conflicts(rows, judged_dates(spark, sf_dir, rows)).join(out, ["query_id", "scene_id"], "left_anti")
+    first = lambda rows: rk.head(rows, 10, rk.final_order(EPSILON)).select("query_id", "scene_id", "rank")
+    control = cut(first(ordered))
+    guarded = judged_dates(spark, sf_dir, control).where("judgement = 'conflict'")
+    treated = rk.deep_enough(ordered, treat, 10, rk.final_order(EPSILON))
+    return rk.ranked_diff(control, first(treated), excluded=out, guarded=guarded).where("change <> 'same'")
 
 
 def shortage(spark: SparkSession, sf_dir: str) -> DataFrame:
