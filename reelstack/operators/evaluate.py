@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +36,23 @@ def single_answer_metrics(queries: DataFrame, hits: DataFrame, ranked: DataFrame
 
 
 def multi_answer_metrics(relevant: DataFrame, ranked: DataFrame, k: int, doc_col: str) -> DataFrame:
-    """Per query: recall, precision, nDCG and reciprocal rank at ``k`` with many relevant documents."""
+    """Per query: recall, precision, nDCG and reciprocal rank at ``k`` with many relevant documents (query_id, id)."""
     total = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    hits = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", doc_col])
+    return rank_metrics(total, ranked.where(F.col("rank") <= k).join(relevant, ["query_id", doc_col]), k)
+
+
+def label_metrics(queries: DataFrame, documents: DataFrame, ranked: DataFrame, k: int, doc_col: str) -> DataFrame:
+    """The same where a document is relevant to a query of its ``label``, the query's own row (of the same id) excepted: labels are counted, only ranked rows are joined."""
+    sizes = documents.groupBy("label").agg(F.count("*").alias("n"))
+    own = documents.select(F.col(doc_col).alias("query_id"), F.col("label").alias("own"))
+    total = queries.join(sizes, "label").join(own, "query_id", "left")
+    total = total.select("query_id", (F.col("n") - F.coalesce((F.col("own") == F.col("label")).cast("int"), F.lit(0))).alias("n_relevant")).where("n_relevant > 0")
+    few = ranked.where(F.col("rank") <= k).join(queries.select("query_id", "label"), "query_id")
+    return rank_metrics(total, few.join(documents.select(doc_col, "label"), [doc_col, "label"]), k)
+
+
+def rank_metrics(total: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """Recall, precision, nDCG and reciprocal rank from (query_id, n_relevant) and the ranks of relevant rows among the first ``k``."""
     seen = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -53,17 +70,43 @@ def multi_answer_metrics(relevant: DataFrame, ranked: DataFrame, k: int, doc_col
 DRAWS = tuple(sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(8))
 
 
+#: Rows whose draws are made at once.
+DRAWN_ROWS = 256
+
+
+def drawn(x: np.ndarray, y: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each row is drawn in each resample, from two 32-bit hashes of its id: ``x + b * y``, scrambled by public multipliers, read as a Poisson quantile."""
+    low = np.uint64(0xFFFFFFFF)
+    t = (x[:, None] + np.arange(resamples, dtype=np.uint64)[None] * y[:, None]) & low
+    for shift, times in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        t = ((t ^ (t >> np.uint64(shift))) * np.uint64(times)) & low
+    t ^= t >> np.uint64(15)
+    return np.searchsorted(np.array(DRAWS), t / float(1 << 32), side="right")
+
+
 def paired_bootstrap(pairs: DataFrame, id_col: str, left: str, right: str, resamples: int = 10_000) -> DataFrame:
     """Mean difference ``right - left`` with its 2.5 and 97.5 percentiles over resamples, and wins, ties and losses.
 
     In each resample a row is drawn as often as a hash of resample and id says, by the Poisson distribution that draws from a large table tend to:
-    rows need no numbers, reruns agree, and a task adds up its rows by resample before anything is shuffled.
+    rows need no numbers and reruns agree. A task adds its rows to one vector of sums with a place for each resample, and only these vectors are shuffled.
     """
     rows = pairs.select(F.col(id_col).alias("id"), (F.col(right) - F.col(left)).alias("d"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "id").cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    times = sum((F.when(draw >= c, 1).otherwise(0) for c in DRAWS), F.lit(0))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", times).where("w > 0")
-    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    digest = F.md5(F.col("id").cast("string").cast("binary"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            x, y, d = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "d"))
+            for at in range(0, len(d), DRAWN_ROWS):
+                cut_ = slice(at, at + DRAWN_ROWS)
+                times = drawn(x[cut_].astype(np.uint64), y[cut_].astype(np.uint64), resamples)
+                weight += times.sum(0)
+                total += d[cut_] @ times
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weight), pa.array(total)], names=["b", "w", "wd"])
+
+    sums = rows.where("id is not null and d is not null").select(part(1).alias("x"), part(9).alias("y"), "d").mapInArrow(add, "b long, w double, wd double")
+    means = sums.groupBy("b").agg((F.sum("wd") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     spread = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
     whole = rows.agg(
         F.count("*").alias("n"),

@@ -5,26 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the time slots by which long recordings are joined.
-SLOT_MS = 60_000
+from reelstack.operators.tables import cut
 
+#: Widths of time slots in ms: an interval belongs to the first that is no shorter than it.
+WIDTHS = tuple(1000 * 8**k for k in range(12))
 
-def slots(start: Column, end: Column, width: int = SLOT_MS) -> Column:
-    """Numbers of the time slots that an interval touches."""
-    lo = F.floor(start / width)
-    return F.sequence(lo, F.greatest(lo, F.floor((end - 1) / width)))
 
+def width_class(start: Column, end: Column) -> Column:
+    """The place in ``WIDTHS`` of the narrowest slots of which an interval touches two at most."""
+    return sum((F.when(end - start > w, 1).otherwise(0) for w in WIDTHS[:-1]), F.lit(0))
 
-def overlaps(left: DataFrame, right: DataFrame, key: str = "clip_id", width: int = SLOT_MS) -> DataFrame:
+
+def _width(place: Column) -> Column:
+    return F.get(F.array(*[F.lit(w).cast("long") for w in WIDTHS]), place)
+
+
+def _in_slots(rows: DataFrame, start: str, end: str, places: Column) -> DataFrame:
+    """Each row in the slots that it touches at each of the widths ``places``."""
+    at = rows.withColumn("_place", F.explode(places))
+    lo = F.floor(F.col(start) / _width(F.col("_place")))
+    return at.withColumn("_slot", F.explode(F.sequence(lo, F.greatest(lo, F.floor((F.col(end) - 1) / _width(F.col("_place")))))))
+
+
+def overlaps(left: DataFrame, right: DataFrame, key: str = "clip_id") -> DataFrame:
     """Pairs of rows of one key whose intervals (``start``, ``end`` against ``r_start``, ``r_end``) overlap, with ``overlap_ms``.
 
-    An equi-join on key and slot; a pair is kept in the first slot that both touch only, so no distinct is needed.
+    Slots are as wide as the longer interval of a pair wants: equi-joins on key, width and slot of rows at their own width with rows of the other side that are
+    no longer than it. So an interval of a day makes two rows among ones of a second, and these make two more for each width that occurs among longer ones of the
+    other side. A pair is kept in the first slot that both touch only, so no distinct is needed. Intervals without a length overlap nothing.
     """
-    a = left.withColumn("_slot", F.explode(slots(F.col("start"), F.col("end"), width)))
-    b = right.withColumn("_slot", F.explode(slots(F.col("r_start"), F.col("r_end"), width)))
+    a = cut(left.where(F.col("start") < F.col("end")).withColumn("_own", width_class(F.col("start"), F.col("end"))))
+    b = cut(right.where(F.col("r_start") < F.col("r_end")).withColumn("_r_own", width_class(F.col("r_start"), F.col("r_end"))))
+    wider = lambda rows, own: F.array(*map(F.lit, sorted(r[0] for r in rows.select(own).distinct().collect()))).cast("array<int>")  # noqa: E731  as many as WIDTHS
+    of_a, of_b = wider(a, "_own"), wider(b, "_r_own")
+    own = lambda rows, start, end, place: _in_slots(rows, start, end, F.array(place))
+    short = _in_slots(a, "start", "end", F.filter(of_b, lambda p: p >= F.col("_own")))
+    long = own(b, "r_start", "r_end", "_r_own")
+    other_short = _in_slots(b, "r_start", "r_end", F.filter(of_a, lambda p: p > F.col("_r_own")))
+    other_long = own(a, "start", "end", "_own")
+    on = [key, "_place", "_slot"]
+    columns = [*left.columns, *[c for c in right.columns if c != key], "_place", "_slot"]
+    both = short.join(long, on).select(columns).unionByName(other_long.join(other_short, on).select(columns))
     lo, hi = F.greatest("start", "r_start"), F.least("end", "r_end")
-    both = a.join(b, [key, "_slot"]).where((lo < hi) & (F.col("_slot") == F.floor(lo / width)))
-    return both.withColumn("overlap_ms", hi - lo).drop("_slot")
+    met = both.where((lo < hi) & (F.col("_slot") == F.floor(lo / _width(F.col("_place")))))
+    return met.withColumn("overlap_ms", hi - lo).drop("_place", "_slot")
 
 
 def select_by_priority(segments: DataFrame, tiers: list[str], key: str = "clip_id") -> DataFrame:
@@ -72,16 +96,38 @@ def stitched(starts: DataFrame, durations: DataFrame, key: str = "clip_id") -> D
     return rows.select(key, (F.row_number().over(w) - 1).alias("scene_no"), "start", F.coalesce(F.lead("start").over(w), "duration").alias("end"))
 
 
-def thinned_starts(boundaries: Column, duration: Column, least: int) -> Column:
-    """Scene starts of one clip from raw boundaries: distinct, inside the clip, none nearer than ``least`` to the last kept one, no short tail.
+def successors(points: DataFrame, least: int, key: str = "clip_id") -> DataFrame:
+    """(key, at, next): the first point that lies at least ``least`` after each one; null if none does.
+
+    One descending pass over points and probes ``least`` after them: the last point seen is the nearest one behind.
+    """
+    probes = points.select(key, (F.col("at") + least).alias("_pos"), "at", F.lit(1).alias("_probe"))
+    marks = points.select(key, F.col("at").alias("_pos"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("_probe"))
+    w = Window.partitionBy(key).orderBy(F.desc("_pos"), "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    seen = probes.unionByName(marks).withColumn("next", F.min(F.when(F.col("_probe") == 0, F.col("_pos"))).over(w))
+    return seen.where("_probe = 1").select(key, "at", "next")
+
+
+def thinned_starts(boundaries: DataFrame, durations: DataFrame, least: int, key: str = "clip_id") -> DataFrame:
+    """(key, at): scene starts from raw boundaries (key, at) inside (0, duration): 0, then none nearer than ``least`` to the last kept one, no tail shorter than ``least``.
 
-    Each choice depends on the one before: a fold over the sorted boundaries.
+    Each choice depends on the one before, but what follows a start depends on it alone: the kept starts are those reached from 0 by following successors.
+    They are found by pointer doubling: in each round all pointers become twice as long, and the starts reached so far reach as many more. Keys without a duration give nothing.
     """
-    inside = F.array_sort(F.array_distinct(F.filter(boundaries, lambda b: (b > 0) & (b < duration))))
-    zero = F.array(F.lit(0).cast("long"))
-    kept = F.aggregate(inside, zero, lambda acc, b: F.when(b - F.element_at(acc, -1) >= least, F.concat(acc, F.array(b.cast("long")))).otherwise(acc))
-    short = (F.size(kept) > 1) & (duration - F.element_at(kept, -1) < least)
-    return F.when(short, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    inside = boundaries.where("at is not null").join(durations, key).where("at > 0 and at < duration").select(key, F.col("at").cast("long").alias("at"))
+    points = cut(inside.unionByName(durations.where("duration is not null").select(key, F.lit(0).cast("long").alias("at"))).distinct())
+    jump = cut(successors(points, least, key).where("next is not null"))
+    kept = cut(durations.where("duration is not null").select(key, F.lit(0).cast("long").alias("at")).distinct())
+    n = jump.count()
+    while n:
+        # as many starts again: what the starts so far reach with pointers of this length is not among them yet
+        kept = cut(kept.unionByName(kept.join(jump, [key, "at"]).select(key, F.col("next").alias("at"))))
+        onward = jump.select(F.col(key), F.col("at").alias("next"), F.col("next").alias("_next"))
+        jump = cut(jump.join(onward, [key, "next"]).select(key, "at", F.col("_next").alias("next")))
+        n = jump.count()
+    last = kept.groupBy(key).agg(F.max("at").alias("_last"), F.count("*").alias("_n")).join(durations, key)
+    short = last.where((F.col("_n") > 1) & (F.col("duration") - F.col("_last") < least)).select(key, F.col("_last").alias("at"))
+    return kept.join(short, [key, "at"], "left_anti")
 
 
 def to_frame(ms: Column, fps: float) -> Column:

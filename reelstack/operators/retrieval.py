@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +11,10 @@ from reelstack.functions.text import tokens
 from reelstack.operators.tables import BROADCAST_ROWS, cut
 
 K1, B = 1.2, 0.75
-#: Queries that are multiplied with a batch of vectors at once.
+#: Queries of a block, bytes of vectors of a block, and vectors that are multiplied with a block of queries at once.
 BLOCK_QUERIES = 1024
-#: Bytes of query vectors that one scan of the vectors may have broadcast; more queries take several scans.
-SCAN_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20
+STEP_VECTORS = 4096
 
 
 def eligible(scene: DataFrame, clip: DataFrame) -> DataFrame:
@@ -185,59 +183,52 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray,
     return row[kept], col[kept], distance[row[kept], col[kept]]
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", max_distance: float | None = None, dimension: int | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+def _matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
+    """Unit vectors of a list column."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+
+
+def dense_top_k(
+    queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", max_distance: float | None = None, dimension: int | None = None, block: int = BLOCK_QUERIES, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of each query by cosine distance; ties by id.
 
-    The queries are a stated set: their vectors are broadcast in blocks, as many as ``SCAN_BYTES`` hold, and multiplied with
-    each Arrow batch of vectors, which yields at most ``k`` rows a query and batch. Rows with themselves are left out where ids agree.
-    Unusable vectors (null, of another dimension, not finite, zero) match nothing on either side; ``vector_coverage`` tells how many there are.
+    Both sides are tables that are dealt to blocks by a hash of their ids: some ``block`` queries, some ``block_bytes`` of vectors. Each pair of
+    blocks meets in one task, which multiplies them step by step and returns at most ``k`` rows a query; no vector passes the driver, and a
+    task's memory is that of two blocks. Rows with themselves are left out where ids agree. Unusable vectors (null, of another dimension, not finite, zero) match
+    nothing on either side; ``vector_coverage`` tells how many there are.
     """
-    context = vectors.sparkSession.sparkContext
     if dimension is None:
         dimension = queries.where("vector is not null").select(F.max(F.size("vector"))).first()[0] or 0
     usable = vector_reason(F.col("vector"), dimension).isNull()
     wide = F.transform("vector", lambda x: x.cast("double"))
     asked = queries.where(usable).select(F.col("query_id").cast("long").alias("query_id"), wide.alias("vector"))
-    rows = vectors.where(usable).select(F.col(id_col).alias("id"), wide.alias("vector"))
-    blocks, held, scans = [], [], []
-
-    def scan(parts: list) -> None:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                v = np.array(batch["vector"].tolist(), np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                ids = batch["id"].to_numpy()
-                for part in parts:
-                    q_ids, q = part.value
-                    row, col, distance = nearest(q, q_ids, v, ids, k)
-                    yield pd.DataFrame({"query_id": q_ids[row], "id": ids[col], "distance": distance})
-
-        scans.append(rows.mapInPandas(run, "query_id long, id long, distance double"))
-
-    def close_block() -> None:
-        if held:
-            q = np.array([r["vector"] for r in held], np.float64)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            blocks.append(context.broadcast((np.array([r["query_id"] for r in held]), q)))
-            held.clear()
-        if len(blocks) * block * dimension * 8 >= SCAN_BYTES:
-            scan(list(blocks))
-            blocks.clear()
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            close_block()
-    close_block()
-    if blocks:
-        scan(list(blocks))
-    if not scans:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {id_col} long, distance double, rank int")
-    found = scans[0]
-    for other in scans[1:]:
-        found = found.union(other)
+    rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), wide.alias("vector"))
+    n_queries, n_vectors = asked.count(), rows.count()
+    # at least as many blocks as tasks are wanted, if there is something for each to do
+    tasks = min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_vectors // STEP_VECTORS))
+    q_blocks, v_blocks = max(1, -(-n_queries // block)), max(1, tasks, -(-n_vectors * dimension * 8 // block_bytes))
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("v_block", places(v_blocks))
+    right = rows.withColumn("v_block", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int")).withColumn("q_block", places(q_blocks))
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(some):
+            q_ids, q = some["query_id"].to_numpy(), _matrix(some["vector"], dimension)
+            for at in range(0, len(others), STEP_VECTORS):
+                part = others.slice(at, STEP_VECTORS)
+                ids = part["id"].to_numpy()
+                row, col, distance = nearest(q, q_ids, _matrix(part["vector"], dimension), ids, k)
+                found.append((q_ids[row], ids[col], distance))
+        query, ident, distance = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((ident, distance, query))
+        kept = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+        return pa.table({"query_id": query[kept], "id": ident[kept], "distance": distance[kept]})
+
+    keys = ["q_block", "v_block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, distance double")
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
     return top_k(found.withColumnRenamed("id", id_col), k, F.col("distance"), F.col(id_col))

@@ -10,6 +10,7 @@ from reelstack.operators import curation as cu
 from reelstack.operators import evaluate as ev
 from reelstack.operators import intervals as iv
 from reelstack.operators import retrieval as rt
+from reelstack.operators.tables import cut
 from reelstack.plans import ranking, search, sql
 from reelstack.sources import views
 from reelstack.streaming import event_time as et
@@ -95,14 +96,13 @@ def lease_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether transcripts add to captions: reciprocal rank with both fields against the caption alone."""
-    queries, scene, gold = views.search_queries(spark, sf_dir), search.eligible_scenes(spark, sf_dir), views.gold(spark, sf_dir)
+    gold = cut(views.gold(spark, sf_dir))
 
-    def reciprocal(fields: dict, name: str) -> DataFrame:
-        raw = rt.bm25(queries, scene, "scene_id", fields, {})
-        ranked = rt.top_k(raw, 50, F.desc("raw_score"), F.col("scene_id"))
+    def reciprocal(name: str, *of: str) -> DataFrame:
+        ranked = search.lexical(spark, sf_dir, 50, of)
         return ev.first_hit(gold, ranked).select("query_id", F.coalesce(1 / F.col("hit_rank"), F.lit(0.0)).alias(name))
 
-    both = reciprocal({"caption": tx.tokens("caption")}, "a").join(reciprocal(search.fields(), "b"), "query_id")
+    both = reciprocal("a", "caption").join(reciprocal("b", "caption", "transcript"), "query_id")
     return ev.paired_bootstrap(both, "query_id", "a", "b")
 
 
@@ -209,7 +209,11 @@ _JUD = f"WITH {sql.SCENE}, {ranking._JUDGED}"
 _MRR = f"""a AS (SELECT g.query_id, coalesce(1 / min(rank), 0) AS x FROM gold g LEFT JOIN (SELECT query_id, scene_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, scene_id) AS rank FROM (SELECT query_id, scene_id, round(sum(score), 9) AS s FROM hits WHERE field = 'caption' GROUP BY ALL) QUALIFY rank <= 50) USING (query_id, scene_id) GROUP BY 1),
 b AS (SELECT g.query_id, coalesce(1 / min(rank), 0) AS y FROM gold g LEFT JOIN (SELECT query_id, scene_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, scene_id) AS rank FROM (SELECT query_id, scene_id, round(sum(score), 9) AS s FROM hits GROUP BY ALL) QUALIFY rank <= 50) USING (query_id, scene_id) GROUP BY 1),
 d AS (SELECT query_id, y - x AS d FROM a JOIN b USING (query_id)),
-u AS (SELECT b, d, CAST(('0x' || substr(md5(b || ':' || query_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM d, range(10000) t(b)),
+h AS (SELECT d, CAST(('0x' || substr(md5(CAST(query_id AS VARCHAR)), 1, 8)) AS BIGINT) AS x, CAST(('0x' || substr(md5(CAST(query_id AS VARCHAR)), 9, 8)) AS BIGINT) AS y FROM d),
+t0 AS (SELECT b, d, (x + b * y) & 4294967295 AS t FROM h, range(10000) r(b)),
+t1 AS (SELECT b, d, (xor(t, t >> 15) * 739982445) & 4294967295 AS t FROM t0),
+t2 AS (SELECT b, d, (xor(t, t >> 12) * 695872825) & 4294967295 AS t FROM t1),
+u AS (SELECT b, d, xor(t, t >> 15) / 4294967296.0::DOUBLE AS u FROM t2),
 r AS (SELECT b, d, len(list_filter({list(ev.DRAWS)}, lambda c: u >= c)) AS w FROM u),
 m AS (SELECT b, sum(w * d) / sum(w) AS m FROM r GROUP BY 1 HAVING sum(w) > 0)"""
 

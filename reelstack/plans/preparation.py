@@ -100,12 +100,14 @@ def scene_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thinned scene starts from event times: each kept start lies ten minutes after the last (a fold, rows only)."""
+    """Thinned scene starts from event times: each kept start lies ten minutes or more after the last."""
     e = views.table(spark, sf_dir, "events").where("ts is not null and user_id is not null")
-    first = e.groupBy("user_id").agg(F.min("ts").alias("t0"))
-    ms = (millis("ts") - millis("t0")).alias("b")
-    per = e.join(first, "user_id").select("user_id", ms).groupBy("user_id").agg(F.collect_set("b").alias("b"), (F.max("b") + 1).alias("duration"))
-    return per.select(F.col("user_id").alias("clip_id"), F.posexplode(iv.thinned_starts(F.col("b"), F.col("duration"), 600_000)).alias("scene_no", "start"))
+    first = e.groupBy("user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    spans = first.select(F.col("user_id").alias("clip_id"), (millis("t1") - millis("t0") + 1).alias("duration"))
+    points = e.join(first, "user_id").select(F.col("user_id").alias("clip_id"), (millis("ts") - millis("t0")).alias("at"))
+    starts = iv.thinned_starts(points, spans, 600_000)
+    number = F.row_number().over(Window.partitionBy("clip_id").orderBy("at")) - 1
+    return starts.select("clip_id", number.alias("scene_no"), F.col("at").alias("start"))
 
 
 def scene_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,6 +400,14 @@ SELECT * FROM g WHERE "end" - "start" >= 2""",
     "scene_mapping": f"WITH {_SEG} SELECT clip_id, scene_no, segment_id, overlap_ms FROM map",
     "scene_text": f"""WITH {_SEG}, t AS (SELECT clip_id || '-' || scene_no AS scene_id, string_agg(text, ' ' ORDER BY seg_start, segment_id) AS x FROM map GROUP BY 1)
 SELECT scene_id, length(x) AS n_chars, md5('scene ' || scene_id || coalesce(chr(10) || nullif(trim(x, ' '), ''), '')) AS digest FROM t""",
+    "scene_bounds": """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS clip_id, epoch_us(ts) // 1000 AS t FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+c AS (SELECT clip_id, min(t) AS t0, max(t) - min(t) + 1 AS duration FROM e GROUP BY 1),
+walk AS (
+  SELECT clip_id, 0 AS n, CAST(0 AS BIGINT) AS start FROM c
+  UNION ALL
+  SELECT w.clip_id, w.n + 1, min(t - t0) FROM walk w JOIN e ON e.clip_id = w.clip_id JOIN c ON c.clip_id = w.clip_id WHERE t - t0 >= w.start + 600000 GROUP BY w.clip_id, w.n)
+SELECT clip_id, n AS scene_no, start FROM walk JOIN c USING (clip_id)
+QUALIFY NOT (n > 0 AND n = max(n) OVER (PARTITION BY clip_id) AND duration - start < 600000)""",
     "scene_spans": """WITH s AS (SELECT DISTINCT user_id AS clip_id, epoch_us(ts) // 1000 AS start FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)
 SELECT clip_id, row_number() OVER w - 1 AS scene_no, start, coalesce(lead(start) OVER w, max(start) OVER (PARTITION BY clip_id) + 1000) AS "end" FROM s WINDOW w AS (PARTITION BY clip_id ORDER BY start)""",
     "keyframe_plan": f"""WITH {sql.SCENE}, c AS (SELECT scene_id, start_ms, end_ms, i AS slot, start_ms + (end_ms - start_ms) * (2 * i + 1) // 6 AS centre FROM scene, range(3) r(i))

@@ -27,12 +27,13 @@ def eligible_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.eligible(scene, views.clips(scene))
 
 
-def lexical(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
-    """Top scenes of each query by BM25 over caption and transcript."""
+def lexical(spark: SparkSession, sf_dir: str, k: int = 200, of: tuple[str, ...] = ("caption", "transcript")) -> DataFrame:
+    """Top scenes of each query by BM25 over some fields."""
     queries, scene = views.search_queries(spark, sf_dir), eligible_scenes(spark, sf_dir)
-    found = topk.best(queries, scene, "scene_id", F.array(*fields().values()), k)
+    read = {f: fields()[f] for f in of}
+    found = topk.best(queries, scene, "scene_id", F.array(*read.values()), k, weights=(1.0,) * len(read))
     if found is None:
-        raw = rt.bm25(queries, scene, "scene_id", fields(), {})
+        raw = rt.bm25(queries, scene, "scene_id", read, {})
     else:
         raw = found.select("query_id", "scene_id", F.round("score", 9).alias("raw_score"))
     return rt.top_k(raw, k, F.desc("raw_score"), F.col("scene_id"))
@@ -129,8 +130,8 @@ def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, vec = vectors(spark, sf_dir)
-    relevant = queries.select("query_id", F.col("query_label").alias("label")).join(vec.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    return ev.multi_answer_metrics(relevant, rt.dense_top_k(queries, vec, 10), 10, "vec_id")
+    asked = queries.select("query_id", F.col("query_label").alias("label"))
+    return ev.label_metrics(asked, vec.select("vec_id", "label"), rt.dense_top_k(queries, vec, 10), 10, "vec_id")
 
 
 def failure_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
