@@ -98,15 +98,15 @@ def marked(rows: DataFrame, excluded: DataFrame, id_col: str = "scene_id") -> Da
     return rows.join(out, ["query_id", id_col], "left").withColumn("out", F.coalesce("out", F.lit(False)))
 
 
-def page(rows: DataFrame, excluded: DataFrame | None, order: Column, number: int = 1, size: int = 10, id_col: str = "scene_id") -> DataFrame:
+def page(rows: DataFrame, excluded: DataFrame | None, number: int = 1, size: int = 10, id_col: str = "scene_id", order: Column | None = None) -> DataFrame:
     """(query_id, id, rank, state, has_more): the rows of one page over rows that are not excluded, and the exclusions met while filling it.
 
-    ``order`` is ascending and ends on an id (``final_key``). ``excluded`` holds (query_id, id); without it, ``rows`` are ``marked``. Ranks count all rows. Of the
+    ``order`` is ascending and ends on an id (``final_key``); without it, rows have a ``rank``. ``excluded`` holds (query_id, id); without it, ``rows`` are ``marked``. Ranks count all rows. Of the
     rows that are not excluded only as many as the pages so far and one more are brought together; of the excluded ones, those before the page's last row.
     """
     lo, hi = (number - 1) * size, number * size
     every = rows if excluded is None else marked(rows, excluded, id_col)
-    keyed = every.select("query_id", id_col, "out", order.alias("_key"))
+    keyed = every.select("query_id", id_col, "out", (F.struct("rank", id_col) if order is None else order).alias("_key"))
     valid = cut(head(keyed.where(~F.col("out")), hi + 1, [F.col("_key")], name="valid"))
     last = valid.where(F.col("valid") == hi).select("query_id", F.col("_key").alias("_last"))
     met = keyed.where("out").join(last, "query_id", "left").where(F.col("_last").isNull() | (F.col("_key") < F.col("_last"))).drop("_last")

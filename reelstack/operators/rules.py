@@ -11,12 +11,6 @@ def flip(active: DataFrame, retired: DataFrame, added: DataFrame, keys: list[str
     return active.join(retired.select(keys).distinct(), keys, "left_anti").unionByName(added).dropDuplicates(keys)
 
 
-def normalised_query(words: Column, aliases: Column, stop: list[str]) -> Column:
-    """Sorted distinct words of a query: case folded, aliases resolved (a map column), stop words gone."""
-    folded = F.transform(words, lambda w: F.coalesce(aliases[F.lower(w)], F.lower(w)))
-    return F.array_sort(F.array_distinct(F.filter(folded, lambda w: ~w.isin(stop))))
-
-
 def with_synonyms(normalised: Column, synonyms: Column) -> Column:
     """A normalised query with the synonyms of its words (a map of word to words) behind it, for word search only."""
     return F.array_union(normalised, F.flatten(F.transform(normalised, lambda w: F.coalesce(synonyms[w], F.array().cast("array<string>")))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelstack.operators.dictionary import spelt
+from reelstack.operators.tables import cut, small
+
 #: Sources whose observations may count as verified.
 VERIFIABLE = ("user_input", "original_metadata", "closed_caption", "ocr")
 
@@ -52,37 +55,40 @@ def effective_tags(judgements: DataFrame) -> DataFrame:
 def condition_matches(conditions: DataFrame, tags: DataFrame) -> DataFrame:
     """(query_id, axis, condition_id, scene_id) of tag conditions that a scene's effective tags meet.
 
-    ``conditions``: query_id, axis, condition_id, tag_type, kind (``exact``, ``caseless`` or ``range``), value, upper;
-    ``tags``: scene_id, tag_type, value. Exact and caseless conditions are equi-joins on the value; only ranges compare within a type.
+    ``conditions``: query_id, axis, condition_id, tag_type, kind (``exact``, ``caseless`` or ``range``), value, upper, of match values;
+    ``tags``: scene_id, tag_type, value. Conditions are held against the distinct values, whose match values are made once: exact and caseless ones by equi-joins, ranges
+    within a type. The tags are then joined once, by value.
     """
-    keys = ["query_id", "axis", "condition_id", "scene_id"]
-    exact = conditions.where("kind = 'exact'").join(tags, ["tag_type", "value"]).select(*keys)
-    folded = tags.withColumn("folded", F.lower("value")).drop("value")
-    caseless = conditions.where("kind = 'caseless'").withColumn("folded", F.lower("value")).join(folded, ["tag_type", "folded"]).select(*keys)
-    bounds = conditions.where("kind = 'range'").withColumnRenamed("value", "lower")
-    ranged = bounds.join(tags, "tag_type").where("value between lower and upper").select(*keys)
-    return exact.unionByName(caseless).unionByName(ranged).distinct()
+    tags = cut(tags.where("value is not null"))
+    known = cut(spelt(tags.select("tag_type", "value").distinct(), "value", match="match"))
+    asked = conditions.select("query_id", "axis", "condition_id", "tag_type", "kind", F.col("value").alias("wanted"), "upper")
+    keys = ["query_id", "axis", "condition_id", "tag_type", "value"]
+    of = lambda kind: asked.where(F.col("kind") == kind)
+    exact = of("exact").join(known.withColumnRenamed("match", "wanted"), ["tag_type", "wanted"]).select(keys)
+    folded = of("caseless").withColumn("folded", F.lower("wanted")).join(known.withColumn("folded", F.lower("match")), ["tag_type", "folded"]).select(keys)
+    ranged = of("range").join(known, "tag_type").where("match between wanted and upper").select(keys)
+    met = small(exact.unionByName(folded).unionByName(ranged).distinct())
+    return tags.join(met, ["tag_type", "value"]).select("query_id", "axis", "condition_id", "scene_id").distinct()
 
 
 #: Axes that score but admit no scene of their own.
 DATE_AXES = ("broadcast_date", "filmed_date")
 
 
-def match_key(value: Column) -> Column:
-    """Values are the same if they agree without white space, in small letters."""
-    return F.regexp_replace(F.lower(value), r"\s", "")
-
-
 def query_conditions(resolved: DataFrame) -> DataFrame:
-    """(query_id, axis, tag_type, kind, value, upper, condition_id) of resolved queries, each once by type and normalised value.
+    """(query_id, axis, tag_type, kind, value, upper, condition_id) of resolved queries, each once by type and match value.
 
-    ``resolved``: query_id, axis, tag_type, value, upper (null but for date windows). Values that are empty ask for nothing; equal names of two
-    types are two conditions.
+    ``resolved``: query_id, axis, tag_type, value, upper (null but for date windows), and ``caseless``, whether a condition ignores case; without that column all do. Values that are empty ask for
+    nothing; equal names of two types are two conditions, and so are names that differ in case, unless it is ignored.
     """
     ranged = F.col("upper").isNotNull()
-    clean = resolved.withColumn("value", F.when(ranged, F.col("value")).otherwise(match_key(F.col("value")))).where("value <> ''")
-    once = clean.dropDuplicates(["query_id", "axis", "tag_type", "value", "upper"])
-    return once.withColumns({"kind": F.when(ranged, "range").otherwise("caseless"), "condition_id": F.concat_ws("|", "tag_type", "value", "upper")})
+    loose = F.coalesce("caseless", F.lit(False)) if "caseless" in resolved.columns else F.lit(True)
+    kind = F.when(ranged, "range").when(loose, "caseless").otherwise("exact")
+    made = spelt(resolved.withColumn("kind", kind), "value", match="_match")
+    value = F.when(ranged, F.col("value")).when(F.col("kind") == "caseless", F.lower("_match")).otherwise(F.col("_match"))
+    clean = made.withColumn("value", value).where("value <> ''").select("query_id", "axis", "tag_type", "kind", "value", "upper")
+    once = clean.dropDuplicates(["query_id", "axis", "tag_type", "kind", "value", "upper"])
+    return cut(once.withColumn("condition_id", F.concat_ws("|", "tag_type", "kind", "value", "upper")))
 
 
 def structured_scores(conditions: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelstack.functions import text as tx
+from reelstack.operators import dictionary as dic
 from reelstack.operators import intervals as iv
 from reelstack.operators import observations as ob
 from reelstack.operators import prepare as pr
@@ -233,7 +234,8 @@ def merge_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words of captions as entity candidates, folded by scene group and match key."""
     s = views.scenes(spark, sf_dir).select("scene_id", F.posexplode(F.split("caption", " ")).alias("position", "value"))
-    rows = s.where(F.col("value").rlike("^[A-Z][a-z]+$")).select(F.floor(F.col("scene_id") / 5).alias("group_id"), F.lower("value").alias("key"), (F.col("scene_id") * 10000 + F.col("position")).alias("position"), "value", ((F.col("scene_id") + F.col("position")) % 50 / 50).alias("confidence"), F.concat(F.lit("s"), "scene_id").alias("evidence"))
+    rows = dic.spelt(s.where(F.col("value").rlike("^[A-Z][a-z]+$")), "value", match="key")
+    rows = rows.select(F.floor(F.col("scene_id") / 5).alias("group_id"), "key", (F.col("scene_id") * 10000 + F.col("position")).alias("position"), "value", ((F.col("scene_id") + F.col("position")) % 50 / 50).alias("confidence"), F.concat(F.lit("s"), "scene_id").alias("evidence"))
     return pr.folded_candidates(rows.where("confidence >= 0.2"), ["group_id", "key"])
 
 
@@ -289,9 +291,10 @@ def fingerprint_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rekey_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rules of all turns whose key is computed anew from the normalised query; every third key was spoilt."""
     c = views.table(spark, sf_dir, "conversations").withColumn("words", tx.tokens("text"))
-    new = rl.normalised_query(F.col("words"), F.create_map(F.lit("the"), F.lit("a"), F.lit("der"), F.lit("die")), ["of", "in"])
+    aliases = spark.createDataFrame([("the", "a"), ("der", "die")], "form string, canonical string")
+    c = c.join(dic.normalised_words(c, ["conv_id", "turn"], "words", aliases, ["of", "in"], "new"), ["conv_id", "turn"])
     old = tx.fingerprint(F.array_join(F.array_sort(F.array_distinct("words")), " "))
-    c = c.withColumns({"new": new, "old": old}).withColumn("key", tx.fingerprint(F.array_join("new", " ")))
+    c = c.withColumns({"old": old}).withColumn("key", tx.fingerprint(F.array_join("new", " ")))
     spelt = rl.with_synonyms(F.col("new"), F.create_map(F.lit("a"), F.array(F.lit("one"), F.lit("any"))))
     rules = c.select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.lit("old")).otherwise(F.col("old")).alias("stored"), "old", "key", (F.size("new") > 2).alias("usable"), F.size(spelt).alias("n_search_words"))
     return rl.rekeyed(rules, "stored", F.col("old"), F.col("key"), F.col("usable")).select("conv_id", "turn", "new_key", "status", "n_search_words")
@@ -438,7 +441,7 @@ c AS (SELECT length, count(*) FILTER (same AND tog) AS tp, count(*) FILTER (NOT
 SELECT *, round(fp / nullif(fp + tn, 0), 6) AS false_merge_rate, round(fn / nullif(fn + tp, 0), 6) AS miss_rate FROM c""",
     "entity_candidates": f"""WITH {sql.SCENE},
 v AS (SELECT scene_id, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT scene_id, string_split(caption, ' ') AS l FROM scene)),
-r AS (SELECT scene_id // 5 AS group_id, lower(value) AS key, scene_id * 10000 + pos AS position, value, ((scene_id + pos) % 50) / 50 AS confidence, 's' || scene_id AS evidence FROM v WHERE regexp_full_match(value, '[A-Z][a-z]+'))
+r AS (SELECT scene_id // 5 AS group_id, value AS key, scene_id * 10000 + pos AS position, value, ((scene_id + pos) % 50) / 50 AS confidence, 's' || scene_id AS evidence FROM v WHERE regexp_full_match(value, '[A-Z][a-z]+'))
 SELECT group_id, key, max(confidence) AS confidence, string_agg(DISTINCT evidence, ',' ORDER BY evidence) AS evidence, arg_min(value, position) AS value, count(*) AS n FROM r WHERE confidence >= 0.2 GROUP BY ALL""",
     "absent_values": """WITH a AS (SELECT source, lower(trim([' None ', 'N/A', '-', text, 'Unknown', ' [] ', '""'][doc_id % 7 + 1], ' ')) AS x FROM documents),
 b AS (SELECT source, x IN ('none', 'n/a', 'na', 'null', 'unknown', 'not visible', 'no text', '-', '') AS y, x IN ('[]', '{}', '""', '[""]', '[null]') AS z FROM a)
@@ -453,7 +456,7 @@ SELECT * FROM a WHERE text <> '' AND "start" < "end\"""",
     "subtitle_cues": """SELECT conv_id AS clip_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_no, turn * 3000 AS "start", turn * 3000 + 3500 AS "end", trim(regexp_replace(replace(text, chr(10), ' '), '<[^>]*>', '', 'g'), ' ') AS text FROM conversations WHERE trim(regexp_replace(replace(text, chr(10), ' '), '<[^>]*>', '', 'g'), ' ') <> ''""",
     "fingerprint_filters": """WITH e AS (SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b, '{"type":["' || lower(event_type) || '"]}' AS filters FROM events WHERE user_id IS NOT NULL)
 SELECT event_id, filters, sha256(unhex(printf('%08X', strlen(a))) || encode(a) || unhex(printf('%08X', strlen(b))) || encode(b) || unhex(printf('%08X', strlen(filters))) || encode(filters)) AS fingerprint FROM e""",
-    "rekey_rules": f"""WITH w AS (SELECT conv_id, turn, {_W} AS r, list_filter(list_transform({_W}, lambda x: CASE x WHEN 'the' THEN 'a' WHEN 'der' THEN 'die' ELSE x END), lambda x: x NOT IN ('of', 'in')) AS w FROM conversations),
+    "rekey_rules": f"""WITH w AS (SELECT conv_id, turn, {_W} AS r, list_filter(list_transform({_W}, lambda x: CASE x WHEN 'the' THEN 'a' WHEN 'der' THEN 'die' ELSE replace(x, 'ß', 'ss') END), lambda x: x NOT IN ('of', 'in')) AS w FROM conversations),
 k AS (SELECT conv_id, turn, list_distinct(w) AS d, array_to_string(list_sort(list_distinct(w)), ' ') AS q, array_to_string(list_sort(list_distinct(r)), ' ') AS o FROM w),
 h AS (SELECT conv_id, turn, d, len(d) > 2 AS usable, q = o AS same, sha256(unhex(printf('%08X', strlen(q))) || encode(q)) AS key FROM k)
 SELECT conv_id, turn, CASE WHEN usable AND conv_id % 3 <> 0 THEN key END AS new_key, CASE WHEN conv_id % 3 = 0 THEN 'mismatch' WHEN NOT usable THEN 'skipped' WHEN same THEN 'unchanged' ELSE 'changed' END AS status,

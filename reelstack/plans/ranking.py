@@ -65,22 +65,29 @@ def _pick(values: list[str], ident):
     return F.get(F.array(*map(F.lit, values)), (ident % len(values)).cast("int"))
 
 
+def wide_letters(value):
+    """The value in full-width small letters, another writing of the same."""
+    small_letters = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(value, small_letters, "".join(chr(ord(c) + 0xFEE0) for c in small_letters))
+
+
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each query asks for on the eight axes; some values are given twice in different writing, and some are of types that no scene has."""
+    """What each query asks for on the eight axes; some values are given twice in different writing, some are of types that no scene has, and organisations may differ in case."""
     q = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     i, text = F.col("query_id"), lambda c: c.cast("string")
     place = F.concat(F.lit("src"), text(i % 20), F.lit("-"), text(i % 50))
     last = tx.last_day_text(F.add_months(F.to_date(month(i)), 1))
-    plain = lambda axis, value, when=F.lit(True): F.when(when, F.struct(F.lit(axis).alias("axis"), F.lit(axis).alias("tag_type"), value.alias("value"), F.lit(None).cast("string").alias("upper")))
-    dates = lambda axis, when: F.when(when, F.struct(F.lit(axis).alias("axis"), F.lit(axis).alias("tag_type"), month(i).alias("value"), last.alias("upper")))
+    struct = lambda axis, value, upper, caseless: F.struct(F.lit(axis).alias("axis"), F.lit(axis).alias("tag_type"), value.alias("value"), upper.alias("upper"), F.lit(caseless).alias("caseless"))
+    plain = lambda axis, value, when=F.lit(True), caseless=False: F.when(when, struct(axis, value, F.lit(None).cast("string"), caseless))
+    dates = lambda axis, when: F.when(when, struct(axis, month(i), last, False))
     rows = F.array(
         plain("event", _pick(EVENTS, i)),
-        plain("event", F.upper(_pick(EVENTS, i))),
+        plain("event", wide_letters(_pick(EVENTS, i))),
         plain("event", F.concat(F.lit(" "), _pick(EVENTS, i + 1))),
         plain("person", F.concat(F.lit("user"), text(i)), i % 5 == 0),
-        plain("organization", F.concat(_pick(LANGS, i), F.lit("-"), text(i % 20)), i % 2 == 0),
+        plain("organization", F.concat(_pick(LANGS, i), F.lit("-"), text(i % 20)), i % 2 == 0, True),
         plain("location", place, i % 3 == 0),
-        plain("location", F.upper(place), i % 3 == 0),
+        plain("location", wide_letters(place), i % 3 == 0),
         plain("facility", place, i % 3 == 0),
         plain("scene_type", F.concat(_pick(SHOTS, i), F.lit("-"), text(i % 40)), i % 4 == 0),
         plain("scene_type", F.lit(" "), i % 4 == 1),
@@ -244,7 +251,7 @@ def exclusions(spark: SparkSession, sf_dir: str, lexical: DataFrame | None = Non
 
 def page_with_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical = cut(search.lexical(spark, sf_dir))
-    return rk.page(soft_ordered(spark, sf_dir, lexical), exclusions(spark, sf_dir, lexical), rk.final_key(EPSILON), 1, 10)
+    return rk.page(soft_ordered(spark, sf_dir, lexical), exclusions(spark, sf_dir, lexical), 1, 10, order=rk.final_key(EPSILON))
 
 
 def judged_dates(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
@@ -257,7 +264,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut(exclusions(spark, sf_dir, lexical))
     treat = lambda rows: rk.marked(rk.without_conflicts(rows, judged_dates(spark, sf_dir, rows)), out)
     kept = rk.deep_enough(soft_ordered(spark, sf_dir, lexical), treat, 11, rk.final_order(EPSILON))
-    return rk.page(kept, None, rk.final_key(EPSILON), 1, 10)
+    return rk.page(kept, None, 1, 10, order=rk.final_key(EPSILON))
 
 
 def replay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelstack.functions.text import tokens
+from reelstack.operators import dictionary as dic
 from reelstack.operators import evaluate as ev
 from reelstack.operators import retrieval as rt
 from reelstack.operators import topk
@@ -27,9 +28,10 @@ def eligible_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.eligible(scene, views.clips(scene))
 
 
-def lexical(spark: SparkSession, sf_dir: str, k: int = 200, of: tuple[str, ...] = ("caption", "transcript")) -> DataFrame:
+def lexical(spark: SparkSession, sf_dir: str, k: int = 200, of: tuple[str, ...] = ("caption", "transcript"), queries: DataFrame | None = None) -> DataFrame:
     """Top scenes of each query by BM25 over some fields."""
-    queries, scene = views.search_queries(spark, sf_dir), eligible_scenes(spark, sf_dir)
+    queries = views.search_queries(spark, sf_dir) if queries is None else queries
+    scene = eligible_scenes(spark, sf_dir)
     read = {f: fields()[f] for f in of}
     found = topk.best(queries, scene, "scene_id", F.array(*read.values()), k, weights=(1.0,) * len(read))
     if found is None:
@@ -60,6 +62,21 @@ def bm25_fields_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "scene_id", "matched", F.round("raw_score", 6).alias("raw_score"), F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
+def synonym_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_id, word): words of the queries that agree in their first four letters and have at least six stand for synonyms; groups of two to five."""
+    words = views.search_queries(spark, sf_dir).select(F.explode("terms").alias("word")).where("length(word) >= 6").distinct()
+    group = words.groupBy(F.substring("word", 1, 4).alias("group_id")).agg(F.collect_set("word").alias("words"))
+    return group.where("size(words) between 2 and 5").select("group_id", F.explode("words").alias("word"))
+
+
+def synonym_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top scenes of each query by BM25 with the synonyms of its words among its terms."""
+    queries = dic.with_synonyms(views.search_queries(spark, sf_dir), cut(synonym_groups(spark, sf_dir)))
+    top = lexical(spark, sf_dir, queries=queries)
+    sizes = queries.select("query_id", F.size("terms").alias("n_terms"))
+    return top.join(sizes, "query_id").select("query_id", "scene_id", "n_terms", F.round("raw_score", 6).alias("raw_score"), "rank")
+
+
 def by_parts(found: DataFrame, queries: DataFrame) -> DataFrame:
     """Rank scores of the few scenes that can be among a query's best."""
     raw = F.round(F.round("score", 9) + F.col("part_score"), 9)
@@ -143,7 +160,7 @@ def failure_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(band).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit_rank").isNotNull().cast("double")), 6).alias("hit_rate"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_fields_coverage, phrase_expansion, token_document_share, dense_topk, vector_coverage, search_metrics, retrieval_metrics, failure_bands)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_fields_coverage, synonym_search, phrase_expansion, token_document_share, dense_topk, vector_coverage, search_metrics, retrieval_metrics, failure_bands)}
 
 _METRIC = """
   count(*) AS n_queries, count(*) FILTER (answered) AS n_responded, count(*) FILTER (coalesce(hit_rank <= 10, false)) AS hits,
@@ -171,6 +188,16 @@ r AS (
 SELECT query_id, scene_id, matched, round(raw_score, 6) AS raw_score, round(rank_score, 6) AS rank_score,
        row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, raw_score DESC, scene_id) AS rank
 FROM r QUALIFY rank <= 200""",
+    "synonym_search": f"""WITH {sql.ELIGIBLE}, {sql.QUERY},
+word AS (SELECT DISTINCT w AS word FROM (SELECT unnest(terms) AS w FROM query) WHERE length(w) >= 6),
+grp AS (SELECT substr(word, 1, 4) AS g, list(word) AS words FROM word GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
+wide AS (
+  SELECT query_id, list_distinct(list_concat(any_value(terms), coalesce(flatten(list(words) FILTER (words IS NOT NULL)), []))) AS terms
+  FROM query LEFT JOIN grp ON len(list_intersect(words, terms)) > 0 GROUP BY query_id),
+{sql.bm25({'caption': sql.tok('caption'), 'transcript': sql.tok('transcript')}, 'eligible', 'scene_id', query='wide')},
+raw AS (SELECT query_id, scene_id, round(sum(score), 9) AS raw_score FROM hits GROUP BY ALL)
+SELECT query_id, scene_id, len(terms) AS n_terms, round(raw_score, 6) AS raw_score, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, scene_id) AS rank
+FROM raw JOIN wide USING (query_id) QUALIFY rank <= 200""",
     "phrase_expansion": f"""WITH {sql.ELIGIBLE}, {sql.QUERY},
 w AS (SELECT query_id, terms, {sql.tok('text')} AS w, CASE WHEN len(list_filter(terms, lambda t: t NOT IN ('the', 'de', 'and'))) = 0 THEN terms ELSE list_filter(terms, lambda t: t NOT IN ('the', 'de', 'and')) END AS kept FROM query),
 p0 AS (SELECT query_id, kept, unnest(range(1, greatest(len(w), 2))) AS i, w FROM w),
