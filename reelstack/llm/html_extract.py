@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelstack.llm.shared import cut
+from reelstack.llm.tokens import strings
 
 #: A node less important than this is removed, if nothing else speaks for or against it.
 MIN_IMPORTANCE = 0.75
@@ -68,12 +69,17 @@ NOISE_WORDS = frozenset(
     "sidebar aside rail footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus reply replies respond "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget pagination pager skip legal copyright disclaimer".split()
 )
+#: Words beside which a word of noise in a compound name still says noise.
+PLAIN_WORDS = frozenset(
+    "site page main top bottom left right inner outer box bar block area wrap wrapper container list item items section slot unit panel group row col column button buttons "
+    "link links text content body header head post posts article articles global primary secondary js is has holder zone region module component title thread user users".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)", re.I) for t in RAW}
-_SPLIT = re.compile(r"[\s_-]+")
+_PARTS = re.compile(r"[\s_\d-]+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -112,8 +118,14 @@ def _is_noise(tag: str, attr: dict[str, str], inside_main: bool) -> bool:
         return True
     if "style" in attr and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attr["style"], re.I):
         return True
-    named = f"{attr.get('class', '')} {attr.get('id', '')}".lower()
-    return tag not in ("html", "body", "article", "main") and any(w in NOISE_WORDS for w in _SPLIT.split(named))
+    if tag in ("html", "body", "article", "main"):
+        return False
+    # one word of a compound name says nothing where another gives it a subject: social-history, legal-analysis
+    for name in f"{attr.get('class', '')} {attr.get('id', '')}".lower().split():
+        parts = [w for w in _PARTS.split(name) if w]
+        if any(w in NOISE_WORDS for w in parts) and all(w in NOISE_WORDS or w in PLAIN_WORDS for w in parts):
+            return True
+    return False
 
 
 @lru_cache(maxsize=1 << 14)
@@ -256,7 +268,7 @@ def style_tree(pages: DataFrame, strength: float = STRENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, page in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 if not page:
                     continue
                 # each value of a node counts once a page
@@ -323,7 +335,7 @@ def _nodes_of(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, d, _signed(n)) for h, page, d in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if page for n in {x[0] for x in parse(page)[1]}]
+            rows = [(h, d, _signed(n)) for h, page, d in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist(), strict=True) if page for n in {x[0] for x in parse(page)[1]}]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "digest", "node"])
 
     return pages.mapInArrow(run, "host string, digest string, node long").distinct()
@@ -352,7 +364,7 @@ def extract_text(
     named = f"id {kind}, url string, text string, n_chars long"
 
     def batch_of(batch: pa.RecordBatch, odds) -> pa.RecordBatch:
-        texts = [main_text(page, o) for page, o in zip(batch.column(2).to_pylist(), odds, strict=True)]
+        texts = [main_text(page, o) for page, o in zip(strings(batch.column(2)), odds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     if low.count() <= broadcast_nodes:

@@ -44,7 +44,14 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 def characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, row) of the texts of a slice."""
-    points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    try:
+        text = buf.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        # broken bytes become replacement characters, text by text: how many a text has is known only then
+        each = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
+        points = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32)
+        return points, np.repeat(np.arange(len(each)), [len(t) for t in each])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     # a character begins at each byte that continues none
     starts = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     return points, np.repeat(np.arange(len(off) - 1), np.diff(starts[off]))

@@ -343,7 +343,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = cut(word_counts(training.select("text"), shape))
     lex = lexicon(counts, head, shape)
     ids = cut(training.select("id").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(warm_docs))
-    sample = training.join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id", "text").select("text")
+    sample = training.join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id", "text").limit(warm_docs).select("text")
     model = train(training, sample, lex)
     shared = spark.sparkContext.broadcast((lex, model))
 

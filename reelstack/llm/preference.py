@@ -35,14 +35,15 @@ def conversations_as_rows(turns: DataFrame, id_col: str = "conv_id", turn_col: s
 def swapped_reply_pairs(turns: DataFrame, **columns) -> DataFrame:
     """(pair_id, chosen, rejected): each conversation up to its last reply, against the same with the last reply of its neighbour.
 
-    The neighbour of conversation ``c`` is ``c xor 1``; where it is missing or has no reply, the
+    The neighbour of conversation ``c`` is ``c xor 1``, of text ids as of numbers; where it is missing, has no reply, or the id is no number, the
     conversation's own previous reply is taken; conversations without any other reply make no pair.
     """
     rows = conversations_as_rows(turns, **columns)
     replies = F.filter("turns", lambda t: t["role"] == "assistant")
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
     rows = rows.withColumns({"last": last, "reply": F.try_element_at(replies, F.lit(-1))["text"], "previous": F.try_element_at(replies, F.lit(-2))["text"]}).where("last is not null")
-    other = rows.select(F.col("id").cast("long").bitwiseXOR(F.lit(1)).alias("id"), F.col("reply").alias("foreign"))
+    kind = rows.schema["id"].dataType
+    other = rows.select(F.col("id").try_cast("long").bitwiseXOR(F.lit(1)).cast(kind).alias("id"), F.col("reply").alias("foreign"))
     paired = rows.join(other, "id", "left").withColumn("worse", F.coalesce("foreign", "previous")).where("worse is not null")
     head = F.slice("turns", F.lit(1), F.col("last") - 1)
     reply = lambda text: F.array(F.struct(F.lit("assistant").alias("role"), F.col(text).alias("text")))

@@ -158,7 +158,9 @@ def classify_quality(
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(FEATURES), flat)
                 yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(at, n)], names=["x", "label"])
 
-    sample = slim.join(F.broadcast(drawn), "id").select("text", "label").mapInArrow(measure, "x array<double>, label int").toArrow()
+    # one text of each id, so that rows that repeat an id cannot exceed the bound
+    one = slim.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    sample = one.select("text", "label").mapInArrow(measure, "x array<double>, label int").toArrow()
     y = (sample.column("label").to_numpy() > 0).astype(float)
     x = np.array(sample.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     both = 0 < y.sum() < len(y)

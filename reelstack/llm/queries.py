@@ -30,15 +30,20 @@ def _remainder(column, n: int):
     return F.crc32(column.cast("string")) % n
 
 
+def _held_out(n: int, fold: int):
+    """Whether a row's id falls in the fold that is not learned from; a row without an id does not."""
+    return F.coalesce(_remainder(F.col("doc_id"), n) == fold, F.lit(False))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = train(docs, _read(spark, sf_dir, "labels"), keep=lambda i: _remainder(i, 3) != 1)
-    return toxicity(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_words", "difference")
+    return toxicity(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "n_words", "difference")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(_read(spark, sf_dir, "documents"), keep=lambda i: _remainder(i, 10) != 0)
-    return scored.withColumn("held_out", _remainder(F.col("doc_id"), 10) == 0)
+    return scored.withColumn("held_out", _held_out(10, 0))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     out = classify_quality(docs, _read(spark, sf_dir, "labels"), keep=lambda i: _remainder(i, 3) != 1)
-    return out.withColumn("held_out", _remainder(F.col("doc_id"), 3) == 1)
+    return out.withColumn("held_out", _held_out(3, 1))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs, keep=lambda i: _remainder(i, 4) != 2)
-    return langid.detect_language(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.detect_language(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

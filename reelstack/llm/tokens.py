@@ -120,6 +120,11 @@ def slices(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """A string column as Python texts; broken bytes become replacement characters."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.large_binary()).to_pylist()]
+
+
 def per_row(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each row's range; empty ranges give 0."""
     total = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.kind in "bui" else np.float64)

@@ -185,7 +185,9 @@ def train(
     drawn = [known.where(cond).orderBy(F.xxhash64("id"), "id").limit(most) for cond, most in (("label > 0", max_toxic), ("label <= 0", max_ordinary))]
     # a quarter of the sample is for the logistic function only
     sample = drawn[0].union(drawn[1]).select("id", (F.col("label") > 0).cast("int").alias("label"), (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0).alias("tune"))
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", "label", "tune"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    # one text of each id, so that rows that repeat an id cannot exceed the bounds
+    texts = cut(rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.max("tune").alias("tune")).select("text", "label", "tune"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -304,8 +304,8 @@ def test_names_at_openings_and_in_any_case(spark):
 def test_short_items_and_any_ids(spark):
     texts = [(None, PLAIN + ITEM), (5, "they said blue whales sing loudly"), (6, PLAIN), (None, None), (5, PLAIN + ITEM)]
     items = ((7, ITEM), (8, "Blue whales sing"), (9, "yes"), (None, "stand here before it all"), (10, ITEM))
-    want = [("5", True, [7, 10]), ("5", True, [8]), ("6", True, []), ("None", False, []), ("None", True, [7, 10])]
-    assert sorted(held(spark, texts, items)) == sorted((i, c, x) if i != "5" or x != [7, 10] else ("5", True, [7, 10]) for i, c, x in [("5", True, [7, 10]), ("5", True, [8]), ("6", True, []), ("None", False, []), ("None", True, [7, 10])]) or want
+    # the item without an id is found, but cannot be named
+    assert held(spark, texts, items) == [("5", True, [7, 10]), ("5", True, [8]), ("6", True, []), ("None", False, []), ("None", True, [7, 10])]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("digest", F.lit("own"))
     bench = spark.createDataFrame(list(items), "item_id long, text string")
     left = dc.drop_contaminated(docs, bench)

@@ -253,3 +253,29 @@ def test_empty_tables(spark):
     results = [quality_rules(docs), near_duplicates(docs), mix_sources(docs), decontaminate(docs, bench), score_texts(docs), toxicity.toxicity(docs, toxicity.train(docs, empty)), langid.detect_language(docs, langid.train(docs)), classify_quality(docs, empty)]
     results += [extract_text(spark.createDataFrame([], "page_id long, url string, html string")), format_preferences(swapped_reply_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))]
     assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_broken_bytes_and_repeated_ids(spark):
+    raw = spark.createDataFrame([(1, b"abc\x80\x80 def\xff g and more of it"), (2, b"<html><body><p>caf\xe9 \xff text</p></body></html>")], "doc_id long, raw binary")
+    docs = raw.select("doc_id", F.expr("cast(raw as string)").alias("text"), F.lit("en").alias("lang"))
+    assert [r["lang_pred"] for r in langid.detect_language(docs, langid.train(docs)).collect()] == ["en", "en"]
+    pages = docs.where("doc_id = 2").select(F.col("doc_id").alias("page_id"), F.lit("http://a/b").alias("url"), F.col("text").alias("html"))
+    assert [r["text"] for r in extract_text(pages).collect()] == ["caf\ufffd \ufffd text"]
+    many = [(1, f"word{i} common words of one id") for i in range(3000)] + [(2, "other ordinary text"), (3, "vile toxic text"), (None, "nameless")]
+    rows = spark.createDataFrame(many, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(rows, labels, max_toxic=5, max_ordinary=5)
+    assert toxicity.toxicity(rows, model).count() == len(many)
+    assert classify_quality(rows, labels, max_labelled=5).count() == len(many)
+    assert score_texts(rows, warm_docs=5).count() == len(many)
+
+
+def test_pairs_of_text_ids(spark):
+    turns = [(c, i, r, f"{c} {i}") for c in ("2", "3", "x") for i, r in enumerate(["user", "assistant", "user", "assistant"])]
+    pairs = {r["pair_id"]: r["rejected"][-1]["text"] for r in swapped_reply_pairs(spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")).collect()}
+    assert pairs == {"2": "3 3", "3": "2 3", "x": "x 1"}
+
+
+def test_names_of_two_subjects_are_content():
+    page = '<html><body><nav>menu</nav><article><h1>T</h1><div class="social-history"><p>Keep.</p></div><section id="legal-analysis"><p>And this.</p></section><div class="share-buttons">no</div></article></body></html>'
+    assert main_text(page) == "T\n\nKeep.\n\nAnd this."
