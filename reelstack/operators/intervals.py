@@ -89,11 +89,14 @@ def gaps(ranges: DataFrame, bounds: DataFrame, least: int = 1, key: str = "clip_
     return before.unionByName(after).where(F.col("end") - F.col("start") >= least)
 
 
-def stitched(starts: DataFrame, durations: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Scenes from start times: each ends where the next begins, the last at the duration, numbered from 0."""
-    w = Window.partitionBy(key).orderBy("start")
+def stitched(starts: DataFrame, durations: DataFrame, key: str = "clip_id", ident: str | None = None) -> DataFrame:
+    """Scenes from start times: each ends where the next begins, the last at the duration, numbered from 0.
+
+    Of starts that are equal, all but the last one's scene are empty; they are numbered by ``ident``, which is kept, or are interchangeable without one.
+    """
+    w = Window.partitionBy(key).orderBy("start", *([ident] if ident else []))
     rows = starts.join(durations, key)
-    return rows.select(key, (F.row_number().over(w) - 1).alias("scene_no"), "start", F.coalesce(F.lead("start").over(w), "duration").alias("end"))
+    return rows.select(key, *([ident] if ident else []), (F.row_number().over(w) - 1).alias("scene_no"), "start", F.coalesce(F.lead("start").over(w), "duration").alias("end"))
 
 
 def successors(points: DataFrame, least: int, key: str = "clip_id") -> DataFrame:
@@ -131,13 +134,25 @@ def thinned_starts(boundaries: DataFrame, durations: DataFrame, least: int, key:
 
 
 def to_frame(ms: Column, fps: float) -> Column:
-    """Frame at a time, halves to even."""
+    """Frame whose own time is nearest to a time, halves to even."""
     return F.rint(ms * fps / 1000).cast("long")
 
 
+def frame_ms(frame: Column, fps: float) -> Column:
+    """A frame's own time in ms, halves to even."""
+    return F.rint(frame * 1000 / fps).cast("long")
+
+
 def frame_range(start: Column, end: Column, fps: float) -> tuple[Column, Column]:
-    """First and last frame whose time lies in ``[start, end)``."""
-    return F.ceil(start * fps / 1000), F.ceil(end * fps / 1000) - 1
+    """First and last frame whose own time lies in ``[start, end)``; nulls if none does.
+
+    The frame nearest to a bound may lie up to half a frame on its other side: then its neighbour is the one.
+    """
+    near_start, near_end = F.greatest(to_frame(start, fps), F.lit(0)), to_frame(end, fps)
+    first = near_start + F.when(frame_ms(near_start, fps) < start, 1).otherwise(0)
+    last = near_end - F.when(frame_ms(near_end, fps) >= end, 1).otherwise(0)
+    some = last >= first
+    return F.when(some, first), F.when(some, last)
 
 
 def slot_centres(start: Column, end: Column, n: int) -> Column:

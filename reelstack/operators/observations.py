@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
@@ -127,19 +128,60 @@ def _shape(text: str) -> tuple[tuple[str, ...], str]:
     return tuple(re.findall(r"\d+", text)), "".join(c for c in text if not c.isalnum())
 
 
+#: Buckets into which characters and pairs of characters are counted: what falls together can only raise an upper bound.
+CHAR_BUCKETS, PAIR_BUCKETS = 64, 256
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """Counts of each text's characters and pairs of characters, by bucket."""
+    size = CHAR_BUCKETS + PAIR_BUCKETS
+    out = np.zeros((len(texts), size), np.int32)
+    for k, t in enumerate(texts):
+        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = (code[:-1] * 31 + code[1:]) % PAIR_BUCKETS + CHAR_BUCKETS
+        out[k] = np.bincount(np.concatenate([code % CHAR_BUCKETS, pair]), minlength=size)
+    return out
+
+
+def longest_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by one row of bits for all of ``b``: what matching blocks cover is one, so none covers more."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
+    for c in a:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
 def _ratios(texts: list[str], least: float) -> dict[str, dict[str, float]]:
-    """For each distinct text the texts whose ratio with it is ``least`` or more, itself among them."""
+    """For each distinct text the texts whose ratio with it is ``least`` or more, itself among them.
+
+    Only texts of one shape are compared. Of two texts of S characters together whose matching blocks cover M of each, there are M common characters, and as the blocks number at most
+    S - 2 M + 1, at least M less that many common pairs of characters: so 3 M is at most S + 1 and the common pairs. Whole rows of pairs are dropped by these
+    bounds, most others by the longest common subsequence; the ratio itself is computed for the rest.
+    """
     near: dict[str, dict[str, float]] = {t: {t: 1.0} for t in texts}
     by_shape: dict = {}
     for t in near:
         by_shape.setdefault(_shape(t), []).append(t)
     for same in by_shape.values():
+        if len(same) < 2:
+            continue
         same.sort(key=len)
+        counts, length = _counts(same), np.array([len(t) for t in same])
+        last = np.searchsorted(length, np.floor(length * (2 - least) / least + 1e-9), side="right")
         for i, a in enumerate(same):
-            for b in same[i + 1 :]:
-                if 2 * len(a) < least * (len(a) + len(b)):
-                    break
-                if a and ratio_bound(a, b) >= least and (r := block_ratio(a, b)) >= least:
+            if not a or last[i] <= i + 1:
+                continue
+            common = np.minimum(counts[i], counts[i + 1 : last[i]])
+            both = length[i] + length[i + 1 : last[i]]
+            most = np.minimum(common[:, :CHAR_BUCKETS].sum(1), (common[:, CHAR_BUCKETS:].sum(1) + both + 1) / 3)
+            for k in np.flatnonzero(2 * most >= least * both - 1e-9):
+                b = same[i + 1 + k]
+                if 2 * longest_subsequence(a, b) >= least * both[k] - 1e-9 and (r := block_ratio(a, b)) >= least:
                     near[a][b] = near[b][a] = r
     return near
 
@@ -251,7 +293,39 @@ def _confusion(grouped: GroupedData) -> DataFrame:
     cases = {"tp": ("same", "together"), "fp": ("not same", "together"), "fn": ("same", "not together"), "tn": ("not same", "not together")}
     out = grouped.agg(*[F.count_if(F.expr(f"({a}) and ({b})")).alias(k) for k, (a, b) in cases.items()])
     share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0)), 6)
-    return out.withColumns({"false_merge_rate": share("fp", "tn"), "miss_rate": share("fn", "tp")})
+    # a false merge is a merge that should not be: a share of what was merged
+    return out.withColumns({"false_merge_rate": share("fp", "tp"), "miss_rate": share("fn", "tp")})
+
+
+def originals_kept(observed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(threshold, n_groups, originals_kept): whether groups (threshold, obs_id, group_id) hold each observation once and nothing else."""
+    n = observed.agg(F.count("*").alias("_n"))
+    held = groups.join(observed.select("obs_id", F.lit(True).alias("_held")), "obs_id", "left")
+    per = held.groupBy("threshold").agg(F.count_distinct("group_id").alias("n_groups"), F.count("*").alias("_rows"), F.count_distinct("obs_id").alias("_ids"), F.count("_held").alias("_held"))
+    # the number of observations is one row
+    both = per.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one")
+    return both.select("threshold", "n_groups", ((F.col("_rows") == F.col("_n")) & (F.col("_ids") == F.col("_n")) & (F.col("_held") == F.col("_n"))).alias("originals_kept"))
+
+
+def pooled_scores(found: DataFrame, *group: str) -> DataFrame:
+    """By group: labels, pooled character error rate (edits of all labels over their characters), mean rate, and recall by outcome.
+
+    ``found``: label (its text), edits, outcome, error_rate.
+    """
+    size = F.length("label")
+    return found.groupBy(*group).agg(
+        F.count("*").alias("n_labels"),
+        F.round(F.sum("edits") / F.nullif(F.sum(size), F.lit(0)), 6).alias("pooled_cer"),
+        F.round(F.avg("error_rate"), 6).alias("mean_cer"),
+        F.round(F.avg((F.col("outcome") != "miss").cast("double")), 6).alias("recall"),
+        F.round(F.avg((F.col("outcome") == "exact").cast("double")), 6).alias("exact_rate"),
+    )
+
+
+def hallucination_rate(observed: DataFrame, matched: DataFrame, *group: str) -> DataFrame:
+    """By group: the share of observations (obs_id, of frames without text) that no label matched. ``matched``: obs_id of matched ones."""
+    free = observed.join(matched.where("obs_id is not null").select("obs_id", F.lit(1).alias("_hit")).distinct(), "obs_id", "left")
+    return free.groupBy(*group).agg(F.count("*").alias("n_observed"), F.round(F.avg(F.col("_hit").isNull().cast("double")), 6).alias("hallucination_rate"))
 
 
 def partition_faults(members: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,41 +83,91 @@ def best_per_slot(frames: DataFrame, *slot: str) -> DataFrame:
     return frames.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _by_scene(rows: DataFrame, columns: list[str], pick: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """``pick`` of each scene's rows, in batches of scenes: a scene is one row with an array, so a task makes no frame of its own for each of many small scenes."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    scenes = rows.groupBy("scene_id").agg(F.collect_list(F.struct("scene_id", *columns)).alias("rows")).select("rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [r for scene in b.column(0).to_pylist() for r in pick(scene)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], pa.int64()) for n in names], names=names)
+
+    return scenes.mapInArrow(run, schema)
+
+
 def without_reuse(frames: DataFrame) -> DataFrame:
     """One frame per slot of a scene, none twice: slots in order take their best free candidate.
 
     ``frames``: scene_id, slot, frame_no, sharpness. Sequential within a scene, whose frames are one bounded group.
     """
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for slot, part in rows.sort_values(["slot", "sharpness", "frame_no"], ascending=[True, False, True]).groupby("slot", sort=True):
-            for r in part.itertuples(index=False):
-                if r.frame_no not in used:
-                    used.add(r.frame_no)
-                    out.append((r.scene_id, slot, r.frame_no))
-                    break
-        return pd.DataFrame(out, columns=["scene_id", "slot", "frame_no"])
+    def pick(scene: list[dict]) -> list[dict]:
+        taken: dict[int, dict] = {}
+        slots = set()
+        for r in sorted(scene, key=lambda r: (r["slot"], -r["sharpness"], r["frame_no"])):
+            if r["slot"] not in slots and r["frame_no"] not in taken:
+                slots.add(r["slot"])
+                taken[r["frame_no"]] = r
+        return list(taken.values())
 
-    return frames.select("scene_id", "slot", "frame_no", "sharpness").groupBy("scene_id").applyInPandas(pick, "scene_id long, slot long, frame_no long")
+    return _by_scene(frames, ["slot", "frame_no", "sharpness"], pick, "scene_id long, slot long, frame_no long")
 
 
-def diverse(frames: DataFrame, least: float, most: int, fewest: int) -> DataFrame:
-    """Frames of a scene that differ: the middle one, then always the farthest, while it is ``least`` away; at most ``most``, at least ``fewest``.
+def _farthest(near: np.ndarray, allowed: np.ndarray) -> int:
+    """The allowed place that is farthest from all that is kept; the earliest on a tie."""
+    return int(np.argmax(np.where(allowed, near, -np.inf)))
 
-    ``frames``: scene_id, frame_no, value. Sequential within a scene.
-    """
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_no").reset_index(drop=True)
-        kept = [len(rows) // 2]
-        while len(kept) < min(most, len(rows)):
-            gap = rows["value"].map(lambda v: min(abs(v - rows["value"][k]) for k in kept))
-            gap[kept] = -1.0
-            far = int(gap.idxmax())
-            if gap[far] < least and len(kept) >= fewest:
-                break
+def differing(distance: np.ndarray, blank: np.ndarray, least: float, most: int, fewest: int) -> np.ndarray:
+    """Places, in order, of the frames to keep, from the distances between all frames of a scene in time order.
+
+    The seed is the middle frame, or the nearest one that is not blank. Going through the others in time, a frame that is not blank is kept if it is ``least`` away from every
+    kept one. More than ``most`` are thinned to the seed and those that lie farthest apart; less than ``fewest`` are filled up with the rest, blank
+    ones last, farthest first. A blank frame differs from all others, so its distance never speaks for it. Where a distance is missing, nothing is judged and all are kept.
+    """
+    n = len(blank)
+    if n <= fewest or np.isnan(distance).any():
+        return np.arange(n)
+    usable = np.flatnonzero(~blank)
+    seed = n // 2 if blank[n // 2] and not len(usable) else int(usable[np.argmin(np.abs(usable - n // 2))])
+    kept, near = [seed], distance[seed].copy()
+    for k in usable:
+        if k != seed and near[k] >= least:
+            kept.append(int(k))
+            near = np.minimum(near, distance[k])
+    if len(kept) > most:
+        left = np.zeros(n, bool)
+        left[kept[1:]] = True
+        kept, near = [seed], distance[seed].copy()
+        while len(kept) < most:
+            far = _farthest(near, left)
             kept.append(far)
-        return rows.loc[sorted(kept), ["scene_id", "frame_no"]]
+            left[far], near = False, np.minimum(near, distance[far])
+    left = np.ones(n, bool)
+    left[kept] = False
+    near = distance[kept].min(0)
+    while len(kept) < fewest and left.any():
+        far = _farthest(near, left & ~blank if (left & ~blank).any() else left)
+        kept.append(far)
+        left[far], near = False, np.minimum(near, distance[far])
+    return np.sort(np.array(kept))
+
+
+def diverse(frames: DataFrame, least: float = 27.0, most: int = 5, fewest: int = 2) -> DataFrame:
+    """Frames (scene_id, frame_no) of each scene that differ enough, by ``differing``.
+
+    ``frames``: scene_id, frame_no, ts_ms, blank, descriptor (array<double>, null where it was not measured); distances are mean absolute differences. A scene's chosen frames, a
+    handful by design, are one group.
+    """
+
+    def pick(scene: list[dict]) -> list[dict]:
+        scene = sorted(scene, key=lambda r: (r["ts_ms"], r["frame_no"]))
+        sizes = {len(r["descriptor"] or ()) for r in scene}
+        distance = np.full((len(scene), len(scene)), np.nan)
+        if len(sizes) == 1 and 0 not in sizes:
+            x = np.array([r["descriptor"] for r in scene], float)
+            distance = np.stack([np.abs(x - row).mean(1) for row in x])
+        return [scene[k] for k in differing(distance, np.array([r["blank"] for r in scene], bool), least, most, fewest)]
 
-    return frames.select("scene_id", "frame_no", "value").groupBy("scene_id").applyInPandas(pick, "scene_id long, frame_no long")
+    return _by_scene(frames, ["frame_no", "ts_ms", "blank", "descriptor"], pick, "scene_id long, frame_no long")

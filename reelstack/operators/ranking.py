@@ -171,11 +171,22 @@ def shortage_reasons(returned: Column, candidates: Column, excluded: Column, gua
     return F.when(returned >= size, "").otherwise(F.array_join(reasons, ","))
 
 
-def explanation(terms: Column, caption: Column, transcript: Column) -> dict[str, Column]:
-    """The query's terms that each field holds, the field that speaks for the scene, and, if none does, the text that stands in for it."""
+def explanation(terms: Column, fields: dict[str, Column], tags: Column, added: Column) -> dict[str, Column]:
+    """Why a scene came up: the query's terms that each field holds, the matched keywords with their origin, the first field or else the tags that speak for it, and, if none does, the text that stands in.
+
+    ``fields``: texts by name, in the order in which they speak; ``tags``: the scene's tag values; ``added``: terms that an expansion put behind the query's own. A keyword reads
+    ``word:query`` or ``word:expansion``; one that is both is the query's.
+    """
     from reelstack.functions.text import blank_to_null, tokens
 
-    held = lambda c: F.array_join(F.array_sort(F.array_intersect(terms, tokens(c))), " ")
-    evidence = F.when(held(caption) != "", "caption").when(held(transcript) != "", "transcript").otherwise("none")
-    stand_in = F.when(evidence == "none", F.coalesce(F.when(blank_to_null(caption).isNotNull(), caption), F.when(blank_to_null(transcript).isNotNull(), transcript)))
-    return {"in_caption": held(caption), "in_transcript": held(transcript), "evidence": evidence, "stand_in": stand_in}
+    none = F.array().cast("array<string>")
+    words = {n: F.coalesce(tokens(c), none) for n, c in fields.items()} | {"tags": F.coalesce(tags, none)}
+    held = {n: F.array_intersect(terms, w) for n, w in words.items()}
+    everywhere = F.flatten(F.array(*words.values()))
+    extra = F.array_except(F.array_intersect(added, everywhere), terms)
+    marked = lambda found, origin: F.transform(F.array_sort(found), lambda x: F.concat(x, F.lit(f":{origin}")))
+    keywords = F.concat(marked(F.array_intersect(terms, everywhere), "query"), marked(extra, "expansion"))
+    evidence = F.coalesce(*[F.when(F.size(h) > 0, n) for n, h in held.items()], F.lit("none"))
+    stand_in = F.when(evidence == "none", F.coalesce(*[F.when(blank_to_null(c).isNotNull(), c) for c in fields.values()]))
+    joined = {f"in_{n}": F.array_join(F.array_sort(h), " ") for n, h in held.items()}
+    return joined | {"keywords": F.array_join(keywords, " "), "evidence": evidence, "stand_in": stand_in}

@@ -189,7 +189,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return et.latency_histogram(requests(spark, sf_dir), None)
+    """Requests by hour and path: count, mean, greatest, and percentiles from mergeable buckets."""
+    return et.latency_summary(et.latency_buckets(requests(spark, sf_dir), None), "hour", "path")
 
 
 def heartbeat_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +286,8 @@ SELECT 'item_number_gap', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem
     "scene_tiling": f"""WITH {sql.SCENE}, s AS (SELECT clip_id, scene_id, start_ms AS s, end_ms AS e, lag(end_ms) OVER w AS p, row_number() OVER w AS n FROM scene WHERE scene_id % 13 <> 5 WINDOW w AS (PARTITION BY clip_id ORDER BY start_ms)),
 f AS (SELECT clip_id, CASE WHEN n = 1 AND s <> 0 THEN 'late_start' WHEN s > p THEN 'gap' WHEN s < p THEN 'overlap' END AS fault FROM s UNION ALL SELECT clip_id, CASE WHEN max(e) <> 100000 THEN 'wrong_end' END FROM s GROUP BY 1)
 SELECT clip_id, fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY ALL""",
-    "latency_hist": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type AS path, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+    "latency_hist": f"""WITH l AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type AS path, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most, list_sort(list(value) FILTER (value IS NOT NULL)) AS v FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+SELECT hour, path, n, mean, most, round(list_filter({list(et.BOUNDS)}, lambda b: b >= v[CAST(ceil(len(v) * 0.5) AS INT)])[1], 6) AS p50, round(list_filter({list(et.BOUNDS)}, lambda b: b >= v[CAST(ceil(len(v) * 0.95) AS INT)])[1], 6) AS p95 FROM l""",
     "heartbeat_timeout": """WITH b AS (SELECT DISTINCT user_id, ts FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL), l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM b)
 SELECT CAST(user_id AS VARCHAR) AS key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_beat, strftime(ts + INTERVAL 6 HOUR + INTERVAL 15 SECOND, '%Y-%m-%d %H:%M:%S') AS expired_at FROM l WHERE nx > ts + INTERVAL 6 HOUR + INTERVAL 15 SECOND""",
 }

@@ -11,6 +11,7 @@ from reelstack.operators import intervals as iv
 from reelstack.operators import observations as ob
 from reelstack.operators import prepare as pr
 from reelstack.operators import rules as rl
+from reelstack.operators.tables import cut
 from reelstack.plans import search, sql
 from reelstack.sources import subtitles as st
 from reelstack.sources import views
@@ -141,10 +142,19 @@ def keyframe_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of overlapping slots without reuse, then pruned to those that differ (sequential folds, rows only)."""
-    f = frames(spark, sf_dir).select("scene_id", F.explode(F.array(F.col("frame_no") % 4, (F.col("frame_no") + 1) % 4)).alias("slot"), "frame_no", "sharpness")
-    chosen = pr.without_reuse(f).join(frames(spark, sf_dir).select("scene_id", "frame_no", F.col("sharpness").alias("value")), ["scene_id", "frame_no"])
-    return pr.diverse(chosen, 27.0, 5, 2)
+    """Frames of overlapping slots without reuse, then pruned to those that differ in their descriptors (sequential folds, rows only). A scene is a user's quarter of an hour with events."""
+    f = frames(spark, sf_dir).withColumn("scene_id", F.col("scene_id") * 100_000_000 + F.floor(F.col("ts_ms") / 900_000))
+    slots = f.select("scene_id", F.explode(F.array(F.col("frame_no") % 4, (F.col("frame_no") + 1) % 4)).alias("slot"), "frame_no", "sharpness")
+    looks = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("look"), F.transform("embedding", lambda x: x.cast("double") * 255).alias("descriptor"))
+    known = f.select("scene_id", "frame_no", "ts_ms", "blank", (F.col("frame_no") % 500).alias("look")).join(looks, "look", "left").drop("look")
+    return pr.diverse(pr.without_reuse(slots).join(known, ["scene_id", "frame_no"]))
+
+
+def keyframe_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as frame descriptors, twelve a scene: those that differ enough; two to five of each scene (sequential fold, rows only)."""
+    v = views.table(spark, sf_dir, "embeddings")
+    f = v.select(F.floor(F.col("vec_id") / 12).alias("scene_id"), F.col("vec_id").alias("frame_no"), (F.col("vec_id") % 12 * 1000).alias("ts_ms"), (F.col("vec_id") % 9 == 0).alias("blank"), F.transform("embedding", lambda x: x.cast("double") * 255).alias("descriptor"))
+    return pr.diverse(f)
 
 
 def line_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,11 +171,6 @@ def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("scene_id", F.col("same").alias("group_text"), "size", "representative", "first_frame", "last_frame", "confidence")
 
 
-def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same groups under their older name."""
-    return ocr_merge(spark, sf_dir)
-
-
 def group_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of merged groups: observations in several, frames twice in one, representatives that are not the most confident; those of every 50th were exchanged."""
     observed = ob.built(line_input(spark, sf_dir))
@@ -189,6 +194,25 @@ def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label_id", "obs_id", F.round("score", 6).alias("score"), ob.outcome(F.col("score")).alias("outcome"), ob.reach(tx.tokens("label"), tx.tokens("raw_text")).alias("reach"), F.round(wrong, 6).alias("error_rate"))
 
 
+def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By length of line: pooled character error rate, recall, and the share of observations in textless frames that nothing explains (matching-block ratio, rows only). Frames of every seventh number have no labels."""
+    rows = _read_lines(spark, sf_dir)
+    textless = F.col("frame") % 7 == 3
+    found = cut(ob.matched_lines(rows.withColumn("label_id", F.when(~textless, F.col("label_id"))), ["scene_id", "frame"]))
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s", "")
+    expected, read = plain(F.col("label")), plain(F.col("raw_text"))
+    # the edit distance of a text that lies in the other is the difference of their lengths
+    nested = F.contains(read, expected) | F.contains(expected, read)
+    edits = F.when(nested, F.abs(F.length(read) - F.length(expected))).otherwise(F.levenshtein(expected, read))
+    size = F.when(F.length("label") >= 200, "long").when(F.length("label") >= 20, "middle").otherwise("short").alias("size")
+    scored = found.select(size, expected.alias("label"), edits.alias("edits"), ob.outcome(F.col("score")).alias("outcome"))
+    pooled = ob.pooled_scores(scored.withColumn("error_rate", F.col("edits") / F.nullif(F.length("label"), F.lit(0))), "size")
+    seen = rows.where("obs_id is not null").select("obs_id", textless.alias("textless"), F.when(F.length("raw_text") >= 200, "long").when(F.length("raw_text") >= 20, "middle").otherwise("short").alias("size"))
+    # what nothing explains in a frame without text was made up
+    made_up = ob.hallucination_rate(seen.where("textless"), found.select("obs_id"), "size")
+    return pooled.join(made_up, "size", "left")
+
+
 def stray_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens read in a frame that none of its labels has."""
     rows = _read_lines(spark, sf_dir)
@@ -207,13 +231,13 @@ def case_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion of merge groups against labels of line pairs, at several lengths of agreeing text."""
+    """Confusion of merge groups against labels of line pairs, by what must agree of whole lines: all of it, its comparison text, or that text's letters and digits."""
     obs = tx.normalised(ob.built(line_input(spark, sf_dir)), "raw_text", comparison="same")
     pairs = obs.groupBy("scene_id", F.lower("raw_text").alias("t")).agg(F.min("obs_id").alias("left_id"), F.max("obs_id").alias("right_id")).where("left_id < right_id").select("left_id", "right_id", (F.col("left_id") % 10 != 0).alias("same"))
     out = None
-    for n in (5, 20, 40):
-        groups = obs.select("obs_id", F.concat_ws("|", "scene_id", F.substring("same", 1, n), F.when(F.col("obs_id") % 7 == 0, F.col("obs_id"))).alias("group_id"))
-        part = ob.pair_confusion(pairs, groups).withColumn("length", F.lit(n))
+    for name, key in (("raw", F.col("raw_text")), ("comparison", F.col("same")), ("letters", F.regexp_replace("same", r"[^\p{L}\p{N}]", ""))):
+        groups = obs.select("obs_id", F.concat_ws("|", "scene_id", key, F.when(F.col("obs_id") % 7 == 0, F.col("obs_id"))).alias("group_id"))
+        part = ob.pair_confusion(pairs, groups).withColumn("agreement", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -228,7 +252,8 @@ def merge_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.xxhash64("tokens")
     pairs = obs.where(F.size("tokens") >= 3).select("obs_id", F.lag("obs_id").over(opening).alias("left_id"), (F.lag(words).over(opening) == words).alias("same"))
     pairs = pairs.where("left_id is not null").select("left_id", F.col("obs_id").alias("right_id"), "same")
-    return ob.threshold_confusion(pairs, ob.merged_at(obs))
+    groups = cut(ob.merged_at(obs))
+    return ob.threshold_confusion(pairs, groups).join(ob.originals_kept(obs, groups), "threshold")
 
 
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,8 +377,8 @@ def retokenize_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scalar_suite, normalised_values, transcript_selection, uncovered_ranges, scene_mapping, scene_text, scene_bounds, scene_spans, keyframe_plan, keyframe_pick, keyframe_greedy,
-        ocr_merge, ocr_merge_lines, group_partition, ocr_score, stray_tokens, case_status, merge_sweep, merge_thresholds, entity_candidates, grounding, absent_values, output_validation, speech_cleanup, subtitle_cues, fingerprint_filters, rekey_rules, apply_rules, anchor_check, value_spans, date_anchors, retokenize_patch,
+        scalar_suite, normalised_values, transcript_selection, uncovered_ranges, scene_mapping, scene_text, scene_bounds, scene_spans, keyframe_plan, keyframe_pick, keyframe_greedy, keyframe_diverse,
+        ocr_merge, group_partition, ocr_score, ocr_summary, stray_tokens, case_status, merge_sweep, merge_thresholds, entity_candidates, grounding, absent_values, output_validation, speech_cleanup, subtitle_cues, fingerprint_filters, rekey_rules, apply_rules, anchor_check, value_spans, date_anchors, retokenize_patch,
     )
 }
 
@@ -416,7 +441,8 @@ SELECT clip_id, row_number() OVER w - 1 AS scene_no, start, coalesce(lead(start)
     "keyframe_plan": f"""WITH {sql.SCENE}, c AS (SELECT scene_id, start_ms, end_ms, i AS slot, start_ms + (end_ms - start_ms) * (2 * i + 1) // 6 AS centre FROM scene, range(3) r(i))
 SELECT scene_id, slot, centre, CAST(round_even(centre * 29.97 / 1000, 0) AS BIGINT) AS frame,
        array_to_string(list_transform([0, 400, -400, 800, -800], lambda o: least(greatest(centre + o, start_ms), end_ms - 1)), ',') AS candidates,
-       CAST(ceil(start_ms * 29.97 / 1000) AS BIGINT) AS first_frame, CAST(ceil(end_ms * 29.97 / 1000) AS BIGINT) - 1 AS last_frame FROM c""",
+       f + CASE WHEN round_even(f * 1000 / 29.97, 0) < start_ms THEN 1 ELSE 0 END AS first_frame, l - CASE WHEN round_even(l * 1000 / 29.97, 0) >= end_ms THEN 1 ELSE 0 END AS last_frame
+FROM (SELECT *, CAST(round_even(start_ms * 29.97 / 1000, 0) AS BIGINT) AS f, CAST(round_even(end_ms * 29.97 / 1000, 0) AS BIGINT) AS l FROM c)""",
     "keyframe_pick": """SELECT scene_id, slot_name, frame_no, blank, row_number() OVER (PARTITION BY scene_id ORDER BY t, frame_no) AS place FROM (
 SELECT user_id AS scene_id, event_type AS slot_name, event_id AS frame_no, event_id % 9 = 0 AS blank, epoch_us(ts) // 1000 AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 9 = 0, coalesce(value, 0) DESC, epoch_us(ts) // 1000, event_id) = 1)""",
@@ -435,10 +461,12 @@ g AS (SELECT arg_max(obs_id, (confidence, -frame, -obs_id)) AS id FROM obs JOIN
 SELECT 'in_many_groups' AS fault, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'frame_twice', 0 UNION ALL SELECT 'weak_representative', (SELECT count(*) FROM g WHERE id % 50 = 7)""",
     "merge_sweep": f"""WITH {_OCR}, o AS (SELECT * FROM obs),
 p AS (SELECT min(obs_id) AS l, max(obs_id) AS r FROM o GROUP BY scene_id, lower(raw_text) HAVING min(obs_id) < max(obs_id)),
-g AS (SELECT obs_id, n AS length, concat_ws('|', scene_id, substr(same, 1, n), CASE WHEN obs_id % 7 = 0 THEN obs_id END) AS g FROM o, (VALUES (5), (20), (40)) v(n)),
-j AS (SELECT a.length, l % 10 <> 0 AS same, a.g = b.g AS tog FROM p JOIN g a ON a.obs_id = l JOIN g b ON b.obs_id = r AND b.length = a.length),
-c AS (SELECT length, count(*) FILTER (same AND tog) AS tp, count(*) FILTER (NOT same AND tog) AS fp, count(*) FILTER (same AND NOT tog) AS fn, count(*) FILTER (NOT same AND NOT tog) AS tn FROM j GROUP BY 1)
-SELECT *, round(fp / nullif(fp + tn, 0), 6) AS false_merge_rate, round(fn / nullif(fn + tp, 0), 6) AS miss_rate FROM c""",
+g AS (
+  SELECT obs_id, agreement, concat_ws('|', scene_id, CASE agreement WHEN 'raw' THEN raw_text WHEN 'comparison' THEN same ELSE regexp_replace(same, '[^\\p{{L}}\\p{{N}}]', '', 'g') END, CASE WHEN obs_id % 7 = 0 THEN obs_id END) AS g
+  FROM o, (VALUES ('raw'), ('comparison'), ('letters')) v(agreement)),
+j AS (SELECT a.agreement, l % 10 <> 0 AS same, a.g = b.g AS tog FROM p JOIN g a ON a.obs_id = l JOIN g b ON b.obs_id = r AND b.agreement = a.agreement),
+c AS (SELECT agreement, count(*) FILTER (same AND tog) AS tp, count(*) FILTER (NOT same AND tog) AS fp, count(*) FILTER (same AND NOT tog) AS fn, count(*) FILTER (NOT same AND NOT tog) AS tn FROM j GROUP BY 1)
+SELECT *, round(fp / nullif(fp + tp, 0), 6) AS false_merge_rate, round(fn / nullif(fn + tp, 0), 6) AS miss_rate FROM c""",
     "entity_candidates": f"""WITH {sql.SCENE},
 v AS (SELECT scene_id, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT scene_id, string_split(caption, ' ') AS l FROM scene)),
 r AS (SELECT scene_id // 5 AS group_id, value AS key, scene_id * 10000 + pos AS position, value, ((scene_id + pos) % 50) / 50 AS confidence, 's' || scene_id AS evidence FROM v WHERE regexp_full_match(value, '[A-Z][a-z]+'))
@@ -473,4 +501,3 @@ SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, s[i] AS start FROM (SELECT *,
     "date_anchors": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'kept' ELSE 'demoted' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'filmed' ELSE 'broadcast' END AS field FROM orders""",
     "retokenize_patch": f"""WITH d AS (SELECT doc_id, array_to_string({_W}, ' ') AS tokens FROM documents) SELECT doc_id, tokens FROM d WHERE doc_id % 3 = 0 AND upper(tokens) <> tokens""",
 }
-ORACLE_SQL["ocr_merge_lines"] = ORACLE_SQL["ocr_merge"]

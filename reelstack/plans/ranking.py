@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelstack.functions import text as tx
+from reelstack.operators import dictionary as dic
 from reelstack.operators import ranking as rk
 from reelstack.operators import retrieval as rt
 from reelstack.operators import rules as rl
@@ -302,10 +303,13 @@ def scene_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why the top scenes came up: query terms by field with their origin, what stands in where none is held, and the date that counts."""
     top = search.lexical(spark, sf_dir, 10).select("query_id", "scene_id", "rank")
-    rows = top.join(views.scenes(spark, sf_dir).select("scene_id", "caption", "transcript"), "scene_id").join(views.search_queries(spark, sf_dir).select("query_id", "terms"), "query_id")
+    asked = views.search_queries(spark, sf_dir).select("query_id", "terms", F.col("terms").alias("own"))
+    wide = dic.with_synonyms(asked, cut(search.synonym_groups(spark, sf_dir))).select("query_id", F.col("own").alias("terms"), F.array_except("terms", "own").alias("added"))
+    rows = top.join(views.scenes(spark, sf_dir).select("scene_id", "caption", "transcript", F.array("source", "lang", "shot_type").alias("tags")), "scene_id").join(small(wide), "query_id")
     days = dated(spark, sf_dir).groupBy("scene_id").agg(F.max(F.struct("trusted", "value", "field")).alias("d"))
     rows = rows.join(days.select("scene_id", F.col("d.value").alias("day"), F.col("d.trusted").alias("day_trusted")), "scene_id", "left").na.fill(False, ["day_trusted"])
-    return rows.select("query_id", "scene_id", "rank", *[c.alias(n) for n, c in rk.explanation(F.col("terms"), F.col("caption"), F.col("transcript")).items()], "day", "day_trusted")
+    why = rk.explanation(F.col("terms"), {"caption": F.col("caption"), "transcript": F.col("transcript")}, F.col("tags"), F.col("added"))
+    return rows.select("query_id", "scene_id", "rank", *[c.alias(n) for n, c in why.items()], "day", "day_trusted")
 
 
 def state_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,12 +469,15 @@ o AS (
     SELECT scene_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT scene_id, string_split(caption || chr(10) || transcript, chr(10)) AS l FROM eligible))
   WHERE trim(line) <> '' GROUP BY 1)
 SELECT query_id, scene_id, rank, clip_id, start_ms, end_ms, shot_type, lines FROM lexical JOIN scene USING (scene_id) LEFT JOIN o USING (scene_id) WHERE rank <= 10""",
-    "explain_rows": f"""WITH {sql.LEXICAL}, {_DATED},
+    "explain_rows": f"""WITH {sql.LEXICAL}, {_DATED}, {sql.SYNONYMS},
 h AS (
-  SELECT query_id, l.scene_id, rank, {_HELD.format(sql.tok('caption'))} AS in_caption, {_HELD.format(sql.tok('transcript'))} AS in_transcript, caption, transcript
-  FROM lexical l JOIN scene s ON s.scene_id = l.scene_id JOIN query USING (query_id) WHERE rank <= 10)
-SELECT query_id, h.scene_id, rank, in_caption, in_transcript, CASE WHEN in_caption <> '' THEN 'caption' WHEN in_transcript <> '' THEN 'transcript' ELSE 'none' END AS evidence,
-       CASE WHEN in_caption <> '' OR in_transcript <> '' THEN NULL WHEN trim(caption, ' ') <> '' THEN caption WHEN trim(transcript, ' ') <> '' THEN transcript END AS stand_in,
+  SELECT query_id, l.scene_id, rank, {_HELD.format(sql.tok('caption'))} AS in_caption, {_HELD.format(sql.tok('transcript'))} AS in_transcript, {_HELD.format('[source, lang, shot_type]')} AS in_tags, caption, transcript,
+         array_to_string(list_concat(list_transform(list_sort(list_filter(terms, lambda el: list_contains(w, el))), lambda el: el || ':query'),
+           list_transform(list_sort(list_filter(all_terms, lambda el: list_contains(w, el) AND NOT list_contains(terms, el))), lambda el: el || ':expansion')), ' ') AS keywords
+  FROM (SELECT *, list_concat(list_concat({sql.tok('caption')}, {sql.tok('transcript')}), [source, lang, shot_type]) AS w FROM lexical JOIN scene USING (scene_id) WHERE rank <= 10) l
+  JOIN (SELECT q.query_id, q.terms, wide.terms AS all_terms FROM query q JOIN wide USING (query_id)) USING (query_id))
+SELECT query_id, h.scene_id, rank, in_caption, in_transcript, in_tags, keywords, CASE WHEN in_caption <> '' THEN 'caption' WHEN in_transcript <> '' THEN 'transcript' WHEN in_tags <> '' THEN 'tags' ELSE 'none' END AS evidence,
+       CASE WHEN in_caption <> '' OR in_transcript <> '' OR in_tags <> '' THEN NULL WHEN trim(caption, ' ') <> '' THEN caption WHEN trim(transcript, ' ') <> '' THEN transcript END AS stand_in,
        (SELECT value FROM dated x WHERE x.scene_id = h.scene_id ORDER BY trusted DESC, value DESC, field DESC LIMIT 1) AS day, coalesce((SELECT trusted FROM dated x WHERE x.scene_id = h.scene_id ORDER BY trusted DESC, value DESC, field DESC LIMIT 1), false) AS day_trusted FROM h""",
     "state_signature": f"""WITH {sql.LEXICAL}, {_EXCL},
 r AS (SELECT query_id, string_agg(DISTINCT lpad(CAST(scene_id AS VARCHAR), 12, '0'), ',' ORDER BY lpad(CAST(scene_id AS VARCHAR), 12, '0')) AS rules FROM excl GROUP BY 1),

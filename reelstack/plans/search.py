@@ -189,11 +189,7 @@ SELECT query_id, scene_id, matched, round(raw_score, 6) AS raw_score, round(rank
        row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, raw_score DESC, scene_id) AS rank
 FROM r QUALIFY rank <= 200""",
     "synonym_search": f"""WITH {sql.ELIGIBLE}, {sql.QUERY},
-word AS (SELECT DISTINCT w AS word FROM (SELECT unnest(terms) AS w FROM query) WHERE length(w) >= 6),
-grp AS (SELECT substr(word, 1, 4) AS g, list(word) AS words FROM word GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
-wide AS (
-  SELECT query_id, list_distinct(list_concat(any_value(terms), coalesce(flatten(list(words) FILTER (words IS NOT NULL)), []))) AS terms
-  FROM query LEFT JOIN grp ON len(list_intersect(words, terms)) > 0 GROUP BY query_id),
+{sql.SYNONYMS},
 {sql.bm25({'caption': sql.tok('caption'), 'transcript': sql.tok('transcript')}, 'eligible', 'scene_id', query='wide')},
 raw AS (SELECT query_id, scene_id, round(sum(score), 9) AS raw_score FROM hits GROUP BY ALL)
 SELECT query_id, scene_id, len(terms) AS n_terms, round(raw_score, 6) AS raw_score, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, scene_id) AS rank

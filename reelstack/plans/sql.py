@@ -48,6 +48,11 @@ raw AS (SELECT query_id, scene_id, round(sum(score), 9) AS raw_score FROM hits G
 lexical AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, scene_id) AS rank FROM raw
   QUALIFY rank <= 200)"""
+SYNONYMS = """word AS (SELECT DISTINCT w AS word FROM (SELECT unnest(terms) AS w FROM query) WHERE length(w) >= 6),
+grp AS (SELECT substr(word, 1, 4) AS g, list(word) AS words FROM word GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
+wide AS (
+  SELECT query_id, list_distinct(list_concat(any_value(terms), coalesce(flatten(list(words) FILTER (words IS NOT NULL)), []))) AS terms
+  FROM query LEFT JOIN grp ON len(list_intersect(words, terms)) > 0 GROUP BY query_id)"""
 COSINE = "round(1 - list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))), 9)"
 DENSE = f"""vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 dense AS (
