@@ -14,7 +14,7 @@ Scores are equal to those of ``retrieval.bm25`` up to the order of sums; they ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -230,17 +230,19 @@ def _matched(b: _Block, q: Queries) -> np.ndarray:
     return np.bincount((some // n)[posting] * len(q.ids) + query, minlength=len(b.id) * len(q.ids)).reshape(len(b.id), -1)
 
 
-def _kept(rows: DataFrame, q: Queries, s: Statistics, weights: np.ndarray, k: int, least: np.ndarray | None, tops: np.ndarray | None, with_parts: bool) -> DataFrame:
-    """(query_id, id, ordering, score, part_score, top, matched): each task's best k of each query that reach ``least``, ties and what is within ``SLACK`` included.
+Judge = Callable[[_Block, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _by_terms(rows: DataFrame, q: Queries, s: Statistics, weights: np.ndarray, least: np.ndarray | None, tops: np.ndarray | None, with_parts: bool) -> Judge:
+    """(ordering, score, part score, matched terms), documents by the queries from ``lo`` to ``hi``.
 
     With parts, the order is by (score + best part's score) / ``tops`` and the share of matched terms; without ``tops`` by the former alone.
     """
-    context = rows.sparkSession.sparkContext
-    sent = context.broadcast((q, s, least, tops))
-    n_fields, n_terms = len(weights), len(q.terms)
+    sent = rows.sparkSession.sparkContext.broadcast((q, s, least, tops))
 
-    def judge(b: _Block, part: Queries, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        _, s, least, tops = sent.value
+    def judge(b: _Block, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        q, s, least, tops = sent.value
+        part = q if (lo, hi) == (0, len(q.ids)) else q.few(lo, hi)
         if not with_parts:
             score = _scores(b, part, s, weights, None if least is None else least[lo:hi] - SLACK)
             return score, score, np.zeros_like(score), np.zeros(score.shape, np.int64)
@@ -250,13 +252,43 @@ def _kept(rows: DataFrame, q: Queries, s: Statistics, weights: np.ndarray, k: in
             order = order / np.maximum(tops[lo:hi], 1e-300) + np.where(part.size > 1, COVERAGE * matched / part.size, 0.0)
         return np.where(score + top > 0, order, 0.0), score, top, matched
 
+    return judge
+
+
+def _by_phrases(rows: DataFrame, phrases: Queries, owner: np.ndarray, s: Statistics, n_fields: int) -> Judge:
+    """(ordering, score, nothing, phrases found): the sums of phrases all of whose terms one field holds. ``phrases`` has a row for each phrase, ``owner`` the query's place of each."""
+    sent = rows.sparkSession.sparkContext.broadcast((phrases, owner, s))
+
+    def judge(b: _Block, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        phrases, owner, s = sent.value
+        value = _score(s, b.f_at % n_fields, b.f_code, b.f_tf, b.field_len[b.f_at])
+        posting, phrase, _ = _spread(phrases, b.f_code)
+        mine = (owner[phrase] >= lo) & (owner[phrase] < hi)
+        posting, phrase = posting[mine], phrase[mine]
+        some, place, many = np.unique(b.f_at[posting] * len(owner) + phrase, return_inverse=True, return_counts=True)
+        total = np.bincount(place, weights=value[posting], minlength=len(some))
+        whole = many == phrases.size[some % len(owner)]
+        doc, phrase, total = some[whole] // len(owner) // n_fields, some[whole] % len(owner), total[whole]
+        shape, cell = (len(b.id), hi - lo), doc * (hi - lo) + owner[phrase] - lo
+        score = np.bincount(cell, weights=total, minlength=shape[0] * shape[1]).reshape(shape)
+        once = np.unique(doc * len(owner) + phrase)
+        found = np.bincount(once // len(owner) * (hi - lo) + owner[once % len(owner)] - lo, minlength=shape[0] * shape[1]).reshape(shape)
+        return score, score, np.zeros_like(score), found
+
+    return judge
+
+
+def _kept(rows: DataFrame, ids: np.ndarray, n_terms: int, n_fields: int, k: int, least: np.ndarray | None, tops: np.ndarray | None, judge: Judge, with_parts: bool = False) -> DataFrame:
+    """(query_id, id, ordering, score, part_score, top, matched): each task's best k of each query that reach ``least``, ties and what is within ``SLACK`` included."""
+    sent = rows.sparkSession.sparkContext.broadcast((ids, least, tops))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, _, least, tops = sent.value
-        floor = np.full(len(q.ids), SLACK / 2) if least is None else np.maximum(least - SLACK, SLACK / 2)
+        asked, least, tops = sent.value
+        floor = np.full(len(asked), SLACK / 2) if least is None else np.maximum(least - SLACK, SLACK / 2)
         kept: list[np.ndarray] = []
         names: list[np.ndarray] = []
 
-        def squeezed() -> list[np.ndarray]:
+        def squeezed() -> np.ndarray:
             """Only the best k of each query, and a higher floor for those that have k."""
             rows = np.concatenate(kept) if kept else np.zeros((0, 6))
             rows = rows[np.lexsort((-rows[:, 2], rows[:, 0]))]
@@ -265,42 +297,48 @@ def _kept(rows: DataFrame, q: Queries, s: Statistics, weights: np.ndarray, k: in
             many = np.bincount(query, minlength=len(floor))
             full = np.flatnonzero(many >= k)
             floor[full] = np.maximum(floor[full], rows[first[full] + k - 1, 2] - SLACK)
-            return [rows[rows[:, 2] >= floor[query]]]
+            return rows[rows[:, 2] >= floor[query]]
 
         size = 0
         for b in _blocks(batches, n_terms, n_fields):
             step = max(1, BLOCK_CELLS // max(len(b.id), len(b.part_len) if with_parts else 1))
-            for lo in range(0, len(q.ids), step):
-                hi = min(lo + step, len(q.ids))
-                order, score, top, matched = judge(b, q if (lo, hi) == (0, len(q.ids)) else q.few(lo, hi), lo, hi)
+            for lo in range(0, len(asked), step):
+                hi = min(lo + step, len(asked))
+                order, score, top, matched = judge(b, lo, hi)
                 doc, query = np.nonzero(order >= floor[lo:hi])
                 at = doc, query
                 kept.append(np.column_stack([query + lo, np.arange(size, size + len(doc)), order[at], score[at], top[at], matched[at]]).astype(np.float64))
                 names.append(b.id[doc])
                 size += len(doc)
-            if sum(map(len, kept)) > 4 * k * len(q.ids):
-                kept[:] = squeezed()
-                ids = np.concatenate(names)[kept[0][:, 1].astype(np.int64)]
-                kept[0][:, 1], names[:], size = np.arange(len(ids)), [ids], len(ids)
-        for rows in squeezed():
-            ids = np.concatenate(names) if names else np.zeros(0, np.int64)
-            query = rows[:, 0].astype(np.int64)
-            top = np.zeros(len(rows)) if tops is None else tops[query]
-            columns = [q.ids[query], ids[rows[:, 1].astype(np.int64)], rows[:, 2], rows[:, 3], rows[:, 4], top, rows[:, 5].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "ordering", "score", "part_score", "top", "matched"])
+            if sum(map(len, kept)) > 4 * k * len(asked):
+                kept[:] = [squeezed()]
+                few = np.concatenate(names)[kept[0][:, 1].astype(np.int64)]
+                kept[0][:, 1], names[:], size = np.arange(len(few)), [few], len(few)
+        rows = squeezed()
+        docs = np.concatenate(names) if names else np.zeros(0, np.int64)
+        query = rows[:, 0].astype(np.int64)
+        top = np.zeros(len(rows)) if tops is None else tops[query]
+        columns = [asked[query], docs[rows[:, 1].astype(np.int64)], rows[:, 2], rows[:, 3], rows[:, 4], top, rows[:, 5].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "ordering", "score", "part_score", "top", "matched"])
 
     return rows.mapInArrow(run, "query_id long, id long, ordering double, score double, part_score double, top double, matched long")
 
 
-def _kth(found: DataFrame, q: Queries, k: int) -> np.ndarray:
+def _kth(found: DataFrame, ids: np.ndarray, k: int) -> np.ndarray:
     """The k-th best of each query, or 0: a number for each query comes to the driver."""
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ordering")))
-    out = np.zeros(len(q.ids))
+    out = np.zeros(len(ids))
     for r in found.select("query_id", "ordering", turn.alias("n")).where(F.col("n") == k).collect():
-        out[np.searchsorted(q.ids, r["query_id"])] = r["ordering"]
+        out[np.searchsorted(ids, r["query_id"])] = r["ordering"]
     return out
 
 
+def _slice(rows: DataFrame, s: Statistics, k: int) -> DataFrame | None:
+    """A hashed slice of the documents that holds ``SLICE_ROWS`` documents for each wanted row, if that is less than all."""
+    slices = int(s.n[:-1].max() // (SLICE_ROWS * k))
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == 0) if slices > 1 else None
+
+
 def best(queries: DataFrame, docs: DataFrame, id_col: str, parts: Column, k: int, weights: tuple[float, ...] = (1.0, 1.0), with_parts: bool = False) -> DataFrame | None:
     """(query_id, id, score, part_score, top, matched) of a few documents of each query, among them the best ``k``; None if the queries are too many for this way.
 
@@ -312,13 +350,33 @@ def best(queries: DataFrame, docs: DataFrame, id_col: str, parts: Column, k: int
         return None
     rows = counted(docs, id_col, parts, q.terms)
     s = statistics(rows, len(q.terms), len(weights))
-    w = np.array(weights)
+    kept = lambda some, k, least, tops: _kept(some, q.ids, len(q.terms), len(weights), k, least, tops, _by_terms(rows, q, s, np.array(weights), least, tops, with_parts), with_parts)
     tops = None
     if with_parts:
-        tops = _kth(_kept(rows, q, s, w, 1, None, None, True).groupBy("query_id").agg(F.max("ordering").alias("ordering")), q, 1)
-    slices = int(s.n[:-1].max() // (SLICE_ROWS * k))
-    least = None
-    if slices > 1:
-        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == 0)
-        least = _kth(_kept(some, q, s, w, k, None, tops, with_parts), q, k)
-    return _kept(rows, q, s, w, k, least, tops, with_parts).withColumnRenamed("id", id_col).drop("ordering")
+        tops = _kth(kept(rows, 1, None, None).groupBy("query_id").agg(F.max("ordering").alias("ordering")), q.ids, 1)
+    some = _slice(rows, s, k)
+    least = None if some is None else _kth(kept(some, k, None, tops), q.ids, k)
+    return kept(rows, k, least, tops).withColumnRenamed("id", id_col).drop("ordering")
+
+
+def best_phrases(queries: DataFrame, docs: DataFrame, id_col: str, parts: Column, k: int, n_fields: int = 2) -> DataFrame | None:
+    """(query_id, id, score, n_phrases) of a few documents of each query, among them the best ``k`` by the summed scores of ``phrases`` (array<array<string>>) that one field holds whole.
+
+    Each phrase of a query counts once a field; None if there are too many.
+    """
+    each = cut(queries.select("query_id", F.posexplode(F.transform("phrases", F.array_distinct)).alias("no", "terms")).where("size(terms) > 0"))
+    if each.count() > BROADCAST_ROWS:
+        return None
+    listed = sorted((r["query_id"], r["no"], r["terms"]) for r in each.collect())
+    ids = np.array(sorted({r[0] for r in listed}), np.int64)
+    owner = np.searchsorted(ids, np.array([r[0] for r in listed], np.int64))
+    terms = sorted({t for r in listed for t in r[2]})
+    code = {t: i for i, t in enumerate(terms)}
+    pairs = np.array(sorted((code[t], n) for n, r in enumerate(listed) for t in r[2]), np.int64).reshape(-1, 2)
+    phrases = Queries(np.arange(len(listed)), np.array([len(r[2]) for r in listed], np.int64), terms, np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), pairs[:, 1])
+    rows = counted(docs, id_col, parts, terms)
+    s = statistics(rows, len(terms), n_fields)
+    kept = lambda some, least: _kept(some, ids, len(terms), n_fields, k, least, None, _by_phrases(rows, phrases, owner, s, n_fields))
+    some = _slice(rows, s, k)
+    least = None if some is None else _kth(kept(some, None), ids, k)
+    return kept(rows, least).select("query_id", F.col("id").alias(id_col), "score", F.col("matched").alias("n_phrases"))

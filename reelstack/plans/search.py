@@ -15,6 +15,7 @@ from reelstack.plans import sql
 from reelstack.sources import views
 
 GENERIC = ["the", "de", "and"]
+PHRASE_WEIGHT = 0.3
 #: Neighbours farther away than this are none.
 MAX_DISTANCE = 0.75
 
@@ -107,7 +108,12 @@ def phrase_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.slice(words, i, 2))
     phrases = F.filter(rt.clean_phrases(pairs), lambda p: (F.size(F.array_except(p, kept)) > 0) & ~F.forall(p, lambda t: t.isin(GENERIC)))
     asked = queries.select("query_id", phrases.alias("phrases"))
-    found = rt.phrase_scores(asked, eligible_scenes(spark, sf_dir), "scene_id", fields())
+    scene = eligible_scenes(spark, sf_dir)
+    found = topk.best_phrases(asked, scene, "scene_id", F.array(*fields().values()), 200)
+    if found is None:
+        found = rt.phrase_scores(asked, scene, "scene_id", fields())
+    else:
+        found = found.withColumn("phrase_score", F.round(PHRASE_WEIGHT * F.col("score"), 9))
     return rt.top_k(found, 200, F.desc("phrase_score"), F.col("scene_id")).select("query_id", "scene_id", "n_phrases", F.round("phrase_score", 5).alias("phrase_score"), "rank")
 
 

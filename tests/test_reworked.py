@@ -64,6 +64,22 @@ def test_best_parts_equal_joins(spark, corpus, monkeypatch):
             assert all((q, d) in got for _, _, d in best)
 
 
+def test_best_phrases_equal_all_phrases(spark, corpus, monkeypatch):
+    docs, queries = corpus
+    asked = queries.select("query_id", F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms") - 1, F.lit(1))), lambda i: F.slice("terms", i, 2)).alias("phrases"))
+    fields = {"caption": tokens("caption"), "transcript": tokens("transcript")}
+    want = {(r["query_id"], r["scene_id"]): (r["phrase_score"], r["n_phrases"]) for r in retrieval.phrase_scores(asked, docs, "scene_id", fields).collect()}
+    monkeypatch.setattr(topk, "SLICE_ROWS", 2)
+    monkeypatch.setattr(topk, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 64)
+    for k in (3, 400):
+        got = {(r["query_id"], r["scene_id"]): (r["score"] * 0.3, r["n_phrases"]) for r in topk.best_phrases(asked, docs, "scene_id", F.array(*fields.values()), k).collect()}
+        assert all(abs(s - want[key][0]) < 1e-8 and n == want[key][1] for key, (s, n) in got.items())
+        for q in {q for q, _ in want}:
+            order = sorted((-s, d) for (p, d), (s, _) in want.items() if p == q)
+            assert all((q, d) in got for _, d in order[:k])
+
+
 def test_pages_by_heads_equal_pages_of_all(spark):
     rng = random.Random(5)
     rows = [(q, s, rng.randrange(5) / 10, rng.randrange(4) / 4) for q in range(4) for s in range(60)]
