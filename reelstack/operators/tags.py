@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelstack.functions.text import normalised
 from reelstack.operators.dictionary import spelt
 from reelstack.operators.tables import cut, small
 
@@ -60,7 +61,7 @@ def condition_matches(conditions: DataFrame, tags: DataFrame) -> DataFrame:
     within a type. The tags are then joined once, by value.
     """
     tags = cut(tags.where("value is not null"))
-    known = cut(spelt(tags.select("tag_type", "value").distinct(), "value", match="match"))
+    known = cut(normalised(tags.select("tag_type", "value").distinct(), "value", match="match"))
     asked = conditions.select("query_id", "axis", "condition_id", "tag_type", "kind", F.col("value").alias("wanted"), "upper")
     keys = ["query_id", "axis", "condition_id", "tag_type", "value"]
     of = lambda kind: asked.where(F.col("kind") == kind)
