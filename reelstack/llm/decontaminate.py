@@ -293,16 +293,20 @@ def _checked(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
+        last, doc = None, []
         for batch in batches:
             out: list[tuple[int, float, bool]] = []
-            item, left, right = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            ids, item, left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             made = lambda column, i: next(templates(buf, off) for _, _, buf, off in slices(column.slice(i, 1)))
             for i in range(batch.num_rows):
                 if item[i] not in known:
                     if len(known) >= KEPT_ITEMS:
                         known.clear()
                     known[item[i]] = made(right, i)
-                got, holds, changed = best_verdict(made(left, i), known[item[i]], width, share, edited)
+                # the pairs of one text follow each other
+                if ids[i] != last:
+                    last, doc = ids[i], made(left, i)
+                got, holds, changed = best_verdict(doc, known[item[i]], width, share, edited)
                 if holds:
                     out.append((i, got, changed))
             rows = pa.array([x[0] for x in out], pa.int64())

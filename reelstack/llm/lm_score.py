@@ -8,7 +8,7 @@ the class's tokens, so the model is a normalised distribution over all words wit
 
 * Word counts cover all training documents: distinct words are pre-aggregated per task and summed by a shuffle.
 * Training is numpy SGD on the noise-contrastive objective: a warm start on a bounded sample (``warm_docs``), then one pass
-  of all training documents in blocks of some ``BLOCK_TOKENS`` tokens, dealt by a hash of id and text and ordered by it, so that the
+  of all training documents in blocks of some ``BLOCK_TOKENS`` tokens (``MOST_BLOCKS`` at most), dealt by a hash of id and text and ordered by it, so that the
   result does not hang on how files are split. The blocks' parameters (a table of fixed size) are averaged by a
   grouped aggregation, weighted by tokens.
 * Scoring normalises by batched matrix products over the distinct contexts a task meets. The counts of the ``head`` most frequent
@@ -45,6 +45,8 @@ SMOOTH = 0.1
 PASS = 1 << 21
 #: Tokens of a training block, of which each yields a table of parameters.
 BLOCK_TOKENS = 1 << 21
+#: Training blocks at most: beyond, a block has more tokens (read as a stream), not the corpus more tables of parameters.
+MOST_BLOCKS = 4096
 END_HASH = np.uint64(0x656E64)
 
 
@@ -281,8 +283,11 @@ def _noise(lex: Lexicon) -> np.ndarray:
 
 
 
-def train(texts: DataFrame, sample: DataFrame, lex: Lexicon, warm_epochs: int = 4, block_tokens: int = BLOCK_TOKENS) -> LogBilinear:
-    """Fit on all ``texts`` (id, text): one pass in blocks, averaged, from a start on the bounded ``sample``."""
+def train(texts: DataFrame, sample: DataFrame, lex: Lexicon, warm_epochs: int = 4, block_tokens: int = BLOCK_TOKENS, most_blocks: int = MOST_BLOCKS) -> LogBilinear:
+    """Fit on all ``texts`` (id, text): one pass in blocks, averaged, from a start on the bounded ``sample``.
+
+    Blocks have about ``block_tokens`` tokens while ``most_blocks`` suffice for that, and grow with the texts beyond.
+    """
     shape, noise = lex.shape, _noise(lex)
     model, state, rng = LogBilinear.start(noise, shape), _fresh_state(shape), np.random.default_rng(23)
     column = sample.toArrow().column("text")
@@ -292,7 +297,7 @@ def train(texts: DataFrame, sample: DataFrame, lex: Lexicon, warm_epochs: int =
     shared = texts.sparkSession.sparkContext.broadcast((lex, model, noise, state))
     width = shape.dim + 1
     sizes = [shape.classes + 1, shape.classes + 1, shape.classes]
-    blocks = lex.total // block_tokens + 1
+    blocks = min(lex.total // block_tokens + 1, most_blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, start, noise, at = shared.value
