@@ -19,6 +19,11 @@ them), so a template phrase that all items share joins nothing. Windows of docum
 are filtered by the benchmark's windows before they are shuffled, and
 candidates are checked on the whole texts. Texts are known by their digest, so equal texts are checked once.
 
+Items whose templates are equal where names are slots, and whose slots repeat alike, are a class (variants of one
+question). A document is paired with classes: whether it holds the template consistently is the same for all members, and which
+of them it holds with their own values shows from one hash of its slot values. Only what a class leaves open (contradicting slots, a
+slot that is missing, letters of one case) is checked for the members whose rarest windows the document has.
+
 Defined results: null and empty texts hold nothing; an item of three or four template words is one window of its
 own length, one of fewer is found in no document; rows that repeat an
 id are each judged by their own text; null ids, and ids that are no numbers, are judged like others; an item of null id is
@@ -27,6 +32,7 @@ found, but listed with none; an empty benchmark clears all, an empty table of do
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +58,9 @@ KEPT_ITEMS = 2_000
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams pound pounds ounce ounces ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent mph kph".split()
 
+#: The ways in which names are slots: those inside sentences, or all.
+SLOT_WAYS = (0, 2)
+
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 
 _DIGIT = np.zeros(256, bool)
@@ -190,34 +199,46 @@ def _item_windows(items: DataFrame, width: int) -> DataFrame:
     return items.mapInArrow(run, "id string, way int, width int, window long")
 
 
-def compare(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], width: int) -> tuple[float, bool, bool]:
-    """(share of the item's distinct windows in the document, slots consistent, slots changed) of two (template words, slot values)."""
+def _aligned(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], width: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(share of the item's distinct windows in the document, word positions of the item, theirs in the document).
+
+    Each item window is taken where most of the item's windows line up.
+    """
     zero = lambda x: np.zeros(len(x), np.int64)
     hd, pd = windows(doc[0], zero(doc[0]), width)
     hi, pi = windows(item[0], zero(item[0]), width)
+    none = np.zeros(0, np.int64)
     if not len(hi):
-        return 0.0, True, False
+        return 0.0, none, none
     share = np.isin(np.unique(hi), hd).mean()
     order = np.argsort(hd, kind="stable")
     hd, pd = hd[order], pd[order]
     lo, hi_ = np.searchsorted(hd, hi, "left"), np.searchsorted(hd, hi, "right")
     size = hi_ - lo
     if not size.sum():
-        return 0.0, True, False
+        return 0.0, none, none
     ip = np.repeat(pi, size)
     dp = pd[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
     shift, inverse, weight = np.unique(dp - ip, return_inverse=True, return_counts=True)
-    # each item window is taken where most of the item's windows line up
     best = np.lexsort((dp, -weight[inverse], ip))
     ip, dp = ip[best], dp[best]
     once = np.ones(len(ip), bool)
     once[1:] = ip[1:] != ip[:-1]
-    ip, dp = ip[once], dp[once]
     steps = np.arange(width)
-    si, sd = item[1][(ip[:, None] + steps).ravel()], doc[1][(dp[:, None] + steps).ravel()]
-    used = si != 0
-    pairs = np.unique(np.stack([si[used], sd[used]]), axis=1)
-    return float(share), len(np.unique(pairs[0])) == pairs.shape[1], bool((pairs[0] != pairs[1]).any())
+    return float(share), (ip[once][:, None] + steps).ravel(), (dp[once][:, None] + steps).ravel()
+
+
+def _slot_pairs(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Distinct (slot value of the item, of the document) at positions that were put together, as two rows."""
+    used = item[1][at] != 0
+    return np.unique(np.stack([item[1][at][used], doc[1][to][used]]), axis=1)
+
+
+def compare(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], width: int) -> tuple[float, bool, bool]:
+    """(share of the item's distinct windows in the document, slots consistent, slots changed) of two (template words, slot values)."""
+    share, at, to = _aligned(doc, item, width)
+    pairs = _slot_pairs(doc, item, at, to)
+    return share, len(np.unique(pairs[0])) == pairs.shape[1], bool((pairs[0] != pairs[1]).any())
 
 
 def copies(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], width: int, share: float) -> Iterator[tuple[float, bool, bool, float]]:
@@ -288,6 +309,104 @@ def best_verdict(doc: list, item: list, width: int, share: float, edited: bool)
     return got
 
 
+def _signature(values: np.ndarray) -> int:
+    """Slot values in order as one number."""
+    return int.from_bytes(hashlib.md5(values.tobytes()).digest()[:8], "little", signed=True)
+
+
+def _class_key(forms: list) -> str:
+    """Digest of what items of a class have in common: their template words where names are slots, and which slots are equal."""
+    key = hashlib.md5()
+    for way in SLOT_WAYS:
+        _, word, slot = forms[way]
+        _, first, inverse = np.unique(slot, return_index=True, return_inverse=True)
+        key.update(len(word).to_bytes(8, "little") + word.tobytes() + first[inverse].tobytes())
+    return key.hexdigest()
+
+
+def class_verdict(doc: list, member: list, width: int, share: float) -> tuple[float, int, int] | None:
+    """(share, way, signature of the document's slot values) if the document holds all items of the member's class, else None.
+
+    It does if, by the first way of which it has the share, its slots are consistent and none of the item's is missing. What
+    ``best_verdict`` says is then the same for all members, but for whether slots are changed: they are where a member's signature is
+    another. None leaves it open what holds for single members.
+    """
+    for way in SLOT_WAYS:
+        d, i = doc[way][1:], member[way][1:]
+        if len(i[0]) < LEAST_WORDS:
+            continue
+        got, at, to = _aligned(d, i, min(width, len(i[0])))
+        if got < share:
+            continue
+        pairs = _slot_pairs(d, i, at, to)
+        slots = np.flatnonzero(i[1])
+        if len(np.unique(pairs[0])) < pairs.shape[1] or not np.isin(slots, at).all():
+            return None
+        value = np.zeros(len(i[1]), np.uint64)
+        value[at] = d[1][to]
+        return got, way, _signature(value[slots])
+    return None
+
+
+def _item_classes(items: DataFrame) -> DataFrame:
+    """(id, class, sig0, sig2): each item's class, and its slot values in the two ways."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sigs = [], {way: [] for way in SLOT_WAYS}
+            for text in batch.column(1):
+                for _, _, buf, off in slices(pa.array([text.as_py()], pa.string())):
+                    forms = templates(buf, off)
+                    keys.append(_class_key(forms))
+                    for way in SLOT_WAYS:
+                        slot = forms[way][2]
+                        sigs[way].append(_signature(slot[slot != 0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), *[pa.array(sigs[way], pa.int64()) for way in SLOT_WAYS]], names=["id", "class", "sig0", "sig2"])
+
+    return items.select("id", "text").mapInArrow(run, "id string, class string, sig0 long, sig2 long")
+
+
+def _checked_classes(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, share: float, edited: bool) -> DataFrame:
+    """(id, class, share, changed, way, sig) of pairs (id, class) that hold, and of those left open, whose share is null.
+
+    A class of one item is judged at once: its rows have ``changed`` and no way. ``classes``: class, members, text (a member's).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        last, doc = None, []
+        for batch in batches:
+            rows, out = [], []
+            ids, group, members = (batch.column(k).to_pylist() for k in (0, 1, 2))
+            made = lambda column, i: next(templates(buf, off) for _, _, buf, off in slices(column.slice(i, 1)))
+            for i in range(batch.num_rows):
+                if group[i] not in known:
+                    if len(known) >= KEPT_ITEMS:
+                        known.clear()
+                    known[group[i]] = made(batch.column(4), i)
+                # the pairs of one text follow each other
+                if ids[i] != last:
+                    last, doc = ids[i], made(batch.column(3), i)
+                if members[i] == 1:
+                    got, holds, changed = best_verdict(doc, known[group[i]], width, share, edited)
+                    if not holds:
+                        continue
+                    out.append((got, changed, None, None))
+                else:
+                    held = class_verdict(doc, known[group[i]], width, share)
+                    out.append((held[0], None, *held[1:]) if held else (None,) * 4)
+                rows.append(i)
+            at = pa.array(rows, pa.int64())
+            kinds = (pa.float64(), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]],
+                names=["id", "class", "share", "changed", "way", "sig"],
+            )
+
+    joined = pairs.join(classes.select("class", "members", F.col("text").alias("it")), "class").join(docs.select("id", F.col("text").alias("dt")), "id")
+    return joined.select("id", "class", "members", "dt", "it").mapInArrow(run, "id string, class string, share double, changed boolean, way int, sig long")
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, share: float, edited: bool) -> DataFrame:
     """(id, item, share, changed) of the candidate pairs that hold."""
 
@@ -325,34 +444,62 @@ def _digested(table: DataFrame, text_col: str) -> DataFrame:
     return table.select(F.md5(text.cast("binary")).alias("id"), text.alias("text")).where("text <> ''")
 
 
-def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", width: int = WIDTH, share: float = SHARE, edited: bool = False) -> DataFrame:
-    """(id, item, share, changed): digests of documents' texts and of the items' texts that they hold."""
+def _class_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, width: int = WIDTH, share: float = SHARE, edited: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits by class, hits by item, the items' classes).
+
+    By class: id, class, share, changed, way, sig as ``_checked_classes`` has them, one row for a document and all items of a class.
+    By item: id, item, share, changed, for what their class left open. Classes: id of the item, class, sig0, sig2.
+    """
     items = cut(_digested(benchmark, item_text_col).dropDuplicates(["id"]))
     slim = _digested(docs, text_col)
+    class_of = cut(_item_classes(items))
     held = cut(_item_windows(items, width))
     common = held.groupBy("window").agg(F.countDistinct("id").alias("items"))
     by_item = Window.partitionBy("id", "way")
     ranked = held.join(common, "window").withColumns(
         {"n": F.count("*").over(by_item), "place": F.row_number().over(by_item.orderBy("items", "window"))}
     )
-    rare = cut(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select(F.col("id").alias("item"), "width", "window"))
+    rare = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("id", "width", "window")
+    rare = cut(rare.join(class_of.select("id", "class"), "id").select(F.col("id").alias("item"), "class", "width", "window"))
     # five widths at most
     widths = sorted(r["width"] for r in rare.select("width").distinct().collect()) or [width]
     probes = rare.select("window").distinct()
     wanted = None
     if probes.count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in probes.collect()], np.int64).view(np.uint64))
-    pairs = cut(_windows_of(slim, widths, wanted).join(rare.select("item", "window"), "window").select("id", "item").distinct())
+    found = _windows_of(slim, widths, wanted)
+    found = cut(found if wanted is not None else found.join(probes, "window", "left_semi"))
+    pairs = cut(found.join(rare.select("class", "window").distinct(), "window").select("id", "class").distinct())
     ids = cut(pairs.select("id").distinct())
     texts = slim.join(small(ids, ids.count(), BROADCAST_DIGESTS), "id", "left_semi").dropDuplicates(["id"])
-    hits = _checked(pairs, texts, items, width, share, edited)
-    return hits.groupBy("id", "item").agg(F.max("share").alias("share"), F.max("changed").alias("changed"))
+    first = class_of.join(items, "id").groupBy("class").agg(F.count("*").alias("members"), F.min_by("text", "id").alias("text"))
+    judged = cut(_checked_classes(pairs, texts, first, width, share, edited))
+    left = judged.where("share is null").select("id", "class")
+    single = left.join(found, "id").join(rare.select("item", "class", "window"), ["class", "window"]).select("id", "item").distinct()
+    some = left.select("id").distinct()
+    open_texts = slim.join(small(some, some.count(), BROADCAST_DIGESTS), "id", "left_semi").dropDuplicates(["id"])
+    return judged.where("share is not null"), _checked(single, open_texts, items, width, share, edited), class_of
+
+
+def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", **settings) -> DataFrame:
+    """(id, item, share, changed): digests of documents' texts and of the items' texts that they hold."""
+    by_class, by_item, class_of = _class_hits(docs, benchmark, text_col, item_text_col, **settings)
+    own = F.when(F.col("way") == 0, F.col("sig0")).otherwise(F.col("sig2"))
+    of_class = by_class.join(class_of.withColumnRenamed("id", "item"), "class").select("id", "item", "share", F.coalesce("changed", own != F.col("sig")).alias("changed"))
+    return of_class.unionByName(by_item).groupBy("id", "item").agg(F.max("share").alias("share"), F.max("changed").alias("changed"))
 
 
-def _named_items(hits: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    """Hits with the ids of the items that have the text."""
+def _named_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, **settings) -> DataFrame:
+    """(id, items, share, changed): digests of documents' texts with the ids of items that they hold, a row for each class or item."""
+    by_class, by_item, class_of = _class_hits(docs, benchmark, text_col, item_text_col, **settings)
     names = benchmark.select(F.md5(F.col(item_text_col).cast("string").cast("binary")).alias("item"), F.col(item_col).alias("_item")).distinct()
-    return hits.join(names, "item").select("id", F.col("_item").alias("item"), "share", "changed")
+    per_item = names.groupBy("item").agg(F.collect_set("_item").alias("items"))
+    ends = [f(f"sig{way}").alias(f"{name}{way}") for way in SLOT_WAYS for name, f in (("least", F.min), ("most", F.max))]
+    per_class = names.join(class_of.withColumnRenamed("id", "item"), "item").groupBy("class").agg(F.collect_set("_item").alias("items"), *ends)
+    # one of the class's items has other slot values than the document
+    other = [(F.col(f"least{way}") != F.col("sig")) | (F.col(f"most{way}") != F.col("sig")) for way in SLOT_WAYS]
+    changed = F.coalesce("changed", F.when(F.col("way") == SLOT_WAYS[0], other[0]).otherwise(other[1]))
+    return by_class.join(per_class, "class").select("id", "items", "share", changed.alias("changed")).unionByName(by_item.join(per_item, "item").select("id", "items", "share", "changed"))
 
 
 def benchmark_hits(
@@ -362,7 +509,9 @@ def benchmark_hits(
 
     ``edited``: a copy of whose words ``share`` equal the item's counts also if its slots contradict each other.
     """
-    found = cut(_named_items(text_hits(docs, benchmark, text_col, item_text_col, **settings), benchmark, item_col, item_text_col))
+    names = benchmark.select(F.md5(F.col(item_text_col).cast("string").cast("binary")).alias("item"), F.col(item_col).alias("_item")).distinct()
+    hits = text_hits(docs, benchmark, text_col, item_text_col, **settings)
+    found = cut(hits.join(names, "item").select("id", F.col("_item").alias("item"), "share", "changed"))
     rows = docs.select(F.col(id_col).alias("_doc"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("id"))
     return rows.join(small(found, found.count(), BROADCAST_DIGESTS), "id").select(F.col("_doc").alias(id_col), F.col("item").alias(item_col), "share", "changed").distinct()
 
@@ -371,8 +520,9 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **settings
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``contaminated``, ``items`` (sorted ids of the items it holds), ``max_share``, ``reparameterised``."""
-    found = _named_items(text_hits(docs, benchmark, text_col, item_text_col, **settings), benchmark, item_col, item_text_col)
-    per = cut(found.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("max_share"), F.max("changed").alias("reparameterised")))
+    found = _named_hits(docs, benchmark, text_col, item_col, item_text_col, **settings)
+    all_items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    per = cut(found.groupBy("id").agg(all_items.alias("items"), F.max("share").alias("max_share"), F.max("changed").alias("reparameterised")))
     rows = docs.select(F.col(id_col).alias("_doc"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("id"))
     out = rows.join(small(per, per.count(), BROADCAST_DIGESTS), "id", "left")
     none = F.array().cast(per.schema["items"].dataType)
@@ -388,5 +538,6 @@ def decontaminate(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no benchmark item."""
     key = free_name("digest", docs.columns)
-    bad = cut(text_hits(docs, benchmark, text_col, item_text_col, **settings).select(F.col("id").alias(key)).distinct())
+    by_class, by_item, _ = _class_hits(docs, benchmark, text_col, item_text_col, **settings)
+    bad = cut(by_class.select("id").unionByName(by_item.select("id")).distinct().withColumnRenamed("id", key))
     return docs.withColumn(key, F.md5(F.col(text_col).cast("string").cast("binary"))).join(small(bad, bad.count(), BROADCAST_DIGESTS), key, "left_anti").select(docs.columns)

@@ -87,8 +87,8 @@ def plain_verdict(doc, item, width, share, edited):
     return best
 
 
-def plain_decontaminate(texts, items, edited, share=SHARE):
-    """[(items held, greatest share, changed)] of the texts; items are (id, text)."""
+def plain_hits(texts, items, edited, share=SHARE):
+    """[[(item, share, changed)]] of the texts; items are (id, text)."""
     ways = ("inside", "any", "none")
     ready = [(ident, [plain_template(text or "", way) for way in ways]) for ident, text in items]
     out, known = [], {}
@@ -109,11 +109,16 @@ def plain_decontaminate(texts, items, edited, share=SHARE):
                     if holds:
                         found.append((ident, got, changed))
                         break
-            known[text] = (sorted({x[0] for x in found}), max((x[1] for x in found), default=0.0), any(x[2] for x in found))
+            known[text] = found
         out.append(known[text])
     return out
 
 
+def plain_decontaminate(texts, items, edited):
+    """[(items held, greatest share, changed)] of the texts."""
+    return [(sorted({x[0] for x in found}), max((x[1] for x in found), default=0.0), any(x[2] for x in found)) for found in plain_hits(texts, items, edited)]
+
+
 NAMES = ["Anna", "Maria", "Hugo", "Émile", "Peter Paul", "Olga"]
 FORMS = [
     "{a} sold {x} kg of dark bread to {b} and then {a} gave {y} euros back to an old friend.",
@@ -172,6 +177,36 @@ def test_made_sets(spark):
             assert [got[i]["contaminated"] for i in range(len(texts))] == held
 
 
+def test_hits_by_item(spark):
+    texts, items = made_sets(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], round(r["share"], 9), r["changed"]) for r in dc.benchmark_hits(docs, bench, edited=True).collect())
+    want = sorted((i, item, round(share, 9), changed) for i, found in enumerate(plain_hits(texts, items, True)) for item, share, changed in found)
+    assert got == want
+    assert {x[3] for x in want} == {True, False}
+
+
+def test_items_of_one_template_are_paired_once(spark):
+    """A document of a template that many items share is one row, however many they are."""
+    form = "When {a} counts {x} red boats and {b} counts {y} more, {a} writes the sum of both into the old book."
+    rng = random.Random(4)
+
+    def instance(k):
+        a, b = rng.sample(["Anna", "Maria", "Hugo", "Olga", "Peter", "Ines"], 2)
+        return form.format(a=a, b=b, x=100 + k, y=5000 + 7 * k)
+
+    items = [(k, instance(k)) for k in range(60)]
+    texts = [f"plain words before it. {items[k][1] if k % 4 == 0 else instance(900 + k)} and after {k}" for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    by_class, by_item, _ = dc._class_hits(docs, bench, "text", "text", edited=True)
+    assert (by_class.count(), by_item.count()) == (50, 0)
+    got = sorted((r["doc_id"], r["item_id"], r["changed"]) for r in dc.benchmark_hits(docs, bench, edited=True).collect())
+    assert got == sorted((i, item, changed) for i, found in enumerate(plain_hits(texts, items, True)) for item, _, changed in found)
+    assert len(got) == 3000 and sum(not x[2] for x in got) == 13
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     result = queries.QUERIES["op8_decontaminate"](spark, sf).collect()
