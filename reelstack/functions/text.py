@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelstack.functions.batches import lean
+
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -50,8 +52,9 @@ def normalised(df: DataFrame, column: str, match: str | None = None, comparison:
 
     The match value is NFKC without white space and format characters (joiners stay), twice normalised; texts whose comparison
     texts are equal read alike: NFKC, case-folded, without white space. Rows of ASCII text (and nulls) never leave the JVM: only the others
-    pass through Python, as the second part of a union.
+    pass through Python, as the second part of a union, in batches bounded by their bytes.
     """
+    df = lean(df)
     c, ascii_only = F.col(column), F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
     made = lambda m, k: {n: e for n, e in ((match, m), (comparison, k)) if n}
     plain = df.where(ascii_only).withColumns(made(F.regexp_replace(c, r"\s", ""), F.regexp_replace(F.lower(c), r"\s", "")))
