@@ -23,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelstack.functions.batches import lean
 from reelstack.operators.retrieval import K1, B
 from reelstack.operators.tables import BROADCAST_ROWS, cut
 
-#: Documents whose scores are held at once, and cells of a block's score matrix.
-BLOCK_DOCS = 2048
-BLOCK_CELLS = 4 << 20
+#: Documents whose scores are held at once, and cells of a block's score matrix: a frequent term is a posting for each document and query of a block.
+BLOCK_DOCS = 256
+BLOCK_CELLS = 1 << 18
 #: Difference of scores that rounding may hide.
 SLACK = 1e-8
 #: Documents of the slice that gives thresholds, for each wanted row.
@@ -96,7 +97,7 @@ def counted(docs: DataFrame, id_col: str, parts: Column, terms: list[str]) -> Da
             lists = lambda n, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), lists(per_doc, lens), lists(found, at - first[doc[at]]), lists(found, code), lists(found, tf)], names=["id", "lens", "part", "code", "tf"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), parts.alias("parts"))
+    rows = lean(docs.select(F.col(id_col).cast("long").alias("id"), parts.alias("parts")))
     return cut(rows.mapInArrow(run, "id long, lens array<int>, part array<int>, code array<int>, tf array<int>"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from reelstack.functions import batches
 from reelstack.functions import text as tx
 from reelstack.operators import observations as ob
+from reelstack.operators import retrieval as rt
+from reelstack.operators import topk
 
 
 @pytest.fixture
@@ -78,3 +80,19 @@ def test_long_lines_are_not_compared_where_bounds_decide(monkeypatch):
     monkeypatch.setattr(ob.difflib, "SequenceMatcher", None)
     line, other = "ab cd " * 3000, "xy zw " * 3000
     assert ob._nearest(line, [{"id": 1, "text": other}, {"id": 2, "text": "~ " + line}])[1] == "~ " + line
+
+
+def test_retrieval_gets_bounded_batches(spark_batches):
+    """Long texts' tokens reach the counting of asked terms in bounded batches, and scores stay those of joins."""
+    body = F.concat_ws(" ", F.lit("rain"), F.repeat(F.lit("storm wind "), 9000), F.concat(F.lit("n"), F.col("id") % 7))
+    docs = spark_batches.range(100).coalesce(1).select(F.col("id").alias("doc_id"), body.alias("body"))
+    read = docs.withColumn("parts", F.array(tx.tokens("body")))
+    assert largest_batch(read.select("doc_id", "parts")) > 4 * batches.BATCH_BYTES
+    queries = spark_batches.createDataFrame([(1, ["rain", "n3"]), (2, ["wind", "n5", "none"])], "query_id long, terms array<string>")
+    found = topk.best(queries, docs, "doc_id", F.array(tx.tokens("body")), 5, weights=(1.0,))
+    assert largest_batch(read.select("doc_id", "parts")) < 2 * batches.BATCH_BYTES
+    order = F.desc("raw_score"), F.col("doc_id")
+    got = rt.top_k(found.select("query_id", "doc_id", F.round("score", 9).alias("raw_score")), 5, *order)
+    want = rt.top_k(rt.bm25(queries, docs, "doc_id", {"body": tx.tokens("body")}, {}), 5, *order).select(*got.columns)
+    plain = lambda df: sorted((r["query_id"], r["doc_id"], round(r["raw_score"], 6), r["rank"]) for r in df.collect())
+    assert plain(got) == plain(want) and len(plain(got)) == 10
