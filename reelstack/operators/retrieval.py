@@ -11,10 +11,11 @@ from reelstack.functions.text import tokens
 from reelstack.operators.tables import BROADCAST_ROWS, cut
 
 K1, B = 1.2, 0.75
-#: Queries of a block, bytes of vectors of a block, and vectors that are multiplied with a block of queries at once.
+#: Queries of a block, bytes of vectors of a block, vectors for which another task is worth it, and those that are multiplied with a block of queries at once.
 BLOCK_QUERIES = 1024
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 STEP_VECTORS = 4096
+CELL_VECTORS = 512
 
 
 def eligible(scene: DataFrame, clip: DataFrame) -> DataFrame:
@@ -214,18 +215,19 @@ def dense_top_k(
     right = rows.withColumn("v_block", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int")).withColumn("q_block", places(q_blocks))
 
     def meet(some: pa.Table, others: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(some):
             q_ids, q = some["query_id"].to_numpy(), _matrix(some["vector"], dimension)
-            for at in range(0, len(others), STEP_VECTORS):
-                part = others.slice(at, STEP_VECTORS)
+            for at in range(0, len(others), CELL_VECTORS):
+                part = others.slice(at, CELL_VECTORS)
                 ids = part["id"].to_numpy()
                 row, col, distance = nearest(q, q_ids, _matrix(part["vector"], dimension), ids, k)
-                found.append((q_ids[row], ids[col], distance))
-        query, ident, distance = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((ident, distance, query))
-        kept = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
-        return pa.table({"query_id": query[kept], "id": ident[kept], "distance": distance[kept]})
+                # only the best k of each query are held, so that memory does not grow with a block's vectors
+                query, ident, distance = (np.concatenate(c) for c in zip(held, (q_ids[row], ids[col], distance), strict=True))
+                order = np.lexsort((ident, distance, query))
+                kept = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+                held = query[kept], ident[kept], distance[kept]
+        return pa.table(dict(zip(("query_id", "id", "distance"), held, strict=True)))
 
     keys = ["q_block", "v_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, distance double")

@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,16 @@ def test_shapes_by_one_expression():
     for start in range(0, 0x11000, 0x100):
         text = "".join(map(chr, range(start, start + 0x100)))
         assert ob._shape(text)[1] == "".join(c for c in text if not c.isalnum())
+
+
+def test_dense_search_holds_the_best_of_each_query_only(spark, monkeypatch):
+    """Steps of three vectors give the distances of all pairs, and no step multiplies more."""
+    monkeypatch.setattr(rt, "CELL_VECTORS", 3)
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-3, 4, (50, 4)) + 0.5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    asked = rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(q, i): n + 1 for q in range(0, 50, 5) for n, i in enumerate(sorted((i for i in range(50) if i != q), key=lambda i: (np.round(1 - unit[q] @ unit[i], 9), i))[:6])}
+    got = {(r["query_id"], r["vec_id"]): r["rank"] for r in rt.dense_top_k(asked, rows, 6).collect()}
+    assert got == want
