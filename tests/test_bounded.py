@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,37 @@ def test_normalisation_gets_bounded_batches(spark_batches):
     assert largest_batch(df) < 2 * batches.BATCH_BYTES
 
 
+def test_merging_normalises_each_text_once(spark, monkeypatch):
+    """Texts beyond ASCII pass through Python once, in one worker a task; groups are those written out plainly, rows without scene or text in none."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(values: pd.Series) -> pd.Series:
+        seen.add(len(values))
+        return values.str.lower()
+
+    monkeypatch.setattr(tx, "_casefold", counted)
+    rng = random.Random(3)
+    words = ["é a", "É  A", "éa", "ö", "Ö ", "plain", "PLAIN", None]
+    rows = [(rng.choice([0, 1, 2, None]), rng.choice([0, 1, 2, 3, None]), i, rng.choice(words), rng.randint(0, 3) / 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "scene_id long, frame long, obs_id long, raw_text string, confidence double")
+    got = ob.merged(df).collect()
+    held = [r for r in rows if r[0] is not None and r[3] is not None]
+    assert seen.value == sum(not r[3].isascii() for r in held)
+    groups = {}
+    for r in held:
+        groups.setdefault((r[0], "".join(r[3].lower().split())), []).append(r)
+    want = []
+    for (scene, text), of in groups.items():
+        apart = len({r[1] for r in of}) < len(of)
+        for part in [[r] for r in of] if apart else [of]:
+            best = max(part, key=lambda r: (r[4], r[1] is not None, -(r[1] or 0), r[2]))
+            frames = [r[1] for r in part if r[1] is not None]
+            want.append((scene, text, len(part), best[2], min(frames, default=None), max(frames, default=None), best[4]))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r["size"] for r in got} > {1}
+
+
 def test_sessions_own_batches_stay(spark_batches):
     spark_batches.conf.set(batches.BATCH_SETTING, "1000000")
     batches.lean(texts(spark_batches))
